@@ -66,3 +66,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op7_exact_dedup": OP7_SQL}
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywatch.llm import secret_scan
+
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == secret_scan.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    spans = F.concat("base", "random")
+    return rows.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"), F.size("random").cast("bigint").alias("n_random"),
+    )
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywatch.llm import jaccard_join
+
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
