@@ -84,3 +84,37 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querywatch.llm import jaccard_join
 
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo 3, is 1; rows without an id are held out, too."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywatch.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(~held_out()), "text", "lang", "doc_id")
+    return langid.identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywatch.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return toxicity.score(docs, index).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querywatch.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes at most, equal weights below each node, as many tokens as there are."""
+    from querywatch.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.Target(share=1.0, weight=lambda path, tokens: 1.0, epochs=2))
