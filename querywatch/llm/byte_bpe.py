@@ -27,8 +27,8 @@ L, N, O, A1, A2, SP, WL, WS, END = range(9)
 # that the next character joins; in white space.
 FREE, IN_L, IN_N, IN_O, C1, C2, BLANK, IN_WS = range(8)
 WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-GROUP = 1 << 20  # code points scanned at once
-CACHE = 300_000  # distinct slices kept by a Python worker
+GROUP = 1 << 19  # code points scanned at once
+CACHE = 100_000  # distinct slices kept by a Python worker
 
 
 @functools.cache
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = Merged(load_ranks(path))
         as_list = lambda n, values: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(values, pa.int32()))
-        for batch in batches:
+        for batch in (big.slice(k, 1000) for big in batches for k in range(0, big.num_rows, 1000)):
             done = 0
             for group in groups_of([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
                 ids, n, at, slices = encode_texts(group, merged)
@@ -230,7 +230,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
         of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             of[i] = piece
-        for batch in batches:
+        for batch in (big.slice(k, 500) for big in batches for k in range(0, big.num_rows, 500)):
             lists = batch.column(batch.num_columns - 1)
             out = [b"".join(map(of.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from querywatch.llm._work import save, scratch
+from querywatch.llm._work import discard, save, scratch
 
 BLOCK = 1024
 
@@ -62,8 +62,11 @@ def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bloc
         )
         pairs = save(pairs, f"{at}/pairs-{depth}")
         names = _named(pairs.select("l", "r"), ["l", "r"], ["l", "r"], f"{at}/names-of-{depth}")
+        discard(spark)
         level = save(pairs.join(names, ["l", "r"]).select("row_id", F.floor((F.col("n") + 1) / 2).cast("int").alias("n"), "pos", "name"), f"{at}/level-{depth}")
-    return keyed.drop("h").join(done, "row_id")
+    found = save(keyed.drop("h").join(done, "row_id"), f"{at}/identities")
+    discard(spark, *(f"{at}/{x}" for x in ("keyed", *(f"names-{s}" for s in range(42, seed, 2)), *(f"{x}-{d}" for d in range(depth + 1) for x in ("level", "pairs", "names-of")))))
+    return found
 
 
 def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:

@@ -7,9 +7,10 @@ segment that also indexes its one-deletion neighbourhood takes two. Where a set'
 together, every partner shares a key with it. How many segments of either kind a band has is the cheapest
 choice that covers nearly all sets (``allocation``).
 
-Exactness does not rest on "nearly": empty segments and keys shared by more than POPULAR sets are worth
-nothing to a set. A set whose other segments still are worth H + 1 ("covered") can leave them out, because
-its partners meet it elsewhere. Sets that are not covered meet each other on those keys too.
+Exactness does not rest on "nearly": empty segments are worth nothing to a set, and sets whose others are
+not worth H + 1 meet each other on their empty segments, too. A set whose segments are worth ``slack`` more
+than H + 1 shares more than ``slack`` keys with any partner, so by the prefix principle it leaves its
+``slack`` most popular keys out, in one order for all sets; passages that many sets share fall away like this.
 
 Candidates are verified on their whole shingle sets. Shingles are 64-bit hashes; equal sets have equal
 128-bit signatures and are one class from the start, so copies cost one row each.
@@ -22,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from querywatch.llm._work import partitions, save, scratch
+from querywatch.llm._work import discard, partitions, save, scratch
 
 WIDTH = 5
 GROWTH = 1.8  # of the sizes from band to band; 1.7 to 2 gives the fewest keys
-POPULAR = 12
+ROUNDS = 3
 DEEP = 6  # bands below may index deletions; above, whole segments alone are always cheaper
-SLACK = 0.06  # share of the segments that popular keys may take before a set counts as not covered
-FLUSH = 1 << 20  # keys gathered before they are dealt to buckets
+SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
+FLUSH = 1 << 19  # keys gathered before they are dealt to buckets
 GROUP = 1 << 20  # bytes of text hashed at once
 U = np.uint64
 
@@ -325,6 +326,47 @@ def _alike(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * 75)
 
 
+PAIRED = ("key", "band", "cid", "label", "n", "home", "need", "spare")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a key, may link and are in different components, with the number of such keys of this task."""
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if not got:
+        return
+    key, band, cid, label, n, home, need, spare = (np.concatenate(x) for x in zip(*got))
+    order = np.lexsort((cid, band, key))
+    key, band, cid, label, n, home, need, spare = (x[order] for x in (key, band, cid, label, n, home, need, spare))
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]), [True]]))
+    first, second, size = [], [], 0
+
+    def counted() -> pa.RecordBatch:
+        a, b = np.concatenate(first), np.concatenate(second)
+        order = np.lexsort((cid[b], cid[a]))
+        a, b = a[order], b[order]
+        at = np.flatnonzero(np.concatenate([[True], (cid[a[1:]] != cid[a[:-1]]) | (cid[b[1:]] != cid[b[:-1]])]))
+        shared = np.diff(np.concatenate([at, [len(a)]]))
+        a, b = a[at], b[at]
+        columns = (cid[a], cid[b], n[a], n[b], np.maximum(need[a], need[b]), np.maximum(spare[a], spare[b]), shared)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["cid1", "cid2", "n1", "n2", "need", "spare", "shared"])
+
+    for lo, hi in zip(new[:-1].tolist(), new[1:].tolist()):
+        for i in range(lo, hi - 1):
+            j = np.arange(i + 1, hi)
+            small = n[j] < n[i]
+            ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(small, home[j], home[i])
+            j = j[ok]
+            if len(j):
+                first.append(np.full(len(j), i))
+                second.append(j)
+                size += len(j)
+            if size > 1 << 20:
+                yield counted()
+                first, second, size = [], [], 0
+    if size:
+        yield counted()
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked for the distinct pairs."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -347,59 +389,57 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     packed = source.mapInArrow(lambda batches: _index(batches, buckets), f"bucket int, info array<struct<{DOC.replace(' ', ':').replace(',:', ',')}>>, classes binary, members binary")
     rows = packed.repartition(parts, "bucket").mapInArrow(_meet, ROWS)
     rows = save(rows.withColumn("row_id", F.monotonically_increasing_id()), f"{at}/met")
-    all_docs = rows.filter("kind = 0").select("row_id", "doc_id", "n", "c1", "c2", "bands", "slacks")
+    discard(spark)
+    all_docs = save(rows.filter("kind = 0").select("row_id", "doc_id", "n", "c1", "c2", "bands", "slacks"), f"{at}/docs")
     sets_of = all_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slacks").alias("slacks"))
     members = rows.filter("kind = 1").select("c1", "c2", "key", "band", "met").join(sets_of, ["c1", "c2"])
     slack = F.element_at("slacks", F.array_position("bands", F.col("band")).cast("int"))
-    members = members.select("c1", "c2", "cid", "rep", "n", "key", "band", "met", slack.alias("slack"), (F.element_at("bands", 1) == F.col("band")).alias("home"))
+    members = members.select("cid", "n", "key", "band", "met", slack.alias("slack"), (F.element_at("bands", 1) == F.col("band")).alias("home"))
     members = save(members, f"{at}/members")
+    discard(spark, f"{at}/met")
     deep = [k for k in range(DEEP) if allocation(k)[1]]
-    weight = F.when(F.col("band").isin(deep), 2).otherwise(1)
-    popular = members.filter(F.col("met") > POPULAR).groupBy("cid", "band").agg(F.sum(weight).alias("lost"))
-    live = members.join(popular, ["cid", "band"], "left").withColumn("left_over", F.col("slack") - F.coalesce("lost", F.lit(0)))
-    live = live.filter((F.col("met") <= POPULAR) | (F.col("left_over") < 0))
-    top = F.array(*[F.lit(edge(k + 1)) for k in range(40)])
-    limit = F.get(top, F.col("band"))
+    limit = F.get(F.array(*[F.lit(edge(k + 1)) for k in range(40)]), F.col("band"))
     most = F.floor(F.when(F.col("n") < limit, F.col("n") + F.floor(F.col("n") * 4 / 3)).otherwise(F.col("n") + limit - 1) / 7)
-    # a covered set of a band without deletions shares at least this many keys, less the differences the pair may have
-    need = F.when((F.col("left_over") >= 0) & ~F.col("band").isin(deep), F.col("left_over") + 1 + most).otherwise(F.lit(1))
-    live = save(live.select("key", "band", "cid", "n", "home", need.alias("need"), (need > 1).alias("counted")), f"{at}/live")
-
-    def enough(shared: Column, n1: Column, n2: Column) -> Column:
-        h = F.floor((n1 + n2) / 7)
-        least = lambda x: F.when(F.col(f"counted{x}"), F.col(f"need{x}") - h).otherwise(F.lit(1))
-        return _alike(n1, n2) & (shared >= F.greatest(least(1), least(2)))
-
-    def side(x: int, df: DataFrame) -> DataFrame:
-        return df.select("key", "band", *[F.col(c).alias(f"{c}{x}") for c in df.columns if c not in ("key", "band")])
-
-    info = [F.first(f"{c}{x}").alias(f"{c}{x}") for c in ("n", "need", "counted") for x in (1, 2)]
-    home = F.when(F.col("n1") <= F.col("n2"), F.col("home1")).otherwise(F.col("home2"))
-
-    def counted(pairs: DataFrame) -> DataFrame:
-        found = pairs.filter(_alike(F.col("n1"), F.col("n2")) & home).groupBy("cid1", "cid2").agg(F.count(F.lit(1)).alias("shared"), *info)
-        return found.filter(enough(F.col("shared"), F.col("n1"), F.col("n2")))
-
-    # every set against the first of each of its keys; its likeliest partner is verified before all others
-    first = live.groupBy("key").agg(F.min(F.struct("cid", "n", "home", "need", "counted")).alias("hub"))
-    hubs = side(1, live).join(first, "key").filter("cid1 <> hub.cid").select("cid1", "n1", "home1", "need1", "counted1", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("cid", "n", "home", "need", "counted")])
-    near = counted(hubs).groupBy("cid1").agg(F.max_by("cid2", F.struct("shared", -F.col("cid2"))).alias("cid2"))
-    near = save(near.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct(), f"{at}/near")
-    asked = members.select("cid", "c1", "c2", "rep").distinct()
-    wanted = live.select("cid").distinct()
-    sets = save(_sets(source, asked.join(wanted, "cid", "left_semi")), f"{at}/sets")
-    links = save(_verify(near, sets), f"{at}/links-1")
-    labels = components(links.filter("linked"), f"{at}/labels-1")
-    # all pairs of one key that no link has joined yet
+    spare = (F.col("slack") >= 0) & ~F.col("band").isin(deep)
+    widest = Window.partitionBy("cid", "band").orderBy(F.desc("met"), F.desc("key"))
+    live = members.withColumns({"spare": F.when(spare, F.col("slack")).otherwise(0), "need": F.when(spare, F.col("slack") + 1 + most).otherwise(0), "rank": F.row_number().over(widest)})
+    live = save(live.filter("rank > spare").select("key", "band", "cid", "n", "home", "need", "spare"), f"{at}/live")
+    discard(spark, f"{at}/members")
+    asked = sets_of.select("cid", "c1", "c2", "rep").join(live.select("cid").distinct(), "cid", "left_semi")
+    sets = save(_sets(source, asked), f"{at}/sets")
+    discard(spark)
+
+    # Likely links first: each set against the first set of another component on one of its keys, the one it
+    # meets there most often. A few such rounds, linear in the keys, join most components.
+    links, labels = None, live.select(F.col("cid").alias("node"), F.col("cid").alias("label")).limit(0)
+    for i in range(ROUNDS):
+        marked = live.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        first = marked.groupBy("key").agg(F.min(F.struct("label", "cid", "n")).alias("hub"), F.max("label").alias("hi")).filter("hub.label <> hi")
+        met = marked.join(first, "key").filter((F.col("label") != F.col("hub.label")) & _alike(F.col("n"), F.col("hub.n"))).groupBy("cid", F.col("hub.cid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+        if links is not None:
+            done = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            met = met.join(done, (F.least("cid", "other") == F.col("x")) & (F.greatest("cid", "other") == F.col("y")), "left_anti")
+        near = met.groupBy("cid").agg(F.max_by("other", F.struct("shared", -F.col("other"))).alias("other"))
+        near = save(near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), f"{at}/near-{i}")
+        found = save(_verify(near, sets), f"{at}/links-{i}")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links.filter("linked"), f"{at}/labels-{i}")
+        discard(spark)
+
+    # Then all pairs of a key that are still in different components, counted within each task before they are shuffled.
     marked = live.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    still = save(marked.join(open_keys, "key", "left_semi"), f"{at}/open")
-    cross = side(1, still).join(side(2, still), ["key", "band"]).filter("cid1 < cid2 and label1 <> label2")
-    rest = counted(cross).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
-    more = save(_verify(save(rest, f"{at}/rest"), sets), f"{at}/links-2")
-    labels = components(links.unionByName(more).filter("linked").select("a", "b"), f"{at}/labels-2")
+    still = save(marked.join(open_keys, "key", "left_semi").select(*PAIRED), f"{at}/open")
+    cross = still.repartition(parts, "key", "band").mapInArrow(_pairs, "cid1 bigint, cid2 bigint, n1 bigint, n2 bigint, need bigint, spare bigint, shared bigint")
+    enough = F.first("need") - F.floor((F.first("n1") + F.first("n2")) / 7) - F.first("spare")
+    rest = cross.groupBy("cid1", "cid2").agg(F.sum("shared").alias("shared"), enough.alias("enough")).filter("shared >= enough")
+    rest = rest.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    more = save(_verify(save(rest, f"{at}/rest"), sets), f"{at}/links-all")
+    labels = components(links.unionByName(more).filter("linked").select("a", "b"), f"{at}/labels-all")
     named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("row_id")).alias("label"))
+    named = save(named, f"{at}/named")
+    discard(spark, *(f"{at}/{x}" for x in ("docs", "live", "sets", "open", "rest", "links-all", *(f"{x}-{i}" for x in ("near", "links") for i in range(ROUNDS)))))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -408,16 +448,13 @@ def _sets(source: DataFrame, asked: DataFrame) -> DataFrame:
     """cid, shingles: the whole set of each asked class, from the text of one of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_groups(batches):
+        for rows, texts in text_groups(batches):
             found = shingle_sets(texts)
-            sigs = [signature(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s[0] for s in sigs], pa.int64()), pa.array([s[1] for s in sigs], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["c1", "c2", "shingles"]
-            )
+            same = [(row["cid"], s) for row, s in zip(rows, found, strict=True) if signature(s) == (row["c1"], row["c2"])]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), pa.array([s.view(np.int64) for _, s in same], pa.list_(pa.int64()))], names=["cid", "shingles"])
 
-    texts = source.join(asked.select(F.col("rep").alias("r")).distinct(), F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
-    found = texts.mapInArrow(run, "c1 bigint, c2 bigint, shingles array<bigint>")
-    return found.join(asked.select("c1", "c2", "cid"), ["c1", "c2"]).dropDuplicates(["cid"]).select("cid", "shingles")
+    texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.struct("cid", "c1", "c2").alias("row"), "text")
+    return texts.mapInArrow(run, "cid bigint, shingles array<bigint>").dropDuplicates(["cid"])
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

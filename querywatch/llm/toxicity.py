@@ -113,7 +113,7 @@ def _partial(batches: Iterator[pa.RecordBatch], vocabulary: set[str] | None) ->
             terms = terms_of(t or "") if vocabulary is None else known_terms(t or "", vocabulary)
             found.update((x, y) for x in terms)
             found["", y] += 1
-            if len(found) > 200_000:
+            if len(found) > 50_000:
                 yield flush()
                 found.clear()
     if found:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = set(index.number)
-        for batch in batches:
+        for batch in (big.slice(k, 1000) for big in batches for k in range(0, big.num_rows, 1000)):
             found = [index.score(known_terms(t or "", vocabulary)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64())]
             if evidence:
