@@ -55,7 +55,7 @@ def statement_type(canonical_text: Column) -> Column:
 def mask_ok(canonical_text: Column) -> Column:
     """No quote and no literal is left outside hints."""
     rest = F.regexp_replace(canonical_text, r"/\*\+.*?\*/", "")
-    return ~rest.rlike(r"""['"]""") & ~rest.rlike(r"(^| )[0-9.]+( |$)")
+    return ~rest.rlike(r"""['"]""") & ~rest.rlike(r"(^| )[.]?[0-9][0-9.]*( |$)")
 
 
 def server_truncated(text: Column, limit: int = 1024) -> Column:
