@@ -33,6 +33,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches in small slices, so that a worker holds few texts as Python strings at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from querywatch.llm._work import sliced
+
 # Classes. A1, A2: an apostrophe that opens a contraction with one or two letters, if it starts a pre-token.
 # SP, WL: a blank or other white space right before a visible character. WS: other white space. END: between texts.
 L, N, O, A1, A2, SP, WL, WS, END = range(9)
@@ -209,7 +211,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged = Merged(load_ranks(path))
         as_list = lambda n, values: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(values, pa.int32()))
-        for batch in (big.slice(k, 1000) for big in batches for k in range(0, big.num_rows, 1000)):
+        for batch in sliced(batches):
             done = 0
             for group in groups_of([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
                 ids, n, at, slices = encode_texts(group, merged)
@@ -230,7 +232,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
         of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             of[i] = piece
-        for batch in (big.slice(k, 500) for big in batches for k in range(0, big.num_rows, 500)):
+        for batch in sliced(batches):
             lists = batch.column(batch.num_columns - 1)
             out = [b"".join(map(of.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from querywatch.llm._work import discard, partitions, save, scratch
+from querywatch.llm._work import discard, partitions, save, scratch, sliced
 
 WIDTH = 5
 GROWTH = 1.8  # of the sizes from band to band; 1.7 to 2 gives the fewest keys
@@ -33,7 +33,7 @@ ROUNDS = 3
 DEEP = 6  # bands below may index deletions; above, whole segments alone are always cheaper
 SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
 FLUSH = 1 << 19  # keys gathered before they are dealt to buckets
-GROUP = 1 << 20  # bytes of text hashed at once
+GROUP = 1 << 19  # bytes of text hashed at once
 U = np.uint64
 
 
@@ -53,20 +53,27 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 
 
-@functools.lru_cache(4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, STEP, U), np.full(n, pow(STEP, -1, 2**64), U)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_usual = functools.cache(lambda: _powers(2 * GROUP))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse; only the usual length is kept in memory."""
+    return _usual() if n <= 2 * GROUP else _powers(n)
+
+
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than ``width`` words are one shingle, no words none."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = SPACE[data]
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    up, down = powers(1 << int(len(data)).bit_length())
+    up, down = powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, U), np.cumsum(BYTE[data] * down[: len(data)], dtype=U)])
     words = mix((total[end] - total[start]) * up[end - 1] + (end - start).astype(U))
     edge = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -183,7 +190,7 @@ ROWS = f"kind int, {DOC}, key bigint, band int, met int"
 
 
 def text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts, size = [], [], 0
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(i)

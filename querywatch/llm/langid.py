@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from querywatch.llm._work import sliced
+
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 192
@@ -143,7 +145,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if net:
             net.tables()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if net:

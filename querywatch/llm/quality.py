@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from querywatch.llm._work import sliced
+
 SAMPLE = 6000  # rows at most that train the scorer
 BITS = 14
 SYMBOLS = r"#$%&*|<>{}[]^~=\+@_"
@@ -125,7 +127,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample
     chosen = rows.filter(h <= F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)))).limit(2 * sample)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["pattern", "at", "x"])
 
@@ -134,7 +136,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample
     w = _fit([(np.array(a, np.int64), np.array(x), table[p]) for p, a, x in got])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             z = np.array([w[at] @ x + w[-1] for at, x in map(features, batch.column(2).to_pylist())])
             s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             p = table[batch.column(1).to_numpy(zero_copy_only=False)]

@@ -25,7 +25,7 @@ from querywatch.llm._work import id_buckets, partitions, save, scratch
 
 SPAN, LEAST, MOST, MASK = 16, 128, 4096, 255  # ids under the rolling hash; of a chunk at least and at most; about MASK ids between cuts
 STEP = 0x9E3779B97F4A7C15 | 1
-CACHE = 200_000
+CACHE = 100_000
 
 
 @functools.cache
@@ -54,7 +54,7 @@ def encode_texts(texts: list[str], path: str, end_id: int, seen: Encoded) -> lis
     return [np.fromiter(chain(chain.from_iterable(map(seen.__getitem__, s)), (end_id,)), np.uint32) for s in split]
 
 
-@functools.lru_cache(4)
+@functools.lru_cache(2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, STEP, np.uint64), np.full(n, pow(STEP, -1, 2**64), np.uint64)
     up[0] = down[0] = 1

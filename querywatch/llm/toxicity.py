@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from querywatch.llm._work import sliced
+
 SAMPLE = 8000  # labelled rows at most
 TERMS = 4096  # terms at most
 CHI = 20.0  # least association of a term
@@ -108,7 +110,7 @@ def _partial(batches: Iterator[pa.RecordBatch], vocabulary: set[str] | None) ->
         keys = list(found)
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             terms = terms_of(t or "") if vocabulary is None else known_terms(t or "", vocabulary)
             found.update((x, y) for x in terms)
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     df = {r["term"]: r["n"] for r in everything.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [known_terms(t or "", vocabulary) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
 
@@ -167,7 +169,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = set(index.number)
-        for batch in (big.slice(k, 1000) for big in batches for k in range(0, big.num_rows, 1000)):
+        for batch in sliced(batches):
             found = [index.score(known_terms(t or "", vocabulary)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64())]
             if evidence:
