@@ -43,10 +43,17 @@ class Encoded(dict):
 
     def add(self, pieces: set[str], path: str) -> None:
         new = [p for p in pieces if p not in self]
-        self.update(zip(new, (e.ids for e in tokenizer(path).encode_batch(new, add_special_tokens=False)), strict=True))
+        self.update(zip(new, (e.ids for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
 
 
-def encode_texts(texts: list[str], path: str, end_id: int, seen: Encoded) -> list[np.ndarray]:
+@functools.cache
+def encoded(path: str) -> Encoded:
+    """One cache per Python worker: it outlives the tasks that the worker runs."""
+    return Encoded()
+
+
+def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
+    seen = encoded(path)
     split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
     if len(seen) > CACHE:
         seen.clear()
@@ -93,12 +100,11 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _cut_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Encoded()
         for big in batches:
             for k in range(0, big.num_rows, 512):
                 batch = big.slice(k, 512)
                 sizes, addrs, parts, roots = [], [], [], []
-                for ids in encode_texts([t or "" for t in batch.column(1).to_pylist()], path, end_id, seen):
+                for ids in encode_texts([t or "" for t in batch.column(1).to_pylist()], path, end_id):
                     data, ends = ids.astype("<u2").tobytes(), cuts(ids)
                     own = [data[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
                     names = [hashlib.sha256(p).digest() for p in own]
