@@ -14,6 +14,7 @@ import functools
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,7 @@ from querywatch.llm._work import id_buckets, partitions, save, scratch
 
 SPAN, LEAST, MOST, MASK = 16, 128, 4096, 255  # ids under the rolling hash; of a chunk at least and at most; about MASK ids between cuts
 STEP = 0x9E3779B97F4A7C15 | 1
-CACHE = 100_000
+CACHE = 250_000  # word pieces in each generation of a worker's cache
 
 
 @functools.cache
@@ -39,11 +40,27 @@ def tokenizer(path: str):
 
 
 class Encoded(dict):
-    """Ids of blank-separated pieces. Pre-tokens never span white space, so pieces encode on their own."""
+    """Ids of blank-separated pieces, as 16-bit bytes. Pre-tokens never span white space, so pieces encode on their own.
+
+    Two generations of CACHE pieces: what was used since the last turn stays.
+    """
+
+    older: dict[str, bytes] = {}
 
     def add(self, pieces: set[str], path: str) -> None:
-        new = [p for p in pieces if p not in self]
-        self.update(zip(new, (e.ids for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        new = []
+        for p in pieces:
+            if p not in self:
+                if (ids := self.older.get(p)) is None:
+                    new.append(p)
+                else:
+                    self[p] = ids
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            self.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True))
 
 
 @functools.cache
@@ -53,12 +70,10 @@ def encoded(path: str) -> Encoded:
 
 
 def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    seen = encoded(path)
+    seen, end = encoded(path), array("H", [end_id]).tobytes()
     split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    if len(seen) > CACHE:
-        seen.clear()
     seen.add(set(chain.from_iterable(split)), path)
-    return [np.fromiter(chain(chain.from_iterable(map(seen.__getitem__, s)), (end_id,)), np.uint32) for s in split]
+    return [np.frombuffer(b"".join(map(seen.__getitem__, s)) + end, np.uint16) for s in split]
 
 
 @functools.lru_cache(2)
