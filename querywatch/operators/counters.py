@@ -102,3 +102,42 @@ def mark_series_gaps(points: DataFrame, gap_ms: int = GAP_MS, keep: int = KEPT_P
     rows = points.withColumn("gap", F.coalesce(gap, F.lit(False))).select("instance_id", "metric", F.explode(F.when(F.col("gap"), F.array(void, point)).otherwise(F.array(point))).alias("p"))
     newest = F.row_number().over(Window.partitionBy("instance_id", "metric").orderBy(F.desc("p.at_ms"), F.desc("p.nth")))
     return rows.withColumn("rn", newest).filter(F.col("rn") <= keep).select("instance_id", "metric", "p.at_ms", "p.nth", "p.value")
+
+
+#: Weight of a new clock sample, severity limits and least merge window in ms, warning and alarm percentages.
+ALPHA, OFFSET_WARN_MS, OFFSET_ALERT_MS, MERGE_WINDOW_MS = 0.2, 1000, 5000, 2000
+SEVERE = {"cpu": (70, 85), "connections": (70, 85), "storage_left": (20, 10)}
+
+
+def clock_offset(samples: DataFrame) -> DataFrame:
+    """Smoothed clock offset of each instance (raw_ms by at_ms), its severity and the merge window.
+
+    A run of samples maps an offset x to a + b·x, so hours fold on their own and only their (a, b) pairs meet.
+    """
+    step = lambda acc, x: F.struct((ALPHA * x["raw_ms"] + (1 - ALPHA) * acc["a"]).alias("a"), ((1 - ALPHA) * acc["b"]).alias("b"))
+    unit = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    rows = samples.select("instance_id", "at_ms", "sample_id", F.col("raw_ms").cast("double").alias("raw_ms"))
+    hours = rows.groupBy("instance_id", F.floor(F.col("at_ms") / 3_600_000).alias("hour")).agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("at_ms", "sample_id", "raw_ms"))), unit, step).alias("f"), F.min_by("raw_ms", F.struct("at_ms", "sample_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("hour", "f.a", "f.b")))
+    # the first sample counts in full: starting from its value gives just that
+    total = hours.groupBy("instance_id").agg(F.min_by("first", "hour").alias("first"), ordered.alias("h"), F.sum("n").alias("samples"))
+    offset = F.round(F.aggregate("h", F.col("first"), lambda x, h: h["a"] + h["b"] * x)).cast("bigint")
+    out = total.select("instance_id", "samples", offset.alias("offset_ms"))
+    away = F.abs("offset_ms")
+    return out.withColumns({
+        "severity": F.when(away > OFFSET_ALERT_MS, "alert").when(away > OFFSET_WARN_MS, "warn").otherwise("ok"),
+        "merge_window_ms": F.when(away > OFFSET_WARN_MS, away + MERGE_WINDOW_MS).otherwise(F.lit(MERGE_WINDOW_MS).cast("bigint")),
+    })
+
+
+def metric_severity(df: DataFrame) -> DataFrame:
+    """ok, warn or alarm of cpu (percent), connections (of a maximum) and storage left (of what is allocated); null without a denominator."""
+
+    def grade(share: Column, name: str) -> Column:
+        warn, alarm = SEVERE[name]
+        worse = (lambda x: share >= x) if warn < alarm else (lambda x: share <= x)
+        return F.when(share.isNull(), F.lit(None).cast("string")).when(worse(alarm), "alarm").when(worse(warn), "warn").otherwise("ok").alias(f"{name}_severity")
+
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) * 100 / F.col(b))
+    return df.select("*", grade(F.col("cpu"), "cpu"), grade(part("connections", "max_connections"), "connections"), grade(part("storage_left", "storage"), "storage_left"))

@@ -46,3 +46,70 @@ def set_difference(desired: DataFrame, running: DataFrame) -> DataFrame:
     """What to start and what to stop."""
     start = desired.join(running, "id", "left_anti").select("id", F.lit("start").alias("action"))
     return start.unionByName(running.join(desired, "id", "left_anti").select("id", F.lit("stop").alias("action")))
+
+
+#: States of an instance that does not serve; order in which environments are shown.
+NOT_SERVING = (
+    "creating", "deleting", "failed", "inaccessible-encryption-credentials", "inaccessible-encryption-credentials-recoverable", "incompatible-network",
+    "incompatible-restore", "restore-error", "starting", "stopped", "stopping",
+)
+ENVS = ("prod", "stage", "dev")
+
+
+def supported(version: Column, least: tuple[int, int, int]) -> Column:
+    """A triple at or above the least one; what has no triple is not supported."""
+    floor = F.struct(*[F.lit(x).alias(n) for n, x in zip(("major", "minor", "patch"), least)])
+    return F.coalesce(version["major"].isNotNull() & version["minor"].isNotNull() & (version >= floor), F.lit(False))
+
+
+def initial_state(df: DataFrame, enabled_tag: str, least: tuple[int, int, int]) -> DataFrame:
+    """disabled by tag, else unsupported, else unreachable, else pending."""
+    tag = F.lower(F.trim(F.try_element_at(lower_tags(F.col("tags")), F.lit(enabled_tag.lower()))))
+    serving = ~F.lower(F.trim("status")).isin(*NOT_SERVING)
+    state = F.when(tag.isin("false", "0"), "disabled").when(~supported(parse_version(F.col("version")), least), "unsupported").when(~serving, "unreachable").otherwise("pending")
+    return df.withColumn("state", state)
+
+
+def collectible(instances: DataFrame, pauses: DataFrame) -> DataFrame:
+    """Live, supported instances with an endpoint that no pause covers. Pauses: scope 'all', 'env:<env>' or 'id:<id>'."""
+    able = instances.filter(F.col("live") & F.col("supported") & F.col("endpoint").isNotNull())
+    scopes = F.array(F.lit("all"), F.concat(F.lit("env:"), "env"), F.concat(F.lit("id:"), F.col("id").cast("string")))
+    paused = able.select("id", F.explode(scopes).alias("scope")).join(pauses.select("scope"), "scope", "left_semi").select("id")
+    return able.join(paused, "id", "left_anti")
+
+
+def freshness(successes: DataFrame, live: DataFrame) -> DataFrame:
+    """Oldest last success among live instances."""
+    last = successes.join(live, "instance_id", "left_semi").groupBy("instance_id").agg(F.max("at_ms").alias("at_ms"))
+    return last.agg(F.min("at_ms").alias("oldest_success_ms"), F.count(F.lit(1)).alias("instances"))
+
+
+def fleet_table(instances: DataFrame, catalog: DataFrame, latest: DataFrame) -> DataFrame:
+    """Every metric of the catalog for every instance, with its newest value; cluster metrics are keyed by cluster.
+
+    The catalog has a row per metric, so it rides along as an array.
+    """
+    metrics = catalog.agg(F.collect_list(F.struct("metric", "scope")).alias("m"))
+    wide = instances.join(F.broadcast(metrics)).select("*", F.explode("m").alias("c")).drop("m")
+    keyed = wide.select("instance_id", F.col("c.metric").alias("metric"), F.when(F.col("c.scope") == "cluster", F.col("cluster_id")).otherwise(F.col("instance_id")).alias("key"))
+    return keyed.join(latest.select(F.col("instance_id").alias("key"), "metric", "at_ms", "value"), ["key", "metric"], "left").drop("key")
+
+
+def visible_envs(df: DataFrame) -> DataFrame:
+    """Environments present: the known ones in their order, then the rest by name."""
+    known = F.array_position(F.array(*map(F.lit, ENVS)), F.col("env"))
+    rank = F.when(known > 0, known).otherwise(len(ENVS) + 1)
+    return df.select("env").distinct().withColumn("position", rank.cast("bigint")).orderBy("position", "env")
+
+
+def assemble_table_specs(index_columns: DataFrame) -> DataFrame:
+    """A row per table with its indexes, each with its columns in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "column_name"))), lambda c: c["column_name"])
+    indexes = index_columns.groupBy("table_name", "index_name").agg(ordered.alias("columns"))
+    return indexes.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("index_name", "columns"))).alias("indexes"))
+
+
+def schema_fingerprint(specs: DataFrame) -> DataFrame:
+    """Hash of each table's index layout, whatever the order in which it was read."""
+    lines = F.transform("indexes", lambda i: F.concat(i["index_name"], F.lit("("), F.array_join(i["columns"], ","), F.lit(")")))
+    return specs.select("table_name", F.sha2(F.array_join(F.array_sort(lines), "\n"), 256).alias("fingerprint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Depth of the walk, and the share and rows below which a filter is reported.
 DEEPEST, LOW_FILTERED, LOW_FILTERED_ROWS = 64, 10.0, 1000
@@ -54,3 +54,28 @@ def plan_summary(nodes: DataFrame) -> DataFrame:
 def plan_change(summaries: DataFrame) -> DataFrame:
     """Digests whose plan shape changed (columns app_digest, fingerprint)."""
     return summaries.groupBy("app_digest").agg(F.count_distinct("fingerprint").alias("shapes"), F.count(F.lit(1)).alias("plans"))
+
+
+def plan_cost_share(nodes: DataFrame) -> DataFrame:
+    """A node's cost as a percentage of the largest in its plan; null without cost."""
+    most = F.max("cost").over(Window.partitionBy("plan_id"))
+    return nodes.withColumn("cost_share", F.when(most > 0, F.round(F.col("cost") * 100 / most, 6)))
+
+
+def plan_graph(nodes: DataFrame) -> DataFrame:
+    """Edges to each node from the nearest node whose path leads to it, and the indent; a root has no parent."""
+    up = F.transform(F.sequence(F.lit(0), (F.length("path") / 7).cast("int")), lambda i: F.substring(F.col("path"), F.lit(1), i * 7))
+    own = nodes.select("plan_id", "path", "table_name")
+    above = own.select("plan_id", F.col("path").alias("child"), F.explode(up).alias("path")).filter("path <> child")
+    edges = above.join(own, ["plan_id", "path"]).groupBy("plan_id", "child").agg(F.max_by("table_name", F.length("path")).alias("parent"), F.count(F.lit(1)).alias("indent"))
+    return own.join(edges.withColumnRenamed("child", "path"), ["plan_id", "path"], "left").select("plan_id", "path", "table_name", "parent", F.coalesce("indent", F.lit(0)).alias("indent"))
+
+
+def resolve_tables(plan_tables: DataFrame, refs: DataFrame, default_schema: str) -> DataFrame:
+    """Real schema.table of the names in a plan: by alias, then by name, then in the default schema."""
+    plan = plan_tables.select("plan_id", F.col("table_name").alias("shown"))
+    by = lambda key, out: refs.groupBy("plan_id", F.col(key).alias("shown")).agg(F.min(F.struct(F.coalesce("schema_name", F.lit(default_schema)).alias("s"), F.col("table_name").alias("t"))).alias(out))
+    rows = plan.join(by("alias", "a"), ["plan_id", "shown"], "left").join(by("table_name", "n"), ["plan_id", "shown"], "left")
+    real = F.coalesce(F.concat_ws(".", "a.s", "a.t"), F.lit(""))
+    named = F.when(F.col("a").isNotNull(), real).when(F.col("n").isNotNull(), F.concat_ws(".", "n.s", "n.t")).otherwise(F.concat_ws(".", F.lit(default_schema), "shown"))
+    return rows.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(named)), ",").alias("tables"))

@@ -4,9 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from querywatch import queries as q
+from querywatch import store_queries as q
 from querywatch.functions import query_text as qt
-from querywatch.operators import counters, identity, statistics, tracking
+from querywatch.operators import capture, counters, identity, statistics, tracking
 from querywatch.plans import flatten
 from querywatch.sources.slowlog import read_slowlog
 
@@ -114,3 +114,14 @@ def test_plan_shape_ignores_estimates(spark):
     df = spark.createDataFrame([(1, doc(5, "k")), (2, doc(9, "k")), (3, doc(5, "z")), (4, "not json")], "plan_id int, plan_json string")
     got = {r["plan_id"]: r["fingerprint"] for r in flatten.plan_summary(flatten.plan_nodes(df)).collect()}
     assert got[1] == got[2] != got[3] and 4 not in got
+
+
+def test_plan_graph_links_a_node_to_its_nearest_ancestor(spark):
+    doc = '{"query_block": {"table": {"table_name": "a", "materialized": {"table": {"table_name": "b"}}}}}'
+    got = {r.table_name: (r.parent, r.indent) for r in flatten.plan_graph(flatten.plan_nodes(spark.createDataFrame([(1, doc)], "plan_id int, plan_json string"))).collect()}
+    assert got == {"a": (None, 0), "b": ("a", 1)}
+
+
+def test_stored_sql_degrades_to_none(spark):
+    df = spark.createDataFrame([("masked", "c", False), ("masked", "c", True), ("off", "c", True), ("full", "c", False)], "literal_policy string, canonical string, mask_ok boolean").withColumn("sql_text", F.lit("t"))
+    assert [(r.stored_sql, r.masking_degraded) for r in capture.stored_sql(df).collect()] == [(None, True), ("c", False), (None, False), ("t", False)]
