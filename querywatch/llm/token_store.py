@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,10 @@ from querywatch.llm._work import id_buckets, partitions, save, scratch
 
 SPAN, LEAST, MOST, MASK = 16, 128, 4096, 255  # ids under the rolling hash; of a chunk at least and at most; about MASK ids between cuts
 STEP = 0x9E3779B97F4A7C15 | 1
+PUNCTUATION = string.punctuation.replace("'", "")
+LATIN_END = "\u0250"
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level vocabularies spell as themselves; the others follow from 256 on
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 CACHE = 250_000  # word pieces in each generation of a worker's cache
 
 
@@ -58,9 +63,39 @@ class Encoded(dict):
                     new.append(p)
                 else:
                     self[p] = ids
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
+        words, rest = {}, set()
+        for p in new:
+            head = p.rstrip(PUNCTUATION)
+            if head.isalpha() and max(head) < LATIN_END and "\u0130" not in head and words_alone(path):
+                words[p] = head.lower(), p[len(head) :]
+                rest.add(p[len(head) :])
+            else:
+                rest.add(p)
+        whole = [p for p in rest if p not in self]
+        for k in range(0, len(whole), 10_000):
+            some = whole[k : k + 10_000]
             self.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True))
+        model = tokenizer(path).model
+        for p, (word, tail) in words.items():
+            if (ids := self.get(word)) is None:
+                ids = self[word] = array("H", word_ids(model, word)).tobytes()
+            self[p] = ids + self[tail]
+
+
+def word_ids(model, word: str) -> list[int]:
+    """Ids of a lower-case word of Latin letters from the tokenizer's model alone: it is one pre-token."""
+    return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+
+
+@functools.cache
+def words_alone(path: str) -> bool:
+    """Whether the tokenizer lower-cases, parts words from punctuation and spells bytes as word_ids does; else all pieces go through it whole."""
+    t = tokenizer(path)
+    for word in ("the", "Straße", "ÉCOLE", "Ångström"):
+        want = [*word_ids(t.model, word.lower()), *t.encode(",;", add_special_tokens=False).ids]
+        if t.encode(word + ",;", add_special_tokens=False).ids != want:
+            return False
+    return True
 
 
 @functools.cache

@@ -166,3 +166,14 @@ def test_quality(docs, empty):
     got = quality.classify(docs).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality.classify(empty).count() == 0
+
+
+def test_token_store_words_equal_the_library():
+    import public_tokenizers
+
+    from querywatch.llm import token_store as ts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    chars = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
+    for text in [f"{c} {c}, a{c} {c}A. AB{c}!? {c * 3}_" for c in chars] + ["İ, J̌!x ΑΣ, don't I'M.", "<|endoftext|>, A</w>,b", ""]:
+        assert ts.encode_texts([text], path, 2)[0].tolist() == [*ts.tokenizer(path).encode(text, add_special_tokens=False).ids, 2]
