@@ -17,10 +17,10 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from querywatch.llm._work import id_buckets, partitions, save, scratch
@@ -44,47 +44,49 @@ def tokenizer(path: str):
     return t
 
 
-class Encoded(dict):
+class Encoded:
     """Ids of blank-separated pieces, as 16-bit bytes. Pre-tokens never span white space, so pieces encode on their own.
 
     Two generations of CACHE pieces: what was used since the last turn stays.
     """
 
-    older: dict[str, bytes] = {}
-
-    def add(self, pieces: set[str], path: str) -> None:
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for p in pieces:
-            if p not in self:
-                if (ids := self.older.get(p)) is None:
-                    new.append(p)
-                else:
-                    self[p] = ids
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, pieces: list[str], path: str) -> list[bytes]:
+        """Ids of each of the distinct pieces."""
+        if len(self.young) > CACHE:
+            self.older, self.young = self.young, {}
+        young = self.young
+        new = set(pieces).difference(young)
+        kept = self.older.keys() & new
+        young.update((p, self.older[p]) for p in kept)
+        new -= kept
         words, rest = {}, set()
+        latin = words_alone(path)
         for p in new:
             head = p.rstrip(PUNCTUATION)
-            if head.isalpha() and max(head) < LATIN_END and "\u0130" not in head and words_alone(path):
-                words[p] = head.lower(), p[len(head) :]
-                rest.add(p[len(head) :])
+            if latin and head.isalpha() and (head.isascii() or max(head) < LATIN_END and "\u0130" not in head):
+                tail = p[len(head) :]
+                words[p] = head.lower(), tail
+                rest.add(tail)
             else:
                 rest.add(p)
-        whole = [p for p in rest if p not in self]
+        whole = [p for p in rest if p not in young]
         for k in range(0, len(whole), 10_000):
             some = whole[k : k + 10_000]
-            self.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True))
+            young.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True))
         model = tokenizer(path).model
         for p, (word, tail) in words.items():
-            if (ids := self.get(word)) is None:
-                ids = self[word] = array("H", word_ids(model, word)).tobytes()
-            self[p] = ids + self[tail]
+            ids = young.get(word) or array("H", word_ids(model, word)).tobytes()
+            young[p] = ids + young[tail] if tail else ids
+        return [young[p] for p in pieces]
 
 
 def word_ids(model, word: str) -> list[int]:
     """Ids of a lower-case word of Latin letters from the tokenizer's model alone: it is one pre-token."""
-    return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+    return [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))]
 
 
 @functools.cache
@@ -104,11 +106,21 @@ def encoded(path: str) -> Encoded:
     return Encoded()
 
 
-def encode_texts(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
-    seen, end = encoded(path), array("H", [end_id]).tobytes()
-    split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    seen.add(set(chain.from_iterable(split)), path)
-    return [np.frombuffer(b"".join(map(seen.__getitem__, s)) + end, np.uint16) for s in split]
+def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[np.ndarray]:
+    """Ids of each text and the end id: every distinct piece is looked up once, Arrow and numpy deal the ids out."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    pieces = split.flatten().dictionary_encode()
+    found = encoded(path).of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
+    known = np.frombuffer(b"".join(found), np.uint16)
+    long = np.fromiter(map(len, found), np.int64, len(found)) // 2
+    at = pieces.indices.to_numpy()
+    n = long[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    ids = known[np.repeat((np.cumsum(long) - long)[at] - ends[:-1], n) + np.arange(ends[-1])]
+    offsets = split.offsets.to_numpy()
+    edges = ends[offsets - offsets[0]].tolist()
+    end = np.array([end_id], np.uint16)
+    return [np.concatenate([ids[a:b], end]) for a, b in zip(edges, edges[1:])]
 
 
 @functools.lru_cache(2)
@@ -151,10 +163,10 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _cut_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for k in range(0, big.num_rows, 512):
-                batch = big.slice(k, 512)
+            for k in range(0, big.num_rows, 1024):
+                batch = big.slice(k, 1024)
                 sizes, addrs, parts, roots = [], [], [], []
-                for ids in encode_texts([t or "" for t in batch.column(1).to_pylist()], path, end_id):
+                for ids in encode_texts(batch.column(1), path, end_id):
                     data, ends = ids.astype("<u2").tobytes(), cuts(ids)
                     own = [data[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]
                     names = [hashlib.sha256(p).digest() for p in own]
