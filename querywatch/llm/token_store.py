@@ -106,9 +106,10 @@ def encoded(path: str) -> Encoded:
     return Encoded()
 
 
-def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[np.ndarray]:
+def encode_texts(texts: pa.Array | list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     """Ids of each text and the end id: every distinct piece is looked up once, Arrow and numpy deal the ids out."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
     pieces = split.flatten().dictionary_encode()
     found = encoded(path).of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
     known = np.frombuffer(b"".join(found), np.uint16)
