@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from querywatch.llm._work import id_buckets, partitions, save, scratch
+from querywatch.llm._work import discard, id_buckets, partitions, save, scratch
 
 SPAN, LEAST, MOST, MASK = 16, 128, 4096, 255  # ids under the rolling hash; of a chunk at least and at most; about MASK ids between cuts
 STEP = 0x9E3779B97F4A7C15 | 1
@@ -201,6 +201,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "te
     table = "chunks_" + at.rpartition("-")[2]
     chunks = cut.select(F.explode(F.arrays_zip("addrs", "parts")).alias("c")).select(F.col("c.addrs").alias("addr"), F.col("c.parts").alias("ids"))
     chunks.groupBy("addr").agg(F.any_value("ids").alias("ids")).write.bucketBy(n, "addr").format("parquet").saveAsTable(table)
+    discard(spark)
     lines = cut.drop("parts").withColumn("row", F.monotonically_increasing_id())
     lines = lines.withColumn("part", id_buckets(cut, "doc_id", n))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,6 +211,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "te
     recipes = starts.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "addrs", "root", "part").sortWithinPartitions("part", "doc_id", "start")
     recipes = save(recipes, f"{at}/recipes")
     save(_manifests(recipes), f"{at}/manifests")
+    discard(spark, f"{at}/cut")
     return {"chunks": table, "recipes": f"{at}/recipes", "manifests": f"{at}/manifests"}
 
 
