@@ -31,7 +31,7 @@ PUNCTUATION = string.punctuation.replace("'", "")
 LATIN_END = "\u0250"
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level vocabularies spell as themselves; the others follow from 256 on
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-CACHE = 250_000  # word pieces in each generation of a worker's cache
+CACHE = 600_000  # word pieces in each generation of a worker's cache
 
 
 @functools.cache
