@@ -227,16 +227,17 @@ def read(spark: SparkSession, store: dict[str, str]) -> DataFrame:
     chunks = spark.table(store["chunks"])
     bad = F.raise_error(F.lit("a chunk does not match its address")).cast("binary")
     chunks = chunks.select("addr", F.when(F.sha2("ids", 256) == F.lower(F.hex("addr")), F.col("ids")).otherwise(bad).alias("part_ids"))
-    asked = recipes.select("doc_id", "start", F.posexplode("addrs").alias("seq", "addr"))
-    parts = asked.join(chunks, "addr").groupBy("doc_id", "start").agg(F.collect_list(F.struct("seq", "addr", "part_ids")).alias("parts"))
-    whole = recipes.select("doc_id", "start", "n_tokens", "root").withColumnsRenamed({"doc_id": "d", "start": "s"})
-    rows = whole.join(parts, (F.col("s") == F.col("start")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("doc_id", "start", "n_tokens", "root", F.array_sort("parts").alias("parts"))
+    asked = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("addrs").alias("seq", "addr"))
+    first = {c: F.when(F.col("seq") == 0, F.col(c)) for c in ("n_tokens", "root")}  # once per document is enough
+    parts = asked.withColumns(first).join(chunks, "addr", "left").groupBy("doc_id", "start")
+    parts = parts.agg(F.max("n_tokens").alias("n_tokens"), F.max("root").alias("root"), F.collect_list(F.struct("seq", "addr", "part_ids")).alias("parts"))
+    rows = parts.select("doc_id", "start", "n_tokens", "root", F.array_sort("parts").alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums, out = [], []
             for n, root, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                ids = np.frombuffer(b"".join(p["part_ids"] for p in parts), "<u2").astype("<u4")
+                ids = np.frombuffer(b"".join(p["part_ids"] or b"" for p in parts), "<u2").astype("<u4")
                 if len(ids) != n or merkle([p["addr"] for p in parts]) != root:
                     raise ValueError("a document does not match its recipe")
                 out.append(ids.tobytes())
