@@ -17,9 +17,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
+def save(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write as Parquet and read again: cuts the lineage, and a lost executor costs one task, not the chain."""
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -197,10 +197,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "te
     """
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     n = partitions(spark)
-    cut = save(_cut_documents(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), tokenizer_path, end_id), f"{at}/cut")
+    cut = save(_cut_documents(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), tokenizer_path, end_id), f"{at}/cut", "zstd")
     table = "chunks_" + at.rpartition("-")[2]
     chunks = cut.select(F.explode(F.arrays_zip("addrs", "parts")).alias("c")).select(F.col("c.addrs").alias("addr"), F.col("c.parts").alias("ids"))
-    chunks.groupBy("addr").agg(F.any_value("ids").alias("ids")).write.bucketBy(n, "addr").format("parquet").saveAsTable(table)
+    chunks.groupBy("addr").agg(F.any_value("ids").alias("ids")).write.bucketBy(n, "addr").format("parquet").option("compression", "zstd").saveAsTable(table)
     discard(spark)
     lines = cut.drop("parts").withColumn("row", F.monotonically_increasing_id())
     lines = lines.withColumn("part", id_buckets(cut, "doc_id", n))
