@@ -32,6 +32,8 @@ GROWTH = 1.8  # of the sizes from band to band; 1.7 to 2 gives the fewest keys
 ROUNDS = 3
 DEEP = 6  # bands below may index deletions; above, whole segments alone are always cheaper
 SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
+BLOCK = 8192  # members of a key that are compared at once
+CROWD = 16  # members of a key from which on pairs are held against sketches before they are kept
 FLUSH = 1 << 19  # keys gathered before they are dealt to buckets
 GROUP = 1 << 19  # bytes of text hashed at once
 U = np.uint64
@@ -336,44 +338,121 @@ def _alike(a: Column, b: Column) -> Column:
 PAIRED = ("key", "band", "cid", "label", "n", "home", "need", "spare")
 
 
+def sketch_bits(k: int) -> int:
+    return min(8192, max(64, 1 << (4 * edge(k + 1) - 1).bit_length()))
+
+
+def parity_sketch(s: np.ndarray, k: int) -> bytes:
+    """For each of the band's bits, whether an odd number of shingles hashes to it.
+
+    A shingle that only one of two sets has flips one bit, so the bits in which their sketches differ are at
+    most their differences; a pair with 7 times as many such bits than shingles in both together cannot link.
+    """
+    m = sketch_bits(k)
+    return np.packbits((np.bincount((mix(s, 9) & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches):
+        out = []
+        for cid, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            s = s.values.to_numpy().view(U)
+            out.extend((cid, k, parity_sketch(s, k)) for k in bands(len(s)))
+        cids, ks, found = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ks, pa.int32()), pa.array(found, pa.binary())], names=["cid", "band", "sketch"])
+
+
+def _tiles(still: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of each key with their block and the pair (lo, hi) of blocks to be compared, in order.
+
+    A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on they carry
+    their sketches.
+    """
+    crowd = still.filter(F.col("members") >= CROWD)
+    drawn = sets.join(crowd.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(_sketches, "cid bigint, band int, sketch binary")
+    rows = crowd.join(drawn, ["cid", "band"], "left").unionByName(still.filter(F.col("members") < CROWD).withColumn("sketch", F.lit(None).cast("binary")))
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    return rows.select("key", "band", "lo", "hi", "block", "cid", "label", "n", "home", "need", "spare", "sketch")
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that share a key, may link and are in different components, with the number of such keys of this task."""
-    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not got:
-        return
-    key, band, cid, label, n, home, need, spare = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((cid, band, key))
-    key, band, cid, label, n, home, need, spare = (x[order] for x in (key, band, cid, label, n, home, need, spare))
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]), [True]]))
-    first, second, size = [], [], 0
+    """Pairs of sets that share a key, may link and are in different components, with the number of such keys of this task.
+
+    Rows come in the order of ``_tiles``; one tile is in memory at a time.
+    """
+    held, size = [], 0
 
     def counted() -> pa.RecordBatch:
-        a, b = np.concatenate(first), np.concatenate(second)
-        order = np.lexsort((cid[b], cid[a]))
-        a, b = a[order], b[order]
-        at = np.flatnonzero(np.concatenate([[True], (cid[a[1:]] != cid[a[:-1]]) | (cid[b[1:]] != cid[b[:-1]])]))
-        shared = np.diff(np.concatenate([at, [len(a)]]))
-        a, b = a[at], b[at]
-        columns = (cid[a], cid[b], n[a], n[b], np.maximum(need[a], need[b]), np.maximum(spare[a], spare[b]), shared)
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["cid1", "cid2", "n1", "n2", "need", "spare", "shared"])
-
-    for lo, hi in zip(new[:-1].tolist(), new[1:].tolist()):
-        for i in range(lo, hi - 1):
-            j = np.arange(i + 1, hi)
-            small = n[j] < n[i]
-            ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(small, home[j], home[i])
-            j = j[ok]
-            if len(j):
-                first.append(np.full(len(j), i))
-                second.append(j)
-                size += len(j)
-            if size > 1 << 20:
-                yield counted()
-                first, second, size = [], [], 0
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        at = np.flatnonzero(np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]))
+        shared = np.diff(np.concatenate([at, [len(order)]]))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[at].astype(np.int64)) for c in columns), pa.array(shared.astype(np.int64))], names=["cid1", "cid2", "n1", "n2", "need", "spare", "shared"])
+
+    for tiles in _whole_tiles(batches):
+        key, band, lo, hi, block, cid, label, n, home, need, spare = (tiles.column(i).to_numpy(zero_copy_only=False) for i in range(11))
+        sketch = tiles.column(11)
+        first, second, found = [], [], 0
+
+        def gathered() -> tuple:
+            a, b = np.concatenate(first), np.concatenate(second)  # noqa: B023
+            a, b = np.where(cid[a] > cid[b], b, a), np.where(cid[a] > cid[b], a, b)  # noqa: B023
+            return cid[a], cid[b], n[a], n[b], np.maximum(need[a], need[b]), np.maximum(spare[a], spare[b])  # noqa: B023
+
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+        for start, end in zip(new[:-1].tolist(), new[1:].tolist()):
+            within = lo[start] == hi[start]
+            left = np.arange(start, end) if within else start + np.flatnonzero(block[start:end] == lo[start])
+            right = left if within else start + np.flatnonzero(block[start:end] == hi[start])
+            bits = None
+            if sketch[start].is_valid:
+                bits = np.frombuffer(b"".join(sketch.slice(start, end - start).to_pylist()), U).reshape(end - start, -1)
+            for at, i in enumerate(left.tolist()):
+                j = right[at + 1 :] if within else right
+                ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(n[j] < n[i], home[j], home[i])
+                j = j[ok]
+                if bits is not None and len(j):
+                    apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
+                    j = j[7 * apart <= n[j] + n[i]]
+                if len(j):
+                    first.append(np.full(len(j), i))
+                    second.append(j)
+                    found += len(j)
+                if found > 1 << 18:
+                    held.append(gathered())
+                    size, first, second, found = size + found, [], [], 0
+                if size > 1 << 19:
+                    yield counted()
+                    held, size = [], 0
+        if found:
+            held.append(gathered())
+            size += found
     if size:
         yield counted()
 
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, cut so that no tile lies in two batches."""
+    kept = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
+        if kept and any(kept[-1].column(i)[kept[-1].num_rows - 1] != batch.column(i)[0] for i in range(4)):
+            yield pa.concat_batches(kept)
+            kept = []
+        if len(change):
+            yield pa.concat_batches([*kept, batch.slice(0, int(change[-1]))])
+            kept, batch = [], batch.slice(int(change[-1]))
+        kept.append(batch)
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked for the distinct pairs."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -435,9 +514,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     # Then all pairs of a key that are still in different components, counted within each task before they are shuffled.
     marked = live.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    still = save(marked.join(open_keys, "key", "left_semi").select(*PAIRED), f"{at}/open")
-    cross = still.repartition(parts, "key", "band").mapInArrow(_pairs, "cid1 bigint, cid2 bigint, n1 bigint, n2 bigint, need bigint, spare bigint, shared bigint")
+    groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "band", "members")
+    still = save(marked.join(groups, ["key", "band"]).select(*PAIRED, "members"), f"{at}/open")
+    tile = ("key", "band", "lo", "hi")
+    tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
+    cross = tiles.mapInArrow(_pairs, "cid1 bigint, cid2 bigint, n1 bigint, n2 bigint, need bigint, spare bigint, shared bigint")
     enough = F.first("need") - F.floor((F.first("n1") + F.first("n2")) / 7) - F.first("spare")
     rest = cross.groupBy("cid1", "cid2").agg(F.sum("shared").alias("shared"), enough.alias("enough")).filter("shared >= enough")
     rest = rest.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_anti")

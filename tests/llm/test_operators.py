@@ -1,5 +1,6 @@
 import hashlib
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -105,6 +106,59 @@ def test_jaccard_join_matches_brute_force(spark, docs, empty):
     assert jaccard_join.classes(docs).count() == docs.count() and jaccard_join.classes(empty).count() == 0
 
 
+def family(n):
+    """Texts that share half of their shingles and do not link, short texts of 4 shingles that share one, and some links."""
+    r = np.random.default_rng(11)
+    fresh = lambda k: [f"u{x}" for x in r.integers(0, 10**9, k)]
+    texts = [" ".join([*(f"c{i}" for i in range(84)), *fresh(81)]) for _ in range(n)]
+    texts += [" ".join([*(f"k{i}" for i in range(5)), *fresh(3)]) for _ in range(n)]
+    return texts + [t + " more" for t in texts[:: n // 4]] + [texts[0] + " more words"]
+
+
+def test_jaccard_join_keeps_no_pairs_of_a_family_that_cannot_link(spark, tmp_path, monkeypatch):
+    whole = jaccard_join._pairs
+
+    def noted(batches):
+        for b in whole(batches):
+            (tmp_path / f"{uuid.uuid4().hex}-{b.num_rows}").touch()
+            yield b
+
+    monkeypatch.setattr(jaccard_join, "_pairs", noted)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2, raising=False)
+    texts = family(40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [(x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(df).orderBy("doc_id").collect()]
+    assert got == components(texts)
+    assert sum(int(f.name.split("-")[1]) for f in tmp_path.iterdir()) <= len(texts)
+
+
+def test_jaccard_join_in_many_small_tiles(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)  # more links are left to the pairs
+    r = np.random.default_rng(6)
+    texts = family(12)
+    for size in (5, 7, 9, 30, 120):
+        base = [f"z{x}" for x in r.integers(0, 10**6, size)]
+        for edits in (0, 1, 1, 2, 3, size // 12, size // 20):
+            w = list(base)
+            for k in r.integers(0, size, edits):
+                w[k] = f"e{r.integers(10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [(x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(df).orderBy("doc_id").collect()]
+    assert got == components(texts)
+
+
+def test_parity_sketch_never_exceeds_the_differences():
+    r = np.random.default_rng(7)
+    for k in (0, 2, 5, 8, 11):
+        n = jaccard_join.edge(k)
+        a = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+        one, two = (np.frombuffer(jaccard_join.parity_sketch(np.sort(x), k), np.uint64) for x in (a[: n + n // 2], a[n // 2 :]))
+        assert np.bitwise_count(one ^ two).sum() <= n // 2 + 2 * n - (n + n // 2)
+
+
 def test_fingerprints(docs, spark):
     rows = fingerprints.fingerprint(docs).collect()
     assert len({tuple(r["sketch"]) for r in rows if r["doc_id"] in (5, 7)}) == 1
