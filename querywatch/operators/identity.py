@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: How far starts of one execution may differ, and how far partners are searched, in ms.
@@ -63,17 +66,56 @@ def merge_observations(df: DataFrame, by: str = "execution_id") -> DataFrame:
     )
 
 
+TWIN = "instance_id string, thread_id bigint, event_id bigint, collapsed bigint"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each piece in start order against the kept rows that started within the search window.
+
+    The better row of a pair takes the kept one's place. Only kept rows inside the window are in memory.
+    """
+    at, kept = None, []
+    for batch in batches:
+        out = []
+        for instance, thread, piece, event, start, duration, digest, unknown, *rank in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (instance, thread, piece) != at:
+                out.extend(x[:4] for x in kept)
+                at, kept = (instance, thread, piece), []
+            out.extend(x[:4] for x in kept if start - x[4] > SEARCH_MS)
+            kept = [x for x in kept if start - x[4] <= SEARCH_MS]
+            view = [instance, thread, event, 0, start, duration, digest, unknown, (*rank, duration)]
+            for i, x in enumerate(kept):
+                if abs(start - x[4]) <= SAME_START_MS and (digest == x[6] or unknown or x[7]) and start < x[4] + x[5] and x[4] < start + duration:
+                    best = x if x[8] >= view[8] else view
+                    best[3] = x[3] + 1
+                    kept[i] = best
+                    break
+            else:
+                kept.append(view)
+        yield _twins(out)
+    yield _twins([x[:4] for x in kept])
+
+
+def _twins(out: list) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["instance_id", "thread_id", "event_id", "collapsed"])
+
+
 def collapse_twins(df: DataFrame) -> DataFrame:
-    """Groups of records of one thread whose starts lie within the window of each other's neighbour; one row per group.
+    """Greedy scan of each thread in start order: a record that is one execution with a kept one within the search
+    window is merged into it, whatever lies between; of the two, the record that closed, was measured and ran
+    longest stays, the earlier one of equals. One row per kept record.
 
-    No pair can match across a gap wider than the search window, so cutting there is exact; the record that
-    closed, was measured and ran longest stays.
+    No pair can match across a gap wider than the search window, so cutting there is exact. Pieces are sorted by
+    Spark and streamed, so a long one costs time in its task, but no memory beyond its window.
     """
     w = Window.partitionBy("instance_id", "thread_id").orderBy("started_at_ms", "event_id")
-    prev = F.lag(F.struct("started_at_ms", "app_digest", "duration_ms")).over(w)
-    df = df.withColumn("p", prev)
-    same = (F.col("app_digest") == F.col("p.app_digest")) | placeholder(F.col("app_digest")) | placeholder(F.col("p.app_digest"))
-    joined = (F.col("started_at_ms") - F.col("p.started_at_ms") <= SAME_START_MS) & same & (F.col("started_at_ms") <= F.col("p.started_at_ms") + F.col("p.duration_ms"))
-    df = df.withColumn("g", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(w))
-    rank = F.struct(state_rank(F.col("state")), (F.col("capture_source") == "slowlog").cast("int"), F.col("duration_ms"), -F.col("event_id"))
-    return df.groupBy("instance_id", "thread_id", "g").agg(F.max_by("event_id", rank).alias("event_id"), (F.count(F.lit(1)) - 1).alias("collapsed")).drop("g")
+    gap = F.col("started_at_ms") - F.lag("started_at_ms").over(w) > SEARCH_MS
+    df = df.withColumn("piece", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
+    unknown = placeholder(F.col("app_digest"))
+    rows = df.repartition("instance_id", "thread_id", "piece").sortWithinPartitions("instance_id", "thread_id", "piece", "started_at_ms", "event_id")
+    rows = rows.select(
+        F.col("instance_id").cast("string"), F.col("thread_id").cast("bigint"), "piece", F.col("event_id").cast("bigint"), F.col("started_at_ms").cast("bigint"),
+        F.coalesce(F.col("duration_ms").cast("bigint"), F.lit(0)), "app_digest", unknown, F.coalesce(state_rank(F.col("state")), F.lit(0)), F.coalesce(F.col("capture_source").isin("merged", "slowlog").cast("int"), F.lit(0)),
+    )
+    return rows.mapInArrow(_fold, TWIN)

@@ -125,3 +125,49 @@ def test_plan_graph_links_a_node_to_its_nearest_ancestor(spark):
 def test_stored_sql_degrades_to_none(spark):
     df = spark.createDataFrame([("masked", "c", False), ("masked", "c", True), ("off", "c", True), ("full", "c", False)], "literal_policy string, canonical string, mask_ok boolean").withColumn("sql_text", F.lit("t"))
     assert [(r.stored_sql, r.masking_degraded) for r in capture.stored_sql(df).collect()] == [(None, True), ("c", False), (None, False), ("t", False)]
+
+
+def folded(data):
+    """Plain model: greedy scan of each thread against all kept rows within 2000 ms."""
+    rank = lambda r: ({"finalized": 2, "abandoned": 1}.get(r[6], 0), r[7] in ("slowlog", "merged"), r[4])
+    unknown = lambda d: d is None or d.startswith("unknown-")
+    out = []
+    for key in {r[1:3] for r in data}:
+        kept = []
+        for r in sorted((r for r in data if r[1:3] == key), key=lambda r: (r[3], r[0])):
+            for k in kept:
+                x = k[0]
+                near = r[3] - x[3] <= 2000 and abs(r[3] - x[3]) <= 1000
+                if near and (r[5] == x[5] or unknown(r[5]) or unknown(x[5])) and r[3] < x[3] + x[4] and x[3] < r[3] + r[4]:
+                    k[0] = x if rank(x) >= rank(r) else r
+                    k[1] += 1
+                    break
+            else:
+                kept.append([r, 0])
+        out += [(x[1], x[2], x[0], n) for x, n in kept]
+    return sorted(out)
+
+
+TWINS = "event_id bigint, instance_id string, thread_id bigint, started_at_ms bigint, duration_ms bigint, app_digest string, state string, capture_source string"
+
+
+def collapsed(spark, data):
+    return sorted(tuple(r) for r in identity.collapse_twins(spark.createDataFrame(data, TWINS)).select("instance_id", "thread_id", "event_id", "collapsed").collect())
+
+
+def test_twins_meet_across_a_record_between_and_chains_do_not_grow(spark):
+    between = [(1, "i", 1, 0, 5000, "d", "finalized", "slowlog"), (2, "i", 1, 200, 50, "other", "finalized", "slowlog"), (3, "i", 1, 400, 5000, "d", "in_flight", "processlist")]
+    chain = [(n, "i", 2, 800 * n, 5000, "d", "finalized", "slowlog") for n in (4, 5, 6)]
+    assert collapsed(spark, between + chain) == [("i", 1, 1, 1), ("i", 1, 2, 0), ("i", 2, 4, 1), ("i", 2, 6, 0)]
+
+
+def test_twins_equal_the_plain_model(spark):
+    import random
+
+    r = random.Random(4)
+    data = []
+    for n in range(3000):  # one thread is dense: its only piece spans many batches' windows
+        thread = r.choice((1, 1, 2, 3, 4))
+        at = r.randrange(0, 40_000 if thread == 1 else 900_000)
+        data.append((n, r.choice("ij"), thread, at, r.choice((0, 40, 700, 3000)), r.choice(("a", "b", "c", "unknown-7", None)), r.choice(("finalized", "abandoned", "in_flight")), r.choice(("slowlog", "processlist", "merged"))))
+    assert collapsed(spark, data) == folded(data)
