@@ -47,11 +47,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from querywatch.llm import byte_bpe
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), path)
+    rows = byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    ids = ids.withColumns({"n_tokens": F.size("ids").cast("bigint"), "ids_sha256": digest})
-    return byte_bpe.decode(ids, path, keep=("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 OP7_SQL = r"""

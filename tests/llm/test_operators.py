@@ -4,6 +4,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("querywatch.llm")
@@ -58,7 +59,28 @@ def test_byte_bpe_matches_the_library(docs, empty):
         assert r["ids"] == own.encode_ordinary(r["text"] or "")
         assert r["slice_starts"] == sorted(set(r["slice_starts"])) and (not r["text"] or r["slice_starts"][0] == 0)
     assert all(r["decoded"] == (r["text"] or "").encode() for r in byte_bpe.decode(ids, path, keep=("text",)).collect())
-    assert byte_bpe.encode(empty, path).count() == 0
+    assert byte_bpe.encode(empty, path).count() == byte_bpe.round_trip(empty, path).count() == 0
+    both = byte_bpe.round_trip(docs, path, keep=("text", "n_tokens", "ids"))  # the kept ids give way to the result
+    assert both.columns == ["text", "n_tokens", "ids", "decoded"]
+    assert all(r["ids"] == own.encode_ordinary(r["text"] or "") and r["decoded"] == (r["text"] or "").encode() for r in both.collect())
+
+
+@pytest.mark.parametrize("group", [1, 7, 1 << 20])
+def test_byte_bpe_on_odd_texts(group, monkeypatch):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    monkeypatch.setattr(byte_bpe, "GROUP", group)
+    r = np.random.default_rng(3)
+    chars = list("ab ct's're  \n\t.,!12é ß漢字\U0001f600\0'll")
+    texts = ["", "a", "\0", "\0\0 a\0", "a" * 700, " " * 300, "é" * 90, "abcdefgh" * 7] + ["".join(r.choice(chars, n)) for n in r.integers(0, 60, 500)]
+    cache, got = byte_bpe.merged(path), []
+    for part in byte_bpe.groups_of(pa.array(texts)):
+        e = byte_bpe.encode_texts(part, cache)
+        assert byte_bpe.decode_group(e, cache.vocabulary).to_pylist() == [t.encode() for t in part.to_pylist()]
+        got += byte_bpe.as_lists(e.ids_of_text(), e.ids).to_pylist()
+    assert got == [own.encode_ordinary(t) for t in texts]
 
 
 def test_token_store_round_trip(docs, empty, spark):
