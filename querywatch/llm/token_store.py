@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,120 +30,175 @@ from querywatch.llm._work import discard, id_buckets, partitions, save, scratch
 SPAN, LEAST, MOST, MASK = 16, 128, 4096, 255  # ids under the rolling hash; of a chunk at least and at most; about MASK ids between cuts
 STEP = 0x9E3779B97F4A7C15 | 1
 PUNCTUATION = string.punctuation.replace("'", "")
-LATIN_END = "\u0250"
+LATIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"  # letters whose lower case is one letter of the kind
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that byte-level vocabularies spell as themselves; the others follow from 256 on
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-CACHE = 600_000  # word pieces in each generation of a worker's cache
+PAGE = 4096  # documents under one block of a manifest
+CACHE = 600_000  # units in each generation of a worker's cache
 
 
 @functools.cache
 def tokenizer(path: str):
+    """The library's own, as the file says: special strings of the vocabulary inside a text are single ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # special strings inside a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
-class Encoded:
-    """Ids of blank-separated pieces, as 16-bit bytes. Pre-tokens never span white space, so pieces encode on their own.
+#: What a file must say for its texts to be encoded word by word: (normalizers, pre-tokenizers).
+WORD_WISE = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+
+
+@functools.cache
+def word_wise(path: str) -> tuple[str, ...] | None:
+    """The special strings of a tokenizer that lower-cases, drops white space and parts letters from punctuation; None of any other."""
+    t = json.loads(tokenizer(path).to_str())
+    found = tuple((t[k] or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    added = t["added_tokens"]
+    if found != WORD_WISE or t["post_processor"] or any(x["normalized"] or not x["special"] for x in added):
+        return None
+    return tuple(x["content"] for x in added)
+
+
+def word_ids(model, word: str) -> bytes:
+    """Ids of a lower-case word of Latin letters from the tokenizer's model alone: it is one pre-token."""
+    return array("H", [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
 
-    Two generations of CACHE pieces: what was used since the last turn stays.
-    """
+
+def whole_ids(texts: list[str], path: str) -> list[bytes]:
+    return [array("H", e.ids).tobytes() for k in range(0, len(texts), 10_000) for e in tokenizer(path).encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+
+
+class Cache:
+    """Ids, as 16-bit bytes, of words and of what else stands between blanks. Two generations of CACHE units: what was used since the last turn stays."""
 
     def __init__(self) -> None:
         self.young: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def of(self, pieces: list[str], path: str) -> list[bytes]:
-        """Ids of each of the distinct pieces."""
+    def of(self, units: list[str], is_word: np.ndarray, path: str) -> list[bytes]:
+        """Ids of each of the distinct units."""
         if len(self.young) > CACHE:
             self.older, self.young = self.young, {}
-        young = self.young
-        new = set(pieces).difference(young)
-        kept = self.older.keys() & new
-        young.update((p, self.older[p]) for p in kept)
-        new -= kept
-        words, rest = {}, set()
-        latin = words_alone(path)
-        for p in new:
-            head = p.rstrip(PUNCTUATION)
-            if latin and head.isalpha() and (head.isascii() or max(head) < LATIN_END and "\u0130" not in head):
-                tail = p[len(head) :]
-                words[p] = head.lower(), tail
-                rest.add(tail)
-            else:
-                rest.add(p)
-        whole = [p for p in rest if p not in young]
-        for k in range(0, len(whole), 10_000):
-            some = whole[k : k + 10_000]
-            young.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True))
+        young, older, words, rest = self.young, self.older, [], []
+        for u, word in zip(units, is_word.tolist()):
+            if u not in young:
+                if (ids := older.get(u)) is not None:
+                    young[u] = ids
+                else:
+                    (words if word else rest).append(u)
         model = tokenizer(path).model
-        for p, (word, tail) in words.items():
-            ids = young.get(word) or array("H", word_ids(model, word)).tobytes()
-            young[p] = ids + young[tail] if tail else ids
-        return [young[p] for p in pieces]
-
-
-def word_ids(model, word: str) -> list[int]:
-    """Ids of a lower-case word of Latin letters from the tokenizer's model alone: it is one pre-token."""
-    return [t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))]
+        young.update((w, word_ids(model, w)) for w in words)
+        young.update(zip(rest, whole_ids(rest, path), strict=True))
+        return [young[u] for u in units]
 
 
 @functools.cache
-def words_alone(path: str) -> bool:
-    """Whether the tokenizer lower-cases, parts words from punctuation and spells bytes as word_ids does; else all pieces go through it whole."""
-    t = tokenizer(path)
-    for word in ("the", "Straße", "ÉCOLE", "Ångström"):
-        want = [*word_ids(t.model, word.lower()), *t.encode(",;", add_special_tokens=False).ids]
-        if t.encode(word + ",;", add_special_tokens=False).ids != want:
-            return False
-    return True
-
-
-@functools.cache
-def encoded(path: str) -> Encoded:
+def cache(path: str) -> Cache:
     """One cache per Python worker: it outlives the tasks that the worker runs."""
-    return Encoded()
+    return Cache()
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] numbers, then those from start[1] on, and so on."""
+    upto = np.cumsum(n)
+    return np.repeat(start - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+
+
+def ids_of_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of distinct blank-free pieces, and how many each has. A Latin word and the punctuation behind it are units of their own."""
+    head = pc.utf8_rtrim(pieces, PUNCTUATION)
+    letters = pc.utf8_is_alpha(head)
+    plain = pc.and_(letters, pc.string_is_ascii(head)).to_numpy(zero_copy_only=False).copy()
+    doubt = np.flatnonzero(letters.to_numpy(zero_copy_only=False) & ~plain)
+    plain[doubt] = pc.match_substring_regex(head.take(pa.array(doubt)), LATIN).to_numpy(zero_copy_only=False)
+    words = pc.utf8_lower(head.filter(pa.array(plain)))
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    from_ = offsets[:-1] + pc.binary_length(head).to_numpy()
+    tailed = np.flatnonzero(plain & (from_ < offsets[1:]))
+    n = (offsets[1:] - from_)[tailed].astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ranges(from_[tailed].astype(np.int64), n)]
+    tails = pa.Array.from_buffers(pa.string(), len(tailed), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.py_buffer(data)])
+    units = pa.concat_arrays([words, tails, pieces.filter(pa.array(~plain))]).dictionary_encode()
+    number = units.indices.to_numpy()
+    is_word = np.zeros(len(units.dictionary), bool)
+    is_word[number[: len(words)]] = True
+    found = cache(path).of(units.dictionary.to_pylist(), is_word, path)
+    known, long = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2
+    start = np.cumsum(long) - long
+    unit, many = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)  # of each piece, the second is its tail
+    unit[np.flatnonzero(plain), 0], unit[tailed, 1], unit[np.flatnonzero(~plain), 0] = np.split(number, [len(words), len(words) + len(tailed)])
+    if len(pieces):
+        many[:, 0] = long[unit[:, 0]]
+        many[tailed, 1] = long[unit[tailed, 1]]
+    return known[ranges(start[unit].ravel() if len(pieces) else unit.ravel(), many.ravel())], many.sum(1)
 
 
 def encode_texts(texts: pa.Array | list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text and the end id: every distinct piece is looked up once, Arrow and numpy deal the ids out."""
-    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-    split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    """Ids of each text and the end id, as the library's ``encode`` gives them.
+
+    Word by word where the tokenizer allows it: every distinct piece is looked up once, Arrow and numpy deal the
+    ids out. Texts with a special string, and all texts of other tokenizers, go through the library whole.
+    """
+    column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    special = word_wise(path)
+    whole = np.full(len(column), special is None)
+    for x in special or ():
+        whole |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(whole).tolist()
+    if at:
+        odd = whole_ids(column.take(pa.array(at)).to_pylist(), path)
+        column = pc.if_else(pa.array(whole), "", column)
+    split = pc.ascii_split_whitespace(column)
     pieces = split.flatten().dictionary_encode()
-    found = encoded(path).of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
-    known = np.frombuffer(b"".join(found), np.uint16)
-    long = np.fromiter(map(len, found), np.int64, len(found)) // 2
-    at = pieces.indices.to_numpy()
-    n = long[at]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = known[np.repeat((np.cumsum(long) - long)[at] - ends[:-1], n) + np.arange(ends[-1])]
+    known, long = ids_of_pieces(pieces.dictionary, path)
+    number = pieces.indices.to_numpy()
+    n = long[number]
+    ids = known[ranges((np.cumsum(long) - long)[number], n)]
     offsets = split.offsets.to_numpy()
-    edges = ends[offsets - offsets[0]].tolist()
+    edges = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]].tolist()
     end = np.array([end_id], np.uint16)
-    return [np.concatenate([ids[a:b], end]) for a, b in zip(edges, edges[1:])]
+    out = [np.concatenate([ids[a:b], end]) for a, b in pairwise(edges)]
+    for k, i in enumerate(at):
+        out[i] = np.concatenate([np.frombuffer(odd[k], np.uint16), end])
+    return out
 
 
-@functools.lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 17)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, STEP, np.uint64), np.full(n, pow(STEP, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of STEP and of its inverse; only the usual number is kept in memory."""
+    up, down = _usual_powers() if n <= 1 << 17 else _powers(n)
+    return up[:n], down[:n]
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks: a function of the ids near each cut and of the cut before."""
     n = len(ids)
     if n <= LEAST:
         return [n]
-    up, down = powers(1 << int(n - 1).bit_length())
+    up, down = powers(n)
     v = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     v ^= v >> np.uint64(32)
-    total = np.cumsum(v * down[:n], dtype=np.uint64)
+    total = np.cumsum(v * down, dtype=np.uint64)
     total[SPAN:] -= total[:-SPAN].copy()
-    hits = np.flatnonzero((total * up[:n]) >> np.uint64(40) & np.uint64(MASK) == 0) + 1
+    hits = np.flatnonzero((total * up) >> np.uint64(40) & np.uint64(MASK) == 0) + 1
     out, at = [], 0
     for h in hits.tolist():
         while h - at > MOST:
@@ -184,9 +241,11 @@ def _cut_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def _manifests(recipes: DataFrame) -> DataFrame:
-    """One root per range of ids: SHA-256 over its documents' roots in order of (doc_id, start)."""
+    """A root per range of ids: SHA-256 over the roots of its blocks, each over at most PAGE documents' roots in order of (doc_id, start)."""
     roots = F.array_sort(F.collect_list(F.struct("doc_id", "start", F.hex("root").alias("root"))))
-    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sha2(F.array_join(roots["root"], ""), 256).alias("range_root"))
+    blocks = recipes.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(roots["root"], ""), 256).alias("root"))
+    roots = F.array_sort(F.collect_list(F.struct("block", "root")))
+    return blocks.groupBy("part").agg(F.sum("n").alias("documents"), F.sha2(F.array_join(roots["root"], ""), 256).alias("range_root"))
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> dict[str, str]:
@@ -207,8 +266,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "te
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "row").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     bases = lines.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    starts = lines.withColumn("start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(bases, "part")
-    recipes = starts.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "addrs", "root", "part").sortWithinPartitions("part", "doc_id", "start")
+    place = F.count(F.lit(1)).over(inside)
+    starts = lines.withColumns({"start": F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)), "block": F.floor(place / PAGE)}).join(bases, "part")
+    recipes = starts.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "addrs", "root", "part", "block").sortWithinPartitions("part", "doc_id", "start")
     recipes = save(recipes, f"{at}/recipes")
     save(_manifests(recipes), f"{at}/manifests")
     discard(spark, f"{at}/cut")

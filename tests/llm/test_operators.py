@@ -10,20 +10,21 @@ import pytest
 pytest.importorskip("querywatch.llm")
 import public_tokenizers  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 from querywatch.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, langid, mixing, quality, secret_scan, token_store, toxicity  # noqa: E402
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards brew potions near old mills".split()
 LONG = " ".join(f"{w}{i}" for i in range(700) for w in WORDS)
 BASE = " ".join(f"w{i}" for i in range(60))
-TEXTS = [None, "", "one", "a  b", "a\tb", BASE, BASE + " x", BASE, LONG, LONG + " tail", "secret: token: abcdef  token = \"abcdef12\"", "key AKIA" + "A1B2" * 4 + " " + "0a1b" * 8, "'s it's  we'll \n é漢\U0001f600"]
+TEXTS = [None, "a <|endoftext|> b", "", "one", "a  b", "a\tb", BASE, BASE + " x", BASE, LONG, LONG + " tail", "secret: token: abcdef  token = \"abcdef12\"", "key AKIA" + "A1B2" * 4 + " " + "0a1b" * 8, "'s it's  we'll \n é漢\U0001f600"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_tokens int, ids string, extra int"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"s{i % 3}", 1, "x", 2) for i, t in enumerate(TEXTS)]
-    return spark.createDataFrame([*rows, (None, "null id", "en", "s", 1, "x", 2), rows[5]], SCHEMA)
+    return spark.createDataFrame([*rows, (None, "null id", "en", "s", 1, "x", 2), rows[6]], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +35,7 @@ def empty(spark):
 def test_exact_dedup(docs, empty):
     got = exact_dedup.mark(docs).collect()
     groups = {}
-    for i, t in [*enumerate(TEXTS), (None, "null id"), (5, TEXTS[5])]:
+    for i, t in [*enumerate(TEXTS), (None, "null id"), (6, TEXTS[6])]:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), []).append(i)
     assert len(got) == len(TEXTS) + 2
     for r in got:
@@ -89,7 +90,7 @@ def test_token_store_round_trip(docs, empty, spark):
     got = token_store.read(spark, token_store.write(plain, path)).orderBy("doc_id").collect()
     start = 0
     for r, t in zip(got, TEXTS, strict=True):
-        ids = np.array([*token_store.tokenizer(path).encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        ids = np.array([*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (start, len(ids) // 4, zlib.crc32(ids), ids)
         start += r["n_tokens"]
     assert token_store.read(spark, token_store.write(docs, path)).count() == docs.count()
@@ -183,7 +184,7 @@ def test_parity_sketch_never_exceeds_the_differences():
 
 def test_fingerprints(docs, spark):
     rows = fingerprints.fingerprint(docs).collect()
-    assert len({tuple(r["sketch"]) for r in rows if r["doc_id"] in (5, 7)}) == 1
+    assert len({tuple(r["sketch"]) for r in rows if r["doc_id"] in (6, 8)}) == 1
     pair = spark.createDataFrame([(BASE, BASE + " x"), (LONG, LONG), ("", None), (LONG, BASE)], "a string, b string")
     s = pair.select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b"))
     got = s.select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.distinct_count(F.col("a")).alias("n")).collect()
@@ -195,8 +196,8 @@ def test_secret_scan(docs, empty):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
     kinds = lambda i: [(secret_scan.KINDS[s["rank"]], s["start"], s["end"]) for s in got[i]["base"]]
     want = re.compile(secret_scan.ASSIGN)  # in "secret: token" the value is too short, and the match is consumed
-    assert kinds(10) == [("assign", m.start(), m.end()) for m in want.finditer(TEXTS[10]) if len(m[2]) >= 6] and len(kinds(10)) == 1
-    assert [k for k, *_ in kinds(11)] == ["access", "hex"] and kinds(0) == []
+    assert kinds(11) == [("assign", m.start(), m.end()) for m in want.finditer(TEXTS[11]) if len(m[2]) >= 6] and len(kinds(11)) == 1
+    assert [k for k, *_ in kinds(12)] == ["access", "hex"] and kinds(0) == []
     assert secret_scan.scan(empty).count() == 0
 
 
@@ -250,6 +251,7 @@ def test_token_store_words_equal_the_library():
     from querywatch.llm import token_store as ts
 
     path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
     chars = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
-    for text in [f"{c} {c}, a{c} {c}A. AB{c}!? {c * 3}_" for c in chars] + ["İ, J̌!x ΑΣ, don't I'M.", "<|endoftext|>, A</w>,b", ""]:
-        assert ts.encode_texts([text], path, 2)[0].tolist() == [*ts.tokenizer(path).encode(text, add_special_tokens=False).ids, 2]
+    for text in [f"{c} {c}, a{c} {c}A. AB{c}!? {c * 3}_" for c in chars] + ["İ, J̌!x ΑΣ, don't I'M.", "<|endoftext|>, A</w>,b", "", "a <|startoftext|> b<|endoftext|>", "<|ENDOFTEXT|> x", "x y …, a", "é, ≮ a̸b", "\x1ca\x85b"]:
+        assert ts.encode_texts([text], path, 2)[0].tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
