@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings (four and five letters) that a bounded sample of labelled rows ties to
-either label (chi-squared at one degree of freedom); their document frequencies are counted over all
-documents. The sample's vectors form an inverted index whose blocks of examples keep the largest weight of
-each term. A query visits blocks by falling upper bound and stops when the next bound cannot beat its k-th
-score, so its neighbours are exact. Votes weighted by similarity, with a prior from the examples that share
-no term, give a score and its evidence.
+Terms are words and word beginnings. Every term of a bounded sample of labelled rows is indexed; document
+frequencies are counted over all documents, and a term's weight grows with how surely it goes with one label
+(the lower confidence bound of its log odds), down to a floor that all terms keep. The sample's unit vectors
+form an inverted index: posting lists cut at blocks of examples, each piece with its largest weight; terms that
+very many examples have are kept as whole columns instead. Both together bound what any example of a block can
+score; a query scores its best blocks first and then just the blocks whose bound beats the k-th score found, so
+its neighbours are exact. Votes weighted by squared similarity are
+calibrated on labels of the sample, each voted on by an index that was built without it.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,162 +19,257 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from querywatch.llm._work import sliced
+from querywatch.llm._work import partitions, sliced
 
-SAMPLE = 8000  # labelled rows at most
-TERMS = 4096  # terms at most
-CHI = 20.0  # least association of a term
+SAMPLE = 2000  # labelled rows at most
+LONGEST = 1 << 16  # bytes of a text that may be an example; such texts are scored like all others
+HEADS = (3, 5)  # letters of word beginnings
+SURE = 2.0  # standard errors taken off a term's log odds
+FLOOR = 0.02  # weight of a term that goes with neither label
 NEAREST = 16
 BLOCK = 64
-SMOOTH = 0.25
+COMMON = 16  # a term that one in so many examples has is a column
+FIRST = 2  # blocks scored before the others are bounded by what they gave
+FOLDS = 4
+ODDS = 3.0  # a toxic example counts so many times in the calibration: missing one is worse than a false alarm
+CHUNK = 8192  # terms counted together
+SEEN = 100_000  # words whose terms a worker remembers
 CUT = 0.7
-WORD = re.compile(r"[^\W\d_]+")
+QUERIES = 64  # queries that meet the columns together
+LETTERS = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters a to z and of characters beyond ASCII, in lower case."""
+    return text.lower().encode().translate(LETTERS).decode().split()
 
 
 def terms_of(text: str) -> Counter:
-    """Words with their counts, and beginnings of longer words as ``^abcd``."""
-    words = Counter(WORD.findall(text.lower()))
+    """Words with their counts, and beginnings of longer words as ``^abc``."""
+    words = Counter(words_of(text))
     out = Counter(words)
     for w, n in words.items():
-        if len(w) > 5:
-            out["^" + w[:4]] += n
-            out["^" + w[:5]] += n
+        for k in HEADS:
+            if len(w) > k:
+                out["^" + w[:k]] += n
     return out
 
 
-def known_terms(text: str, vocabulary: set[str]) -> dict[str, int]:
-    """terms_of(text) within the vocabulary."""
-    words = WORD.findall(text.lower())
-    out: dict[str, int] = {}
-    for w in words:
-        if w in vocabulary:
-            out[w] = out.get(w, 0) + 1
-        if len(w) > 5:
-            for p in ("^" + w[:4], "^" + w[:5]):
-                if p in vocabulary:
-                    out[p] = out.get(p, 0) + 1
-    return out
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] numbers, then those from start[1] on, and so on."""
+    upto = np.cumsum(n)
+    return np.repeat(start - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class Vocabulary:
+    """Numbers of the terms, words and beginnings apart."""
+
+    def __init__(self, terms: list[str]):
+        self.words = {t: i for i, t in enumerate(terms) if not t.startswith("^")}
+        self.heads = {t[1:]: i for i, t in enumerate(terms) if t.startswith("^")}
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def numbers(self, word: str) -> tuple[int, ...]:
+        found = self.words.get(word), *(self.heads.get(word[:k]) for k in HEADS if len(word) > k)
+        return tuple(i for i in found if i is not None)
+
+    def counts(self, text: str) -> dict[int, int]:
+        """terms_of(text) within the vocabulary, by number."""
+        out: dict[int, int] = {}
+        seen = self.seen
+        if len(seen) > SEEN:
+            seen.clear()
+        for w, n in Counter(words_of(text)).items():
+            if (found := seen.get(w)) is None:
+                found = seen[w] = self.numbers(w)
+            for i in found:
+                out[i] = out.get(i, 0) + n
+        return out
 
 
 class Index:
-    """Sparse unit vectors of the examples, block by block with each block's largest weight per term."""
+    """Unit vectors of the examples as posting lists in pieces: one for each term and block that has it."""
 
-    def __init__(self, terms: list[str], df: dict[str, int], documents: int, examples: list[tuple[int, int, dict[str, int]]]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.idf = np.array([np.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in terms])
-        with_terms = [e for e in examples if e[2]]
+    def __init__(self, df: np.ndarray, documents: int, examples: list[tuple[int, int, dict[int, int]]]):
+        # alike examples share blocks: by label, then by their most frequent term
+        self.examples = sorted((e for e in examples if e[2]), key=lambda e: (e[1], max(e[2].items(), key=lambda x: (x[1], -x[0]))[0], e[0]))
         without = [e[1] for e in examples if not e[2]]
-        self.ids, self.labels = [e[0] for e in with_terms], np.array([e[1] for e in with_terms], float)
         self.prior = (sum(without) + 0.5) / (len(without) + 5)
-        blocks = -(-len(with_terms) // BLOCK)
-        self.weights = np.zeros((blocks * BLOCK, len(terms)), np.float32) if len(terms) else np.zeros((0, 0), np.float32)
-        for i, e in enumerate(with_terms):
-            at, w = self.vector(e[2])
-            self.weights[i, at] = w
-        # posting lists by block: a term's examples within a block are adjacent
-        self.weights = np.ascontiguousarray(self.weights.reshape(blocks, BLOCK, len(terms)).transpose(0, 2, 1)) if blocks else self.weights.reshape(0, len(terms), BLOCK)
-        self.highest = self.weights.max(2).T if blocks else np.zeros((len(terms), 0), np.float32)
-
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([self.number[t] for t in counts], np.int64)
-        w = np.array([1 + np.log(n) for n in counts.values()]) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict[str, int], k: int = NEAREST) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest with any similarity; equals go to the lower number."""
-        at, w = self.vector(counts)
-        bounds = w @ self.highest[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            s = w @ self.weights[b][at]
-            for i in np.argsort(-s, kind="stable")[:k].tolist():
-                if s[i] > 0:
-                    best.append((float(s[i]), b * BLOCK + i))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(counts) if counts and len(self.labels) else []
-        if not near:
-            return self.prior, []
+        self.ids, self.labels = [e[0] for e in self.examples], np.array([e[1] for e in self.examples], float)
+        toxic, clean = np.zeros(len(df)), np.zeros(len(df))
+        for _, y, counts in examples:
+            (toxic if y else clean)[list(counts)] += 1
+        p = sum(y for _, y, _ in examples)
+        odds = np.log((toxic + 0.5) / (p + 1)) - np.log((clean + 0.5) / (len(examples) - p + 1))
+        sure = np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+        self.weight = (np.log((1 + documents) / (1 + df)) + 1) * (FLOOR + sure)
+        vectors = [self.vector(e[2]) for e in self.examples]
+        row = np.repeat(np.arange(len(vectors)), [len(a) for a, _ in vectors])
+        term, w = (np.concatenate(x) if vectors else np.zeros(0, int) for x in ([a for a, _ in vectors], [w for _, w in vectors]))
+        common = np.flatnonzero(np.bincount(term, minlength=len(df)) * COMMON >= max(1, len(vectors)))
+        self.column = np.full(len(df), -1)
+        self.column[common] = np.arange(len(common))
+        self.blocks = -(-len(vectors) // BLOCK)
+        self.columns = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        whole = self.column[term] >= 0
+        self.columns[self.column[term[whole]], row[whole]] = w[whole]
+        order = np.lexsort((row[~whole], term[~whole]))
+        self.row, term, self.posting = (x[~whole][order] for x in (row, term, w))
+        piece = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(self.row // BLOCK, prepend=-1))
+        self.start, self.size = piece, np.diff(np.append(piece, len(term)))
+        self.block, self.highest = self.row[piece] // BLOCK, np.maximum.reduceat(self.posting, piece) if len(piece) else self.posting
+        ends = np.searchsorted(term[piece], np.arange(len(df) + 1))
+        self.pieces, self.n_pieces = ends[:-1], np.diff(ends)
+        self.a, self.b = 1.0, 0.0  # calibration; without one the share of votes is the score
+        self.calibrated = False
+
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[at]
+        return at, w / max(np.sqrt((w * w).sum()), 1e-300)
+
+    def nearest(self, queries: list[dict[int, int]], k: int = NEAREST) -> list[list[tuple[float, int]]]:
+        """Of each query: (similarity, example) of the k nearest with any similarity; equals go to the lower number."""
+        out = []
+        for start in range(0, len(queries), QUERIES):
+            vectors = [self.vector(q) for q in queries[start : start + QUERIES]]
+            dense = np.zeros((QUERIES, len(self.columns)), np.float32)
+            for row, (at, w) in zip(dense, vectors):
+                column = self.column[at]
+                row[column[column >= 0]] = w[column >= 0]
+            out += [self._nearest(at, w, s.astype(float), k) if len(at) else [] for (at, w), s in zip(vectors, dense @ self.columns)]
+        return out
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """``scores``: what the columns give."""
+        column = self.column[at]
+        at, w = at[column < 0], w[column < 0]
+        pieces, w = ranges(self.pieces[at], n := self.n_pieces[at]), np.repeat(w, n)
+        block = self.block[pieces]
+        bounds = np.bincount(block, w * self.highest[pieces], minlength=self.blocks) + scores.reshape(self.blocks, BLOCK).max(1)
+        open_ = np.zeros(self.blocks, bool)
+        open_[np.argsort(-bounds, kind="stable")[:FIRST]] = True
+        scores += self.scored(pieces, w, open_[block])
+        kth = lambda s: np.partition(s, -k)[-k] if len(s) > k else 0.0
+        more = (bounds > kth(np.where(np.repeat(open_, BLOCK), scores, 0.0)) - 1e-5) & ~open_  # columns have single precision
+        scores += self.scored(pieces, w, more[block])
+        scores[~np.repeat(open_ | more, BLOCK)] = 0.0
+        near = np.flatnonzero(scores >= max(kth(scores), 1e-300))
+        return [(float(scores[i]), int(i)) for i in near[np.lexsort((near, -scores[near]))][:k]]
+
+    def scored(self, pieces: np.ndarray, w: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """What the used pieces add to the score of every example."""
+        pieces = pieces[use]
+        n = self.size[pieces]
+        at = ranges(self.start[pieces], n)
+        return np.bincount(self.row[at], self.posting[at] * np.repeat(w[use], n), minlength=self.blocks * BLOCK)
+
+    def votes(self, near: list[tuple[float, int]]) -> float:
         w = np.array([s * s for s, _ in near])
-        return float(((w * self.labels[[i for _, i in near]]).sum() + SMOOTH * self.prior) / (w.sum() + SMOOTH)), near
-
-
-def _partial(batches: Iterator[pa.RecordBatch], vocabulary: set[str] | None) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, documents) of this task, flushed when large; the counts without a vocabulary need labels."""
-    found: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        keys = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.int64())], names=["term", "toxic", "n"])
-
-    for batch in sliced(batches):
-        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            terms = terms_of(t or "") if vocabulary is None else known_terms(t or "", vocabulary)
-            found.update((x, y) for x in terms)
-            found["", y] += 1
-            if len(found) > 50_000:
-                yield flush()
-                found.clear()
-    if found:
-        yield flush()
-
-
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Index:
-    """``labels``: doc_id and toxic (0 or 1; null rows are left out), learnable rows only. Sampled by a hash of the id."""
-    rows = labels.filter(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    h = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1 << 20))
-    n = rows.count()
-    chosen = rows.filter(h <= F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)))).limit(2 * sample)  # the limit only bounds the broadcast
-    own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("t")).join(F.broadcast(chosen), "__id").select("__id", "t", "toxic")
-    counts = own.select("t", "toxic").mapInArrow(lambda b: _partial(b, None), "term string, toxic int, n bigint").groupBy("term").agg(
-        F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("toxic") != 1, F.col("n"))), F.lit(0)).alias("b"))
-    counts = counts.persist()
-    total = counts.filter("term = ''").first()
-    if total is None:
-        return Index([], {}, 0, [])
-    p, q = float(total["a"]), float(total["b"])
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = p - a, q - b
-    chi = F.when((a + b < p + q) & (F.lit(p * q) > 0), (a * d - b * c) * (a * d - b * c) * (p + q) / ((a + b) * (c + d) * p * q)).otherwise(F.lit(0.0))
-    # labels share a text's language, so a term must be far more frequent under one of them, too
-    odds = (a + 0.5) / (p + 1) / ((b + 0.5) / (q + 1))
-    top = counts.filter("term <> ''").withColumn("chi", chi).filter((F.col("chi") >= CHI) & ((odds >= 8) | (odds <= 1 / 8)))
-    terms = sorted(r["term"] for r in top.orderBy(F.desc("chi"), "term").limit(TERMS).collect())
-    counts.unpersist()
-    vocabulary = set(terms)
-    everything = docs.select(F.col(text).alias("t"), F.lit(0).alias("toxic")).mapInArrow(lambda x: _partial(x, vocabulary), "term string, toxic int, n bigint")
-    df = {r["term"]: r["n"] for r in everything.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        return float(w @ self.labels[[i for _, i in near]] / w.sum())
+
+    def score(self, queries: list[dict[int, int]]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Of each query: score and neighbours."""
+        found = self.nearest(queries) if self.examples else [[]] * len(queries)
+        shares = np.array([self.votes(near) if near else 0.0 for near in found])
+        scores = 1 / (1 + np.exp(-(self.a * shares + self.b))) if self.calibrated else shares
+        return [(float(s) if near else self.prior, near) for s, near in zip(scores, found)]
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Logistic curve through labels against votes, toxic ones ODDS-fold, by Newton's method with a weak ridge."""
+        if len(set(labels.tolist())) < 2:
+            return
+        x, t, c = np.stack([votes, np.ones(len(votes))], 1), np.zeros(2), np.where(labels > 0, ODDS, 1.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+            step = np.linalg.solve((x * (c * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (c * (p - labels)) + 1e-3 * t)
+            t = t - np.clip(step, -5, 5)
+        self.a, self.b, self.calibrated = float(t[0]), float(t[1]), True
+
+
+def frequencies(docs: DataFrame, vocabulary: Vocabulary, terms: int, text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are. A task gathers one number per term."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(terms + 1, np.int64)  # the last: documents
+        for batch in sliced(batches):
+            for t in batch.column(0).to_pylist():
+                found[[*vocabulary.counts(t or ""), terms]] += 1
+        at = [i for i in range(0, terms + 1, CHUNK) if found[i : i + CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([found[i : i + CHUNK].astype("<i8").tobytes() for i in at], pa.binary())], names=["at", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[at] = found.get(at, 0) + np.frombuffer(n, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([n.tobytes() for n in found.values()], pa.binary())], names=["at", "n"])
+
+    kind = "at bigint, n binary"
+    rows = docs.select(text).mapInArrow(count, kind).repartition(partitions(docs.sparkSession), "at").mapInArrow(total, kind).collect()
+    out = np.zeros(terms + 1, np.int64)
+    for r in rows:
+        n = np.frombuffer(r["n"], "<i8")
+        out[r["at"] : r["at"] + len(n)] = n
+    return out[:-1], int(out[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[Vocabulary, Index]:
+    """``labels``: doc_id and toxic (0 or 1; null rows are left out, of repeated ids 1 wins), learnable rows only.
+
+    The sample is the rows of least hash, ``sample`` at most of LONGEST bytes at most each: all that reaches the
+    driver and the broadcast is bounded by that, however large the tables are. Texts count as empty where null.
+    """
+    h = F.xxhash64(F.lit(5), "__id")
+    rows = labels.filter(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
+    chosen = rows.orderBy(h, "__id").limit(sample)
+    own = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").filter(F.octet_length("__text") <= LONGEST)
+    own = own.orderBy(h, "__id", F.xxhash64("__text")).limit(sample)  # ids may repeat
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [known_terms(t or "", vocabulary) for t in batch.column(1).to_pylist()]
+            found = [terms_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
 
-    examples = own.mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms array<string>, counts array<int>").collect()
-    examples = sorted((r["id"], r["toxic"], dict(zip(r["terms"], r["counts"]))) for r in examples)
-    return Index(terms, df, df.get("", 0), [(i, int(y == 1), c) for i, y, c in examples])
+    got = own.select("__id", "__text", "__toxic").mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms array<string>, counts array<int>").collect()
+    terms = sorted({t for r in got for t in r["terms"]})
+    number = {t: i for i, t in enumerate(terms)}
+    examples = sorted(((r["id"], int(r["toxic"] == 1), dict(zip((number[t] for t in r["terms"]), r["counts"]))) for r in got), key=lambda e: (e[0], sorted(e[2].items())))
+    vocabulary = Vocabulary(terms)
+    df, documents = frequencies(docs, vocabulary, len(terms), text)
+    index = Index(df, documents, examples)
+    votes, truth, folds = [], [], np.random.default_rng(1).permutation(len(examples)) % FOLDS
+    for fold in range(FOLDS):
+        other = Index(df, documents, [e for e, f in zip(examples, folds) if f != fold])
+        asked = [e for e, f in zip(examples, folds) if f == fold and other.examples]
+        for (_, y, _), near in zip(asked, other.nearest([e[2] for e in asked])):
+            if near:
+                votes.append(other.votes(near))
+                truth.append(float(y))
+    index.calibrate(np.array(votes), np.array(truth))
+    return vocabulary, index
 
 
-def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: bool = False) -> DataFrame:
-    """The columns ``keep`` with score (0 to 1) and, if asked for, evidence: (doc_id, label, similarity) of the neighbours.
+def score(docs: DataFrame, trained: tuple[Vocabulary, Index], text: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: bool = False, into: str = "score") -> DataFrame:
+    """The columns ``keep`` with ``into`` (0 to 1) and, if asked for, evidence: (doc_id, label, similarity) of the neighbours.
 
-    Null and empty texts, and texts without a known term, get the prior of such examples. Repeated rows score alike.
+    Null and empty texts, and texts without a known term, get the prior of such examples. A text of any length is
+    read whole; repeated rows score alike; an empty table gives no rows. A kept column with the name of a result is
+    left out: name the result otherwise to keep it.
     """
+    results = [(into, "double"), ("evidence", "array<struct<id:bigint,label:int,similarity:double>>")][: 1 + evidence]
+    keep = tuple(c for c in keep if c not in [n for n, _ in results])
     kept = docs.select(*keep).schema
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "score double" + ", evidence array<struct<id:bigint,label:int,similarity:double>>" * evidence])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), *(f"`{n}` {t}" for n, t in results)])
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+    vocabulary, index = trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = set(index.number)
         for batch in sliced(batches):
-            found = [index.score(known_terms(t or "", vocabulary)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = index.score([vocabulary.counts(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()])
             columns = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64())]
             if evidence:
                 columns.append(pa.array([[{"id": index.ids[i], "label": int(index.labels[i]), "similarity": s} for s, i in near] for _, near in found], kind))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score", "evidence"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(n for n, _ in results)])
 
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)

@@ -215,15 +215,36 @@ def test_language_id(spark, docs):
 def test_toxicity(spark, docs, empty):
     df = spark.createDataFrame([(i, f"some plain text number w{i} " + ("you idiot moron" if i % 4 == 0 else "kind regards")) for i in range(200)], "doc_id bigint, text string")
     labels = df.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).filter("doc_id < 150")
-    index = toxicity.train(df, labels)
-    got = {r["doc_id"]: r for r in toxicity.score(df, index, evidence=True).collect()}
+    trained = toxicity.train(df, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(df, trained, evidence=True).collect()}
     assert all((got[i]["score"] >= 0.7) == (i % 4 == 0) for i in got) and got[0]["evidence"][0]["label"] == 1
-    queries = [{"idiot": 1}, {"idiot": 2, "moron": 1}]
-    for q in queries:
+    clash = toxicity.score(df.withColumn("score", F.lit("mine")), trained, keep=("doc_id", "score"), into="other").first()
+    assert clash["score"] == "mine" and 0 <= clash["other"] <= 1
+    untrained = toxicity.train(empty, labels.limit(0))
+    assert all(r["score"] < 0.7 for r in toxicity.score(docs, untrained).collect()) and toxicity.score(docs, trained).count() == docs.count()
+
+
+@pytest.mark.parametrize("common", [1, 16, 10**9])
+def test_toxicity_neighbours_are_exact(common, monkeypatch):
+    """Blocks, columns and posting lists against every cosine."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    r = np.random.default_rng(4)
+    draw = lambda: {int(t): int(r.integers(1, 4)) for t in set((r.zipf(1.3, 30) % 400).tolist())}
+    examples = [(i, int(i % 7 == 0), draw()) for i in range(150)] + [(200 + i, 0, {}) for i in range(3)]
+    df = np.bincount([t for _, _, e in examples for t in e], minlength=401)
+    index = toxicity.Index(df, len(examples), examples)
+    queries = [draw() for _ in range(90)] + [{}, {400: 1}]
+    for q, near in zip(queries, index.nearest(queries), strict=True):
         at, w = index.vector(q)
-        full = np.concatenate([w @ b[at] for b in index.weights])
-        assert [s for s, _ in index.nearest(q)] == pytest.approx(sorted(full[full > 0], reverse=True)[: toxicity.NEAREST])
-    assert toxicity.train(empty, labels.limit(0)).score({})[0] < 0.7 and toxicity.score(docs, index).count() == docs.count()
+        ask = np.zeros(401)
+        ask[at] = w
+        full = np.zeros(len(index.examples))
+        for i, (_, _, e) in enumerate(index.examples):
+            at, w = index.vector(e)
+            full[i] = ask[at] @ w
+        assert [s for s, _ in near] == pytest.approx(sorted(full[full > 0], reverse=True)[: toxicity.NEAREST], abs=1e-5)
+        assert all(full[i] == pytest.approx(s, abs=1e-5) for s, i in near)
 
 
 def test_mixing():
