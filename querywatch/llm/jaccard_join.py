@@ -24,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from querywatch.llm._work import discard, partitions, save, scratch, sliced
 
 WIDTH = 5
 GROWTH = 1.8  # of the sizes from band to band; 1.7 to 2 gives the fewest keys
+BANDS = 40
 ROUNDS = 3
-DEEP = 6  # bands below may index deletions; above, whole segments alone are always cheaper
+SMALL = 6  # bands below leave no popular keys out
 SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
 BLOCK = 8192  # members of a key that are compared at once
 CROWD = 16  # members of a key from which on pairs are held against sketches before they are kept
@@ -131,12 +133,15 @@ def most_differences(n: int, k: int) -> int:
 
 @functools.cache
 def allocation(k: int) -> tuple[int, int]:
-    """(whole, deleting): segments of each kind in band k that index the fewest keys and cover nearly all sets."""
+    """(whole, deleting): segments of each kind in band k that index the fewest keys and cover nearly all sets.
+
+    The costs alone decide on deletions: they pay for sets of 3 to 8 shingles, whole segments are cheaper for others.
+    """
     top = 4 * (edge(k + 1) - 1) // 3
     sizes = sorted({edge(k), edge(k + 1) - 1, min(edge(k + 1), top), top, (edge(k) + top) // 2})
     h = max(most_differences(s, k) for s in sizes)
     best = None
-    for x in range(7 if k < DEEP else 1):
+    for x in range(7):
         for y in range(max(0, h + 1 - 2 * x), 3 * h + 12, 1 + h // 200):
             m = x + y
             if m == 0:
@@ -147,7 +152,7 @@ def allocation(k: int) -> tuple[int, int]:
                 p1 = s / m * (1 - 1 / m) ** (s - 1)
                 mean = y * (1 - p0) + x * (2 - 2 * p0 - p1)
                 sd = (y * p0 * (1 - p0) + x * (p0 + p1) * (2 - p0 - p1)) ** 0.5
-                ok &= mean - (2 if k >= DEEP else 1.5) * sd >= most_differences(s, k) + 1 + SLACK * m * (k >= DEEP)
+                ok &= mean - (1.5 if k < SMALL else 2) * sd >= most_differences(s, k) + 1 + SLACK * m * (k >= SMALL)
                 cost += y * (1 - p0) + x * (1 - p0) + x * s / m
             if ok:
                 if best is None or cost < best[0]:
@@ -187,7 +192,7 @@ def keys_of(s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 
 MEMBER = np.dtype([("low", "<u4"), ("high", "<u2"), ("own", "<u2"), ("band", "u1")])  # 48 bits of the key; the bucket holds more, and what still collides is verified
 CLASS = np.dtype([("c1", "<i8"), ("c2", "<i8")])
-DOC = "doc_id bigint, n bigint, c1 bigint, c2 bigint, bands array<int>, slacks array<int>"
+DOC = "row_id bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, bands array<int>, slacks array<int>"
 ROWS = f"kind int, {DOC}, key bigint, band int, met int"
 
 
@@ -238,7 +243,7 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         for i, s in zip(ids, shingle_sets(texts), strict=True):
             sig, own = signature(s), bands(len(s)) if len(s) else ()
             got = [keys_of(s, k) for k in own]
-            info.append({"doc_id": i, "n": len(s), "c1": sig[0], "c2": sig[1], "bands": list(own), "slacks": [x for _, x in got]})
+            info.append({**i, "n": len(s), "c1": sig[0], "c2": sig[1], "bands": list(own), "slacks": [x for _, x in got]})
             if sig in seen:  # equal sets of this task are indexed once
                 continue
             seen.add(sig)
@@ -253,31 +258,38 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield flush(info, classes, keys)
 
 
-INFO = pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))]))
+INFO = pa.list_(pa.struct([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bands", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))]))
 OUT = pa.schema([("kind", pa.int32()), *((f.name, f.type) for f in INFO.value_type), ("key", pa.int64()), ("band", pa.int32()), ("met", pa.int32())])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a row per document; kind 1: a row per set and key that other sets have too, met = their number."""
-    keys, bands_, c1, c2 = [], [], [], []
+    """kind 0: a row per document; kind 1: a row per set and key that other sets have too, met = their number.
+
+    Rows come in the order of their buckets; one bucket is in memory at a time.
+    """
+    held, at = [], None
     for batch in batches:
         for info in batch.column(1):
             if info.is_valid and len(info.values):
                 rows = info.values
                 n = len(rows)
                 void = lambda t: pa.nulls(n, t)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(rows.field(i) for i in range(6)), void(pa.int64()), void(pa.int32()), void(pa.int32())], schema=OUT)
-        for classes, members in zip(batch.column(2), batch.column(3), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(rows.field(i) for i in range(7)), void(pa.int64()), void(pa.int32()), void(pa.int32())], schema=OUT)
+        for bucket, classes, members in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if bucket != at:
+                yield from _met(held)
+                held, at = [], bucket
             m = np.frombuffer(members.as_py(), MEMBER)
             cls = np.frombuffer(classes.as_py(), CLASS)
-            keys.append(m["low"].astype(U) | m["high"].astype(U) << U(32))
-            bands_.append(m["band"].copy())
-            c1.append(cls["c1"][m["own"]])
-            c2.append(cls["c2"][m["own"]])
-    if not keys:
+            held.append((m["low"].astype(U) | m["high"].astype(U) << U(32), m["band"].copy(), cls["c1"][m["own"]], cls["c2"][m["own"]]))
+    yield from _met(held)
+
+
+def _met(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    if not held:
         return
-    key, band, c1, c2 = (np.concatenate(x) for x in (keys, bands_, c1, c2))
-    del keys, bands_
+    key, band, c1, c2 = (np.concatenate(x) for x in zip(*held))
+    held.clear()
     order = np.argsort(key, kind="stable")
     k = key[order]
     new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
@@ -300,7 +312,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n:
             void = lambda t: pa.nulls(n, t)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), void(pa.int64()), void(pa.int64()), pa.array(c1[part][keep]), pa.array(c2[part][keep]), void(pa.list_(pa.int32())), void(pa.list_(pa.int32())),
+                [pa.array(np.ones(n, np.int32)), void(pa.int64()), void(pa.int64()), void(pa.int64()), pa.array(c1[part][keep]), pa.array(c2[part][keep]), void(pa.list_(pa.int32())), void(pa.list_(pa.int32())),
                  pa.array(key[part][keep].view(np.int64)), pa.array(band[part][keep].astype(np.int32)), pa.array(met[part][keep].astype(np.int32))], schema=OUT)
 
 
@@ -466,32 +478,35 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     Null and empty texts have no shingles and link with nothing; component_id is then the row's own doc_id.
     Rows with a null doc_id take part; they never name a component that has another id. Repeated rows share
-    a component. An empty table gives no rows.
+    a component. A text of any length is one set. An empty table gives no rows; other columns are ignored.
+    ``docs`` is read twice and must give the same rows in the same partitions, as a stored table does.
     """
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column")
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     parts = partitions(spark)
     buckets = 3 * parts
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.struct(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("bigint").alias("doc_id")).alias("row"), F.col(text).alias("text"))
     packed = source.mapInArrow(lambda batches: _index(batches, buckets), f"bucket int, info array<struct<{DOC.replace(' ', ':').replace(',:', ',')}>>, classes binary, members binary")
-    rows = packed.repartition(parts, "bucket").mapInArrow(_meet, ROWS)
-    rows = save(rows.withColumn("row_id", F.monotonically_increasing_id()), f"{at}/met")
+    rows = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, ROWS)
+    rows = save(rows, f"{at}/met")
     discard(spark)
     all_docs = save(rows.filter("kind = 0").select("row_id", "doc_id", "n", "c1", "c2", "bands", "slacks"), f"{at}/docs")
-    sets_of = all_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("row_id").alias("cid"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slacks").alias("slacks"))
+    sets_of = all_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("row_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slacks").alias("slacks"))
     members = rows.filter("kind = 1").select("c1", "c2", "key", "band", "met").join(sets_of, ["c1", "c2"])
     slack = F.element_at("slacks", F.array_position("bands", F.col("band")).cast("int"))
     members = members.select("cid", "n", "key", "band", "met", slack.alias("slack"), (F.element_at("bands", 1) == F.col("band")).alias("home"))
     members = save(members, f"{at}/members")
     discard(spark, f"{at}/met")
-    deep = [k for k in range(DEEP) if allocation(k)[1]]
-    limit = F.get(F.array(*[F.lit(edge(k + 1)) for k in range(40)]), F.col("band"))
+    deep = [k for k in range(BANDS) if allocation(k)[1]]
+    limit = F.get(F.array(*[F.lit(edge(k + 1)) for k in range(BANDS)]), F.col("band"))
     most = F.floor(F.when(F.col("n") < limit, F.col("n") + F.floor(F.col("n") * 4 / 3)).otherwise(F.col("n") + limit - 1) / 7)
     spare = (F.col("slack") >= 0) & ~F.col("band").isin(deep)
     widest = Window.partitionBy("cid", "band").orderBy(F.desc("met"), F.desc("key"))
     live = members.withColumns({"spare": F.when(spare, F.col("slack")).otherwise(0), "need": F.when(spare, F.col("slack") + 1 + most).otherwise(0), "rank": F.row_number().over(widest)})
     live = save(live.filter("rank > spare").select("key", "band", "cid", "n", "home", "need", "spare"), f"{at}/live")
     discard(spark, f"{at}/members")
-    asked = sets_of.select("cid", "c1", "c2", "rep").join(live.select("cid").distinct(), "cid", "left_semi")
+    asked = sets_of.select("cid", "c1", "c2").join(live.select("cid").distinct(), "cid", "left_semi")
     sets = save(_sets(source, asked), f"{at}/sets")
     discard(spark)
 
@@ -533,20 +548,27 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def _sets(source: DataFrame, asked: DataFrame) -> DataFrame:
-    """cid, shingles: the whole set of each asked class, from the text of one of its documents."""
+    """cid, shingles: the whole set of each asked class, from the text of its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_groups(batches):
             found = shingle_sets(texts)
-            same = [(row["cid"], s) for row, s in zip(rows, found, strict=True) if signature(s) == (row["c1"], row["c2"])]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in same], pa.int64()), pa.array([s.view(np.int64) for _, s in same], pa.list_(pa.int64()))], names=["cid", "shingles"])
+            if any(signature(s) != (row["c1"], row["c2"]) for row, s in zip(rows, found, strict=True)):
+                raise ValueError("the documents did not come in the same order twice")
+            yield pa.RecordBatch.from_arrays([pa.array([r["cid"] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "shingles"])
 
-    texts = source.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select(F.struct("cid", "c1", "c2").alias("row"), "text")
-    return texts.mapInArrow(run, "cid bigint, shingles array<bigint>").dropDuplicates(["cid"])
+    texts = source.withColumn("cid", F.col("row.row_id")).join(asked, "cid").select(F.struct("cid", "c1", "c2").alias("row"), "text")
+    return texts.mapInArrow(run, "cid bigint, shingles array<bigint>")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The row whose doc_id names its component, of each component; rows with a null doc_id stay."""
-    keep = classes(docs, text, doc_id).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, docs[doc_id] == keep["__id"], "left_semi")
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    """Of each component the row of smallest doc_id (nulls last, then the first row), with all its columns.
+
+    Texts without words are components of their own and stay. doc_id may be of any type that can be ordered; see
+    ``classes`` for the rest.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    of = classes(rows, text, "__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__of"))
+    order = F.struct(F.col(doc_id).isNull().alias("void"), F.col(doc_id).alias("id"), "__row")
+    first = rows.select("__row", order.alias("__at")).join(of, "__row").groupBy("__of").agg(F.min("__at")["__row"].alias("__row"))
+    return rows.join(first.select("__row"), "__row", "left_semi").drop("__row")
