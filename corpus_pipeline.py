@@ -1,4 +1,8 @@
-"""Corpus pipeline: each stage reads what its predecessor wrote as Parquet."""
+"""Corpus pipeline: each stage reads what its predecessor wrote as Parquet.
+
+Nulls, empty and long texts, repeated rows, empty tables and extra columns with any name are treated as the
+operators say; all stages but the last return the columns that they got.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +13,19 @@ from querywatch.llm._work import save, scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the cut; learnt from the labels that are not held out."""
-    index = toxicity.train(docs, queries.table(spark, sf_dir, "labels").filter(~queries.held_out()))
-    kept = toxicity.score(docs, index, keep=tuple(docs.columns)).filter(F.col("score") < toxicity.CUT)
-    return kept.drop("score")
+    """Documents that score below the cut; learnt from the labels that are not held out. All columns stay as they are."""
+    trained = toxicity.train(docs, queries.table(spark, sf_dir, "labels").filter(~queries.held_out()))
+    kept = toxicity.score(docs, trained, keep=tuple(docs.columns), into="__toxicity")
+    return kept.filter(F.col("__toxicity") < toxicity.CUT).drop("__toxicity")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each normalised text."""
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate component; texts without words stay."""
     return jaccard_join.one_of_each(docs)
 
 
@@ -33,16 +39,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(docs, path, keep=("doc_id", "lang", "source"))
+    rows = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, keep=("doc_id", "lang", "source"))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    ids = ids.withColumns({"n_tokens": F.size("ids").cast("bigint"), "ids_sha256": digest})
-    back = byte_bpe.decode(ids, path, keep=("doc_id", "lang", "source", "n_tokens", "ids_sha256"))
-    return back.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_exact), ("near dedup", drop_near), ("mixing", mix_sources), ("byte-level BPE", encode)]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
