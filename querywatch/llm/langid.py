@@ -125,7 +125,9 @@ def train(labelled: DataFrame, text: str, lang: str, doc_id: str, sample: int =
     h = F.xxhash64(F.lit(3), F.col(doc_id))
     place = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col(doc_id)), F.greatest(F.char_length(text) - 150, F.lit(1))).cast("int") + 1
     chosen = rows.filter(F.pmod(h, F.lit(1 << 20)) <= F.element_at(share, F.col(lang)) * (1 << 20)).filter(F.col(text).isNotNull())
-    got = chosen.select(h.alias("h"), F.col(lang).alias("lang"), F.explode(F.array(*[F.substring(text, place(k), F.lit(2 * WINDOW)) for k in (1, 2)])).alias("t")).limit(3 * sample).collect()
+    windows = F.array(*[F.substring(text, place(k), F.lit(2 * WINDOW)) for k in (1, 2)])
+    once = chosen.groupBy(h.alias("h")).agg(F.min(F.struct(F.col(lang).alias("lang"), windows.alias("t"))).alias("x"))  # ids may repeat
+    got = once.orderBy("h").limit(2 * sample).select("h", "x.lang", F.explode("x.t").alias("t")).collect()
     langs = sorted(counts)
     got = [r for r in sorted(got) if LETTER.search(r["t"])]
     net = Network(langs)
@@ -137,8 +139,11 @@ def train(labelled: DataFrame, text: str, lang: str, doc_id: str, sample: int =
 def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred and score (the class's share, 0 to 1).
 
-    Null texts and texts without a letter get ``und`` with score 0, as does every row if nothing was learned.
+    Null texts and texts without a letter get ``und`` with score 0, as does every row if nothing was learned. A text
+    of any length is read whole, window by window; repeated rows score alike; an empty table gives no rows. A kept
+    column with the name of a result is left out.
     """
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
     kept = docs.select(*keep).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), "lang_pred string, score double"])
 

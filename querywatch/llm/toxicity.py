@@ -222,9 +222,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """
     h = F.xxhash64(F.lit(5), "__id")
     rows = labels.filter(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
-    chosen = rows.orderBy(h, "__id").limit(sample)
+    part = F.lit(int(min(1.0, 1.2 * sample / max(rows.count(), 1)) * (1 << 20)))
+    chosen = rows.filter(F.pmod(h, F.lit(1 << 20)) <= part).orderBy(F.pmod(h, F.lit(1 << 20)), "__id").limit(sample)
     own = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").filter(F.octet_length("__text") <= LONGEST)
-    own = own.orderBy(h, "__id", F.xxhash64("__text")).limit(sample)  # ids may repeat
+    own = own.groupBy("__id").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.first("__toxic").alias("__toxic"))  # ids may repeat
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
