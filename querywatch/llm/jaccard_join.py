@@ -11,6 +11,7 @@ Exactness does not rest on "nearly": empty segments are worth nothing to a set,
 not worth H + 1 meet each other on their empty segments, too. A set whose segments are worth ``slack`` more
 than H + 1 shares more than ``slack`` keys with any partner, so by the prefix principle it leaves its
 ``slack`` most popular keys out, in one order for all sets; passages that many sets share fall away like this.
+Members of a key that are not yet in one component are held against parity sketches, an exact bound.
 
 Candidates are verified on their whole shingle sets. Shingles are 64-bit hashes; equal sets have equal
 128-bit signatures and are one class from the start, so copies cost one row each.
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
@@ -35,7 +37,8 @@ ROUNDS = 3
 SMALL = 6  # bands below leave no popular keys out
 SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
 BLOCK = 8192  # members of a key that are compared at once
-CROWD = 16  # members of a key from which on pairs are held against sketches before they are kept
+CROWD = 16  # members of a key from which on pairs are held against large sketches
+MARKS = 8  # keys of a set that decide where a pair is kept
 FLUSH = 1 << 19  # keys gathered before they are dealt to buckets
 GROUP = 1 << 19  # bytes of text hashed at once
 U = np.uint64
@@ -347,11 +350,9 @@ def _alike(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * 75)
 
 
-PAIRED = ("key", "band", "cid", "label", "n", "home", "need", "spare")
-
-
 def sketch_bits(k: int) -> int:
-    return min(8192, max(64, 1 << (4 * edge(k + 1) - 1).bit_length()))
+    """Bits of the large sketch: 16 or more for each shingle, up to 2048 of them."""
+    return min(32768, max(64, 1 << (16 * edge(k + 1) - 1).bit_length()))
 
 
 def parity_sketch(s: np.ndarray, k: int) -> bytes:
@@ -364,86 +365,89 @@ def parity_sketch(s: np.ndarray, k: int) -> bytes:
     return np.packbits((np.bincount((mix(s, 9) & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes, k: int) -> bytes:
+    """The sketch of fewer bits, about one or two for each shingle: enough to tell most sets of band k apart."""
+    small = min(len(sketch), max(8, 1 << (edge(k + 1) // 8).bit_length()))
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, small)).tobytes()
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         out = []
         for cid, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = s.values.to_numpy().view(U)
-            out.extend((cid, k, parity_sketch(s, k)) for k in bands(len(s)))
-        cids, ks, found = zip(*out) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ks, pa.int32()), pa.array(found, pa.binary())], names=["cid", "band", "sketch"])
+            for k in bands(len(s)):
+                whole = parity_sketch(s, k)
+                out.append((cid, k, whole, folded(whole, k)))
+        cids, ks, whole, small = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ks, pa.int32()), pa.array(whole, pa.binary()), pa.array(small, pa.binary())], names=["cid", "band", "whole", "small"])
 
 
 def _tiles(still: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of each key with their block and the pair (lo, hi) of blocks to be compared, in order.
+    """Members of each key with their sketches and marks, their block and the pair (lo, hi) of blocks to be compared, in order.
 
-    A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on they carry
-    their sketches.
+    A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on the large
+    sketches are there, too. Marks are a set's MARKS smallest keys in the band.
     """
-    crowd = still.filter(F.col("members") >= CROWD)
-    drawn = sets.join(crowd.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(_sketches, "cid bigint, band int, sketch binary")
-    rows = crowd.join(drawn, ["cid", "band"], "left").unionByName(still.filter(F.col("members") < CROWD).withColumn("sketch", F.lit(None).cast("binary")))
+    drawn = sets.join(still.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(_sketches, "cid bigint, band int, whole binary, small binary")
+    marks = still.groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_list("key")), 1, MARKS).alias("marks"))
+    rows = still.join(drawn.join(marks, ["cid", "band"]), ["cid", "band"]).withColumn("whole", F.when(F.col("members") >= CROWD, F.col("whole")))
     blocks = F.ceil(F.col("members") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    return rows.select("key", "band", "lo", "hi", "block", "cid", "label", "n", "home", "need", "spare", "sketch")
+    return rows.select("key", "band", "lo", "hi", "block", "cid", "label", "n", "home", "marks", "small", "whole")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that share a key, may link and are in different components, with the number of such keys of this task.
+def _pairs(batches: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets that share a key, are in different components and may link by their sketches.
 
-    Rows come in the order of ``_tiles``; one tile is in memory at a time.
+    With ``closest`` just the one of each member and other component of a key whose sketches differ least. Else a
+    pair is kept at the smallest key that both have among their marks, and at every key only if there is none: it
+    comes about once, however many keys it shares. Rows come in the order of ``_tiles``, one tile is in memory at a time.
     """
-    held, size = [], 0
+    first, second, found = [], [], 0
+    last = np.iinfo(np.int64).max
 
-    def counted() -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*held)]
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        at = np.flatnonzero(np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])]))
-        shared = np.diff(np.concatenate([at, [len(order)]]))
-        return pa.RecordBatch.from_arrays([*(pa.array(c[at].astype(np.int64)) for c in columns), pa.array(shared.astype(np.int64))], names=["cid1", "cid2", "n1", "n2", "need", "spare", "shared"])
+    def gathered() -> pa.RecordBatch:
+        a, b = np.concatenate(first), np.concatenate(second)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     for tiles in _whole_tiles(batches):
-        key, band, lo, hi, block, cid, label, n, home, need, spare = (tiles.column(i).to_numpy(zero_copy_only=False) for i in range(11))
-        sketch = tiles.column(11)
-        first, second, found = [], [], 0
-
-        def gathered() -> tuple:
-            a, b = np.concatenate(first), np.concatenate(second)  # noqa: B023
-            a, b = np.where(cid[a] > cid[b], b, a), np.where(cid[a] > cid[b], a, b)  # noqa: B023
-            return cid[a], cid[b], n[a], n[b], np.maximum(need[a], need[b]), np.maximum(spare[a], spare[b])  # noqa: B023
-
+        key, band, lo, hi, block, cid, label, n, home = (tiles.column(i).to_numpy(zero_copy_only=False) for i in range(9))
+        own = tiles.column(9)
+        sizes = pc.list_value_length(own).to_numpy()
+        marks = np.full((len(key), MARKS), last)
+        marks[np.arange(MARKS) < sizes[:, None]] = own.flatten().to_numpy()
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
         for start, end in zip(new[:-1].tolist(), new[1:].tolist()):
             within = lo[start] == hi[start]
             left = np.arange(start, end) if within else start + np.flatnonzero(block[start:end] == lo[start])
             right = left if within else start + np.flatnonzero(block[start:end] == hi[start])
-            bits = None
-            if sketch[start].is_valid:
-                bits = np.frombuffer(b"".join(sketch.slice(start, end - start).to_pylist()), U).reshape(end - start, -1)
+            small, whole = (np.frombuffer(b"".join(tiles.column(c).slice(start, end - start).to_pylist()), U).reshape(end - start, -1) if tiles.column(c)[start].is_valid else None for c in (10, 11))
             for at, i in enumerate(left.tolist()):
                 j = right[at + 1 :] if within else right
-                ok = (label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(n[j] < n[i], home[j], home[i])
-                j = j[ok]
-                if bits is not None and len(j):
-                    apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
-                    j = j[7 * apart <= n[j] + n[i]]
+                j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(n[j] < n[i], home[j], home[i])]
+                for bits in (small, whole):
+                    if bits is not None and len(j):
+                        apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
+                        may = 7 * apart <= n[j] + n[i]
+                        j, apart = j[may], apart[may]
+                if closest and len(j):
+                    order = np.lexsort((apart, label[j]))
+                    j = j[order][np.concatenate([[True], np.diff(label[j][order]) != 0])]
+                elif len(j):
+                    common = np.where((marks[j][:, :, None] == marks[i]).any(2), marks[j], last).min(1)
+                    j = j[(common == key[i]) | (common == last)]
                 if len(j):
-                    first.append(np.full(len(j), i))
-                    second.append(j)
+                    first.append(np.full(len(j), cid[i]))
+                    second.append(cid[j])
                     found += len(j)
-                if found > 1 << 18:
-                    held.append(gathered())
-                    size, first, second, found = size + found, [], [], 0
-                if size > 1 << 19:
-                    yield counted()
-                    held, size = [], 0
-        if found:
-            held.append(gathered())
-            size += found
-    if size:
-        yield counted()
+            if found > 1 << 18:
+                yield gathered()
+                first, second, found = [], [], 0
+    if found:
+        yield gathered()
 
 
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,6 +469,14 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(kept)
 
 
+def _joined(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
+    """cid, label after the links: only the components that they join are a graph, however many links join two of them."""
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"of_{c}"))
+    edges = links.filter("linked").join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b").distinct()
+    names = components(edges, f"{at}-stars").select(F.col("node").alias("label"), F.col("label").alias("name"))
+    return save(labels.join(names, "label", "left").select("cid", F.coalesce("name", "label").alias("label")), at)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, linked for the distinct pairs."""
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -499,12 +511,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     members = save(members, f"{at}/members")
     discard(spark, f"{at}/met")
     deep = [k for k in range(BANDS) if allocation(k)[1]]
-    limit = F.get(F.array(*[F.lit(edge(k + 1)) for k in range(BANDS)]), F.col("band"))
-    most = F.floor(F.when(F.col("n") < limit, F.col("n") + F.floor(F.col("n") * 4 / 3)).otherwise(F.col("n") + limit - 1) / 7)
     spare = (F.col("slack") >= 0) & ~F.col("band").isin(deep)
     widest = Window.partitionBy("cid", "band").orderBy(F.desc("met"), F.desc("key"))
-    live = members.withColumns({"spare": F.when(spare, F.col("slack")).otherwise(0), "need": F.when(spare, F.col("slack") + 1 + most).otherwise(0), "rank": F.row_number().over(widest)})
-    live = save(live.filter("rank > spare").select("key", "band", "cid", "n", "home", "need", "spare"), f"{at}/live")
+    live = members.withColumns({"spare": F.when(spare, F.col("slack")).otherwise(0), "rank": F.row_number().over(widest)})
+    live = save(live.filter("rank > spare").select("key", "band", "cid", "n", "home"), f"{at}/live")
     discard(spark, f"{at}/members")
     asked = sets_of.select("cid", "c1", "c2").join(live.select("cid").distinct(), "cid", "left_semi")
     sets = save(_sets(source, asked), f"{at}/sets")
@@ -512,9 +522,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     # Likely links first: each set against the first set of another component on one of its keys, the one it
     # meets there most often. A few such rounds, linear in the keys, join most components.
-    links, labels = None, live.select(F.col("cid").alias("node"), F.col("cid").alias("label")).limit(0)
+    links, labels = None, save(live.select("cid").distinct().withColumn("label", F.col("cid")), f"{at}/labels")
     for i in range(ROUNDS):
-        marked = live.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        marked = live.join(labels, "cid")
         first = marked.groupBy("key").agg(F.min(F.struct("label", "cid", "n")).alias("hub"), F.max("label").alias("hi")).filter("hub.label <> hi")
         met = marked.join(first, "key").filter((F.col("label") != F.col("hub.label")) & _alike(F.col("n"), F.col("hub.n"))).groupBy("cid", F.col("hub.cid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
         if links is not None:
@@ -524,25 +534,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         near = save(near.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), f"{at}/near-{i}")
         found = save(_verify(near, sets), f"{at}/links-{i}")
         links = found if links is None else links.unionByName(found)
-        labels = components(links.filter("linked"), f"{at}/labels-{i}")
+        labels = _joined(labels, found, f"{at}/joined-{i}")
         discard(spark)
 
-    # Then all pairs of a key that are still in different components, counted within each task before they are shuffled.
-    marked = live.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "band", "members")
-    still = save(marked.join(groups, ["key", "band"]).select(*PAIRED, "members"), f"{at}/open")
-    tile = ("key", "band", "lo", "hi")
-    tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
-    cross = tiles.mapInArrow(_pairs, "cid1 bigint, cid2 bigint, n1 bigint, n2 bigint, need bigint, spare bigint, shared bigint")
-    enough = F.first("need") - F.floor((F.first("n1") + F.first("n2")) / 7) - F.first("spare")
-    rest = cross.groupBy("cid1", "cid2").agg(F.sum("shared").alias("shared"), enough.alias("enough")).filter("shared >= enough")
-    rest = rest.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
-    more = save(_verify(save(rest, f"{at}/rest"), sets), f"{at}/links-all")
-    labels = components(links.unionByName(more).filter("linked").select("a", "b"), f"{at}/labels-all")
-    named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    # Then pairs of a key that are still in different components and that their sketches let pass: the closest ones,
+    # which join most of what can be joined, and all that are left.
+    for step in ("closest", "all"):
+        marked = live.join(labels, "cid")
+        groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "band", "members")
+        still = save(marked.join(groups, ["key", "band"]).select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
+        tile = ("key", "band", "lo", "hi")
+        tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
+        rest = tiles.mapInArrow(functools.partial(_pairs, closest=step == "closest"), "a bigint, b bigint").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+        found = save(_verify(save(rest, f"{at}/rest-{step}"), sets), f"{at}/links-{step}")
+        links = links.unionByName(found)
+        labels = _joined(labels, found, f"{at}/joined-{step}")
+        discard(spark)
+    named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels, "cid", "left")
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("row_id")).alias("label"))
     named = save(named, f"{at}/named")
-    discard(spark, *(f"{at}/{x}" for x in ("docs", "live", "sets", "open", "rest", "links-all", *(f"{x}-{i}" for x in ("near", "links") for i in range(ROUNDS)))))
+    discard(spark, *(f"{at}/{x}" for x in ("docs", "live", "sets", *(f"{x}-{i}" for x in ("near", "open", "rest", "links") for i in (*range(ROUNDS), "closest", "all")))))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
