@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from querywatch.llm._work import partitions, sliced
@@ -33,25 +35,31 @@ FIRST = 2  # blocks scored before the others are bounded by what they gave
 FOLDS = 4
 ODDS = 3.0  # a toxic example counts so many times in the calibration: missing one is worse than a false alarm
 CHUNK = 8192  # terms counted together
-SEEN = 100_000  # words whose terms a worker remembers
 CUT = 0.7
 QUERIES = 64  # queries that meet the columns together
-LETTERS = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters a to z and of characters beyond ASCII, in lower case."""
-    return text.lower().encode().translate(LETTERS).decode().split()
-
-
-def terms_of(text: str) -> Counter:
-    """Words with their counts, and beginnings of longer words as ``^abc``."""
-    words = Counter(words_of(text))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in HEADS:
-            if len(w) > k:
-                out["^" + w[:k]] += n
+LETTERS = np.array([b if 97 <= b < 123 or b >= 128 else 32 for b in range(256)], np.uint8)
+Counts = tuple[np.ndarray, np.ndarray]  # the terms of a text, by number and in order, and how often each is there
+
+
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """Runs of letters a to z and of characters beyond ASCII, in lower case; nulls as empty texts."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    _, offsets, data = lower.buffers()
+    letters = LETTERS[np.frombuffer(data or b"", np.uint8)]
+    return pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(lower), [None, offsets, pa.py_buffer(letters)], offset=lower.offset))
+
+
+def terms_of(texts: pa.Array) -> list[dict[str, int]]:
+    """Words of each text with their counts, and beginnings of longer words as ``^abc``."""
+    out = []
+    for words in words_of(texts).to_pylist():
+        words = Counter(w for w in words if w)
+        found = Counter(words)
+        for w, n in words.items():
+            for k in HEADS:
+                if len(w) > k:
+                    found["^" + w[:k]] += n
+        out.append(dict(found))
     return out
 
 
@@ -62,43 +70,46 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Numbers of the terms, words and beginnings apart."""
+    """Numbers of the terms in order, words and beginnings apart."""
 
     def __init__(self, terms: list[str]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.startswith("^")}
-        self.heads = {t[1:]: i for i, t in enumerate(terms) if t.startswith("^")}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word), *(self.heads.get(word[:k]) for k in HEADS if len(word) > k)
-        return tuple(i for i in found if i is not None)
-
-    def counts(self, text: str) -> dict[int, int]:
-        """terms_of(text) within the vocabulary, by number."""
-        out: dict[int, int] = {}
-        seen = self.seen
-        if len(seen) > SEEN:
-            seen.clear()
-        for w, n in Counter(words_of(text)).items():
-            if (found := seen.get(w)) is None:
-                found = seen[w] = self.numbers(w)
-            for i in found:
-                out[i] = out.get(i, 0) + n
-        return out
+        words = [t for t in terms if not t.startswith("^")]
+        self.size = len(terms)
+        self.words, self.heads = pa.array(words, pa.string()), pa.array([t[1:] for t in terms if t.startswith("^")], pa.string())
+        self.number = np.array([i for i, t in enumerate(terms) if not t.startswith("^")] + [i for i, t in enumerate(terms) if t.startswith("^")], np.int64)
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """A row per word: its terms, -1 for none."""
+        of = lambda x, known, first: np.where(np.isnan(at := pc.index_in(x, known).to_numpy(zero_copy_only=False).astype(float)), -1, at + first).astype(np.int64)
+        long = pc.utf8_length(words).to_numpy()
+        found = [of(words, self.words, 0), *(np.where(long > k, of(pc.utf8_slice_codeunits(words, 0, k), self.heads, len(self.words)), -1) for k in HEADS)]
+        at = np.stack(found, 1)
+        return np.where(at >= 0, np.append(self.number, -1)[at], -1)
+
+    def counts(self, texts: pa.Array) -> list[Counts]:
+        """terms_of(texts) within the vocabulary, by number."""
+        lists = words_of(texts)
+        words = lists.flatten().dictionary_encode()
+        text = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        term = self.numbers(words.dictionary)[words.indices.to_numpy()]
+        there = term >= 0
+        key, n = np.unique((text[:, None] * (self.size + 1) + term)[there], return_counts=True)
+        edges = np.searchsorted(key, np.arange(len(lists) + 1) * (self.size + 1))
+        return [(key[a:b] - i * (self.size + 1), n[a:b]) for i, (a, b) in enumerate(pairwise(edges.tolist()))]
 
 
 class Index:
     """Unit vectors of the examples as posting lists in pieces: one for each term and block that has it."""
 
-    def __init__(self, df: np.ndarray, documents: int, examples: list[tuple[int, int, dict[int, int]]]):
+    def __init__(self, df: np.ndarray, documents: int, examples: list[tuple[int, int, Counts]]):
         # alike examples share blocks: by label, then by their most frequent term
-        self.examples = sorted((e for e in examples if e[2]), key=lambda e: (e[1], max(e[2].items(), key=lambda x: (x[1], -x[0]))[0], e[0]))
-        without = [e[1] for e in examples if not e[2]]
+        self.examples = sorted((e for e in examples if len(e[2][0])), key=lambda e: (e[1], int(e[2][0][e[2][1].argmax()]), e[0]))
+        without = [e[1] for e in examples if not len(e[2][0])]
         self.prior = (sum(without) + 0.5) / (len(without) + 5)
         self.ids, self.labels = [e[0] for e in self.examples], np.array([e[1] for e in self.examples], float)
         toxic, clean = np.zeros(len(df)), np.zeros(len(df))
-        for _, y, counts in examples:
-            (toxic if y else clean)[list(counts)] += 1
+        for _, y, (at, _) in examples:
+            (toxic if y else clean)[at] += 1
         p = sum(y for _, y, _ in examples)
         odds = np.log((toxic + 0.5) / (p + 1)) - np.log((clean + 0.5) / (len(examples) - p + 1))
         sure = np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
@@ -123,12 +134,12 @@ class Index:
         self.a, self.b = 1.0, 0.0  # calibration; without one the share of votes is the score
         self.calibrated = False
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[at]
-        return at, w / max(np.sqrt((w * w).sum()), 1e-300)
+    def vector(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        at, n = counts
+        w = (1 + np.log(n)) * self.weight[at]
+        return at, w / max(np.sqrt(w @ w), 1e-300)
 
-    def nearest(self, queries: list[dict[int, int]], k: int = NEAREST) -> list[list[tuple[float, int]]]:
+    def nearest(self, queries: list[Counts], k: int = NEAREST) -> list[list[tuple[float, int]]]:
         """Of each query: (similarity, example) of the k nearest with any similarity; equals go to the lower number."""
         out = []
         for start in range(0, len(queries), QUERIES):
@@ -168,7 +179,7 @@ class Index:
         w = np.array([s * s for s, _ in near])
         return float(w @ self.labels[[i for _, i in near]] / w.sum())
 
-    def score(self, queries: list[dict[int, int]]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def score(self, queries: list[Counts]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Of each query: score and neighbours."""
         found = self.nearest(queries) if self.examples else [[]] * len(queries)
         shares = np.array([self.votes(near) if near else 0.0 for near in found])
@@ -193,8 +204,9 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, terms: int, text: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(terms + 1, np.int64)  # the last: documents
         for batch in sliced(batches):
-            for t in batch.column(0).to_pylist():
-                found[[*vocabulary.counts(t or ""), terms]] += 1
+            for at, _ in vocabulary.counts(batch.column(0)):
+                found[at] += 1
+            found[terms] += batch.num_rows
         at = [i for i in range(0, terms + 1, CHUNK) if found[i : i + CHUNK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([found[i : i + CHUNK].astype("<i8").tobytes() for i in at], pa.binary())], names=["at", "n"])
 
@@ -229,13 +241,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [terms_of(t) for t in batch.column(1).to_pylist()]
+            found = terms_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
 
     got = own.select("__id", "__text", "__toxic").mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms array<string>, counts array<int>").collect()
     terms = sorted({t for r in got for t in r["terms"]})
     number = {t: i for i, t in enumerate(terms)}
-    examples = sorted(((r["id"], int(r["toxic"] == 1), dict(zip((number[t] for t in r["terms"]), r["counts"]))) for r in got), key=lambda e: (e[0], sorted(e[2].items())))
+    examples = []
+    for r in sorted(got, key=lambda r: r["id"]):
+        found = sorted(zip((number[t] for t in r["terms"]), r["counts"]))
+        examples.append((r["id"], int(r["toxic"] == 1), (np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.int64))))
     vocabulary = Vocabulary(terms)
     df, documents = frequencies(docs, vocabulary, len(terms), text)
     index = Index(df, documents, examples)
@@ -267,7 +282,7 @@ def score(docs: DataFrame, trained: tuple[Vocabulary, Index], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = index.score([vocabulary.counts(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()])
+            found = index.score(vocabulary.counts(batch.column(batch.num_columns - 1)))
             columns = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64())]
             if evidence:
                 columns.append(pa.array([[{"id": index.ids[i], "label": int(index.labels[i]), "similarity": s} for s, i in near] for _, near in found], kind))

@@ -226,17 +226,31 @@ def test_toxicity(spark, docs, empty):
     assert all(r["score"] < 0.7 for r in toxicity.score(docs, untrained).collect()) and toxicity.score(docs, trained).count() == docs.count()
 
 
+def test_toxicity_counts_terms(spark):
+    texts = [None, "", "a-b, Réêou RÉÊOU x1y abcdefg abcdefgh", "abcd " * 3, "nothing known"]
+    terms = sorted({t for x in toxicity.terms_of(pa.array(texts[:4])) for t in x})
+    assert terms == sorted(["a", "b", "x", "y", "réêou", "abcd", "abcdefg", "abcdefgh", "^abc", "^abcde", "^réê"])
+    got = toxicity.Vocabulary(terms).counts(pa.array(texts).slice(1))
+    want = toxicity.terms_of(pa.array(texts[1:]))
+    assert [{terms[i]: c for i, c in zip(at, n)} for at, n in got] == [{t: c for t, c in w.items() if t in terms} for w in want]
+
+
 @pytest.mark.parametrize("common", [1, 16, 10**9])
 def test_toxicity_neighbours_are_exact(common, monkeypatch):
     """Blocks, columns and posting lists against every cosine."""
     monkeypatch.setattr(toxicity, "COMMON", common)
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     r = np.random.default_rng(4)
-    draw = lambda: {int(t): int(r.integers(1, 4)) for t in set((r.zipf(1.3, 30) % 400).tolist())}
-    examples = [(i, int(i % 7 == 0), draw()) for i in range(150)] + [(200 + i, 0, {}) for i in range(3)]
-    df = np.bincount([t for _, _, e in examples for t in e], minlength=401)
+    none = np.zeros(0, np.int64)
+
+    def draw():
+        at = np.unique(r.zipf(1.3, 30) % 400)
+        return at, r.integers(1, 4, len(at))
+
+    examples = [(i, int(i % 7 == 0), draw()) for i in range(150)] + [(200 + i, 0, (none, none)) for i in range(3)]
+    df = np.bincount(np.concatenate([e[0] for _, _, e in examples]), minlength=401)
     index = toxicity.Index(df, len(examples), examples)
-    queries = [draw() for _ in range(90)] + [{}, {400: 1}]
+    queries = [draw() for _ in range(90)] + [(none, none), (np.array([400]), np.array([1]))]
     for q, near in zip(queries, index.nearest(queries), strict=True):
         at, w = index.vector(q)
         ask = np.zeros(401)
