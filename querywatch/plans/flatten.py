@@ -1,59 +1,184 @@
-"""Plan documents (JSON) to nodes, warnings, summaries and fingerprints."""
+"""Plan documents (JSON) to nodes, warnings, summaries and fingerprints.
+
+Plans nest without a fixed schema or depth, so one streamed pass over each document finds what is needed of it:
+a row per plan with its head and the array of its nodes. Everything after that is DataFrame functions.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import json
+from collections.abc import Iterator
 
-#: Depth of the walk, and the share and rows below which a filter is reported.
-DEEPEST, LOW_FILTERED, LOW_FILTERED_ROWS = 64, 10.0, 1000
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from querywatch.functions import query_text
 
-def plan_nodes(plans: DataFrame) -> DataFrame:
-    """A row per object with a table_name: plan_id, path (pre-order), depth, role and estimates.
-
-    The walk goes level by level; it stops when a level holds no object or array.
-    """
-    level = plans.select("plan_id", F.try_parse_json("plan_json").alias("v"), F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("root").alias("role"), F.lit(False).alias("item"))
-    spark, found = plans.sparkSession, None
-    for _ in range(DEEPEST):
-        text = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
-        here = level.filter(text("table_name", "string").isNotNull()).select(
-            "plan_id", "path", "depth", "role", text("table_name", "string").alias("table_name"), text("access_type", "string").alias("access_type"), text("key", "string").alias("key"),
-            text("rows_examined_per_scan", "bigint").alias("rows_examined"), text("filtered", "double").alias("filtered"), F.coalesce(text("cost_info.prefix_cost", "double"), text("cost", "double")).alias("cost"),
-        )
-        found = here if found is None else found.unionByName(here)
-        level.createOrReplaceTempView("__plan_level")
-        level = spark.sql("""
-            SELECT plan_id, value AS v, concat(path, '/', lpad(CAST(pos AS STRING), 6, '0')) AS path, depth + IF(item, 0, 1) AS depth,
-                   IF(key IS NULL, role, key) AS role, key IS NULL AS item
-            FROM __plan_level, LATERAL variant_explode_outer(v) AS t(pos, key, value)
-            WHERE schema_of_variant(value) LIKE 'OBJECT%' OR schema_of_variant(value) LIKE 'ARRAY%'""")
-        if level.limit(1).count() == 0:
-            break
-    return found
-
-
-def plan_warnings(nodes: DataFrame) -> DataFrame:
+#: Depth of the walk, the share and rows below which a filter is reported, and names that are no tables.
+DEEPEST, LOW_FILTERED, LOW_FILTERED_ROWS = 64, 10.0, 1000
+PSEUDO = ("<derived", "<union", "<subquery", "<temporary")
+
+TEXTS = ("table_name", "access_type", "key", "attached_condition", "message")
+LISTS = ("possible_keys", "used_key_parts")
+FLAGS = ("using_filesort", "using_temporary_table", "using_index")
+NODE = pa.struct(
+    [("path", pa.string()), ("depth", pa.int32()), ("role", pa.string()), *((k, pa.string()) for k in TEXTS), *((k, pa.list_(pa.string())) for k in LISTS), *((k, pa.bool_()) for k in FLAGS),
+     ("rows_examined", pa.int64()), ("rows_produced", pa.int64()), ("filtered", pa.float64()), ("cost", pa.float64())]
+)
+HEAD = [("format", pa.string()), ("query_cost", pa.float64()), ("filesort", pa.bool_()), ("temporary_table", pa.bool_()), ("nodes", pa.list_(NODE))]
+SCHEMA = """format string, query_cost double, filesort boolean, temporary_table boolean, nodes array<struct<path string, depth int, role string,
+table_name string, access_type string, key string, attached_condition string, message string, possible_keys array<string>, used_key_parts array<string>,
+using_filesort boolean, using_temporary_table boolean, using_index boolean, rows_examined bigint, rows_produced bigint, filtered double, cost double>>"""
+
+
+def _number(v) -> float | None:
+    """Numbers come as such or as text."""
+    try:
+        return None if v is None or isinstance(v, (bool, dict, list)) else float(v)
+    except ValueError:
+        return None
+
+
+def _at(v, *keys: str):
+    for k in keys:
+        v = v.get(k) if isinstance(v, dict) else None
+    return v
+
+
+def _true(v) -> bool:
+    return v is True or isinstance(v, str) and v.lower() == "true"
+
+
+def _objects(v, path: str = "", depth: int = 0, role: str = "root") -> Iterator[tuple[dict, str, int, str]]:
+    """Every object in pre-order, keys in sorted order; array items have their array's depth and role."""
+    if isinstance(v, dict):
+        yield v, path, depth, role
+        for i, k in enumerate(sorted(v)):
+            if isinstance(v[k], (dict, list)):
+                yield from _objects(v[k], f"{path}/{i:06d}", depth + 1, k)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from _objects(x, f"{path}/{i:06d}", depth, role)
+
+
+def _node(v: dict, path: str, depth: int, role: str) -> dict:
+    whole = lambda k: None if (x := _number(v.get(k))) is None else int(max(0.0, x))
+    listed = lambda x: [x] if isinstance(x, str) else [y for y in x if isinstance(y, str)] if isinstance(x, list) else []
+    out = {"path": path, "depth": depth, "role": role} | {k: v[k] if isinstance(v.get(k), str) else None for k in TEXTS}
+    out |= {k: listed(v.get(k)) for k in LISTS} | {k: _true(v.get(k)) for k in FLAGS}
+    cost = _number(_at(v, "cost_info", "prefix_cost"))
+    return out | {"rows_examined": whole("rows_examined_per_scan"), "rows_produced": whole("rows_produced_per_join"), "filtered": _number(v.get("filtered")), "cost": _number(v.get("cost")) if cost is None else cost}
+
+
+def _cost(v: dict) -> float | None:
+    cost = _number(_at(v, "cost_info", "query_cost"))
+    return _number(v.get("estimated_total_cost")) if cost is None else cost
+
+
+def _plan(text: str | None) -> dict | None:
+    """Head and nodes of one document; None if it is no plan."""
+    try:
+        doc = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(doc, dict):
+        return None
+    kind = "v1" if "query_block" in doc else "v2" if {"query_plan", "inputs", "operation"} & doc.keys() else "unknown"
+    objects = list(_objects(doc))
+    nodes = [_node(*o) for o in objects if "table_name" in o[0] and o[2] <= DEEPEST]
+    if kind == "unknown" and not nodes:
+        return None
+    first = _number(_at(doc.get("query_block", doc), "cost_info", "query_cost"))
+    first = _number(_at(doc.get("query_plan", doc), "estimated_total_cost")) if first is None else first
+    found = [c for o in objects if (c := _cost(o[0])) is not None]
+    flags = {name: any(_true(o[0].get(key)) for o in objects) for name, key in (("filesort", "using_filesort"), ("temporary_table", "using_temporary_table"))}
+    return {"format": kind, "query_cost": max(found, default=None) if first is None else first, "nodes": nodes} | flags
+
+
+def parse_plans(plans: DataFrame, keep: tuple[str, ...] = ("plan_id",)) -> DataFrame:
+    """A row per plan: the columns ``keep``, format (v1, v2, unknown), query_cost (the root's, else the largest), whether anything in it sorts
+    or needs a temporary table, and its nodes. What is no JSON object, or has neither a known root nor a node, gives no row."""
+    kept = plans.select(*keep).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_plan(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            own = [pa.array([x[name] for x in found if x], kind) for name, kind in HEAD]
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), *own], names=[*batch.schema.names[:-1], *(name for name, _ in HEAD)])
+
+    return plans.select(*keep, "plan_json").mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields), SCHEMA]))
+
+
+def plan_nodes(parsed: DataFrame) -> DataFrame:
+    """A row per object with a table_name, in pre-order by path."""
+    return parsed.select("plan_id", F.explode("nodes").alias("node")).select("plan_id", "node.*")
+
+
+def real_table(name: Column) -> Column:
+    known = F.lit(False)
+    for p in PSEUDO:
+        known = known | name.startswith(p)
+    return name.isNotNull() & ~known
+
+
+def plan_warnings(parsed: DataFrame) -> DataFrame:
+    """plan_id, table_name, warning. Sorting and temporary tables are reported once for a plan, without a table."""
+    n, empty = (lambda c: F.col(f"node.{c}")), F.lit(None).cast("string")
     rules = F.array(
-        F.when(F.col("access_type") == "ALL", "full_scan"), F.when(F.col("access_type") == "index", "full_index_scan"), F.when(F.col("key").isNull(), "no_index"),
-        F.when((F.col("filtered") < LOW_FILTERED) & (F.col("rows_examined") >= LOW_FILTERED_ROWS), "low_filtered"),
+        F.when(n("access_type") == "ALL", "full_scan"), F.when(n("access_type") == "index", "full_index_scan"),
+        F.when(n("key").isNull() & ~F.coalesce(n("access_type") == "system", F.lit(False)), "no_index"), F.when((n("access_type") == "ALL") & (F.size(n("possible_keys")) == 0), "no_possible_keys"),
+        F.when((n("filtered") < LOW_FILTERED) & (n("rows_examined") >= LOW_FILTERED_ROWS), "low_filtered"),
     )
-    return nodes.select("plan_id", "table_name", F.explode(F.array_compact(rules)).alias("warning"))
+    tables = parsed.select("plan_id", F.explode("nodes").alias("node")).filter(real_table(n("table_name"))).select("plan_id", n("table_name").alias("table_name"), F.explode(F.array_compact(rules)).alias("warning"))
+    whole = F.array_compact(F.array(F.when(F.col("filesort"), "filesort"), F.when(F.col("temporary_table"), "temporary_table")))
+    return tables.unionByName(parsed.select("plan_id", empty.alias("table_name"), F.explode(whole).alias("warning")))
+
+
+def fingerprint(nodes: Column) -> Column:
+    """Hash of how tables are reached; rows, costs and filters do not count."""
+    or_dash = lambda c: F.coalesce(c, F.lit("-"))
+    flag = lambda c, text: F.when(c, text).otherwise("")
+    line = lambda n: F.concat(
+        n["depth"].cast("string"), F.lit("|"), n["role"], F.lit("|"), or_dash(n["table_name"]), F.lit("|"), or_dash(n["access_type"]), F.lit("|"), or_dash(n["key"]), F.lit("|"),
+        F.array_join(n["used_key_parts"], ","), flag(n["using_filesort"], "|fs"), flag(n["using_temporary_table"], "|tmp"), F.lit("\n"))
+    return F.substring(F.sha2(F.array_join(F.transform(nodes, line), ""), 256), 1, 16)
+
+
+def schema_hints(nodes: Column) -> Column:
+    """(schema, table) of the three-part names in the conditions, in order."""
+
+    def of(condition: Column) -> Column:
+        words = F.transform(F.split(query_text.canonical(F.coalesce(condition, F.lit(""))), " "), lambda w: F.regexp_replace(w, r"^[(),]+|[(),]+$", ""))
+        plain = lambda w: w.rlike(r"^[\p{L}\p{N}_$]+$")
+        at = lambda w, i: F.get(w, i)
+        found = lambda w, i: F.when((at(w, i + 1) == ".") & (at(w, i + 3) == ".") & at(w, i + 4).isNotNull() & plain(at(w, i)) & plain(at(w, i + 2)), F.struct(at(w, i).alias("schema"), at(w, i + 2).alias("table")))
+        return F.transform(F.array(words), lambda w: F.array_compact(F.transform(w, lambda _, i: found(w, i))))[0]
+
+    return F.flatten(F.transform(nodes, lambda n: of(n["attached_condition"])))
+
+
+def plan_tables(nodes: Column, default_schema: str | None = None) -> Column:
+    """Sorted distinct schema.table of the real tables: schema by the first condition that names the table, else the default one."""
+    hints = lambda h, t: F.get(F.filter(h, lambda x: x["table"] == t), F.lit(0))["schema"]
+    named = lambda h: F.transform(F.filter(nodes, lambda n: real_table(n["table_name"])), lambda n: F.concat_ws(".", F.coalesce(hints(h, n["table_name"]), F.lit(default_schema)), n["table_name"]))
+    return F.array_sort(F.array_distinct(F.transform(F.array(schema_hints(nodes)), named)[0]))
 
 
-def plan_summary(nodes: DataFrame) -> DataFrame:
-    """Nodes, rows, cost and the shape's fingerprint (estimates left out)."""
-    line = F.concat_ws("|", F.col("depth").cast("string"), "role", "table_name", F.coalesce("access_type", F.lit("")), F.coalesce("key", F.lit("")))
-    shape = F.array_join(F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))["line"], "\n")
-    return nodes.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("rows_examined").alias("max_rows_examined"), F.max("cost").alias("cost"), F.substring(F.sha2(shape, 256), 1, 16).alias("fingerprint"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("table_name").startswith("<"), F.col("table_name")))), ",").alias("tables"),
+def plan_summary(parsed: DataFrame, default_schema: str | None = None) -> DataFrame:
+    """Format, nodes, rows, cost, the shape's fingerprint and the tables of each plan."""
+    nodes = parsed["nodes"]
+    return parsed.select(
+        "plan_id", "format", F.size(nodes).cast("bigint").alias("nodes"), F.array_max(F.transform(nodes, lambda n: n["rows_examined"])).alias("max_rows_examined"), F.col("query_cost").alias("cost"),
+        fingerprint(nodes).alias("fingerprint"), F.array_join(plan_tables(nodes, default_schema), ",").alias("tables"),
     )
 
 
 def plan_change(summaries: DataFrame) -> DataFrame:
-    """Digests whose plan shape changed (columns app_digest, fingerprint)."""
-    return summaries.groupBy("app_digest").agg(F.count_distinct("fingerprint").alias("shapes"), F.count(F.lit(1)).alias("plans"))
+    """Shapes and plans of each digest, and when each digest was first and last seen (columns app_digest, fingerprint, seen_ms)."""
+    return summaries.groupBy("app_digest").agg(
+        F.count_distinct("fingerprint").alias("shapes"), F.count(F.lit(1)).alias("plans"), F.min("seen_ms").alias("first_seen_ms"), F.max("seen_ms").alias("last_seen_ms")
+    )
 
 
 def plan_cost_share(nodes: DataFrame) -> DataFrame:

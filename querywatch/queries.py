@@ -307,33 +307,71 @@ def g1(spark, sf_dir):
 
 
 def plan_documents(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """A plan for each order: three of four nested (a sort over a join with a materialised sub-query), the others in the second format."""
     o = table(spark, sf_dir, "orders").withColumn("plan_id", F.col("o_orderkey"))
-    node = F.struct(F.lit("orders").alias("table_name"), F.when(F.col("plan_id") % 3 == 0, "ALL").otherwise("ref").alias("access_type"), F.when(F.col("plan_id") % 3 != 0, "PRIMARY").alias("key"), (F.col("plan_id") % 5000).alias("rows_examined_per_scan"), F.lit(5.0).alias("filtered"), F.round(F.col("o_totalprice"), 2).alias("cost"))
-    inner = F.struct(F.lit("lineitem").alias("table_name"), F.lit("index").alias("access_type"), F.lit("k").alias("key"), F.lit(10).cast("bigint").alias("rows_examined_per_scan"), F.lit(100.0).alias("filtered"), F.lit(1.0).cast("double").alias("cost"))
-    doc = F.to_json(F.struct(F.struct(F.array(F.struct(node.alias("table")), F.struct(inner.alias("table"))).alias("nested_loop")).alias("query_block")))
-    return o.select("plan_id", F.concat(F.lit("d"), (F.col("plan_id") % 50).cast("string")).alias("app_digest"), doc.alias("plan_json"))
+    k, lit, price = F.col("plan_id"), F.lit, F.round(F.col("o_totalprice"), 2)
+    never = lambda c: F.when(lit(False), c)  # noqa: E731  absent here, but of that type
+
+    def node(name, access, key, keys, parts, rows, filtered, cost, total, condition, **below):
+        fields = {"table_name": lit(name), "access_type": access, "key": key, "possible_keys": keys, "used_key_parts": parts, "rows_examined_per_scan": rows, "filtered": filtered, "attached_condition": condition}
+        fields["cost_info"] = F.struct(cost.cast("string").alias("prefix_cost"), total.cast("string").alias("query_cost"))
+        return F.struct(*[v.cast("array<string>" if n.endswith(("keys", "parts")) else "bigint" if n.startswith("rows") else "string").alias(n) if n != "cost_info" else v.alias(n) for n, v in fields.items()], *[v.alias(n) for n, v in below.items()])
+
+    no = lit(None)
+    of_orders = (F.when(k % 3 == 0, "ALL").otherwise("ref"), F.when(k % 3 != 0, "PRIMARY"), F.when((k % 3 != 0) | (k % 2 == 0), F.array(lit("PRIMARY"))), F.when(k % 3 != 0, F.array(lit("a"), lit("b"))),
+                 k % 5000, F.when(k % 2 == 0, "5.00").otherwise("50.0"), price, no)
+    of_items = (lit("index"), lit("k"), no, no, lit(10), lit(100), lit("1.00"), lit("77.50"), no)
+    part = F.struct(lit(True).alias("using_temporary_table"), F.struct(node("lineitem", *of_items).alias("table")).alias("query_block"))
+    derived = node("<derived2>", lit("ALL"), no, no, no, lit(2), no, no, no, no, materialized_from_subquery=part)
+    orders = node("orders", *of_orders, lit("(`shop`.`orders`.`o_id` > 5)"), materialized_from_subquery=never(part))
+    sort = F.struct((k % 3 == 0).alias("using_filesort"), F.array(F.struct(orders.alias("table")), F.struct(derived.alias("table"))).alias("nested_loop"))
+    first = F.struct(F.struct(F.when(k % 4 != 2, F.struct(price.alias("query_cost"))).alias("cost_info"), sort.alias("ordering_operation")).alias("query_block"))
+    region = F.array(node("region", lit("system"), *[no] * 8))
+    second = F.struct(lit("Nested loop inner join").alias("operation"), price.alias("estimated_total_cost"), F.array(node("orders", *of_orders, no, inputs=region), node("lineitem", *of_items, inputs=never(region))).alias("inputs"))
+    doc = F.when(k % 4 == 3, F.to_json(second)).otherwise(F.to_json(first))
+    return o.select("plan_id", F.concat(lit("d"), (k % 50).cast("string")).alias("app_digest"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("seen_ms"), doc.alias("plan_json"))
+
+
+PLANS_SQL = """WITH o AS (SELECT o_orderkey AS plan_id, o_orderkey % 4 = 3 AS v2, CASE WHEN o_orderkey % 3 = 0 THEN 'ALL' ELSE 'ref' END AS access, CASE WHEN o_orderkey % 3 <> 0 THEN 'PRIMARY' END AS key, o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 AS bare,
+ CASE WHEN o_orderkey % 2 = 0 THEN 5.0 ELSE 50.0 END AS filtered, round(o_totalprice, 2) AS price, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS seen_ms FROM orders),
+n AS (SELECT plan_id, v2, 'orders' AS table_name, access AS access_type, key, bare, plan_id % 5000 AS rows_examined, filtered, price AS cost, NULL AS parent, 0 AS indent FROM o
+UNION ALL SELECT plan_id, v2, 'lineitem', 'index', 'k', true, 10, 100.0, 1.0, CASE WHEN NOT v2 THEN '<derived2>' END, CAST(NOT v2 AS INT) FROM o
+UNION ALL SELECT plan_id, v2, '<derived2>', 'ALL', NULL, true, 2, NULL, NULL, NULL, 0 FROM o WHERE NOT v2
+UNION ALL SELECT plan_id, v2, 'region', 'system', NULL, true, NULL, NULL, NULL, 'orders', 1 FROM o WHERE v2),
+shape AS (SELECT *, CASE WHEN v2 THEN '1|inputs|orders|' || access || '|' || coalesce(key || '|a,b', '-|') || chr(10) || '2|inputs|region|system|-|' || chr(10) || '1|inputs|lineitem|index|k|' || chr(10)
+ ELSE '4|table|orders|' || access || '|' || coalesce(key || '|a,b', '-|') || chr(10) || '4|table|<derived2>|ALL|-|' || chr(10) || '7|table|lineitem|index|k|' || chr(10) END AS text FROM o)
+"""
+
 
+@query("h3_plan_warnings", PLANS_SQL + """SELECT plan_id, table_name, unnest([x FOR x IN [CASE WHEN access_type = 'ALL' THEN 'full_scan' END, CASE WHEN access_type = 'index' THEN 'full_index_scan' END, CASE WHEN key IS NULL AND access_type <> 'system' THEN 'no_index' END,
+ CASE WHEN bare AND access_type = 'ALL' THEN 'no_possible_keys' END, CASE WHEN filtered < 10 AND rows_examined >= 1000 THEN 'low_filtered' END] IF x IS NOT NULL]) AS warning FROM n WHERE table_name <> '<derived2>'
+UNION ALL SELECT plan_id, NULL, 'filesort' FROM o WHERE NOT v2 AND plan_id % 3 = 0 UNION ALL SELECT plan_id, NULL, 'temporary_table' FROM o WHERE NOT v2""")
+def h3(spark, sf_dir):
+    return flatten.plan_warnings(flatten.parse_plans(plan_documents(spark, sf_dir)))
 
-PLANS_SQL = """WITH n AS (SELECT o_orderkey AS plan_id, '000/0' AS p, 'orders' AS table_name, CASE WHEN o_orderkey % 3 = 0 THEN 'ALL' ELSE 'ref' END AS access_type, CASE WHEN o_orderkey % 3 <> 0 THEN 'PRIMARY' END AS key, o_orderkey % 5000 AS rows_examined, 5.0 AS filtered, round(o_totalprice, 2) AS cost FROM orders
-UNION ALL SELECT o_orderkey, '000/1', 'lineitem', 'index', 'k', 10, 100.0, 1.0 FROM orders)"""
 
+@query("h1_plan_nodes", PLANS_SQL + """SELECT plan_id, CASE WHEN table_name = 'lineitem' THEN CASE WHEN v2 THEN 1 ELSE 7 END WHEN table_name = 'region' THEN 2 WHEN v2 THEN 1 ELSE 4 END AS depth, CASE WHEN v2 THEN 'inputs' ELSE 'table' END AS role, table_name, access_type, key,
+ CASE WHEN bare THEN 0 ELSE 1 END AS possible_keys, CAST(rows_examined AS BIGINT) AS rows_examined, CAST(filtered AS DOUBLE) AS filtered, CAST(cost AS DOUBLE) AS cost FROM n""")
+def h1(spark, sf_dir):
+    nodes = flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir)))
+    return nodes.select("plan_id", "depth", "role", "table_name", "access_type", "key", F.size("possible_keys").alias("possible_keys"), "rows_examined", "filtered", "cost")
 
-@query("h3_plan_warnings", PLANS_SQL + "SELECT plan_id, table_name, unnest([x FOR x IN [CASE WHEN access_type = 'ALL' THEN 'full_scan' END, CASE WHEN access_type = 'index' THEN 'full_index_scan' END, CASE WHEN key IS NULL THEN 'no_index' END, CASE WHEN filtered < 10 AND rows_examined >= 1000 THEN 'low_filtered' END] IF x IS NOT NULL]) AS warning FROM n")
-def h3(spark, sf_dir):
-    return flatten.plan_warnings(flatten.plan_nodes(plan_documents(spark, sf_dir)))
+
+@query("h2_plan_format", PLANS_SQL + "SELECT CASE WHEN v2 THEN 'v2' ELSE 'v1' END AS format, count(*) AS plans FROM o GROUP BY 1")
+def h2(spark, sf_dir):
+    return flatten.parse_plans(plan_documents(spark, sf_dir)).groupBy("format").agg(F.count(F.lit(1)).alias("plans"))
 
 
-@query("d16_plan_summary", PLANS_SQL + "SELECT plan_id, count(*) AS nodes, CAST(max(rows_examined) AS BIGINT) AS max_rows_examined, CAST(max(cost) AS DOUBLE) AS cost, 'lineitem,orders' AS tables FROM n GROUP BY 1")
+@query("d16_plan_summary", PLANS_SQL + """SELECT plan_id, CASE WHEN v2 THEN 'v2' ELSE 'v1' END AS format, CAST(3 AS BIGINT) AS nodes, CAST(greatest(plan_id % 5000, 10) AS BIGINT) AS max_rows_examined, CAST(CASE WHEN plan_id % 4 = 2 THEN 77.5 ELSE price END AS DOUBLE) AS cost,
+ substr(sha256(text), 1, 16) AS fingerprint, CASE WHEN v2 THEN 'main.lineitem,main.orders,main.region' ELSE 'main.lineitem,shop.orders' END AS tables FROM shape""")
 def d16(spark, sf_dir):
-    return flatten.plan_summary(flatten.plan_nodes(plan_documents(spark, sf_dir))).drop("fingerprint")
+    return flatten.plan_summary(flatten.parse_plans(plan_documents(spark, sf_dir)), "main")
 
 
-@query("h10_plan_change", "SELECT 'd' || (o_orderkey % 50) AS app_digest, count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS shapes, count(*) AS plans FROM orders GROUP BY 1")
+@query("h10_plan_change", PLANS_SQL + "SELECT 'd' || (plan_id % 50) AS app_digest, count(DISTINCT text) AS shapes, count(*) AS plans, min(seen_ms) AS first_seen_ms, max(seen_ms) AS last_seen_ms FROM shape GROUP BY 1")
 def h10(spark, sf_dir):
-    docs = plan_documents(spark, sf_dir)
-    return flatten.plan_change(flatten.plan_summary(flatten.plan_nodes(docs)).join(docs.select("plan_id", "app_digest"), "plan_id"))
+    parsed = flatten.parse_plans(plan_documents(spark, sf_dir), ("plan_id", "app_digest", "seen_ms"))
+    return flatten.plan_change(parsed.select("app_digest", "seen_ms", flatten.fingerprint(F.col("nodes")).alias("fingerprint")))
 
 
 @query("e4_track_executions")

@@ -237,13 +237,14 @@ def c9(spark, sf_dir):
     return inventory.fleet_table(instances, catalog, counters.latest_value(p))
 
 
-@query("c10_resolve_tables", "SELECT o_orderkey AS plan_id, CASE o_orderkey % 3 WHEN 0 THEN 'crm.lineitem,shop.orders' WHEN 1 THEN 'shop.items,shop.orders' ELSE 'shop.lineitem,shop.orders' END AS tables FROM orders")
+@query("c10_resolve_tables", "SELECT o_orderkey AS plan_id, CASE o_orderkey % 3 WHEN 0 THEN 'crm.lineitem,shop.orders' WHEN 1 THEN 'shop.items,shop.orders' ELSE 'shop.lineitem,shop.orders' END || CASE WHEN o_orderkey % 4 = 3 THEN ',shop.region' ELSE '' END AS tables FROM orders")
 def c10(spark, sf_dir):
     docs = plan_documents(spark, sf_dir)
     k = F.col("plan_id")
     ref = F.struct(F.when(k % 3 == 0, "crm").alias("schema_name"), F.when(k % 3 == 1, "items").otherwise("lineitem").alias("table_name"), F.when(k % 3 == 1, "lineitem").alias("alias"))
     refs = docs.filter(k % 3 != 2).select("plan_id", ref.alias("r")).select("plan_id", "r.*")
-    return flatten.resolve_tables(flatten.plan_nodes(docs).select("plan_id", "table_name"), refs, "shop")
+    nodes = flatten.plan_nodes(flatten.parse_plans(docs)).filter(flatten.real_table(F.col("table_name")))
+    return flatten.resolve_tables(nodes.select("plan_id", "table_name"), refs, "shop")
 
 
 @query("d15_freshness", with_executions("SELECT min(m) AS oldest_success_ms, count(*) AS instances FROM (SELECT instance_id, max(started_at_ms) AS m FROM executions WHERE instance_id IN (SELECT 'inst-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) GROUP BY 1)"))
@@ -260,7 +261,7 @@ def e3(spark, sf_dir):
 
 @query("e7_plan_cost_share", PLANS_SQL + "SELECT plan_id, table_name, CASE WHEN max(cost) OVER w > 0 THEN round(cost * 100 / max(cost) OVER w, 6) END AS cost_share FROM n WINDOW w AS (PARTITION BY plan_id)")
 def e7(spark, sf_dir):
-    return flatten.plan_cost_share(flatten.plan_nodes(plan_documents(spark, sf_dir))).select("plan_id", "table_name", "cost_share")
+    return flatten.plan_cost_share(flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir)))).select("plan_id", "table_name", "cost_share")
 
 
 PROBE_SQL = with_executions(""", t AS (SELECT event_id, instance_id, started_at_ms // 86400000 AS tick, duration_ms, event_id % 2 = 0 AS wants, event_id % 3 <> 0 AS has_key FROM executions),
@@ -293,6 +294,6 @@ def g6(spark, sf_dir):
     return capture.stored_sql(e.withColumn("mask_ok", query_text.mask_ok(F.col("canonical")))).select("event_id", "stored_sql", "masking_degraded")
 
 
-@query("h8_plan_graph", "SELECT o_orderkey AS plan_id, unnest(['orders', 'lineitem']) AS table_name, CAST(NULL AS VARCHAR) AS parent, 0 AS indent FROM orders")
+@query("h8_plan_graph", PLANS_SQL + "SELECT plan_id, table_name, parent, indent FROM n")
 def h8(spark, sf_dir):
-    return flatten.plan_graph(flatten.plan_nodes(plan_documents(spark, sf_dir))).select("plan_id", "table_name", "parent", "indent")
+    return flatten.plan_graph(flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir)))).select("plan_id", "table_name", "parent", "indent")

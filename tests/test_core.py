@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -112,16 +113,40 @@ def test_slowlog_keeps_forged_headers_inside_their_statement(spark, tmp_path):
 def test_plan_shape_ignores_estimates(spark):
     doc = lambda rows, key: '{"query_block": {"nested_loop": [{"table": {"table_name": "a", "access_type": "ref", "key": "%s", "rows_examined_per_scan": %d}}]}}' % (key, rows)
     df = spark.createDataFrame([(1, doc(5, "k")), (2, doc(9, "k")), (3, doc(5, "z")), (4, "not json")], "plan_id int, plan_json string")
-    got = {r["plan_id"]: r["fingerprint"] for r in flatten.plan_summary(flatten.plan_nodes(df)).collect()}
+    got = {r["plan_id"]: r["fingerprint"] for r in flatten.plan_summary(flatten.parse_plans(df)).collect()}
     assert got[1] == got[2] != got[3] and 4 not in got
 
 
 def test_plan_graph_links_a_node_to_its_nearest_ancestor(spark):
     doc = '{"query_block": {"table": {"table_name": "a", "materialized": {"table": {"table_name": "b"}}}}}'
-    got = {r.table_name: (r.parent, r.indent) for r in flatten.plan_graph(flatten.plan_nodes(spark.createDataFrame([(1, doc)], "plan_id int, plan_json string"))).collect()}
+    got = {r.table_name: (r.parent, r.indent) for r in flatten.plan_graph(flatten.plan_nodes(flatten.parse_plans(spark.createDataFrame([(1, doc)], "plan_id int, plan_json string")))).collect()}
     assert got == {"a": (None, 0), "b": ("a", 1)}
 
 
+PLANS = {
+    "nested": """{"query_block": {"cost_info": {"query_cost": "77.50"}, "ordering_operation": {"using_filesort": true, "nested_loop": [
+        {"table": {"table_name": "o", "access_type": "ALL", "rows_examined_per_scan": 5000, "filtered": "3.30", "attached_condition": "(`crm`.`o`.`id` = 7)", "cost_info": {"prefix_cost": "90.00"}}},
+        {"table": {"table_name": "<derived2>", "access_type": "ALL", "materialized_from_subquery": {"using_temporary_table": "TRUE", "query_block": {"cost_info": {"query_cost": 200}, "table":
+            {"table_name": "s", "access_type": "system", "using_filesort": true}}}}}]}}}""",
+    "second": """{"query": "select 1", "inputs": [{"operation": "Sort", "estimated_total_cost": 4.5, "inputs": [{"table_name": "b", "access_type": "index", "key": "k", "possible_keys": "k", "used_key_parts": ["x", 3, "y"], "rows_examined_per_scan": "-2.5"}]}]}""",
+    "tableless": '{"query_plan": {"estimated_total_cost": "3"}}', "other": '{"a": {"table_name": null}}', "list": "[]", "none": '{"a": 1}', "broken": "{", "void": None,
+}
+
+
+def test_plans_by_hand(spark):
+    df = flatten.parse_plans(spark.createDataFrame(list(PLANS.items()), "plan_id string, plan_json string"))
+    got = {r["plan_id"]: r for r in flatten.plan_summary(df, "shop").collect()}
+    assert {k: (r["format"], r["nodes"], r["max_rows_examined"], r["cost"], r["tables"]) for k, r in got.items()} == {
+        "nested": ("v1", 3, 5000, 77.5, "crm.o,shop.s"), "second": ("v2", 1, 0, 4.5, "shop.b"), "tableless": ("v2", 0, None, 3.0, ""), "other": ("unknown", 1, None, None, "")}
+    shape = "4|table|o|ALL|-|\n4|table|<derived2>|ALL|-|\n7|table|s|system|-||fs\n"
+    assert got["nested"]["fingerprint"] == hashlib.sha256(shape.encode()).hexdigest()[:16]
+    assert got["second"]["fingerprint"] == hashlib.sha256(b"2|inputs|b|index|k|x,y\n").hexdigest()[:16]
+    warned = sorted((r["plan_id"], r["table_name"] or "", r["warning"]) for r in flatten.plan_warnings(df).collect())
+    assert warned == [("nested", "", "filesort"), ("nested", "", "temporary_table"), ("nested", "o", "full_scan"), ("nested", "o", "low_filtered"), ("nested", "o", "no_index"), ("nested", "o", "no_possible_keys"), ("second", "b", "full_index_scan")]
+    graph = {r["table_name"]: r["parent"] for r in flatten.plan_graph(flatten.plan_nodes(df)).filter("plan_id = 'nested'").collect()}
+    assert graph == {"o": None, "<derived2>": None, "s": "<derived2>"}
+
+
 def test_stored_sql_degrades_to_none(spark):
     df = spark.createDataFrame([("masked", "c", False), ("masked", "c", True), ("off", "c", True), ("full", "c", False)], "literal_policy string, canonical string, mask_ok boolean").withColumn("sql_text", F.lit("t"))
     assert [(r.stored_sql, r.masking_degraded) for r in capture.stored_sql(df).collect()] == [(None, True), ("c", False), (None, False), ("t", False)]
