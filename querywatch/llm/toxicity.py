@@ -72,11 +72,11 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Numbers of the terms in order, words and beginnings apart."""
 
-    def __init__(self, terms: list[str]):
-        words = [t for t in terms if not t.startswith("^")]
+    def __init__(self, terms: pa.Array):
+        heads = pc.starts_with(terms, "^").to_numpy(zero_copy_only=False)
         self.size = len(terms)
-        self.words, self.heads = pa.array(words, pa.string()), pa.array([t[1:] for t in terms if t.startswith("^")], pa.string())
-        self.number = np.array([i for i, t in enumerate(terms) if not t.startswith("^")] + [i for i, t in enumerate(terms) if t.startswith("^")], np.int64)
+        self.words, self.heads = terms.filter(pa.array(~heads)), pc.utf8_slice_codeunits(terms.filter(pa.array(heads)), 1)
+        self.number = np.concatenate([np.flatnonzero(~heads), np.flatnonzero(heads)])
 
     def numbers(self, words: pa.Array) -> np.ndarray:
         """A row per word: its terms, -1 for none."""
@@ -226,6 +226,20 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, terms: int, text: str =
     return out[:-1], int(out[-1])
 
 
+def _examples(rows: list) -> tuple[pa.Array, list[tuple[int, int, Counts]]]:
+    """All terms in order; of each example its id, label and counts."""
+    counts = [np.frombuffer(r["counts"], "<i4").astype(np.int64) for r in rows]
+    found = pa.concat_arrays([pa.array([], pa.string()), *(pa.array(r["terms"].split("\n") if r["terms"] else [], pa.string()) for r in rows)]).dictionary_encode()
+    order = pc.sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number, ends, out = rank[found.indices.to_numpy()], np.cumsum([0, *map(len, counts)]), []
+    for r, n, a, b in zip(rows, counts, ends, ends[1:]):
+        by = np.argsort(number[a:b])
+        out.append((r["id"], int(r["toxic"] == 1), (number[a:b][by], n[by])))
+    return found.dictionary.take(pa.array(order)), out
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[Vocabulary, Index]:
     """``labels``: doc_id and toxic (0 or 1; null rows are left out, of repeated ids 1 wins), learnable rows only.
 
@@ -242,15 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             found = terms_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "terms", "counts"])
-
-    got = own.select("__id", "__text", "__toxic").mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms array<string>, counts array<int>").collect()
-    terms = sorted({t for r in got for t in r["terms"]})
-    number = {t: i for i, t in enumerate(terms)}
-    examples = []
-    for r in sorted(got, key=lambda r: r["id"]):
-        found = sorted(zip((number[t] for t in r["terms"]), r["counts"]))
-        examples.append((r["id"], int(r["toxic"] == 1), (np.array([i for i, _ in found], np.int64), np.array([n for _, n in found], np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(["\n".join(f) for f in found]), pa.array([np.array([*f.values()], "<i4").tobytes() for f in found], pa.binary())], names=["id", "toxic", "terms", "counts"])
+
+    got = own.select("__id", "__text", "__toxic").mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms string, counts binary").collect()
+    terms, examples = _examples(sorted(got, key=lambda r: r["id"]))
     vocabulary = Vocabulary(terms)
     df, documents = frequencies(docs, vocabulary, len(terms), text)
     index = Index(df, documents, examples)

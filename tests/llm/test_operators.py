@@ -230,7 +230,7 @@ def test_toxicity_counts_terms(spark):
     texts = [None, "", "a-b, Réêou RÉÊOU x1y abcdefg abcdefgh", "abcd " * 3, "nothing known"]
     terms = sorted({t for x in toxicity.terms_of(pa.array(texts[:4])) for t in x})
     assert terms == sorted(["a", "b", "x", "y", "réêou", "abcd", "abcdefg", "abcdefgh", "^abc", "^abcde", "^réê"])
-    got = toxicity.Vocabulary(terms).counts(pa.array(texts).slice(1))
+    got = toxicity.Vocabulary(pa.array(terms)).counts(pa.array(texts).slice(1))
     want = toxicity.terms_of(pa.array(texts[1:]))
     assert [{terms[i]: c for i, c in zip(at, n)} for at, n in got] == [{t: c for t, c in w.items() if t in terms} for w in want]
 
