@@ -19,7 +19,7 @@ def placeholder(digest: Column) -> Column:
 def match_same_execution(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each row of ``left`` with its nearest partner in ``right``: same thread, digests that agree, spans that overlap.
 
-    The interval condition becomes an equi-join on buckets of the search window; the right side is in three of them.
+    Spans that only touch are two runs, one after the other. The interval condition becomes an equi-join on buckets of the search window; the right side is in three of them.
     """
     bucket = lambda c: F.floor(F.col(c) / SEARCH_MS)
     a = left.select(*[F.col(c).alias(f"a_{c}") for c in ("event_id", "instance_id", "thread_id", "started_at_ms", "duration_ms", "app_digest")]).withColumn("bucket", bucket("a_started_at_ms"))
@@ -29,7 +29,7 @@ def match_same_execution(left: DataFrame, right: DataFrame) -> DataFrame:
     apart = F.abs(F.col("a_started_at_ms") - F.col("b_started_at_ms"))
     on = (F.col("a_instance_id") == F.col("b_instance_id")) & (F.col("a_thread_id") == F.col("b_thread_id")) & (a["bucket"] == b["bucket"])
     same = (F.col("a_app_digest") == F.col("b_app_digest")) | placeholder(F.col("a_app_digest")) | placeholder(F.col("b_app_digest"))
-    overlap = (F.col("a_started_at_ms") <= end("b")) & (F.col("b_started_at_ms") <= end("a"))
+    overlap = (F.col("a_started_at_ms") < end("b")) & (F.col("b_started_at_ms") < end("a"))
     pairs = a.join(b, on & same & overlap & (apart <= SAME_START_MS))
     return pairs.groupBy(F.col("a_event_id").alias("event_id")).agg(F.min_by("b_event_id", F.struct(apart, "b_event_id")).alias("partner_id"), F.min(apart).alias("apart_ms"))
 
@@ -38,32 +38,111 @@ def state_rank(state: Column) -> Column:
     return F.when(state == "finalized", 2).when(state == "abandoned", 1).otherwise(0)
 
 
+#: Columns that a record takes from its other rows where it has none, and those of them that a process list cannot know.
+FILLED, MEASURED = ("sql_text", "schema_name", "db_user", "abandoned_reason", "lock_wait"), ("rows_examined", "rows_sent", "lock_time_ms")
+
+
 def dedupe_records(df: DataFrame) -> DataFrame:
-    """One row per record id: closed before open, exact before polled, longer before shorter; the count of collapsed rows."""
-    rank = F.struct(state_rank(F.col("state")), (F.col("capture_source") == "slowlog").cast("int"), F.col("duration_ms"), -F.col("event_id"))
-    best = F.max_by(F.struct("event_id", "state", "capture_source", "duration_ms", "app_digest", "sql_text"), rank).alias("best")
-    filled = F.max_by("sql_text", F.when(F.col("sql_text").isNotNull(), rank)).alias("any_sql")
-    out = df.groupBy("record_id").agg(best, filled, (F.count(F.lit(1)) - 1).alias("collapsed"))
-    return out.select("record_id", "best.event_id", "best.state", "best.capture_source", "best.duration_ms", "best.app_digest", F.coalesce("best.sql_text", "any_sql").alias("sql_text"), "collapsed")
+    """One row per record id: closed before open, exact before polled, with a plan before without, longer before shorter (then the lower event_id).
+
+    What it lacks comes from the best other row that has it; measured rows and locks not from process lists. ``collapsed``
+    counts the other rows. Columns that the table does not have are left out.
+    """
+    has_plan = F.col("has_plan").cast("int") if "has_plan" in df.columns else F.lit(0)
+    rank = F.struct(state_rank(F.col("state")), F.col("capture_source").isin("slowlog", "merged").cast("int"), has_plan, F.col("duration_ms"), -F.col("event_id"))
+    own = [c for c in ("event_id", "state", "capture_source", "duration_ms", "app_digest") if c in df.columns]
+    fill = [c for c in (*FILLED, *MEASURED) if c in df.columns]
+    measured = F.col("capture_source") != "processlist"
+    other = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & (measured if c in MEASURED else F.lit(True)), rank))
+    out = df.groupBy("record_id").agg(F.max_by(F.struct(*own, *fill), rank).alias("best"), *[other(c).alias(f"other_{c}") for c in fill], (F.count(F.lit(1)) - 1).alias("collapsed"))
+    return out.select("record_id", *[f"best.{c}" for c in own], *[F.coalesce(f"best.{c}", f"other_{c}").alias(c) for c in fill], "collapsed")
+
+
+#: Orders in which one observation's value goes before another's.
+SOURCES = ("polled", "timer", "span", "slowlog")  # of equal durations, the last
+POLICIES = ("full", "full_restricted", "masked", "off")  # of policies set at one time, the last
+STATEMENTS = ("select", "insert", "update", "delete", "replace", "ddl")  # the first; anything else is a place-holder
+PLAN_SOURCES = ("none", "rerun_as_select", "rerun", "for_connection")  # the last
+
+LEAST = ("record_id", "instance_id", "cluster_id", "env", "engine", "thread_id", "schema_name", "db_user", "db_host", "mysql_digest", "owner_worker", "abandoned_reason", "started_at_ms", "started_at_ms_precise", "captured_at_ms")
+MOST, ANY = ("owner_epoch", "last_seen_at_ms"), ("is_nested", "long_running")
+
+
+def _place(value: Column, names: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*map(F.lit, names)), F.coalesce(value, F.lit(names[0])))
+
+
+def _durations(df: DataFrame, one: Column) -> dict[str, Column]:
+    """A measured duration, else the span to the latest valid end, else the longest seen, with where it is from."""
+    own = F.col("duration_source") if "duration_source" in df.columns else F.when(F.col("capture_source") == "slowlog", "slowlog").otherwise("polled")
+    exact = F.max(F.when(own == "slowlog", F.col("duration_ms")))
+    stop = F.max(F.when(F.col("ended_at_ms") >= F.col("started_at_ms"), F.col("ended_at_ms")))
+    precise = F.min("started_at_ms_precise") if "started_at_ms_precise" in df.columns else F.lit(None).cast("bigint")
+    span = F.coalesce(F.when(stop >= precise, stop - precise), F.when(stop >= F.min("started_at_ms"), stop - F.min("started_at_ms")))
+    longest = F.max(F.struct(F.col("duration_ms").alias("d"), _place(own, SOURCES), own.alias("s")))
+    return {
+        "ended_at_ms": F.when(one, F.max("ended_at_ms")).otherwise(stop),
+        "duration_ms": F.when(one, F.max("duration_ms")).otherwise(F.coalesce(exact, span, longest["d"])),
+        "duration_source": F.when(one, F.max(own)).when(exact.isNotNull(), "slowlog").when(span.isNotNull(), "span").otherwise(longest["s"]),
+    }
+
+
+def _texts(df: DataFrame, one: Column, policy: Column) -> dict[str, Column]:
+    """The longest text that the policy allows, and what is said of it; a text with literals never passes a policy without."""
+    cut, lossy = (F.col(c) if c in df.columns else F.lit(False) for c in ("sql_text_truncated", "sql_text_lossy"))
+    open_ = ("full", "full_restricted")
+
+    def longest(allowed: Column) -> Column:
+        size = -F.octet_length("sql_text")
+        best = lambda v: F.min(F.when(allowed & F.col("sql_text").isNotNull(), F.struct(size, v.alias("v"))))["v"]  # noqa: E731  of equally long texts the least, and flags that all have
+        return F.struct(best(F.col("sql_text")).alias("text"), best(cut).alias("cut"), best(lossy).alias("lossy"))
+
+    kept = F.when(one | policy.isin(*open_), longest(F.lit(True))).when(policy == "masked", longest(~F.col("literal_policy").isin(*open_)))
+    out = {"sql_text": kept["text"], "sql_text_truncated": F.coalesce(kept["cut"], F.lit(False)), "sql_text_lossy": F.coalesce(kept["lossy"], F.lit(False))}
+    return {k: v for k, v in out.items() if k in df.columns}
+
+
+def _plan(fields: list[str]) -> Column:
+    """Field by field from the best source that has it; an error only if the best has no plan."""
+    there = F.col("plan.normalized_json").isNotNull() | F.col("plan.s3_key").isNotNull()
+    rank = F.struct(_place(F.col("plan.source"), PLAN_SOURCES), there, -F.col("captured_at_ms"))
+    best = lambda f: F.max_by(F.col(f"plan.{f}"), F.when(F.col(f"plan.{f}").isNotNull(), rank))
+    special = {"error": F.when(~F.max_by(there, rank), best("error")), "referenced_tables": F.array_sort(F.array_distinct(F.flatten(F.collect_list("plan.referenced_tables"))))}
+    return F.struct(*[special.get(f, best(f)).alias(f) for f in fields])
 
 
 def merge_observations(df: DataFrame, by: str = "execution_id") -> DataFrame:
-    """Field by field, in any order of arrival: earliest start, latest valid end, exact durations first, real digests first.
+    """All observations of an execution as one record, field by field and in any order of arrival.
 
-    A single observation passes through with its own duration.
+    The earliest start, the latest valid end, the policy that was set first (of equals the strictest), the longest text
+    that it allows, real digests and statement types before place-holders, the largest counters, the best plan, the
+    last lock wait. A single observation passes through as it is. Columns that the table does not have are left out.
     """
-    end = F.when(F.col("ended_at_ms") >= F.col("started_at_ms"), F.col("ended_at_ms"))
-    exact = F.max(F.when(F.col("capture_source") == "slowlog", F.col("duration_ms")))
-    start, stop = F.min("started_at_ms"), F.max(end)
-    span = F.when(stop >= start, stop - start)
-    real = F.when(~placeholder(F.col("app_digest")), F.col("app_digest"))
-    one = F.count(F.lit(1)) == 1
-    return df.groupBy(by).agg(
-        start.alias("started_at_ms"), stop.alias("ended_at_ms"), F.when(one, F.max("duration_ms")).otherwise(F.coalesce(exact, span, F.max("duration_ms"))).alias("duration_ms"),
-        F.when(one, F.max(F.when(F.col("capture_source") == "slowlog", "slowlog").otherwise("polled"))).otherwise(F.when(exact.isNotNull(), "slowlog").when(span.isNotNull(), "span").otherwise("polled")).alias("duration_source"),
-        F.max_by("state", state_rank(F.col("state"))).alias("state"), F.coalesce(F.min(real), F.min("app_digest")).alias("app_digest"),
-        F.when(F.count_distinct("capture_source") > 1, "merged").otherwise(F.min("capture_source")).alias("capture_source"), F.count(F.lit(1)).alias("observations"),
-    )
+    has, one = set(df.columns), F.count(F.lit(1)) == 1
+    out = {c: F.min(c) for c in LEAST if c in has} | {c: F.max(c) for c in MOST if c in has} | {c: F.bool_or(c) for c in ANY if c in has}
+    out |= _durations(df, one) | {"state": F.max_by("state", state_rank(F.col("state"))), "capture_source": F.when(F.count_distinct("capture_source") > 1, "merged").otherwise(F.min("capture_source"))}
+    version = F.col("digest_algo_version") if "digest_algo_version" in has else F.lit(0)
+    digest = F.min(F.struct(placeholder(F.col("app_digest")), -version, F.col("app_digest").alias("digest"), version.alias("version")))
+    out |= {"app_digest": digest["digest"]} | ({"digest_algo_version": digest["version"]} if "digest_algo_version" in has else {})
+    if "engine_version" in has:
+        out["engine_version"] = F.coalesce(F.min(F.when(F.col("engine_version") != "", F.col("engine_version"))), F.min("engine_version"))
+    if "statement_type" in has:
+        place = F.array_position(F.array(*map(F.lit, STATEMENTS)), F.col("statement_type"))
+        out["statement_type"] = F.coalesce(F.min_by("statement_type", F.when(place > 0, place)), F.lit("other"))
+    policy = F.lit("full")
+    if "literal_policy" in has:
+        set_first = F.min(F.struct("literal_policy_at_ms", -_place(F.col("literal_policy"), POLICIES), "literal_policy"))
+        policy = set_first["literal_policy"]
+        out |= {"literal_policy": policy, "literal_policy_at_ms": set_first["literal_policy_at_ms"]}
+        out |= _texts(df, one, policy)
+    if "stats" in has:
+        out["stats"] = F.struct(*[F.max(f"stats.{f.name}").alias(f.name) for f in df.schema["stats"].dataType.fields])  # of flags: any
+    if "plan" in has:
+        out["plan"] = _plan(df.schema["plan"].dataType.fieldNames())
+    if "lock_wait" in has:
+        last = F.max("lock_wait")
+        out["lock_wait"] = F.when(last.isNotNull() & (policy == "off"), last.withField("blocking_statements", F.array().cast("array<string>"))).otherwise(last)
+    return df.groupBy(by).agg(*[v.alias(k) for k, v in out.items()], F.count(F.lit(1)).alias("observations"))
 
 
 TWIN = "instance_id string, thread_id bigint, event_id bigint, collapsed bigint"

@@ -209,29 +209,36 @@ def e6(spark, sf_dir):
 def twins(spark, sf_dir):
     e = executions(spark, sf_dir)
     copy = e.filter(F.col("event_id") % 5 == 0).withColumns({
-        "event_id": F.col("event_id") + 1_000_000_000, "started_at_ms": F.col("started_at_ms") + 400, "duration_ms": F.col("duration_ms") + 50,
+        "event_id": F.col("event_id") + 1_000_000_000, "started_at_ms": F.col("started_at_ms") + 400, "duration_ms": F.col("duration_ms") + 50, "db_user": F.concat(F.lit("w"), (F.col("event_id") % 9).cast("string")),
         "app_digest": F.concat(F.lit("unknown-"), F.col("thread_id").cast("string")), "state": F.lit("in_flight"), "capture_source": F.lit("processlist")})
     return e.unionByName(copy)
 
 
-TWINS_SQL = EXECUTIONS_SQL + """, twins AS (SELECT event_id, instance_id, thread_id, started_at_ms, duration_ms, app_digest, state, capture_source, sql_text FROM executions UNION ALL
-SELECT event_id + 1000000000, instance_id, thread_id, started_at_ms + 400, duration_ms + 50, 'unknown-' || thread_id, 'in_flight', 'processlist', sql_text FROM executions WHERE event_id % 5 = 0)"""
+TWINS_SQL = EXECUTIONS_SQL + """, twins AS (SELECT event_id, instance_id, thread_id, started_at_ms, duration_ms, app_digest, state, capture_source, sql_text, db_user, rows_examined, lock_time_ms, literal_policy, statement_type FROM executions UNION ALL
+SELECT event_id + 1000000000, instance_id, thread_id, started_at_ms + 400, duration_ms + 50, 'unknown-' || thread_id, 'in_flight', 'processlist', sql_text, 'w' || (event_id % 9), rows_examined, lock_time_ms, literal_policy, statement_type FROM executions WHERE event_id % 5 = 0)"""
 
 
-@query("c1_match_same_execution", f"""WITH {TWINS_SQL}, p AS (SELECT a.event_id, b.event_id AS partner_id, abs(a.started_at_ms - b.started_at_ms) AS apart_ms
- FROM twins a JOIN executions b ON a.instance_id = b.instance_id AND a.thread_id = b.thread_id AND abs(a.started_at_ms - b.started_at_ms) <= 1000 AND a.event_id >= 1000000000
- AND a.started_at_ms <= b.started_at_ms + b.duration_ms AND b.started_at_ms <= a.started_at_ms + a.duration_ms)
-SELECT event_id, arg_min(partner_id, (apart_ms, partner_id)) AS partner_id, min(apart_ms) AS apart_ms FROM p GROUP BY 1""")
+@query("c1_match_same_execution", with_executions(""", echo AS (SELECT event_id, instance_id, thread_id, started_at_ms + event_id % 3 * 600 AS started_at_ms, duration_ms, CASE WHEN event_id % 4 = 0 THEN 'unknown-1' WHEN event_id % 5 = 0 THEN 'other' ELSE app_digest END AS app_digest FROM executions),
+p AS (SELECT a.event_id, b.event_id AS partner_id, abs(a.started_at_ms - b.started_at_ms) AS apart_ms FROM executions a JOIN echo b ON a.instance_id = b.instance_id AND a.thread_id = b.thread_id AND abs(a.started_at_ms - b.started_at_ms) <= 1000
+ AND (a.app_digest = b.app_digest OR starts_with(b.app_digest, 'unknown-')) AND a.started_at_ms < b.started_at_ms + b.duration_ms AND b.started_at_ms < a.started_at_ms + a.duration_ms)
+SELECT event_id, arg_min(partner_id, (apart_ms, partner_id)) AS partner_id, min(apart_ms) AS apart_ms FROM p GROUP BY 1"""))
 def c1(spark, sf_dir):
-    return identity.match_same_execution(twins(spark, sf_dir).filter("event_id >= 1000000000"), executions(spark, sf_dir))
-
-
-@query("d5_dedupe_records", f"""WITH {TWINS_SQL}, k AS (SELECT *, instance_id || ':' || thread_id || ':' || (started_at_ms // 1000) AS record_id,
- (CASE state WHEN 'finalized' THEN 2 WHEN 'abandoned' THEN 1 ELSE 0 END, CAST(capture_source = 'slowlog' AS INT), duration_ms, -event_id) AS rank FROM twins)
-SELECT record_id, arg_max(event_id, rank) AS event_id, arg_max(state, rank) AS state, arg_max(capture_source, rank) AS capture_source, arg_max(duration_ms, rank) AS duration_ms, arg_max(app_digest, rank) AS app_digest,
- arg_max(sql_text, rank) FILTER (WHERE sql_text IS NOT NULL) AS sql_text, count(*) - 1 AS collapsed FROM k GROUP BY 1""")
+    e, k = executions(spark, sf_dir), F.col("event_id")
+    echo = e.withColumns({"started_at_ms": F.col("started_at_ms") + k % 3 * 600, "app_digest": F.when(k % 4 == 0, "unknown-1").when(k % 5 == 0, "other").otherwise(F.col("app_digest"))})
+    return identity.match_same_execution(e, echo)
+
+
+@query("d5_dedupe_records", f"""WITH {TWINS_SQL}, k AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN rows_examined END AS rows_examined, CASE WHEN event_id % 6 <> 0 THEN lock_time_ms END AS lock_time_ms), instance_id || ':' || thread_id || ':' || (started_at_ms // 1000) AS record_id,
+ (CASE state WHEN 'finalized' THEN 2 WHEN 'abandoned' THEN 1 ELSE 0 END, CAST(capture_source IN ('slowlog', 'merged') AS INT), CAST(event_id % 3 = 0 AS INT), duration_ms, -event_id) AS rank FROM twins),
+o AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rank DESC) = 1 AS best FROM k)
+SELECT record_id, max(event_id) FILTER (WHERE best) AS event_id, max(state) FILTER (WHERE best) AS state, max(capture_source) FILTER (WHERE best) AS capture_source, max(duration_ms) FILTER (WHERE best) AS duration_ms, max(app_digest) FILTER (WHERE best) AS app_digest,
+ arg_max(sql_text, rank) FILTER (WHERE sql_text IS NOT NULL) AS sql_text, arg_max(db_user, rank) FILTER (WHERE db_user IS NOT NULL) AS db_user,
+ coalesce(max(rows_examined) FILTER (WHERE best), arg_max(rows_examined, rank) FILTER (WHERE rows_examined IS NOT NULL AND capture_source <> 'processlist')) AS rows_examined,
+ coalesce(max(lock_time_ms) FILTER (WHERE best), arg_max(lock_time_ms, rank) FILTER (WHERE lock_time_ms IS NOT NULL AND capture_source <> 'processlist')) AS lock_time_ms, count(*) - 1 AS collapsed FROM o GROUP BY 1""")
 def d5(spark, sf_dir):
-    return identity.dedupe_records(statistics.derive_keys(twins(spark, sf_dir)))
+    k = F.col("event_id")
+    rows = twins(spark, sf_dir).withColumns({"has_plan": k % 3 == 0, "rows_examined": F.when(k % 7 != 0, F.col("rows_examined")), "lock_time_ms": F.when(k % 6 != 0, F.col("lock_time_ms"))})
+    return identity.dedupe_records(statistics.derive_keys(rows))
 
 
 @query("d6_collapse_twins")
@@ -239,10 +246,21 @@ def d6(spark, sf_dir):
     return identity.collapse_twins(twins(spark, sf_dir))
 
 
-@query("d7_merge_observations")
+@query("d7_merge_observations", f"""WITH {TWINS_SQL}, k AS (SELECT *, event_id % 1000000000 AS execution_id, CASE WHEN state = 'finalized' THEN started_at_ms + duration_ms - 20 END AS ended, event_id >= 1000000000 AS late,
+ CASE WHEN event_id >= 1000000000 THEN 'masked' ELSE literal_policy END AS policy, CASE WHEN event_id >= 1000000000 THEN sql_text || ' ?' ELSE sql_text END AS body FROM twins),
+m AS (SELECT execution_id, count(*) AS observations, min(started_at_ms) AS started_at_ms, max(ended) FILTER (WHERE ended >= started_at_ms) AS valid_end, max(ended) AS any_end, max(duration_ms) AS longest, max(duration_ms) FILTER (WHERE capture_source = 'slowlog') AS exact,
+ CASE WHEN bool_or(state = 'finalized') THEN 'finalized' ELSE 'in_flight' END AS state, coalesce(min(app_digest) FILTER (WHERE NOT starts_with(app_digest, 'unknown-')), min(app_digest)) AS app_digest, CASE WHEN count(DISTINCT capture_source) > 1 THEN 'merged' ELSE min(capture_source) END AS capture_source,
+ min(db_user) AS db_user, max(rows_examined) AS most, max(policy) FILTER (WHERE NOT late) AS first_policy, max(body) FILTER (WHERE NOT late) AS first_body, max(body) FILTER (WHERE late) AS late_body, coalesce(max(statement_type) FILTER (WHERE statement_type <> 'other'), 'other') AS statement_type FROM k GROUP BY 1)
+SELECT execution_id, observations, started_at_ms, CASE WHEN observations = 1 THEN any_end ELSE valid_end END AS ended_at_ms, CASE WHEN observations = 1 THEN longest ELSE coalesce(exact, valid_end - started_at_ms, longest) END AS duration_ms,
+ CASE WHEN exact IS NOT NULL THEN 'slowlog' WHEN observations > 1 AND valid_end IS NOT NULL THEN 'span' ELSE 'polled' END AS duration_source, state, app_digest, capture_source, db_user, first_policy AS literal_policy, most AS rows_examined, statement_type,
+ CASE WHEN observations = 1 THEN first_body WHEN first_policy IN ('full', 'full_restricted') THEN late_body WHEN first_policy = 'masked' THEN late_body END AS sql_text FROM m""")
 def d7(spark, sf_dir):
-    rows = twins(spark, sf_dir).withColumns({"execution_id": F.col("event_id") % 1_000_000_000, "ended_at_ms": F.when(F.col("state") == "finalized", F.col("started_at_ms") + F.col("duration_ms"))})
-    return identity.merge_observations(rows)
+    late = F.col("event_id") >= 1_000_000_000
+    rows = twins(spark, sf_dir).withColumns({
+        "execution_id": F.col("event_id") % 1_000_000_000, "ended_at_ms": F.when(F.col("state") == "finalized", F.col("started_at_ms") + F.col("duration_ms") - 20), "literal_policy": F.when(late, "masked").otherwise(F.col("literal_policy")),
+        "literal_policy_at_ms": F.col("started_at_ms"), "sql_text": F.when(late, F.concat("sql_text", F.lit(" ?"))).otherwise(F.col("sql_text")), "stats": F.struct("rows_examined")})
+    return identity.merge_observations(rows).select(
+        "execution_id", "observations", "started_at_ms", "ended_at_ms", "duration_ms", "duration_source", "state", "app_digest", "capture_source", "db_user", "literal_policy", "stats.rows_examined", "statement_type", "sql_text")
 
 
 @query("c3_lock_waits", """SELECT o.o_orderkey AS wait_id, o.o_custkey AS waiting_thread_id, o.o_custkey % 100 + 1 AS blocking_thread_id, w.c_name AS waiting_user, CAST(w.c_nationkey * 10 AS BIGINT) AS waiting_time_s,

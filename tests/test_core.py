@@ -56,6 +56,55 @@ def test_merge_does_not_depend_on_order_and_passes_one_row_through(spark):
     assert by[1]["duration_ms"] == 5200 and by[1]["app_digest"] == "d" and by[1]["state"] == "finalized" and by[2]["duration_ms"] == 7
 
 
+MERGE = """execution_id int, started_at_ms bigint, started_at_ms_precise bigint, ended_at_ms bigint, captured_at_ms bigint, duration_ms bigint, duration_source string, state string, app_digest string, digest_algo_version int,
+statement_type string, capture_source string, literal_policy string, literal_policy_at_ms bigint, sql_text string, sql_text_truncated boolean, sql_text_lossy boolean, engine_version string, db_user string, is_nested boolean, owner_epoch bigint,
+stats struct<rows_examined bigint, no_index_used boolean>, plan struct<normalized_json string, s3_key string, source string, error string, referenced_tables array<string>>, lock_wait struct<observed_at_ms bigint, blocking_user string, blocking_statements array<string>>"""
+SEEN = dict(
+    execution_id=1, started_at_ms=0, started_at_ms_precise=None, ended_at_ms=None, captured_at_ms=0, duration_ms=0, duration_source="polled", state="in_flight", app_digest="unknown-7", digest_algo_version=1, statement_type="other",
+    capture_source="processlist", literal_policy="full", literal_policy_at_ms=0, sql_text=None, sql_text_truncated=False, sql_text_lossy=False, engine_version="", db_user=None, is_nested=False, owner_epoch=0, stats=(None, None), plan=(None, None, "none", None, []), lock_wait=None)
+
+
+@pytest.mark.parametrize(
+    ("observed", "want"),
+    [
+        ([dict(duration_ms=2100, duration_source="timer"), dict(duration_ms=60000, state="finalized", ended_at_ms=62000)], dict(duration_ms=62000, duration_source="span", state="finalized", ended_at_ms=62000)),
+        ([dict(duration_ms=6000, ended_at_ms=6100), dict(duration_ms=5200, duration_source="slowlog", capture_source="slowlog")], dict(duration_ms=5200, duration_source="slowlog", capture_source="merged", ended_at_ms=6100)),
+        ([dict(ended_at_ms=900, started_at_ms=1000, duration_ms=5), dict(started_at_ms=1000, duration_ms=7, duration_source="timer")], dict(duration_ms=7, duration_source="timer", ended_at_ms=None)),  # an end before the start is none
+        ([dict(started_at_ms_precise=400, ended_at_ms=3000), dict(started_at_ms_precise=600)], dict(duration_ms=2600, started_at_ms_precise=400)),
+        ([dict(duration_ms=5, duration_source="timer"), dict(duration_ms=5)], dict(duration_ms=5, duration_source="timer")),
+        ([dict(literal_policy="masked", sql_text="a = ?"), dict(literal_policy="full", literal_policy_at_ms=5, sql_text="a = 'secret'")], dict(literal_policy="masked", sql_text="a = ?", literal_policy_at_ms=0)),
+        ([dict(literal_policy="full", sql_text="a = 'secret'"), dict(literal_policy="masked", sql_text=None)], dict(literal_policy="masked", sql_text=None)),  # set at one time: the stricter
+        ([dict(literal_policy="off", sql_text=None, lock_wait=(5, "u", ["s"])), dict(literal_policy_at_ms=3, sql_text="x", lock_wait=(4, "v", ["t"]))], dict(literal_policy="off", sql_text=None, lock_wait=(5, "u", []))),
+        ([dict(sql_text="abcd", sql_text_truncated=True), dict(sql_text="abc"), dict(sql_text="abce", sql_text_lossy=True)], dict(sql_text="abcd", sql_text_truncated=False, sql_text_lossy=False)),
+        ([dict(app_digest="b", digest_algo_version=1), dict(app_digest="c", digest_algo_version=2), dict(digest_algo_version=3)], dict(app_digest="c", digest_algo_version=2)),
+        ([dict(statement_type="update"), dict(statement_type="insert"), dict()], dict(statement_type="insert")),
+        ([dict(stats=(5, False), engine_version="8.0", is_nested=True, owner_epoch=2), dict(stats=(None, True), engine_version="", owner_epoch=7, db_user="z")], dict(stats=(5, True), engine_version="8.0", is_nested=True, owner_epoch=7, db_user="z")),
+        ([dict(plan=(None, "key", "rerun", None, ["b"])), dict(plan=(None, None, "for_connection", "denied", ["a", "b"]))], dict(plan=(None, "key", "for_connection", "denied", ["a", "b"]))),
+        ([dict(plan=("{}", None, "rerun", "old", [])), dict(plan=(None, None, "rerun", "denied", []))], dict(plan=("{}", None, "rerun", None, []))),
+        ([dict(duration_ms=7, ended_at_ms=-5, literal_policy="masked", sql_text="raw 1")], dict(duration_ms=7, ended_at_ms=-5, sql_text="raw 1", observations=1)),  # alone: as it is
+    ],
+)
+def test_merge_by_hand(spark, observed, want):
+    for order in (observed, observed[::-1]):
+        got = identity.merge_observations(spark.createDataFrame([tuple((SEEN | o).values()) for o in order], MERGE)).first().asDict(recursive=True)
+        assert {k: tuple(v.values()) if isinstance(v, dict) else v for k, v in got.items() if k in want} == want
+
+
+def test_touching_runs_are_two(spark):
+    cols = "event_id int, instance_id string, thread_id int, started_at_ms bigint, duration_ms bigint, app_digest string"
+    one = spark.createDataFrame([(1, "i", 1, 1000, 500, "d")], cols)
+    other = spark.createDataFrame([(2, "i", 1, 1500, 500, "d"), (3, "i", 1, 1499, 500, "e"), (4, "i", 2, 1000, 500, "d")], cols)
+    assert identity.match_same_execution(one, other).count() == 0
+    assert [tuple(r) for r in identity.match_same_execution(one, other.withColumn("app_digest", F.lit("unknown-1"))).collect()] == [(1, 3, 499)]
+
+
+def test_dedupe_takes_what_the_best_row_lacks(spark):
+    cols = "record_id string, event_id int, state string, capture_source string, has_plan boolean, duration_ms bigint, app_digest string, sql_text string, db_user string, rows_examined bigint, lock_wait string"
+    rows_ = [("r", 1, "finalized", "merged", False, 9, "d", None, None, None, None), ("r", 2, "finalized", "slowlog", True, 5, "d", None, None, None, None), ("r", 3, "in_flight", "processlist", True, 99, "d", "text", "u", 0, "blocker")]
+    got = identity.dedupe_records(spark.createDataFrame(rows_, cols)).first()
+    assert (got["event_id"], got["sql_text"], got["db_user"], got["rows_examined"], got["lock_wait"], got["collapsed"]) == (2, "text", "u", None, "blocker", 2)
+
+
 def test_tracking_ends_runs_only_on_complete_ticks(spark):
     obs = spark.createDataFrame([("i", 0, 1, 5, "d", "u"), ("i", 2000, 1, 7, "d", "u"), ("i", 4000, 1, 9, "d", "u")], "instance_id string, tick_ms bigint, thread_id bigint, time_secs bigint, digest string, db_user string")
     ticks = lambda cut: spark.createDataFrame([("i", t, t == 3000 and cut) for t in (0, 2000, 3000, 4000)], "instance_id string, tick_ms bigint, truncated boolean")
