@@ -14,26 +14,45 @@ TOKEN = (
     r"(?s)/\*\+.*?\*/|/\*.*?\*/|--[ \t][^\n]*|#[^\n]*|'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`[^`]*`"
     r"|0[xX][0-9a-fA-F]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[\p{L}_$@][\p{L}0-9_$@]*|<=>|<>|!=|<=|>=|\|\||&&|:=|->>?|[^\s]"
 )
-#: Words that canonical text has in capitals, and synonyms.
+#: Reserved words of queries, changes and definitions, which canonical text has in capitals. Those of stored
+#: routines and of administration only are left to the caller's ``keywords``.
 KEYWORDS = (
-    "ALL AND AS ASC BETWEEN BY CASE CREATE DELETE DESC DISTINCT DROP ELSE END EXISTS FROM GROUP HAVING IN INNER INSERT INTO IS JOIN LEFT LIKE LIMIT "
-    "NOT NULL OFFSET ON OR ORDER OUTER REPLACE RIGHT SELECT SET TABLE THEN TRUNCATE UNION UPDATE USING VALUES WHEN WHERE WITH ALTER"
+    "ADD ALL ALTER ANALYZE AND AS ASC BEFORE BETWEEN BIGINT BINARY BLOB BOTH BY CALL CASCADE CASE CHANGE CHAR CHARACTER CHECK COLLATE COLUMN CONSTRAINT CONVERT CREATE CROSS CUBE "
+    "CUME_DIST CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER DATABASE DATABASES DEC DECIMAL DEFAULT DELAYED DELETE DENSE_RANK DESC DESCRIBE DISTINCT DISTINCTROW DIV DOUBLE DROP "
+    "DUAL ELSE EMPTY ESCAPED EXCEPT EXISTS EXPLAIN FALSE FIRST_VALUE FLOAT FOR FORCE FOREIGN FROM FULLTEXT FUNCTION GENERATED GRANT GROUP GROUPING GROUPS HAVING HIGH_PRIORITY IF IGNORE "
+    "IN INDEX INFILE INNER INSERT INT INTEGER INTERSECT INTERVAL INTO IS JOIN JSON_TABLE KEY KEYS KILL LAG LAST_VALUE LATERAL LEAD LEADING LEFT LIKE LIMIT LINES LOAD LOCALTIME "
+    "LOCALTIMESTAMP LOCK LONGBLOB LONGTEXT LOW_PRIORITY MATCH MAXVALUE MEDIUMBLOB MEDIUMINT MEDIUMTEXT MEMBER MOD NATURAL NOT NTH_VALUE NTILE NULL NUMERIC OF ON OPTIMIZE OPTION OR ORDER "
+    "OUTER OUTFILE OVER PARTITION PERCENT_RANK PRECISION PRIMARY PROCEDURE RANGE RANK READ REAL RECURSIVE REFERENCES REGEXP RENAME REPLACE RESTRICT REVOKE RIGHT RLIKE ROW ROWS ROW_NUMBER "
+    "SCHEMA SCHEMAS SELECT SEPARATOR SET SHOW SMALLINT SPATIAL SQL_BIG_RESULT SQL_CALC_FOUND_ROWS SQL_SMALL_RESULT STORED STRAIGHT_JOIN SYSTEM TABLE THEN TINYBLOB TINYINT TINYTEXT TO "
+    "TRAILING TRIGGER TRUE UNION UNIQUE UNLOCK UNSIGNED UPDATE USE USING UTC_DATE UTC_TIME UTC_TIMESTAMP VALUES VARBINARY VARCHAR VIRTUAL WHEN WHERE WINDOW WITH WRITE XOR ZEROFILL"
 ).split()
+#: Words that mean the same.
+SYNONYMS = {
+    "distinctrow": "distinct", "character": "char", "int": "integer", "regexp": "rlike", "substr": "substring", "mid": "substring", "database": "schema",
+    "current_timestamp": "now", "localtime": "now", "localtimestamp": "now", "current_date": "curdate", "current_time": "curtime",
+}
+PAREN = r"\([^()]*\)"  # a bracket with what is in it, to six levels
+for _ in range(5):
+    PAREN = rf"\((?:[^()]++|{PAREN})*+\)"
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: ~(t.rlike(r"^/\*[^+]") | t.rlike(r"^(--|#)") | (t == ";")))
 
 
-def canonical(text: Column) -> Column:
-    words = F.array(*map(F.lit, KEYWORDS))
+def canonical(text: Column, keywords: list[str] = KEYWORDS) -> Column:
+    """One spelling for all statements that differ in literals, case, comments, spacing and synonyms alone."""
+    same = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+
+    def word(low: Column) -> Column:
+        folded = F.coalesce(F.element_at(same, low), F.regexp_replace(low, "^sql_tsi_", ""))
+        return F.transform(F.array(folded), lambda w: F.when(F.upper(w).isin(*keywords), F.upper(w)).otherwise(w))[0]
 
     def render(t: Column) -> Column:
-        up = F.upper(t)
         return (
             F.when(t.startswith("/*+"), F.concat(F.lit("/*+ "), F.trim(F.substring(t, F.lit(4), F.char_length(t) - 5)), F.lit(" */")))
             .when(t.rlike(r"""^(['"].+['"]$|''|""|[0-9]|\.[0-9])"""), "?").when(t == "<>", "!=").when(t == "&&", "AND")
-            .when(F.array_contains(words, up), up).when(t.startswith("`"), F.lower(F.regexp_replace(t, "`", ""))).otherwise(F.lower(t))
+            .when(t.startswith("`"), F.lower(F.regexp_replace(t, "`", ""))).otherwise(word(F.lower(t)))
         )
 
     joined = F.array_join(F.transform(tokens(text), render), " ")
@@ -46,10 +65,12 @@ def app_digest(canonical_text: Column) -> Column:
 
 
 def statement_type(canonical_text: Column) -> Column:
-    first = F.lower(F.regexp_extract(F.regexp_replace(canonical_text, r"/\*\+.*?\*/", ""), r"^[( ]*([A-Za-z]+)", 1))
-    inner = F.lower(F.regexp_extract(canonical_text, r"\) (SELECT|INSERT|UPDATE|DELETE)", 1))
-    first = F.when(first == "with", F.when(inner == "", "select").otherwise(inner)).otherwise(first)
-    return F.when(first.isin("create", "alter", "drop", "truncate"), "ddl").when(first.isin("select", "insert", "update", "delete", "replace"), first).otherwise("other")
+    """By the first word behind hints and brackets; after WITH by the first such word outside brackets."""
+    bare = F.trim(F.regexp_replace(canonical_text, r"/\*\+.*?\*/", " "))
+    first = F.regexp_extract(bare, r"^[( ]*([A-Za-z_]+)", 1)
+    outside = F.regexp_extract(F.regexp_replace(bare, PAREN, "()"), r"(?<![\p{L}0-9_$])(SELECT|INSERT|UPDATE|DELETE|REPLACE|CREATE|ALTER|DROP|RENAME|truncate)(?![\p{L}0-9_$])", 1)
+    kind = F.lower(F.when(first == "WITH", outside).otherwise(first))
+    return F.when(kind.isin("create", "alter", "drop", "rename", "truncate"), "ddl").when(kind.isin("select", "insert", "update", "delete", "replace"), kind).otherwise("other")
 
 
 def mask_ok(canonical_text: Column) -> Column:
@@ -63,9 +84,23 @@ def server_truncated(text: Column, limit: int = 1024) -> Column:
     return text.endswith("...") | (ticks % 2 == 1) | text.rlike(r"[=<>+*/,(-]\s*$") | (F.octet_length(text) >= limit)
 
 
+NAME = r"[\p{Ll}_$][\p{L}0-9_$]*"
+HINTS = rf"(?: (?:USE|FORCE|IGNORE|PARTITION)(?: [A-Z]+)*(?: {PAREN})?)*"
+SOURCE = rf"(?:{PAREN}(?: AS)?(?: {NAME})?|{NAME}(?: \. {NAME})?{HINTS}(?: AS)?(?: {NAME})?)"
+SOURCES = rf"(?<![\p{{L}}0-9_$])(?:FROM|JOIN|STRAIGHT_JOIN|UPDATE) ({SOURCE}(?: , {SOURCE})*)"
+ONE = rf"^({NAME})(?: \. ({NAME}))?{HINTS.replace(PAREN, r'[(][)]')}(?: AS)?(?: ({NAME}))?"
+
+
 def table_refs(canonical_text: Column) -> Column:
-    """Names after FROM, JOIN, UPDATE and INTO; derived tables are skipped. Comma lists inside parentheses are a known gap."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(canonical_text, F.lit(r"(?:FROM|JOIN|UPDATE|INTO) ([a-z_$][a-z0-9_$]*(?: \. [a-z0-9_$]+)?)"), F.lit(1))))
+    """(schema_name, table_name, alias) in order, behind FROM, JOIN and UPDATE and in their comma lists; derived tables are skipped whole."""
+    lists = F.transform(F.regexp_extract_all(canonical_text, F.lit(SOURCES), F.lit(1)), lambda x: F.split(F.regexp_replace(x, PAREN, "()"), " , "))
+    part = lambda x, k: F.nullif(F.regexp_extract(x, ONE, k), F.lit(""))
+    ref = lambda x: F.struct(F.when(part(x, 2).isNotNull(), part(x, 1)).alias("schema_name"), F.coalesce(part(x, 2), part(x, 1)).alias("table_name"), part(x, 3).alias("alias"))
+    return F.filter(F.transform(F.flatten(lists), ref), lambda r: r["table_name"].isNotNull())
+
+
+def table_names(canonical_text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(table_refs(canonical_text), lambda r: F.concat_ws(".", r["schema_name"], r["table_name"]))))
 
 
 def digest_query_log(log: DataFrame) -> DataFrame:
@@ -73,4 +108,4 @@ def digest_query_log(log: DataFrame) -> DataFrame:
     rows = log.select(canonical(F.col("sql_text")).alias("canonical"), server_truncated(F.col("sql_text")).alias("cut"))
     out = rows.groupBy("canonical").agg(F.count(F.lit(1)).alias("executions"), F.bool_or("cut").alias("truncated"))
     c = F.col("canonical")
-    return out.select(app_digest(c).alias("app_digest"), c, statement_type(c).alias("statement_type"), mask_ok(c).alias("mask_ok"), F.array_join(table_refs(c), ",").alias("tables"), "executions", "truncated")
+    return out.select(app_digest(c).alias("app_digest"), c, statement_type(c).alias("statement_type"), mask_ok(c).alias("mask_ok"), F.array_join(table_names(c), ",").alias("tables"), "executions", "truncated")

@@ -11,25 +11,37 @@ GAP_MS, KEPT_POINTS = 15_000, 60
 OTHER = "_other"
 
 
-def digest_delta(df: DataFrame, new_within_ms: int | None = None) -> DataFrame:
-    """Delta against the previous snapshot of the digest. A count that fell is a restart: the value itself counts.
+#: Cumulative counters besides executions, time and rows read, and the names of their deltas.
+TIMES = {"sum_lock_time_ps": "lock_time"}
+SUMS = ("errors", "warnings", "rows_affected", "rows_sent", "created_tmp_tables", "created_tmp_disk_tables", "select_full_join", "select_scan", "sort_merge_passes", "no_index_used", "no_good_index_used")
 
-    Picoseconds become milliseconds after the subtraction. Every counter saturates at zero; max_ms is a snapshot.
+
+def digest_delta(df: DataFrame) -> DataFrame:
+    """Delta against the previous snapshot of the digest (and schema_name, where there is one).
+
+    A count that fell is a restart, and a digest first seen after the instance's previous snapshot (column first_seen_ms) is
+    new in this window: there the value itself counts. Any other first sight is a baseline without deltas. Picoseconds
+    become milliseconds after the subtraction, every counter saturates at zero, max_ms is a snapshot.
     """
-    w = Window.partitionBy("instance_id", "app_digest").orderBy("snapshot_ms")
-    df = df.withColumn("p", F.lag(F.struct("count_star", "sum_timer_wait_ps", "sum_rows_examined")).over(w))
-    kind = F.when(F.col("p").isNull(), "baseline").when(F.col("count_star") < F.col("p.count_star"), "reset").otherwise("incremental")
-    df = df.withColumn("kind", kind)
+    key = ["instance_id", *(c for c in ("schema_name",) if c in df.columns), "app_digest"]
+    counters = ["count_star", "sum_timer_wait_ps", "sum_rows_examined", *(c for c in (*TIMES, *(f"sum_{c}" for c in SUMS)) if c in df.columns)]
+    df = df.withColumn("p", F.lag(F.struct(*counters)).over(Window.partitionBy(*key).orderBy("snapshot_ms")))
+    first = F.lit("baseline")
+    if "first_seen_ms" in df.columns:
+        ticks = df.select("instance_id", "snapshot_ms").distinct()
+        ticks = ticks.withColumn("last_ms", F.lag("snapshot_ms").over(Window.partitionBy("instance_id").orderBy("snapshot_ms")))
+        df = df.join(ticks, ["instance_id", "snapshot_ms"])
+        first = F.when(F.col("first_seen_ms") > F.col("last_ms"), "new_in_window").otherwise(first)
+    df = df.withColumn("kind", F.when(F.col("p").isNull(), first).when(F.col("count_star") < F.col("p.count_star"), "reset").otherwise("incremental"))
+    kinds = dict(df.dtypes)
 
     def delta(c: str) -> Column:
         cur = F.col(c)
-        return F.when(F.col("kind") == "incremental", F.greatest(cur - F.col(f"p.{c}"), F.lit(0).cast(cur_type[c]))).when(F.col("kind") == "reset", cur)
+        out = F.when(F.col("kind") == "incremental", F.greatest(cur - F.col(f"p.{c}"), F.lit(0).cast(kinds[c]))).when(F.col("kind") != "baseline", cur)
+        return F.floor(out / F.lit(1_000_000_000)).cast("bigint") if c.endswith("_ps") else out
 
-    cur_type = dict(df.dtypes)
-    return df.select(
-        "instance_id", "app_digest", "snapshot_ms", "kind", delta("count_star").alias("count_delta"),
-        F.floor(delta("sum_timer_wait_ps") / F.lit(1_000_000_000)).cast("bigint").alias("time_ms"), delta("sum_rows_examined").alias("rows_delta"), "max_ms",
-    )
+    names = {"count_star": "count_delta", "sum_timer_wait_ps": "time_ms", "sum_rows_examined": "rows_delta"} | TIMES | {f"sum_{c}": c for c in SUMS}
+    return df.select(*key, "snapshot_ms", "kind", *[delta(c).alias(names[c]) for c in counters], "max_ms")
 
 
 def status_rates(df: DataFrame) -> DataFrame:

@@ -134,10 +134,12 @@ def i5(spark, sf_dir):
 
 
 DELTAS_SQL = f"""WITH {SNAPSHOTS_SQL},
-lagged AS (SELECT *, lag(count_star) OVER w AS pc, lag(sum_ms) OVER w AS pt, lag(sum_rows_examined) OVER w AS pr FROM snapshots WINDOW w AS (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms)),
-kinds AS (SELECT *, CASE WHEN pc IS NULL THEN 'baseline' WHEN count_star < pc THEN 'reset' ELSE 'incremental' END AS kind FROM lagged),
-deltas AS (SELECT instance_id, app_digest, snapshot_ms, kind, CASE kind WHEN 'incremental' THEN greatest(count_star - pc, 0) WHEN 'reset' THEN count_star END AS count_delta,
- CASE kind WHEN 'incremental' THEN greatest(sum_ms - pt, 0) WHEN 'reset' THEN sum_ms END AS time_ms, CASE kind WHEN 'incremental' THEN greatest(sum_rows_examined - pr, 0) WHEN 'reset' THEN sum_rows_examined END AS rows_delta, max_ms FROM kinds)
+ticks AS (SELECT instance_id, snapshot_ms, lag(snapshot_ms) OVER (PARTITION BY instance_id ORDER BY snapshot_ms) AS last_ms FROM (SELECT DISTINCT instance_id, snapshot_ms FROM snapshots)),
+lagged AS (SELECT s.*, last_ms, lag(count_star) OVER w AS pc, lag(sum_ms) OVER w AS pt, lag(sum_rows_examined) OVER w AS pr, lag(lock_ms) OVER w AS pl FROM snapshots s JOIN ticks USING (instance_id, snapshot_ms) WINDOW w AS (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms)),
+kinds AS (SELECT *, CASE WHEN pc IS NULL THEN CASE WHEN first_seen_ms > last_ms THEN 'new_in_window' ELSE 'baseline' END WHEN count_star < pc THEN 'reset' ELSE 'incremental' END AS kind FROM lagged),
+deltas AS (SELECT instance_id, app_digest, snapshot_ms, kind, CASE WHEN kind = 'incremental' THEN greatest(count_star - pc, 0) WHEN kind <> 'baseline' THEN count_star END AS count_delta,
+ CASE WHEN kind = 'incremental' THEN greatest(sum_ms - pt, 0) WHEN kind <> 'baseline' THEN sum_ms END AS time_ms, CASE WHEN kind = 'incremental' THEN greatest(sum_rows_examined - pr, 0) WHEN kind <> 'baseline' THEN sum_rows_examined END AS rows_delta, max_ms,
+ CASE WHEN kind = 'incremental' THEN greatest(lock_ms - pl, 0) WHEN kind <> 'baseline' THEN lock_ms END AS lock_time FROM kinds)
 """
 ROLLUP_SQL = DELTAS_SQL + """,
 sums AS (SELECT instance_id, strftime(make_timestamp((snapshot_ms - 1) * 1000), '%Y-%m-%dT%H') AS hour, app_digest, sum(count_delta) AS executions, sum(time_ms) AS time_ms, sum(rows_delta) AS rows_examined, bool_or(kind = 'reset') AS reset_detected
@@ -317,10 +319,24 @@ def b13(spark, sf_dir):
     return inventory.classify_env(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), tags.alias("tags")), ["environment", "stage"], {"building": "prod", "Machinery": "stage", "0": "dev"}).select("id", "env")
 
 
-@query("g1_digest_query_log")
+#: Statements of six kinds (a key stands for each {}), their canonical text, type and tables.
+STATEMENTS = [
+    ("select /* run */ * from orders o where o_orderkey in ({}, 7) and `o_status` <> 'F'", "SELECT * FROM orders o WHERE o_orderkey IN ( ... ) AND o_status != ?", "select", "orders"),
+    ("SELECT a.x, b.y FROM shop.a a, b AS c WHERE a.id=b.id -- {}", "SELECT a . x , b . y FROM shop . a a , b AS c WHERE a . id = b . id", "select", "b,shop.a"),
+    ("with c as (select id from s where id = {}) update t force index (i) set v = {} where d > now() - interval 1 sql_tsi_day", "WITH c AS ( SELECT id FROM s WHERE id = ? ) UPDATE t FORCE INDEX ( i ) SET v = ? WHERE d > now ( ) - INTERVAL ? day", "update", "s,t"),
+    ("insert into t values ({},'x'),(2,'y''z'); ", "INSERT INTO t VALUES ( ... )", "insert", ""),
+    ("(select distinctrow cast(a as int), current_date from t1 x join (select * from t2 where c regexp '{}') y on x.i = y.i, t3 for update)", "( SELECT DISTINCT cast ( a AS INTEGER ) , curdate FROM t1 x JOIN ( SELECT * FROM t2 WHERE c RLIKE ? ) y ON x . i = y . i , t3 FOR UPDATE )", "select", "t1"),
+    ("delete from `Archive`.`Log` where at < '{}' limit 5;", "DELETE FROM archive . log WHERE at < ? LIMIT ?", "delete", "archive.log"),
+]
+CANONICAL_SQL = " UNION ALL ".join(f"SELECT {i} AS kind, $${c}$$ AS canonical, '{t}' AS statement_type, '{names}' AS tables" for i, (_, c, t, names) in enumerate(STATEMENTS))
+
+
+@query("g1_digest_query_log", f"""WITH s AS ({CANONICAL_SQL}) SELECT substr(sha256(canonical), 1, 32) AS app_digest, canonical, statement_type, true AS mask_ok, tables, count(*) AS executions, false AS truncated
+FROM orders JOIN s ON o_orderkey % 6 = kind GROUP BY ALL""")
 def g1(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    text = F.concat(F.lit("select /* run */ * from orders o where o_orderkey in ("), F.col("o_orderkey").cast("string"), F.lit(", 7) and `o_status` <> '"), F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, "' limit 5").otherwise("'"))
+    forms = F.array(*[F.lit(form.replace("{}", "%1$s")) for form, *_ in STATEMENTS])
+    text = F.replace(F.get(forms, (F.col("o_orderkey") % 6).cast("int")), F.lit("%1$s"), F.col("o_orderkey").cast("string"))
     return query_text.digest_query_log(o.select(text.alias("sql_text")))
 
 

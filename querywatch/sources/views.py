@@ -50,18 +50,19 @@ def digest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     e = executions(spark, sf_dir).withColumn("snapshot_ms", (F.floor(F.col("started_at_ms") / 3600000) + 1) * 3600000)
-    hourly = e.groupBy("instance_id", "app_digest", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("t"), F.sum("rows_examined").alias("r"), F.max("duration_ms").alias("m"))
+    hourly = e.groupBy("instance_id", "app_digest", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("t"), F.sum("rows_examined").alias("r"), F.max("duration_ms").alias("m"), F.sum("lock_time_ms").alias("l"), F.min("started_at_ms").alias("f"))
     era = (F.col("snapshot_ms") >= 1705276800000).cast("int")
     w = Window.partitionBy("instance_id", "app_digest", "era").orderBy("snapshot_ms")
     run = lambda c: F.sum(c).over(w)
     return hourly.withColumn("era", era).select(
         "instance_id", "app_digest", "snapshot_ms", run("n").alias("count_star"), (run("t") * 1_000_000_000).cast("decimal(20,0)").alias("sum_timer_wait_ps"), run("r").alias("sum_rows_examined"),
-        F.max("m").over(w).alias("max_ms"),
+        F.max("m").over(w).alias("max_ms"), (run("l") * 1_000_000_000).cast("decimal(20,0)").alias("sum_lock_time_ps"), F.min("f").over(w.partitionBy("instance_id", "app_digest")).alias("first_seen_ms"),
     )
 
 
 SNAPSHOTS_SQL = EXECUTIONS_SQL + """,
-hourly AS (SELECT instance_id, app_digest, (started_at_ms // 3600000 + 1) * 3600000 AS snapshot_ms, count(*) AS n, sum(duration_ms) AS t, sum(rows_examined) AS r, max(duration_ms) AS m FROM executions GROUP BY ALL),
-snapshots AS (SELECT instance_id, app_digest, snapshot_ms, CAST(sum(n) OVER w AS BIGINT) AS count_star, CAST(sum(t) OVER w AS BIGINT) AS sum_ms, CAST(sum(r) OVER w AS BIGINT) AS sum_rows_examined, max(m) OVER w AS max_ms
+hourly AS (SELECT instance_id, app_digest, (started_at_ms // 3600000 + 1) * 3600000 AS snapshot_ms, count(*) AS n, sum(duration_ms) AS t, sum(rows_examined) AS r, max(duration_ms) AS m, sum(lock_time_ms) AS l, min(started_at_ms) AS f FROM executions GROUP BY ALL),
+snapshots AS (SELECT instance_id, app_digest, snapshot_ms, CAST(sum(n) OVER w AS BIGINT) AS count_star, CAST(sum(t) OVER w AS BIGINT) AS sum_ms, CAST(sum(r) OVER w AS BIGINT) AS sum_rows_examined, max(m) OVER w AS max_ms,
+  CAST(sum(l) OVER w AS BIGINT) AS lock_ms, min(f) OVER (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms) AS first_seen_ms
   FROM hourly WINDOW w AS (PARTITION BY instance_id, app_digest, snapshot_ms >= 1705276800000 ORDER BY snapshot_ms))
 """
