@@ -351,8 +351,8 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def sketch_bits(k: int) -> int:
-    """Bits of the large sketch: 16 or more for each shingle, up to 2048 of them."""
-    return min(32768, max(64, 1 << (16 * edge(k + 1) - 1).bit_length()))
+    """Bits of the large sketch: 8 or more for each shingle, up to 2048 of them."""
+    return min(16384, max(64, 1 << (8 * edge(k + 1) - 1).bit_length()))
 
 
 def parity_sketch(s: np.ndarray, k: int) -> bytes:
@@ -537,11 +537,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         labels = _joined(labels, found, f"{at}/joined-{i}")
         discard(spark)
 
-    # Then pairs of a key that are still in different components and that their sketches let pass: the closest ones,
-    # which join most of what can be joined, and all that are left.
+    # Then pairs of a key that are still in different components and that their sketches let pass: of crowded keys the
+    # closest ones, which join most of what can be joined there, and all that are left.
     for step in ("closest", "all"):
         marked = live.join(labels, "cid")
         groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "band", "members")
+        groups = groups.filter(F.col("members") >= (CROWD if step == "closest" else 2))
         still = save(marked.join(groups, ["key", "band"]).select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
         tile = ("key", "band", "lo", "hi")
         tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
