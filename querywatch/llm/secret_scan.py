@@ -4,9 +4,11 @@ Candidates of the battery are maximal runs of 20 or more characters of the base-
 of each is inferred (hex, base 32, alphanumeric, base 64), and under the hypothesis that its symbols are
 independent and uniform over that alphabet three statistics are taken: chi-squared uniformity with its exact
 mean and variance, runs about the median symbol, and lag-1 serial correlation. Their squared scores give one
-p-value. Ordinary strings get tiny p-values. Within each length octave, Benjamini-Hochberg at FDR picks the
-strings that are rejected as not random, so that a true secret is dismissed with a controlled rate whatever
-its length; what is not rejected is reported as kind ``random``.
+p-value. Ordinary strings get tiny p-values, random ones any. Within each length octave two bounds decide what
+is reported as kind ``random``. Benjamini-Hochberg at FDR picks the strings that are rejected as not random, so
+that a true secret is dismissed at a controlled rate whatever its length. Of what is left, the number of random
+strings is known from the upper half of the p-values, where hardly any other falls: strings are reported from
+the largest p-value down only while those beyond that number stay below FALSE of the reported ones.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -24,7 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-FDR = 0.01
+FDR = 0.01  # random strings that are dismissed
+FALSE = 0.1  # others among the reported strings
 BINS = 300  # tenths of decades of p
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
@@ -62,7 +65,7 @@ def p_random(token: Column) -> Column:
     """p-value of "independent and uniform over the inferred alphabet"."""
     alphabet = (
         F.when(token.rlike("^[0-9a-f]+$"), DIGITS + LOWER[:6]).when(token.rlike("^[0-9A-F]+$"), DIGITS + UPPER[:6]).when(token.rlike("^[A-Z2-7]+$"), UPPER + "234567")
-        .when(token.rlike("^[A-Za-z0-9]+$"), UPPER + LOWER + DIGITS).when(token.rlike("[-_]"), UPPER + LOWER + DIGITS + "-_+/").otherwise(UPPER + LOWER + DIGITS + "+/")
+        .when(token.rlike("^[A-Za-z]+$"), UPPER + LOWER).when(token.rlike("^[A-Za-z0-9]+$"), UPPER + LOWER + DIGITS).when(token.rlike("[-_]"), UPPER + LOWER + DIGITS + "-_+/").otherwise(UPPER + LOWER + DIGITS + "+/")
     )
 
     def tests(s: Column) -> Column:
@@ -94,30 +97,49 @@ def _octave(token: Column) -> Column:
     return F.floor(F.log2(F.char_length(token).cast("double"))).cast("int")
 
 
+def threshold(counts: dict[int, int], fdr: float = FDR, false: float = FALSE) -> float:
+    """p up to which strings are dismissed; ``counts`` by bin, the tenths of decades of p, so that bins 0 to 2 are its upper half."""
+    edge = lambda k: 10.0 ** (-k / 10)
+    total, below, out = sum(counts.values()), 0, 0.0
+    for k in sorted(counts, reverse=True):
+        below += counts[k]
+        if edge(k) <= fdr * below / total:
+            out = edge(k)
+    upper = sum(n for k, n in counts.items() if k <= 2)
+    random = 2 * (upper + 2 * math.sqrt(upper) + 1)  # as many as there may well be
+    reported = 0
+    for k in sorted(counts):
+        reported += counts[k]
+        if k > 2 and reported - random * (1 - edge(k + 1)) > false * reported:
+            return max(out, edge(k))
+    return out
+
+
 def thresholds(scored: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Largest rejected p of each length octave; ``scored`` has octave, p. A row per octave reaches the driver."""
-    bins = scored.groupBy("octave", F.least(F.lit(BINS), F.floor(-F.log10("p") * 10)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("octave")
-    bins = bins.withColumn("all", F.sum("n").over(by)).withColumn("below", F.sum("n").over(by.orderBy(F.desc("bin"))))
-    edge = F.pow(F.lit(10.0), -F.col("bin") / 10)
-    rows = bins.filter(edge <= F.lit(fdr) * F.col("below") / F.col("all")).groupBy("octave").agg(F.max(edge).alias("p")).collect()
-    return {r["octave"]: r["p"] for r in rows}
+    """Threshold of each length octave; ``scored`` has octave, p. At most BINS + 1 counts of an octave reach the driver."""
+    bins = scored.groupBy("octave", F.least(F.lit(BINS), F.floor(-F.log10("p") * 10)).cast("int").alias("bin")).count()
+    found: dict[int, dict[int, int]] = {}
+    for r in bins.collect():
+        found.setdefault(r["octave"], {})[r["bin"]] = r["count"]
+    return {octave: threshold(counts, fdr) for octave, counts in found.items()}
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = FDR) -> DataFrame:
     """The columns ``keep``, base and random: arrays of (start, end, rank, token).
 
-    Null text counts as empty and has no span. Rows are judged one by one (repeated rows alike); only the
-    thresholds are corpus-wide. An empty table gives no rows; extra columns are ignored.
+    Null text counts as empty and has no span; a text of any length is read whole. Rows are judged one by one
+    (repeated rows alike); only the thresholds are corpus-wide. An empty table gives no rows; other columns are
+    ignored, and a kept column named base or random gives way to the result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    keep = tuple(c for c in keep if c not in ("base", "random"))
     rows = docs.select(*keep, t.alias("__t"))
     # one pass finds the few texts with a long run at all
     run = F.col("__t").rlike(RUN)
     none = F.array().cast("array<struct<start:int,end:int,rank:int,token:string>>")
     always = lambda hit, value: F.lit(True)
-    # a run of letters alone, or of digits alone, is a word, a rule or a number
-    mixed = lambda hit, value: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]")
+    # a run of letters of one case, or of digits alone, is a word or a number
+    mixed = lambda hit, value: hit.rlike("[0-9]") & hit.rlike("[A-Za-z]") | hit.rlike("[a-z][A-Z]")
     if_run = lambda c: F.when(run, c).otherwise(none)
     runs = if_run(located(F.col("__t"), RUN, "random", mixed))
     tokens = rows.filter(run).select(F.explode(runs).alias("s")).select("s.token")

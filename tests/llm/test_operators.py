@@ -203,6 +203,26 @@ def test_secret_scan(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secret_thresholds_bound_both_errors():
+    r = np.random.default_rng(2)
+    bins = lambda p: dict(zip(*(x.tolist() for x in np.unique(np.minimum(300, np.floor(-np.log10(p) * 10)).astype(int), return_counts=True))))
+    random, ordinary, close = r.uniform(0, 1, 2000), 10.0 ** -r.uniform(4, 30, 4000), r.uniform(0.01, 0.08, 1500)
+    t = secret_scan.threshold(bins(np.concatenate([random, ordinary])))
+    assert (random <= t).mean() < 0.03 and (ordinary > t).sum() == 0
+    t = secret_scan.threshold(bins(np.concatenate([random, ordinary, close])))
+    assert (close > t).sum() / ((close > t).sum() + (random > t).sum()) < 0.2 and (random > t).mean() > 0.85
+    assert secret_scan.threshold({0: 1}) < 0.5 and secret_scan.threshold({120: 1}) >= 1e-12  # alone: one kept, one dismissed
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_planted_random_tokens_are_found(spark, alphabet):
+    r = np.random.default_rng(len(alphabet))
+    near = ["averylongidentifier_of_12_words", "some-page-with-a-long-name-2024-05-01", "getUserAccountSettingsFromDatabase2", "AAAAAAAAAAAAAAAAAAAA1111111111", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows = [(i, "x " + "".join(r.choice(list(alphabet), 20 + i % 21)) + " y") for i in range(200)] + [(1000 + i, f"see {near[i % 5]} there") for i in range(200)]
+    found = {x["doc_id"]: x["random"] for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(bool(found[i]) for i in range(200)) >= 185 and sum(bool(s) for i, s in found.items() if i >= 1000) <= 20
+
+
 def test_language_id(spark, docs):
     en, de = "the cat and the house with this thing ", "der Hund und das Haus mit für schön ß "
     df = spark.createDataFrame([(i, (en if i % 2 else de) * 3 + str(i), "en" if i % 2 else "de") for i in range(120)], "doc_id bigint, text string, lang string")
