@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DELETE_AFTER_MISSES = 2  # fixed value
 
@@ -29,17 +29,41 @@ def parse_version(text: Column) -> Column:
     return F.struct(part(1).alias("major"), part(2).alias("minor"), F.coalesce(part(3), F.lit(0)).alias("patch"))
 
 
-def reconcile(known: DataFrame, found: DataFrame) -> DataFrame:
-    """insert, update, missing or deleted for each id; a row is deleted after two misses."""
+def reconcile(known: DataFrame, found: DataFrame, excluded: DataFrame | None = None, scopes: DataFrame | None = None, now_ms: int = 0, interval_ms: int = 0, truncated: bool = False) -> DataFrame:
+    """What a discovery round does with each id: id, name, action, missing_count.
+
+    ``known``: id, name, missing_count and, if there, scope, state, deleted, last_missing_ms. ``found`` and ``excluded``: ids of the
+    round; ``scopes``: what it looked at (all, if none). Found rows are inserted or updated. Of the others, deleted ones stay as they
+    are; filtered ones are excluded, never deleted; nothing is missing in a truncated round or out of its scopes. A row is deleted
+    after two misses, and misses within half an interval are one.
+    """
+    has = lambda c, otherwise: F.coalesce(F.col(f"k.{c}"), F.lit(otherwise)) if c in known.columns else F.lit(otherwise)
+    mark = lambda df, name: df.distinct().withColumn(name, F.lit(True))
     both = known.alias("k").join(found.alias("f"), "id", "full_outer")
-    seen, had = F.col("f.name").isNotNull(), F.col("k.name").isNotNull()
-    misses = F.when(seen, F.lit(0)).otherwise(F.coalesce(F.col("k.missing_count"), F.lit(0)) + 1)
-    action = F.when(seen & ~had, "insert").when(seen, "update").when(misses >= DELETE_AFTER_MISSES, "deleted").otherwise("missing")
-    return both.select("id", F.coalesce("f.name", "k.name").alias("name"), action.alias("action"), misses.alias("missing_count"))
+    out, seen, had = F.lit(False), F.col("f.name").isNotNull(), F.col("k.name").isNotNull()
+    outside = F.lit(False)
+    if excluded is not None:
+        both = both.join(mark(excluded.select("id"), "filtered_out").alias("x"), "id", "left")
+        out = F.coalesce("filtered_out", F.lit(False))
+    if scopes is not None:
+        both = both.join(mark(scopes.select(F.col("scope").alias("looked_at")), "in_scope").alias("s"), F.col("k.scope") == F.col("looked_at"), "left")
+        outside = ~F.coalesce("in_scope", F.lit(False))
+    soon = F.lit(now_ms) - has("last_missing_ms", -(2**53)) < interval_ms / 2
+    count = F.coalesce("k.missing_count", F.lit(0))
+    misses = count + F.when(soon, 0).otherwise(1)
+    action = (
+        F.when(seen & ~had, "insert").when(seen, "update").when(has("deleted", False), "none").when(out, F.when(has("state", "") == "excluded", "none").otherwise("excluded"))
+        .when(F.lit(truncated), "skipped").when(outside, "out_of_scope").when(misses >= DELETE_AFTER_MISSES, "deleted").otherwise("missing")
+    )
+    kept = F.when(seen, 0).when(action.isin("missing", "deleted"), misses).otherwise(count)
+    return both.select("id", F.coalesce("f.name", "k.name").alias("name"), action.alias("action"), kept.cast("int").alias("missing_count"))
 
 
 def inventory_report(actions: DataFrame) -> DataFrame:
-    return actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each action, and whether more than half of the round's rows are errors."""
+    out = actions.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    errors = F.sum(F.when(F.col("action") == "error", F.col("n")).otherwise(0)).over(Window.partitionBy())  # one row per action
+    return out.withColumn("mostly_failing", errors * 2 > F.sum("n").over(Window.partitionBy()))
 
 
 def set_difference(desired: DataFrame, running: DataFrame) -> DataFrame:

@@ -117,11 +117,18 @@ def user_stats(df: DataFrame) -> DataFrame:
 
 
 def page_after(df: DataFrame, position: tuple[str, str] | None, limit: int = PAGE) -> DataFrame:
-    """Keyset page in the total order (order_key desc, instance asc), strictly after the position."""
+    """Keyset page in the total order (order_key desc, instance asc), strictly after the position.
+
+    Every row says whether more rows follow, and the last one then has the position that the next page starts from. The range of
+    the first page is the caller's to keep: filter by it before.
+    """
     if position:
         key, instance = position
         df = df.filter((F.col("order_key") < key) | (F.col("order_key") == key) & (F.col("instance_id") > instance))
-    return df.orderBy(F.desc("order_key"), "instance_id").limit(min(limit, PAGE_MOST))
+    n, order = min(limit, PAGE_MOST), (F.desc("order_key"), "instance_id")
+    top = df.orderBy(*order).limit(n + 1)  # all that the windows below see
+    rows = top.withColumns({"place": F.row_number().over(Window.orderBy(*order)), "has_more": F.count(F.lit(1)).over(Window.partitionBy()) > n}).filter(F.col("place") <= n)
+    return rows.withColumn("next_position", F.when(F.col("has_more") & (F.col("place") == n), F.concat("order_key", F.lit("|"), "instance_id"))).drop("place")
 
 
 def in_flight(df: DataFrame, limit: int) -> DataFrame:

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def read_processlist(snapshots: DataFrame, least_s: int, limit: int) -> DataFrame:
-    """Running statements of each tick, longest first, cut at ``limit`` with a flag."""
-    w = Window.partitionBy("instance_id", "tick_ms")
-    rows = snapshots.filter(F.col("time_secs") >= least_s).withColumns({"rn": F.row_number().over(w.orderBy(F.desc("time_secs"), "thread_id")), "n": F.count(F.lit(1)).over(w)})
-    return rows.filter(F.col("rn") <= limit).withColumn("truncated", F.col("n") > limit).drop("rn", "n")
-
-
 def track_executions(observations: DataFrame, ticks: DataFrame) -> DataFrame:
     """Runs of each thread: a new one begins when identity changes, elapsed time falls, or a complete tick lacks the thread.
 

@@ -111,8 +111,8 @@ def b18(spark, sf_dir):
     return statistics.display_duration(executions(spark, sf_dir), TO_MS).select("event_id", "shown_ms")
 
 
-@query("f2_page", with_executions(f"""SELECT event_id, order_key, instance_id FROM ({KEYS_SQL})
-WHERE order_key < '1705000000000#5' OR (order_key = '1705000000000#5' AND instance_id > 'inst-2') ORDER BY order_key DESC, instance_id LIMIT 50"""))
+@query("f2_page", with_executions(f"""SELECT event_id, order_key, instance_id, true AS has_more, CASE WHEN row_number() OVER (ORDER BY order_key, instance_id DESC) = 1 THEN order_key || '|' || instance_id END AS next_position FROM (
+SELECT event_id, order_key, instance_id FROM ({KEYS_SQL}) WHERE order_key < '1705000000000#5' OR (order_key = '1705000000000#5' AND instance_id > 'inst-2') ORDER BY order_key DESC, instance_id LIMIT 50)"""))
 def f2(spark, sf_dir):
     return statistics.page_after(statistics.derive_keys(executions(spark, sf_dir)).select("event_id", "order_key", "instance_id"), ("1705000000000#5", "inst-2"))
 
@@ -293,16 +293,25 @@ def d18(spark, sf_dir):
     return locks.lock_report(c6(spark, sf_dir))
 
 
-@query("c8_reconcile", """SELECT coalesce(k.id, f.id) AS id, coalesce(f.name, k.name) AS name, CASE WHEN f.id IS NOT NULL AND k.id IS NULL THEN 'insert' WHEN f.id IS NOT NULL THEN 'update' WHEN k.m + 1 >= 2 THEN 'deleted' ELSE 'missing' END AS action,
- CASE WHEN f.id IS NOT NULL THEN 0 ELSE k.m + 1 END AS missing_count FROM (SELECT c_custkey AS id, c_name AS name, CAST(c_custkey % 2 AS INT) AS m FROM customer WHERE c_custkey % 3 <> 0) k
- FULL JOIN (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 5 <> 0) f ON k.id = f.id""")
+C8_SQL = """SELECT c_custkey AS id, c_name AS name, action, CAST(CASE WHEN found THEN 0 WHEN action IN ('missing', 'deleted') AND NOT soon THEN m + 1 ELSE m END AS INT) AS missing_count FROM (
+SELECT *, CASE WHEN found AND NOT known THEN 'insert' WHEN found THEN 'update' WHEN c_custkey % 17 = 0 THEN 'none' WHEN c_acctbal < -500 THEN CASE WHEN c_custkey % 19 = 0 THEN 'none' ELSE 'excluded' END
+ WHEN 's' || (c_nationkey % 5) NOT IN (SELECT 's' || r_regionkey FROM region WHERE r_name <> 'EUROPE') THEN 'out_of_scope' WHEN m + CAST(NOT soon AS INT) >= 2 THEN 'deleted' ELSE 'missing' END AS action
+FROM (SELECT *, c_mktsegment <> 'MACHINERY' AS known, c_acctbal > 0 AS found, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey % 2 ELSE 0 END AS m, 10000 - c_custkey % 7 * 1000 < 5000 AS soon FROM customer) WHERE known OR found)"""
+
+
+@query("c8_reconcile", C8_SQL)
 def c8(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    known = c.filter("id % 3 <> 0").withColumn("missing_count", (F.col("id") % 2).cast("int"))
-    return inventory.reconcile(known, c.filter("id % 5 <> 0"))
+    """Customers as instances: what the registry knows and what a round has found differ by segment and balance."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumns({"id": k, "name": F.col("c_name")})
+    known = c.filter("c_mktsegment <> 'MACHINERY'").select(
+        "id", "name", (k % 2).cast("int").alias("missing_count"), F.concat(F.lit("s"), (F.col("c_nationkey") % 5).cast("string")).alias("scope"), (k % 17 == 0).alias("deleted"),
+        F.when(k % 19 == 0, "excluded").otherwise("active").alias("state"), (k % 7 * 1000).alias("last_missing_ms"))
+    scopes = table(spark, sf_dir, "region").filter("r_name <> 'EUROPE'").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("scope"))
+    return inventory.reconcile(known, c.filter("c_acctbal > 0").select("id", "name"), c.filter("c_acctbal < -500").select("id"), scopes, 10_000, 10_000)
 
 
-@query("d12_inventory_report", "WITH r AS (" + SQL["c8_reconcile"] + ") SELECT action, count(*) AS n FROM r GROUP BY 1")
+@query("d12_inventory_report", "WITH r AS (" + C8_SQL + ") SELECT action, count(*) AS n, false AS mostly_failing FROM r GROUP BY 1")
 def d12(spark, sf_dir):
     return inventory.inventory_report(c8(spark, sf_dir))
 

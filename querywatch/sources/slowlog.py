@@ -44,6 +44,3 @@ def parse_entries(chunks: DataFrame, min_ms: int = 0, monitor_user: str | None =
     )
     return out.withColumn("reason", reason).withColumn("started_at_ms", F.col("ended_at_ms") - F.col("duration_ms")).drop("chunk")
 
-
-def skip_report(entries: DataFrame) -> DataFrame:
-    return entries.filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
