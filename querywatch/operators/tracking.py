@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+#: Fixed value: a run is closed at the first sighting beyond this time, in ms.
+LONGEST_MS = 3_600_000
+
+
+def _pieces(rows: DataFrame, run: list[str]) -> DataFrame:
+    """Adds piece: how often a run was cut at LONGEST_MS before a sighting. Only runs that are that long are gathered, as their tick numbers."""
+    long = rows.groupBy(*run).agg(F.min("tick_ms").alias("a"), F.max("tick_ms").alias("b"), F.array_sort(F.collect_list(F.col("tick_ms"))).alias("ticks")).filter(F.col("b") - F.col("a") > LONGEST_MS)
+    none = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(True).alias("closed"), F.array().cast("array<bigint>").alias("starts"))
+
+    def step(acc: Column, tick: Column) -> Column:
+        first = F.when(acc["closed"], tick).otherwise(acc["first"])
+        return F.struct(first.alias("first"), (tick - first > LONGEST_MS).alias("closed"), F.when(acc["closed"], F.concat(acc["starts"], F.array(tick))).otherwise(acc["starts"]).alias("starts"))
+
+    starts = long.select(*run, F.aggregate("ticks", none, step, lambda acc: acc["starts"]).alias("starts"))
+    return rows.join(starts, run, "left").withColumn("piece", F.coalesce(F.size(F.filter("starts", lambda x: x <= F.col("tick_ms"))), F.lit(1))).drop("starts")
 
 
 def track_executions(observations: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Runs of each thread: a new one begins when identity changes, elapsed time falls, or a complete tick lacks the thread.
+    """Runs of each thread: a new one begins when user or digest changes, elapsed time falls, or a complete tick lacks the thread.
 
-    ``ticks`` says of each tick whether its list was cut; an absence from a cut list ends nothing.
+    An unknown digest (null) agrees with any, and a run has the first known one. ``ticks`` says of each tick whether its list was
+    cut; an absence from a cut list ends nothing. A run ends as thread_reused, disappeared or too_long (then the next sighting
+    begins another one); without an end it is in_flight. Of one thread twice in a tick the longest counts.
     """
     seq = Window.partitionBy("instance_id").orderBy("tick_ms")
     marked = ticks.withColumn("complete", F.sum(F.when(F.col("truncated"), 0).otherwise(1)).over(seq))
     marked = marked.withColumn("complete_before", F.coalesce(F.lag("complete").over(seq), F.lit(0)))
     one = observations.groupBy("instance_id", "tick_ms", "thread_id").agg(F.max(F.struct("time_secs", "digest", "db_user")).alias("o")).select("instance_id", "tick_ms", "thread_id", "o.*")
     rows = one.join(marked.select("instance_id", "tick_ms", "complete", "complete_before"), ["instance_id", "tick_ms"])
-    w = Window.partitionBy("instance_id", "thread_id").orderBy("tick_ms")
-    rows = rows.withColumn("p", F.lag(F.struct("time_secs", "digest", "db_user", "complete")).over(w))
-    other = (F.col("digest") != F.col("p.digest")) | ~F.col("db_user").eqNullSafe(F.col("p.db_user"))
-    fresh = F.col("p").isNull() | other | (F.col("time_secs") < F.col("p.time_secs")) | (F.col("complete_before") > F.col("p.complete"))
-    rows = rows.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w))
-    return rows.groupBy("instance_id", "thread_id", "run").agg(
-        (F.min("tick_ms") - F.min_by("time_secs", "tick_ms") * 1000).alias("started_at_ms"), (F.max("time_secs") * 1000).alias("duration_ms"), F.first("digest").alias("app_digest"),
-        F.count(F.lit(1)).alias("sightings"), F.max("tick_ms").alias("last_seen_ms"),
-    ).drop("run")
+    thread = Window.partitionBy("instance_id", "thread_id")
+    w = thread.orderBy("tick_ms")
+    rows = rows.withColumn("p", F.lag(F.struct("time_secs", "db_user", "complete")).over(w))
+    fresh = F.col("p").isNull() | ~F.col("db_user").eqNullSafe(F.col("p.db_user")) | (F.col("time_secs") < F.col("p.time_secs")) | (F.col("complete_before") > F.col("p.complete"))
+    rows = rows.withColumn("island", F.sum(fresh.cast("int")).over(w))
+    known = F.last("digest", ignorenulls=True).over(Window.partitionBy("instance_id", "thread_id", "island").orderBy("tick_ms").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("known", known).withColumn("run", F.sum((fresh | F.coalesce(F.col("digest") != F.col("known"), F.lit(False))).cast("int")).over(w))
+    rows = _pieces(rows, ["instance_id", "thread_id", "run"])
+    runs = rows.groupBy("instance_id", "thread_id", "run", "piece").agg(
+        F.min("tick_ms").alias("first_seen_ms"), (F.min("tick_ms") - F.min_by("time_secs", "tick_ms") * 1000).alias("started_at_ms"), (F.max("time_secs") * 1000).alias("duration_ms"),
+        F.min_by("digest", F.when(F.col("digest").isNotNull(), F.col("tick_ms"))).alias("app_digest"), F.count(F.lit(1)).alias("sightings"), F.max("tick_ms").alias("last_seen_ms"),
+        F.max("complete").alias("complete"), F.min("complete_before").alias("complete_before"),
+    )
+    after = F.lead("complete_before").over(thread.orderBy("first_seen_ms"))
+    runs = runs.withColumn("after", after).join(marked.groupBy("instance_id").agg(F.max("complete").alias("all_complete")), "instance_id")
+    reason = (
+        F.when(F.col("last_seen_ms") - F.col("first_seen_ms") > LONGEST_MS, "too_long").when(F.coalesce("after", "all_complete") > F.col("complete"), "disappeared").when(F.col("after").isNotNull(), "thread_reused")
+    )
+    runs = runs.withColumns({"end_reason": reason, "state": F.when(reason.isNotNull(), "finalized").otherwise("in_flight")})
+    return runs.drop("run", "piece", "first_seen_ms", "complete", "complete_before", "after", "all_complete")

@@ -112,6 +112,17 @@ def test_tracking_ends_runs_only_on_complete_ticks(spark):
     assert tracking.track_executions(obs, ticks(False)).count() == 2
 
 
+def test_tracking_ends_by_hand(spark):
+    seen = [(1, 0, 5, None, "u"), (1, 1000, 6, "d", "u"), (1, 2000, 7, None, "u"), (1, 3000, 8, "e", "u"), (2, 0, 9, "d", "u"), (2, 1000, 1, "d", "u"), (3, 0, 1, "d", "u"), (4, 3000, 1, None, "u")]
+    seen += [(9, t, t // 1000, "d", "u") for t in range(0, 7_300_000, 600_000)]
+    obs = spark.createDataFrame([("i" if n < 9 else "j", t, n, s, d, u) for n, t, s, d, u in seen], "instance_id string, tick_ms bigint, thread_id bigint, time_secs bigint, digest string, db_user string")
+    ticks = obs.select("instance_id", "tick_ms").distinct().withColumn("truncated", F.col("instance_id") == "j")
+    got = sorted((r["thread_id"], r["started_at_ms"], r["duration_ms"], r["app_digest"] or "", r["end_reason"], r["state"]) for r in tracking.track_executions(obs, ticks).collect())
+    assert got == [
+        (1, -5000, 7000, "d", "thread_reused", "finalized"), (1, -5000, 8000, "e", None, "in_flight"), (2, -9000, 9000, "d", "thread_reused", "finalized"), (2, 0, 1000, "d", "disappeared", "finalized"),
+        (3, -1000, 1000, "d", "disappeared", "finalized"), (4, 2000, 1000, "", None, "in_flight"), (9, 0, 4200000, "d", "too_long", "finalized"), (9, 0, 7200000, "d", None, "in_flight")]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
