@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +36,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
+def release() -> None:
+    """Hand freed memory back to the system, where the C library can: the driver's Python shares a limit with its JVM."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches, rows: int = 500):
     """Arrow batches in small slices, so that a worker holds few texts as Python strings at once."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from querywatch.llm._work import partitions, sliced
+from querywatch.llm._work import partitions, release, sliced
 
 SAMPLE = 2000  # labelled rows at most
 LONGEST = 1 << 16  # bytes of a text that may be an example; such texts are scored like all others
@@ -115,22 +115,25 @@ class Index:
         sure = np.maximum(0, np.abs(odds) - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
         self.weight = (np.log((1 + documents) / (1 + df)) + 1) * (FLOOR + sure)
         vectors = [self.vector(e[2]) for e in self.examples]
-        row = np.repeat(np.arange(len(vectors)), [len(a) for a, _ in vectors])
-        term, w = (np.concatenate(x) if vectors else np.zeros(0, int) for x in ([a for a, _ in vectors], [w for _, w in vectors]))
-        common = np.flatnonzero(np.bincount(term, minlength=len(df)) * COMMON >= max(1, len(vectors)))
-        self.column = np.full(len(df), -1)
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(a) for a, _ in vectors])
+        term, w = (np.concatenate([np.zeros(0, kind), *x], dtype=kind, casting="same_kind") for x, kind in (([a for a, _ in vectors], np.int32), ([w for _, w in vectors], np.float32)))
+        del vectors
+        common = np.flatnonzero(np.bincount(term, minlength=len(df)) * COMMON >= max(1, len(self.examples)))
+        self.column = np.full(len(df), -1, np.int32)
         self.column[common] = np.arange(len(common))
-        self.blocks = -(-len(vectors) // BLOCK)
+        self.blocks = -(-len(self.examples) // BLOCK)
         self.columns = np.zeros((len(common), self.blocks * BLOCK), np.float32)
         whole = self.column[term] >= 0
         self.columns[self.column[term[whole]], row[whole]] = w[whole]
-        order = np.lexsort((row[~whole], term[~whole]))
-        self.row, term, self.posting = (x[~whole][order] for x in (row, term, w))
+        row, term, w = row[~whole], term[~whole], w[~whole]
+        order = np.argsort(term.astype(np.int64) * (len(self.examples) + 1) + row)
+        self.row, term, self.posting = row[order], term[order], w[order]
+        del row, w, order
         piece = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(self.row // BLOCK, prepend=-1))
-        self.start, self.size = piece, np.diff(np.append(piece, len(term)))
+        self.start, self.size = piece.astype(np.int32), np.diff(np.append(piece, len(term))).astype(np.int32)
         self.block, self.highest = self.row[piece] // BLOCK, np.maximum.reduceat(self.posting, piece) if len(piece) else self.posting
         ends = np.searchsorted(term[piece], np.arange(len(df) + 1))
-        self.pieces, self.n_pieces = ends[:-1], np.diff(ends)
+        self.pieces, self.n_pieces = ends[:-1].astype(np.int32), np.diff(ends).astype(np.int32)
         self.a, self.b = 1.0, 0.0  # calibration; without one the share of votes is the score
         self.calibrated = False
 
@@ -271,7 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             if near:
                 votes.append(other.votes(near))
                 truth.append(float(y))
+        del other
     index.calibrate(np.array(votes), np.array(truth))
+    release()
     return vocabulary, index
 
 
