@@ -14,26 +14,33 @@ TOKEN = (
     r"(?s)/\*\+.*?\*/|/\*.*?\*/|--[ \t][^\n]*|#[^\n]*|'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`[^`]*`"
     r"|0[xX][0-9a-fA-F]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[\p{L}_$@][\p{L}0-9_$@]*|<=>|<>|!=|<=|>=|\|\||&&|:=|->>?|[^\s]"
 )
-#: Reserved words of queries, changes and definitions, which canonical text has in capitals. Those of stored
-#: routines and of administration only are left to the caller's ``keywords``.
-KEYWORDS = (
-    "ADD ALL ALTER ANALYZE AND AS ASC BEFORE BETWEEN BIGINT BINARY BLOB BOTH BY CALL CASCADE CASE CHANGE CHAR CHARACTER CHECK COLLATE COLUMN CONSTRAINT CONVERT CREATE CROSS CUBE "
-    "CUME_DIST CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP CURRENT_USER DATABASE DATABASES DEC DECIMAL DEFAULT DELAYED DELETE DENSE_RANK DESC DESCRIBE DISTINCT DISTINCTROW DIV DOUBLE DROP "
-    "DUAL ELSE EMPTY ESCAPED EXCEPT EXISTS EXPLAIN FALSE FIRST_VALUE FLOAT FOR FORCE FOREIGN FROM FULLTEXT FUNCTION GENERATED GRANT GROUP GROUPING GROUPS HAVING HIGH_PRIORITY IF IGNORE "
-    "IN INDEX INFILE INNER INSERT INT INTEGER INTERSECT INTERVAL INTO IS JOIN JSON_TABLE KEY KEYS KILL LAG LAST_VALUE LATERAL LEAD LEADING LEFT LIKE LIMIT LINES LOAD LOCALTIME "
-    "LOCALTIMESTAMP LOCK LONGBLOB LONGTEXT LOW_PRIORITY MATCH MAXVALUE MEDIUMBLOB MEDIUMINT MEDIUMTEXT MEMBER MOD NATURAL NOT NTH_VALUE NTILE NULL NUMERIC OF ON OPTIMIZE OPTION OR ORDER "
-    "OUTER OUTFILE OVER PARTITION PERCENT_RANK PRECISION PRIMARY PROCEDURE RANGE RANK READ REAL RECURSIVE REFERENCES REGEXP RENAME REPLACE RESTRICT REVOKE RIGHT RLIKE ROW ROWS ROW_NUMBER "
-    "SCHEMA SCHEMAS SELECT SEPARATOR SET SHOW SMALLINT SPATIAL SQL_BIG_RESULT SQL_CALC_FOUND_ROWS SQL_SMALL_RESULT STORED STRAIGHT_JOIN SYSTEM TABLE THEN TINYBLOB TINYINT TINYTEXT TO "
-    "TRAILING TRIGGER TRUE UNION UNIQUE UNLOCK UNSIGNED UPDATE USE USING UTC_DATE UTC_TIME UTC_TIMESTAMP VALUES VARBINARY VARCHAR VIRTUAL WHEN WHERE WINDOW WITH WRITE XOR ZEROFILL"
+#: Reserved words, which canonical text has in capitals. Words that differ in one part only are made from it below.
+_WORDS = (
+    "ADD ALL ALTER ANALYZE AND ARRAY AS ASC BEFORE BETWEEN BINARY BLOB BOTH BY CALL CASCADE CASE CHANGE CHAR CHARACTER CHECK COLLATE COLUMN CONDITION CONSTRAINT CONTINUE CONVERT CREATE CROSS "
+    "CUBE CUME_DIST CURRENT_USER CURSOR DEC DECIMAL DECLARE DEFAULT DELAYED DELETE DESC DESCRIBE DETERMINISTIC DISTINCT DISTINCTROW DIV DOUBLE DROP DUAL EACH ELSE ELSEIF EMPTY ENCLOSED "
+    "ESCAPED EXCEPT EXISTS EXIT EXPLAIN FALSE FETCH FLOAT FOR FORCE FOREIGN FROM FULLTEXT FUNCTION GENERATED GET GRANT GROUPING HAVING HIGH_PRIORITY IF IGNORE INDEX INFILE INNER INSERT INTEGER "
+    "INTERSECT INTERVAL INTO IS ITERATE JOIN JSON_TABLE KILL LAG LATERAL LEAD LEADING LEAVE LEFT LIKE LIMIT LINEAR LINES LOAD LOCALTIME LOCALTIMESTAMP LONG LOOP LOW_PRIORITY MATCH MAXVALUE "
+    "MEMBER MOD MODIFIES NATURAL NOT NO_WRITE_TO_BINLOG NTILE NULL NUMERIC OF ON OPTIMIZE OPTIMIZER_COSTS OPTION OPTIONALLY OR ORDER OUTER OUTFILE OVER PARTITION PRECISION PRIMARY PROCEDURE "
+    "PURGE RANGE READ_WRITE REAL RECURSIVE REFERENCES REGEXP RELEASE RENAME REPEAT REPLACE REQUIRE RESTRICT RETURN REVOKE RIGHT RLIKE ROW_NUMBER SELECT SEPARATOR SET SHOW SPATIAL SPECIFIC SQL "
+    "SSL STARTING STORED STRAIGHT_JOIN SYSTEM TABLE TERMINATED THEN TO TRAILING TRIGGER TRUE UNDO UNION UNIQUE UNSIGNED UPDATE USAGE USE USING VALUES VARYING VIRTUAL WHEN WHERE WHILE WINDOW "
+    "WITH WRITE XOR YEAR_MONTH ZEROFILL"
 ).split()
+_UNITS = ("DAY", "HOUR", "MINUTE", "SECOND", "MICROSECOND")
+_FAMILIES = (
+    (("DATABASE", "GROUP", "KEY", "READ", "ROW", "SCHEMA"), ("", "S")), (("", "DENSE_", "PERCENT_"), ("RANK",)), (("FIRST_", "LAST_", "NTH_"), ("VALUE",)), (("CURRENT_", "UTC_"), ("DATE", "TIME", "TIMESTAMP")),
+    (("LONG", "MEDIUM", "TINY"), ("BLOB", "TEXT")), (("", "BIG", "MEDIUM", "MIDDLE", "SMALL", "TINY"), ("INT",)), (("INT",), ("1", "2", "3", "4", "8")), (("FLOAT",), ("4", "8")), (("VAR",), ("BINARY", "CHAR", "CHARACTER")),
+    (("", "A", "IN"), ("SENSITIVE",)), (("", "UN"), ("LOCK",)), (("", "RE"), ("SIGNAL",)), (("IN", "INOUT", "OUT"), ("",)), (("SQL",), ("EXCEPTION", "STATE", "WARNING", "_BIG_RESULT", "_CALC_FOUND_ROWS", "_SMALL_RESULT")),
+    (("MASTER_", "SOURCE_"), ("BIND", "SSL_VERIFY_SERVER_CERT")), (("IO_AFTER_", "IO_BEFORE_"), ("GTIDS",)),
+)
+KEYWORDS = sorted({*_WORDS, *(a + b for heads, tails in _FAMILIES for a in heads for b in tails), *(f"{a}_{b}" for i, a in enumerate(_UNITS) for b in _UNITS[i + 1 :])})
 #: Words that mean the same.
 SYNONYMS = {
     "distinctrow": "distinct", "character": "char", "int": "integer", "regexp": "rlike", "substr": "substring", "mid": "substring", "database": "schema",
     "current_timestamp": "now", "localtime": "now", "localtimestamp": "now", "current_date": "curdate", "current_time": "curtime",
 }
-PAREN = r"\([^()]*\)"  # a bracket with what is in it, to six levels
-for _ in range(5):
-    PAREN = rf"\((?:[^()]++|{PAREN})*+\)"
+
+
+DDL, DML = ("create", "alter", "drop", "rename", "truncate"), ("select", "insert", "update", "delete", "replace")
 
 
 def tokens(text: Column) -> Column:
@@ -42,17 +49,20 @@ def tokens(text: Column) -> Column:
 
 def canonical(text: Column, keywords: list[str] = KEYWORDS) -> Column:
     """One spelling for all statements that differ in literals, case, comments, spacing and synonyms alone."""
-    same = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    same, units = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair]), "sql_tsi_"
+    capital = [w.lower() for w in keywords]
 
     def word(low: Column) -> Column:
-        folded = F.coalesce(F.element_at(same, low), F.regexp_replace(low, "^sql_tsi_", ""))
-        return F.transform(F.array(folded), lambda w: F.when(F.upper(w).isin(*keywords), F.upper(w)).otherwise(w))[0]
+        """Most words need one look into a set; only those that have a synonym are looked up in the map, which is searched in order."""
+        other = F.element_at(same, low)
+        folded = F.when(low.isin(*[k for k in SYNONYMS if SYNONYMS[k] in capital]), F.upper(other)).when(low.isin(*SYNONYMS), other)
+        return folded.when(low.isin(*capital), F.upper(low)).when(low.startswith(units), F.substring(low, len(units) + 1, 64)).otherwise(low)
 
     def render(t: Column) -> Column:
         return (
             F.when(t.startswith("/*+"), F.concat(F.lit("/*+ "), F.trim(F.substring(t, F.lit(4), F.char_length(t) - 5)), F.lit(" */")))
             .when(t.rlike(r"""^(['"].+['"]$|''|""|[0-9]|\.[0-9])"""), "?").when(t == "<>", "!=").when(t == "&&", "AND")
-            .when(t.startswith("`"), F.lower(F.regexp_replace(t, "`", ""))).otherwise(word(F.lower(t)))
+            .when(t.startswith("`") & (t != "`"), F.lower(F.regexp_replace(t, "`", ""))).otherwise(word(F.lower(t)))
         )
 
     joined = F.array_join(F.transform(tokens(text), render), " ")
@@ -65,18 +75,24 @@ def app_digest(canonical_text: Column) -> Column:
 
 
 def statement_type(canonical_text: Column) -> Column:
-    """By the first word behind hints and brackets; after WITH by the first such word outside brackets."""
-    bare = F.trim(F.regexp_replace(canonical_text, r"/\*\+.*?\*/", " "))
-    first = F.regexp_extract(bare, r"^[( ]*([A-Za-z_]+)", 1)
-    outside = F.regexp_extract(F.regexp_replace(bare, PAREN, "()"), r"(?<![\p{L}0-9_$])(SELECT|INSERT|UPDATE|DELETE|REPLACE|CREATE|ALTER|DROP|RENAME|truncate)(?![\p{L}0-9_$])", 1)
-    kind = F.lower(F.when(first == "WITH", outside).otherwise(first))
-    return F.when(kind.isin("create", "alter", "drop", "rename", "truncate"), "ddl").when(kind.isin("select", "insert", "update", "delete", "replace"), kind).otherwise("other")
+    """By the first word behind hints and brackets; after WITH by the first such word outside brackets, however deep they go."""
+    bare = F.trim(F.regexp_replace(F.coalesce(canonical_text, F.lit("")), r"(?s)/\*\+.*?\*/", ""))
+    words = F.split(F.regexp_replace(bare, r"^[( ]+", ""), " +")
+    state = lambda depth, kind: F.struct(depth.alias("depth"), kind.alias("kind"))
+    known = [w.upper() for w in DML] + [w.upper() for w in DDL if w != "truncate"] + ["truncate"]
+    fold = F.aggregate(
+        words, state(F.lit(0), F.lit(None).cast("string")),
+        lambda acc, w: state(acc["depth"] + F.when(w == "(", 1).when(w == ")", -1).otherwise(0), F.when(acc["kind"].isNull() & (acc["depth"] == 0) & w.isin(*known), w).otherwise(acc["kind"])),
+        lambda acc: acc["kind"])
+    first = F.get(words, F.lit(0))
+    kind = F.lower(F.when(first == "WITH", fold).when(first.isin(*known), first))
+    return F.when(kind.isin(*DDL), "ddl").when(kind.isin(*DML), kind).otherwise("other")
 
 
 def mask_ok(canonical_text: Column) -> Column:
     """No quote and no literal is left outside hints."""
     rest = F.regexp_replace(canonical_text, r"/\*\+.*?\*/", "")
-    return ~rest.rlike(r"""['"]""") & ~rest.rlike(r"(^| )[.]?[0-9][0-9.]*( |$)")
+    return ~rest.rlike(r"""['"`]""") & ~rest.rlike(r"(^| )[.]?[0-9][0-9.]*( |$)")
 
 
 def server_truncated(text: Column, limit: int = 1024) -> Column:
@@ -84,19 +100,56 @@ def server_truncated(text: Column, limit: int = 1024) -> Column:
     return text.endswith("...") | (ticks % 2 == 1) | text.rlike(r"[=<>+*/,(-]\s*$") | (F.octet_length(text) >= limit)
 
 
-NAME = r"[\p{Ll}_$][\p{L}0-9_$]*"
-HINTS = rf"(?: (?:USE|FORCE|IGNORE|PARTITION)(?: [A-Z]+)*(?: {PAREN})?)*"
-SOURCE = rf"(?:{PAREN}(?: AS)?(?: {NAME})?|{NAME}(?: \. {NAME})?{HINTS}(?: AS)?(?: {NAME})?)"
-SOURCES = rf"(?<![\p{{L}}0-9_$])(?:FROM|JOIN|STRAIGHT_JOIN|UPDATE) ({SOURCE}(?: , {SOURCE})*)"
-ONE = rf"^({NAME})(?: \. ({NAME}))?{HINTS.replace(PAREN, r'[(][)]')}(?: AS)?(?: ({NAME}))?"
+NAME = r"^[\p{Ll}_$][\p{L}0-9_$]*$"
+OPENERS, HINTS = ("FROM", "JOIN", "STRAIGHT_JOIN", "UPDATE"), ("USE", "FORCE", "IGNORE", "PARTITION")
+#: What a fold over the tokens waits for: nothing; a source; a dot, alias or hint behind its name; the name behind a dot; an alias;
+#: the brackets of a hint; the end of brackets that are skipped, of a hint or a derived table; AS or the name of the latter; its name; a comma.
+IDLE, SOURCE, NAMED, DOTTED, FULL, ALIAS, HINT, IN_HINT, IN_TABLE, DERIVED, CALLED, COMMA = range(12)
 
 
 def table_refs(canonical_text: Column) -> Column:
-    """(schema_name, table_name, alias) in order, behind FROM, JOIN and UPDATE and in their comma lists; derived tables are skipped whole."""
-    lists = F.transform(F.regexp_extract_all(canonical_text, F.lit(SOURCES), F.lit(1)), lambda x: F.split(F.regexp_replace(x, PAREN, "()"), " , "))
-    part = lambda x, k: F.nullif(F.regexp_extract(x, ONE, k), F.lit(""))
-    ref = lambda x: F.struct(F.when(part(x, 2).isNotNull(), part(x, 1)).alias("schema_name"), F.coalesce(part(x, 2), part(x, 1)).alias("table_name"), part(x, 3).alias("alias"))
-    return F.filter(F.transform(F.flatten(lists), ref), lambda r: r["table_name"].isNotNull())
+    """(schema_name, table_name, alias) in order, behind FROM, JOIN and UPDATE and in their comma lists; derived tables are skipped whole.
+
+    One fold over the tokens keeps what is awaited and the depth of brackets that are skipped, so nesting has no limit.
+    """
+    text = F.lit(None).cast("string")
+    none = F.struct(text.alias("schema_name"), text.alias("table_name"), text.alias("alias"))
+    words = F.split(F.trim(F.regexp_replace(F.coalesce(canonical_text, F.lit("")), r"(?s)/\*\+.*?\*/", "")), " +")
+    state = lambda at, depth, one, done: F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), depth.alias("depth"), one.alias("one"), done.alias("done"))
+
+    def step(acc: Column, w: Column) -> Column:
+        at, depth, one = acc["at"], acc["depth"], acc["one"]
+        name, capital = w.rlike(NAME), w.rlike("^[A-Z][A-Z0-9_]*$")
+        opens, hint, comma = w.isin(*OPENERS), w.isin(*HINTS), w == ","
+        behind = F.when(opens, SOURCE).when(comma, SOURCE).otherwise(IDLE)  # a source has ended before this token
+        afresh = F.when(opens, SOURCE).otherwise(IDLE)
+        then = (
+            F.when(at == IDLE, afresh)
+            .when(at == SOURCE, F.when(w == "(", IN_TABLE).when(name, NAMED).otherwise(afresh))
+            .when((at == NAMED) & (w == "."), DOTTED)
+            .when(at == DOTTED, F.when(name, FULL).otherwise(afresh))
+            .when((at == HINT) & (w == "("), IN_HINT)
+            .when((at == HINT) & capital, HINT)
+            .when(at.isin(NAMED, FULL, HINT), F.when(hint, HINT).when(w == "AS", ALIAS).when(name, COMMA).otherwise(behind))
+            .when(at == ALIAS, F.when(name, COMMA).otherwise(behind))
+            .when(at == IN_HINT, F.when((w == ")") & (depth == 1), FULL).otherwise(IN_HINT))
+            .when(at == IN_TABLE, F.when((w == ")") & (depth == 1), DERIVED).otherwise(IN_TABLE))
+            .when(at == DERIVED, F.when(w == "AS", CALLED).when(name, COMMA).otherwise(behind))
+            .when(at == CALLED, F.when(name, COMMA).otherwise(behind))
+            .otherwise(behind)
+        )
+        deep = F.when(((at == SOURCE) | (at == HINT)) & (w == "("), 1).when(at.isin(IN_HINT, IN_TABLE), depth + F.when(w == "(", 1).when(w == ")", -1).otherwise(0)).otherwise(0)
+        held = at.isin(NAMED, FULL, HINT, ALIAS)
+        ended = held & then.isin(COMMA, SOURCE, IDLE)
+        now = F.when(name, one.withField("alias", w)).otherwise(one)
+        kept = (
+            F.when((at == SOURCE) & name, none.withField("table_name", w))
+            .when((at == DOTTED) & name, F.struct(one["table_name"].alias("schema_name"), w.alias("table_name"), text.alias("alias"))).when(ended | (at == DOTTED), none).otherwise(one)
+        )
+        return state(then, deep, kept, F.when(ended, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]))
+
+    end = lambda acc: F.when(acc["at"].isin(NAMED, FULL, HINT, ALIAS, IN_HINT), F.concat(acc["done"], F.array(acc["one"]))).otherwise(acc["done"])
+    return F.aggregate(words, state(IDLE, F.lit(0), none, F.array().cast("array<struct<schema_name:string,table_name:string,alias:string>>")), step, end)
 
 
 def table_names(canonical_text: Column) -> Column:

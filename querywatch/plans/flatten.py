@@ -7,6 +7,7 @@ a row per plan with its head and the array of its nodes. Everything after that i
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querywatch.functions import query_text
 
-#: Depth of the walk, the share and rows below which a filter is reported, and names that are no tables.
-DEEPEST, LOW_FILTERED, LOW_FILTERED_ROWS = 64, 10.0, 1000
+#: Depth of the walk and of what counts as a document, the share and rows below which a filter is reported, and names that are no tables.
+DEEPEST, NESTED, LOW_FILTERED, LOW_FILTERED_ROWS = 64, 128, 10.0, 1000
+MOST = 2**63 - 1
 PSEUDO = ("<derived", "<union", "<subquery", "<temporary")
 
 TEXTS = ("table_name", "access_type", "key", "attached_condition", "message")
@@ -32,11 +34,12 @@ using_filesort boolean, using_temporary_table boolean, using_index boolean, rows
 
 
 def _number(v) -> float | None:
-    """Numbers come as such or as text."""
+    """Numbers come as such or as text; what is no finite double is none."""
     try:
-        return None if v is None or isinstance(v, (bool, dict, list)) else float(v)
-    except ValueError:
+        x = None if v is None or isinstance(v, (bool, dict, list)) else float(v)
+    except (ValueError, OverflowError):
         return None
+    return None if x is None or not math.isfinite(x) else x
 
 
 def _at(v, *keys: str):
@@ -62,7 +65,7 @@ def _objects(v, path: str = "", depth: int = 0, role: str = "root") -> Iterator[
 
 
 def _node(v: dict, path: str, depth: int, role: str) -> dict:
-    whole = lambda k: None if (x := _number(v.get(k))) is None else int(max(0.0, x))
+    whole = lambda k: None if (x := _number(v.get(k))) is None else min(int(max(0.0, x)), MOST)
     listed = lambda x: [x] if isinstance(x, str) else [y for y in x if isinstance(y, str)] if isinstance(x, list) else []
     out = {"path": path, "depth": depth, "role": role} | {k: v[k] if isinstance(v.get(k), str) else None for k in TEXTS}
     out |= {k: listed(v.get(k)) for k in LISTS} | {k: _true(v.get(k)) for k in FLAGS}
@@ -75,13 +78,34 @@ def _cost(v: dict) -> float | None:
     return _number(v.get("estimated_total_cost")) if cost is None else cost
 
 
-def _plan(text: str | None) -> dict | None:
-    """Head and nodes of one document; None if it is no plan."""
+def nested_deeper(v, most: int) -> bool:
+    """Whether arrays and objects lie within each other more than ``most`` times, however deep."""
+    level = [v]
+    for _ in range(most):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return any(isinstance(v, (dict, list)) for v in level)
+
+
+def document(text: str | None, **how) -> dict | None:
+    """The object that a text holds; None if it is no JSON, no object or nested too deep. Halves of surrogate pairs become question marks."""
     try:
-        doc = json.loads(text or "")
+        doc = json.loads(text or "", **how)
     except (ValueError, RecursionError):
         return None
-    if not isinstance(doc, dict):
+    if not isinstance(doc, dict) or nested_deeper(doc, NESTED):
+        return None
+    if "\\ud" in text.lower():
+        whole = lambda v: {whole(k): whole(x) for k, x in v.items()} if isinstance(v, dict) else [whole(x) for x in v] if isinstance(v, list) else v.encode("utf-8", "replace").decode() if type(v) is str else v
+        doc = whole(doc)
+    return doc
+
+
+def _plan(text: str | None) -> dict | None:
+    """Head and nodes of one document; None if it is no plan."""
+    doc = document(text)
+    if doc is None:
         return None
     kind = "v1" if "query_block" in doc else "v2" if {"query_plan", "inputs", "operation"} & doc.keys() else "unknown"
     objects = list(_objects(doc))
@@ -97,7 +121,8 @@ def _plan(text: str | None) -> dict | None:
 
 def parse_plans(plans: DataFrame, keep: tuple[str, ...] = ("plan_id",)) -> DataFrame:
     """A row per plan: the columns ``keep``, format (v1, v2, unknown), query_cost (the root's, else the largest), whether anything in it sorts
-    or needs a temporary table, and its nodes. What is no JSON object, or has neither a known root nor a node, gives no row."""
+    or needs a temporary table, and its nodes. What is no JSON object, is nested more than NESTED times, or has neither a known root nor a node,
+    gives no row; numbers beyond 64 bits stay at the largest there is."""
     kept = plans.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +222,18 @@ def plan_graph(nodes: DataFrame) -> DataFrame:
 
 
 def resolve_tables(plan_tables: DataFrame, refs: DataFrame, default_schema: str) -> DataFrame:
-    """Real schema.table of the names in a plan: by alias, then by name, then in the default schema."""
-    plan = plan_tables.select("plan_id", F.col("table_name").alias("shown"))
-    by = lambda key, out: refs.groupBy("plan_id", F.col(key).alias("shown")).agg(F.min(F.struct(F.coalesce("schema_name", F.lit(default_schema)).alias("s"), F.col("table_name").alias("t"))).alias(out))
-    rows = plan.join(by("alias", "a"), ["plan_id", "shown"], "left").join(by("table_name", "n"), ["plan_id", "shown"], "left")
-    real = F.coalesce(F.concat_ws(".", "a.s", "a.t"), F.lit(""))
-    named = F.when(F.col("a").isNotNull(), real).when(F.col("n").isNotNull(), F.concat_ws(".", "n.s", "n.t")).otherwise(F.concat_ws(".", F.lit(default_schema), "shown"))
-    return rows.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(named)), ",").alias("tables"))
+    """Real schema.table of the names in a plan: the first reference with that alias, else the first of that name that has no alias.
+
+    Columns plan_id and table_name, possibly schema.table; and plan_id, schema_name, table_name, alias and, if references have
+    an order, position. The schema is the reference's, else the plan's own, else the default one; names are unique by plan.
+    """
+    shown = F.col("table_name")
+    dot = F.instr(shown, ".")
+    plan = plan_tables.select("plan_id", F.when(dot > 0, F.substring_index(shown, ".", 1)).alias("own"), F.when(dot > 0, F.substring(shown, dot + 1, F.length(shown))).otherwise(shown).alias("shown"))
+    order = F.struct("position") if "position" in refs.columns else F.struct("schema_name", "table_name")
+    found = F.struct(F.col("schema_name").alias("s"), F.col("table_name").alias("t"))
+    named = refs.groupBy("plan_id", F.coalesce("alias", "table_name").alias("shown")).agg(F.min_by(found, F.struct(F.col("alias").isNull(), order)).alias("ref"))
+    rows = plan.join(named, ["plan_id", "shown"], "left")
+    schema, name = F.coalesce("ref.s", "own", F.lit(default_schema)), F.coalesce("ref.t", "shown")
+    full = F.when((schema != "") & (name != ""), F.concat_ws(".", schema, name))
+    return rows.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(full)), ",").alias("tables"))

@@ -249,20 +249,20 @@ def d6(spark, sf_dir):
 
 
 @query("d7_merge_observations", f"""WITH {TWINS_SQL}, k AS (SELECT *, event_id % 1000000000 AS execution_id, CASE WHEN state = 'finalized' THEN started_at_ms + duration_ms - 20 END AS ended, event_id >= 1000000000 AS late,
- CASE WHEN event_id >= 1000000000 THEN 'masked' ELSE literal_policy END AS policy, CASE WHEN event_id >= 1000000000 THEN sql_text || ' ?' ELSE sql_text END AS body FROM twins),
-m AS (SELECT execution_id, count(*) AS observations, min(started_at_ms) AS started_at_ms, max(ended) FILTER (WHERE ended >= started_at_ms) AS valid_end, max(ended) AS any_end, max(duration_ms) AS longest, max(duration_ms) FILTER (WHERE capture_source = 'slowlog') AS exact,
+ CASE WHEN event_id >= 1000000000 THEN 'masked' ELSE literal_policy END AS policy, CASE WHEN event_id >= 1000000000 THEN sql_text || ' ?' ELSE sql_text END AS body, CASE WHEN event_id >= 1000000000 THEN 'a' ELSE 'b' END || event_id AS record_id FROM twins),
+m AS (SELECT execution_id, arg_min(record_id, (started_at_ms, record_id)) AS record_id, count(*) AS observations, min(started_at_ms) AS started_at_ms, max(ended) FILTER (WHERE ended >= started_at_ms) AS valid_end, max(ended) AS any_end, max(duration_ms) AS longest, max(duration_ms) FILTER (WHERE capture_source = 'slowlog') AS exact,
  CASE WHEN bool_or(state = 'finalized') THEN 'finalized' ELSE 'in_flight' END AS state, coalesce(min(app_digest) FILTER (WHERE NOT starts_with(app_digest, 'unknown-')), min(app_digest)) AS app_digest, CASE WHEN count(DISTINCT capture_source) > 1 THEN 'merged' ELSE min(capture_source) END AS capture_source,
  min(db_user) AS db_user, max(rows_examined) AS most, max(policy) FILTER (WHERE NOT late) AS first_policy, max(body) FILTER (WHERE NOT late) AS first_body, max(body) FILTER (WHERE late) AS late_body, coalesce(max(statement_type) FILTER (WHERE statement_type <> 'other'), 'other') AS statement_type FROM k GROUP BY 1)
-SELECT execution_id, observations, started_at_ms, CASE WHEN observations = 1 THEN any_end ELSE valid_end END AS ended_at_ms, CASE WHEN observations = 1 THEN longest ELSE coalesce(exact, valid_end - started_at_ms, longest) END AS duration_ms,
+SELECT execution_id, record_id, observations, started_at_ms, CASE WHEN observations = 1 THEN any_end ELSE valid_end END AS ended_at_ms, CASE WHEN observations = 1 THEN longest ELSE coalesce(exact, valid_end - started_at_ms, longest) END AS duration_ms,
  CASE WHEN exact IS NOT NULL THEN 'slowlog' WHEN observations > 1 AND valid_end IS NOT NULL THEN 'span' ELSE 'polled' END AS duration_source, state, app_digest, capture_source, db_user, first_policy AS literal_policy, most AS rows_examined, statement_type,
  CASE WHEN observations = 1 THEN first_body WHEN first_policy IN ('full', 'full_restricted') THEN late_body WHEN first_policy = 'masked' THEN late_body END AS sql_text FROM m""")
 def d7(spark, sf_dir):
     late = F.col("event_id") >= 1_000_000_000
     rows = twins(spark, sf_dir).withColumns({
         "execution_id": F.col("event_id") % 1_000_000_000, "ended_at_ms": F.when(F.col("state") == "finalized", F.col("started_at_ms") + F.col("duration_ms") - 20), "literal_policy": F.when(late, "masked").otherwise(F.col("literal_policy")),
-        "literal_policy_at_ms": F.col("started_at_ms"), "sql_text": F.when(late, F.concat("sql_text", F.lit(" ?"))).otherwise(F.col("sql_text")), "stats": F.struct("rows_examined")})
+        "literal_policy_at_ms": F.col("started_at_ms"), "captured_at_ms": F.col("started_at_ms"), "record_id": F.concat(F.when(late, "a").otherwise("b"), F.col("event_id").cast("string")), "sql_text": F.when(late, F.concat("sql_text", F.lit(" ?"))).otherwise(F.col("sql_text")), "stats": F.struct("rows_examined")})
     return identity.merge_observations(rows).select(
-        "execution_id", "observations", "started_at_ms", "ended_at_ms", "duration_ms", "duration_source", "state", "app_digest", "capture_source", "db_user", "literal_policy", "stats.rows_examined", "statement_type", "sql_text")
+        "execution_id", "record_id", "observations", "started_at_ms", "ended_at_ms", "duration_ms", "duration_source", "state", "app_digest", "capture_source", "db_user", "literal_policy", "stats.rows_examined", "statement_type", "sql_text")
 
 
 @query("c3_lock_waits", """SELECT o.o_orderkey AS wait_id, o.o_custkey AS waiting_thread_id, o.o_custkey % 100 + 1 AS blocking_thread_id, w.c_name AS waiting_user, CAST(w.c_nationkey * 10 AS BIGINT) AS waiting_time_s,
@@ -328,24 +328,29 @@ def b13(spark, sf_dir):
     return inventory.classify_env(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), tags.alias("tags")), ["environment", "stage"], {"building": "prod", "Machinery": "stage", "0": "dev"}).select("id", "env")
 
 
-#: Statements of six kinds (a key stands for each {}), their canonical text, type and tables.
+#: Statements of several kinds (a key stands for each {}): their canonical text, type and tables, whether the mask holds and whether the text is cut.
 STATEMENTS = [
-    ("select /* run */ * from orders o where o_orderkey in ({}, 7) and `o_status` <> 'F'", "SELECT * FROM orders o WHERE o_orderkey IN ( ... ) AND o_status != ?", "select", "orders"),
-    ("SELECT a.x, b.y FROM shop.a a, b AS c WHERE a.id=b.id -- {}", "SELECT a . x , b . y FROM shop . a a , b AS c WHERE a . id = b . id", "select", "b,shop.a"),
-    ("with c as (select id from s where id = {}) update t force index (i) set v = {} where d > now() - interval 1 sql_tsi_day", "WITH c AS ( SELECT id FROM s WHERE id = ? ) UPDATE t FORCE INDEX ( i ) SET v = ? WHERE d > now ( ) - INTERVAL ? day", "update", "s,t"),
-    ("insert into t values ({},'x'),(2,'y''z'); ", "INSERT INTO t VALUES ( ... )", "insert", ""),
-    ("(select distinctrow cast(a as int), current_date from t1 x join (select * from t2 where c regexp '{}') y on x.i = y.i, t3 for update)", "( SELECT DISTINCT cast ( a AS INTEGER ) , curdate FROM t1 x JOIN ( SELECT * FROM t2 WHERE c RLIKE ? ) y ON x . i = y . i , t3 FOR UPDATE )", "select", "t1"),
-    ("delete from `Archive`.`Log` where at < '{}' limit 5;", "DELETE FROM archive . log WHERE at < ? LIMIT ?", "delete", "archive.log"),
+    ("select /* run */ * from orders o where o_orderkey in ({}, 7) and `o_status` <> 'F'", "SELECT * FROM orders o WHERE o_orderkey IN ( ... ) AND o_status != ?", "select", "orders", True, False),
+    ("SELECT a.x, b.y FROM shop.a a, b AS c WHERE a.id=b.id -- {}", "SELECT a . x , b . y FROM shop . a a , b AS c WHERE a . id = b . id", "select", "b,shop.a", True, False),
+    ("with c as (select id from s where id = {}) update t force index (i) set v = {} where d > now() - interval 1 sql_tsi_day", "WITH c AS ( SELECT id FROM s WHERE id = ? ) UPDATE t FORCE INDEX ( i ) SET v = ? WHERE d > now ( ) - INTERVAL ? day", "update", "s,t", True, False),
+    ("insert into t values ({},'x'),(2,'y''z'); ", "INSERT INTO t VALUES ( ... )", "insert", "", True, False),
+    ("(select distinctrow cast(a as int), current_date from t1 x join (select * from t2 where c regexp '{}') y on x.i = y.i, t3 for update)", "( SELECT DISTINCT cast ( a AS INTEGER ) , curdate FROM t1 x JOIN ( SELECT * FROM t2 WHERE c RLIKE ? ) y ON x . i = y . i , t3 FOR UPDATE )", "select", "t1", True, False),
+    ("delete from `Archive`.`Log` where at < '{}' limit 5;", "DELETE FROM archive . log WHERE at < ? LIMIT ?", "delete", "archive.log", True, False),
+    ("with x as (select ((((((((((f({})+a)))))))))) delete from u where i in (select j from ((((((((v)))))))) w, z)", "WITH x AS ( SELECT ( ( ( ( ( ( ( ( ( ( f ( ... ) + a ) ) ) ) ) ) ) ) ) ) DELETE FROM u WHERE i IN ( SELECT j FROM ( ( ( ( ( ( ( ( v ) ) ) ) ) ) ) ) w , z )", "other", "u,z", True, False),
+    ("((with x as (select ((((((((1)))))))) from q) replace into r select * from x where d > interval '{}' day_hour))", "( ( WITH x AS ( SELECT ( ( ( ( ( ( ( ( ... ) ) ) ) ) ) ) ) FROM q ) REPLACE INTO r SELECT * FROM x WHERE d > INTERVAL ? DAY_HOUR ) )", "replace", "q,x", True, False),
+    ("select a from t where b = {} and c = 'it", "SELECT a FROM t WHERE b = ? AND c = ' it", "select", "t", False, False),
+    ("alter table t add key (a), add c varchar({}) default ", "ALTER TABLE t ADD KEY ( a ) , ADD c VARCHAR ( ... ) DEFAULT", "ddl", "", True, False),
+    ("select a.b, {} from t group by a.b having max(c) >", "SELECT a . b , ? FROM t GROUP BY a . b HAVING max ( c ) >", "select", "t", True, True),
 ]
-CANONICAL_SQL = " UNION ALL ".join(f"SELECT {i} AS kind, $${c}$$ AS canonical, '{t}' AS statement_type, '{names}' AS tables" for i, (_, c, t, names) in enumerate(STATEMENTS))
+CANONICAL_SQL = " UNION ALL ".join(f"SELECT {i} AS kind, $${c}$$ AS canonical, '{t}' AS statement_type, '{names}' AS tables, {ok} AS mask_ok, {cut} AS truncated" for i, (_, c, t, names, ok, cut) in enumerate(STATEMENTS))
 
 
-@query("g1_digest_query_log", f"""WITH s AS ({CANONICAL_SQL}) SELECT substr(sha256(canonical), 1, 32) AS app_digest, canonical, statement_type, true AS mask_ok, tables, count(*) AS executions, false AS truncated
-FROM orders JOIN s ON o_orderkey % 6 = kind GROUP BY ALL""")
+@query("g1_digest_query_log", f"""WITH s AS ({CANONICAL_SQL}) SELECT substr(sha256(canonical), 1, 32) AS app_digest, canonical, statement_type, mask_ok, tables, count(*) AS executions, truncated
+FROM orders JOIN s ON o_orderkey % {len(STATEMENTS)} = kind GROUP BY ALL""")
 def g1(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     forms = F.array(*[F.lit(form.replace("{}", "%1$s")) for form, *_ in STATEMENTS])
-    text = F.replace(F.get(forms, (F.col("o_orderkey") % 6).cast("int")), F.lit("%1$s"), F.col("o_orderkey").cast("string"))
+    text = F.replace(F.get(forms, (F.col("o_orderkey") % len(STATEMENTS)).cast("int")), F.lit("%1$s"), F.col("o_orderkey").cast("string"))
     return query_text.digest_query_log(o.select(text.alias("sql_text")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querywatch.functions import query_text
 from querywatch.operators import capture, counters, inventory, locks, statistics
-from querywatch.plans import flatten
+from querywatch.plans import flatten, mask
 from querywatch.queries import KEYS_SQL, PLANS_SQL, POINTS_SQL, QUERIES, SQL, TO_MS, TWINS_SQL, metadata_locks, plan_documents, points, query, twins, with_executions  # noqa: F401
 from querywatch.sources import store
 from querywatch.sources.views import executions, table
@@ -237,14 +237,19 @@ def c9(spark, sf_dir):
     return inventory.fleet_table(instances, catalog, counters.latest_value(p))
 
 
-@query("c10_resolve_tables", "SELECT o_orderkey AS plan_id, CASE o_orderkey % 3 WHEN 0 THEN 'crm.lineitem,shop.orders' WHEN 1 THEN 'shop.items,shop.orders' ELSE 'shop.lineitem,shop.orders' END || CASE WHEN o_orderkey % 4 = 3 THEN ',shop.region' ELSE '' END AS tables FROM orders")
+@query("c10_resolve_tables", """SELECT o_orderkey AS plan_id, array_to_string(list_sort([x FOR x IN [CASE o_orderkey % 3 WHEN 0 THEN 'crm.lineitem' WHEN 1 THEN 'shop.items' ELSE 'shop.lineitem' END,
+ CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'old.orders' ELSE 'own.orders' END WHEN o_orderkey % 5 = 0 THEN 'old.orders' ELSE 'shop.orders' END, CASE WHEN o_orderkey % 4 = 3 THEN 'shop.region' END] IF x IS NOT NULL]), ',') AS tables FROM orders""")
 def c10(spark, sf_dir):
-    docs = plan_documents(spark, sf_dir)
-    k = F.col("plan_id")
-    ref = F.struct(F.when(k % 3 == 0, "crm").alias("schema_name"), F.when(k % 3 == 1, "items").otherwise("lineitem").alias("table_name"), F.when(k % 3 == 1, "lineitem").alias("alias"))
-    refs = docs.filter(k % 3 != 2).select("plan_id", ref.alias("r")).select("plan_id", "r.*")
+    """References by alias, by name, behind another alias (no match), twice (the first counts), and names that bring their own schema."""
+    docs, k = plan_documents(spark, sf_dir), F.col("plan_id")
+    ref = lambda n, schema, name, alias: F.struct(F.lit(n).alias("position"), schema.alias("schema_name"), name.alias("table_name"), alias.alias("alias"))
+    lit, none = F.lit, F.lit(None).cast("string")
+    items = ref(1, F.when(k % 3 != 1, "crm"), F.when(k % 3 == 1, "items").otherwise("lineitem"), F.when(k % 3 == 1, "lineitem").when(k % 3 == 2, "li"))
+    orders = F.when(k % 5 == 0, ref(2, lit("old"), lit("orders"), none))
+    refs = docs.select("plan_id", F.explode(F.array_compact(F.array(ref(3, lit("x"), F.when(k % 3 != 2, "lineitem").otherwise("t"), none), items, orders))).alias("r")).select("plan_id", "r.*")
     nodes = flatten.plan_nodes(flatten.parse_plans(docs)).filter(flatten.real_table(F.col("table_name")))
-    return flatten.resolve_tables(nodes.select("plan_id", "table_name"), refs, "shop")
+    shown = F.when((F.col("table_name") == "orders") & (k % 7 == 0), "own.orders").otherwise(F.col("table_name"))
+    return flatten.resolve_tables(nodes.select("plan_id", shown.alias("table_name")), refs, "shop")
 
 
 @query("d15_freshness", with_executions("SELECT min(m) AS oldest_success_ms, count(*) AS instances FROM (SELECT instance_id, max(started_at_ms) AS m FROM executions WHERE instance_id IN (SELECT 'inst-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) GROUP BY 1)"))
@@ -297,3 +302,23 @@ def g6(spark, sf_dir):
 @query("h8_plan_graph", PLANS_SQL + "SELECT plan_id, table_name, parent, indent FROM n")
 def h8(spark, sf_dir):
     return flatten.plan_graph(flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir)))).select("plan_id", "table_name", "parent", "indent")
+
+
+#: The documents of ``plan_documents`` as they are masked, put together from the same parts.
+MASKED_SQL = PLANS_SQL + """, m AS (SELECT *, '"table_name":"orders","access_type":"' || access || '",' || CASE WHEN key IS NOT NULL THEN '"key":"PRIMARY",' ELSE '' END || CASE WHEN bare THEN '' ELSE '"possible_keys":["PRIMARY"],' END
+ || CASE WHEN key IS NOT NULL THEN '"used_key_parts":["a","b"],' ELSE '' END || '"rows_examined_per_scan":' || plan_id % 5000 || ',"filtered":"' || CASE WHEN plan_id % 2 = 0 THEN '5.00' ELSE '50.0' END || '",' AS own, '"cost_info":{"prefix_cost":"' || price || '"}' AS cost,
+ '{"table_name":"lineitem","access_type":"index","key":"k","rows_examined_per_scan":10,"filtered":"100","cost_info":{"prefix_cost":"1.00","query_cost":"77.50"}}' AS items,
+ '{"note":"a = ?","limit":"?",' || CASE WHEN plan_id % 5 = 0 THEN '"query":"<redacted>",' ELSE '' END AS head FROM o)
+SELECT plan_id, head || CASE WHEN v2 THEN '"operation":"Nested loop inner join","estimated_total_cost":' || price || ',"inputs":[{' || own || cost || ',"inputs":[{"table_name":"region","access_type":"system","cost_info":{}}]},' || items || ']}'
+ ELSE '"query_block":{' || CASE WHEN plan_id % 4 <> 2 THEN '"cost_info":{"query_cost":' || price || '},' ELSE '' END || '"ordering_operation":{"using_filesort":' || CASE WHEN plan_id % 3 = 0 THEN 'true' ELSE 'false' END || ',"nested_loop":[{"table":{' || own
+ || '"attached_condition":"( shop . orders . o_id > ? )",' || cost || '}},{"table":{"table_name":"<derived2>","access_type":"ALL","rows_examined_per_scan":2,"cost_info":{},"materialized_from_subquery":{"using_temporary_table":true,"query_block":{"table":' || items || '}}}}]}}}' END AS masked_json,
+ 1 + CAST(plan_id % 5 = 0 AS BIGINT) AS redactions FROM m"""
+
+
+@query("h7_plan_masked_strings", MASKED_SQL)
+def h7(spark, sf_dir):
+    """Plans with a literal in a note, a number that is no estimate, and in some a query that cannot be masked."""
+    k = F.col("plan_id").cast("string")
+    head = F.concat(F.lit('{"note":"a = \'x'), k, F.lit('\'","limit":'), k, F.lit(","), F.when(F.col("plan_id") % 5 == 0, F.concat(F.lit('"query":"select \'open'), k, F.lit('",'))).otherwise(""))
+    docs = plan_documents(spark, sf_dir)
+    return mask.mask_plans(docs.withColumn("plan_json", F.concat(head, F.substring("plan_json", 2, 1 << 30))))
