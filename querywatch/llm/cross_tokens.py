@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -64,48 +65,67 @@ def pieces(path: str):
 
 
 class Windows:
-    """Window (ids of A, -1, ids of B) to its alignment: groups, links, the groups as text, and the distinct pairs with their numbers."""
+    """Window (ids of A, -1, ids of B) to its alignment: number of groups, the groups as text, and the pair of each link as 64-bit bytes.
 
-    def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
-        self.size_a, self.size_b = size_a.tolist(), size_b.tolist()
-        self.young: dict[bytes, tuple] = {}
-        self.older: dict[bytes, tuple] = {}
+    Two generations of MEMO windows: what was used since the last turn stays. Windows that are new are aligned together.
+    """
 
-    def of(self, keys: list[bytes]) -> list[tuple]:
+    def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
+        self.size_a, self.size_b = size_a, size_b
+        ids = lambda n: pa.array(np.arange(n)).cast(pa.string())
+        behind = lambda ids, mark: pc.binary_join_element_wise(ids, mark, "")
+        a, b = ids(len(size_a)), ids(len(size_b))
+        self.said = pa.concat_arrays([behind(a, ","), behind(a, "|"), behind(b, ","), behind(b, ";"), b])  # an id and what stands behind it
+        self.young: dict[bytes, tuple[int, str, bytes]] = {}
+        self.older: dict[bytes, tuple[int, str, bytes]] = {}
+
+    def of(self, keys: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """Alignments of distinct windows."""
         if len(self.young) > MEMO:
             self.older, self.young = self.young, {}
-        out = []
+        young, older, new = self.young, self.older, []
         for key in keys:
-            if (found := self.young.get(key)) is None:
-                if (found := self.older.get(key)) is None:
-                    found = self.align(np.frombuffer(key, "<i4").tolist())
-                self.young[key] = found
-            out.append(found)
-        return out
-
-    def align(self, ids: list[int]) -> tuple[int, int, str, dict[int, int]]:
-        cut = ids.index(-1)
-        a, b = ids[:cut], ids[cut + 1 :]
-        links: dict[int, int] = {}
-        said, i, j, end_a, end_b, from_a, from_b = [], 0, 0, self.size_a[a[0]], self.size_b[b[0]], 0, 0
-        n = 0
-        while True:
-            n += 1
-            pair = b[j] << 16 | a[i]
-            links[pair] = links.get(pair, 0) + 1
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                said.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a):
-                    return len(said), n, ";".join(said), links
-                end_a, end_b = end_a + self.size_a[a[i]], end_b + self.size_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += self.size_a[a[i]]
-            else:
-                j += 1
-                end_b += self.size_b[b[j]]
+            if key not in young:
+                if (found := older.get(key)) is not None:
+                    young[key] = found
+                else:
+                    new.append(key)
+        if new:
+            young.update(zip(new, self.align(new), strict=True))
+        return [young[key] for key in keys]
+
+    def align(self, keys: list[bytes]) -> list[tuple[int, str, bytes]]:
+        ids = np.frombuffer(b"".join(keys), "<i4")
+        n = np.fromiter(map(len, keys), np.int64, len(keys)) // 4
+        cut = np.flatnonzero(ids == -1)
+        n_a = cut - (np.cumsum(n) - n)
+        in_a = _runs(n) < np.repeat(n_a, n)
+        in_b = ~in_a
+        in_b[cut] = False
+        a, b = ids[in_a].astype(np.int64), ids[in_b].astype(np.int64)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at = np.unique(np.concatenate([end_a, end_b]))  # two tokens are linked up to where the first of them ends
+        of_a, of_b = np.searchsorted(end_a, at), np.searchsorted(end_b, at)
+        own = np.repeat(np.arange(len(keys)), n_a)[of_a]
+        both = (end_a[of_a] == at) & (end_b[of_b] == at)
+        shared = at[both]
+
+        # tokens by group, A before B, each with the mark behind it
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        many_a, many_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        begin = np.cumsum(many_a + many_b) - many_a - many_b
+        last = np.zeros(len(shared), bool)
+        last[np.cumsum(groups := np.bincount(own[both], minlength=len(keys))) - 1] = True
+        v_a, v_b = len(self.size_a), len(self.size_b)
+        said = np.empty(len(a) + len(b), np.int64)
+        said[begin[group_a] + _runs(many_a)] = a + v_a * (end_a == shared[group_a])
+        said[(begin + many_a)[group_b] + _runs(many_b)] = b + 2 * v_a + v_b * (end_b == shared[group_b]) * (1 + last[group_b])
+        told = self.said.take(pa.array(said))
+        ends = np.frombuffer(told.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(n - 1)])]
+        texts = pa.Array.from_buffers(pa.string(), len(keys), [None, pa.py_buffer(np.ascontiguousarray(ends)), told.buffers()[2]]).to_pylist()
+        pairs = (b[of_b] << 16 | a[of_a]).astype("<i8").tobytes()
+        upto = (8 * np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(keys)))])).tolist()
+        return list(zip(groups.tolist(), texts, map(pairs.__getitem__, map(slice, upto[:-1], upto[1:])), strict=True))
 
 
 @functools.cache
@@ -140,7 +160,7 @@ def align_texts(texts: pa.Array, path_a: str, path_b: str) -> tuple[np.ndarray,
     a, n_a = got.ids.astype(np.int32), got.ids_of_text()
     lists = model.encode(texts.to_pylist(), num_threads=1)
     n_b = np.fromiter(map(len, lists), np.int64, len(lists))
-    b = np.fromiter((i for x in lists for i in x), np.int32, int(n_b.sum()))
+    b = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n_b.sum()))
     want = spaced.cast(pa.binary())
     same = [pc.equal(_bytes(ids, n, v), want).to_numpy(zero_copy_only=False) for ids, n, v in ((a, n_a, encoder.vocabulary.pieces), (b, n_b, vocab_b))]
     ok = same[0] & same[1] & (pc.binary_length(texts).to_numpy() > 0)
@@ -152,7 +172,7 @@ def align_texts(texts: pa.Array, path_a: str, path_b: str) -> tuple[np.ndarray,
         return counts, said, *(np.zeros(0, np.int64),) * 3
 
     # shared ends, and of those the anchors: texts end there, or the next token starts with a blank
-    size_a, size_b = np.asarray(memo.size_a)[a], np.asarray(memo.size_b)[b]
+    size_a, size_b = memo.size_a[a], memo.size_b[b]
     end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
     in_b = np.searchsorted(end_b, end_a)
     shared = np.flatnonzero(end_b[np.minimum(in_b, len(end_b) - 1)] == end_a)
@@ -173,12 +193,13 @@ def align_texts(texts: pa.Array, path_a: str, path_b: str) -> tuple[np.ndarray,
     named = pa.Array.from_buffers(pa.binary(), len(wide), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).dictionary_encode()
     w = named.indices.to_numpy()
     found = memo.of(named.dictionary.to_pylist())
-    groups, links = (np.fromiter((x[k] for x in found), np.int64, len(found)) for k in (0, 1))
-    for row, of in ((2, groups), (3, links)):
+    groups, told, pairs = zip(*found, strict=True)
+    n = np.fromiter(map(len, pairs), np.int64, len(pairs)) // 8
+    for row, of in ((2, np.array(groups)), (3, n)):
         counts[row] = np.bincount(of_text, of[w], len(texts)).astype(np.int64)
 
     n_windows = np.bincount(of_text, minlength=len(texts))
-    text = pa.array([x[2] for x in found], pa.string()).take(named.indices)
+    text = pa.array(told, pa.string()).take(named.indices)
     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_windows)]).astype(np.int32), text)
     for i, x in enumerate(pc.binary_join(lists, ";")):
         if ok[i]:
@@ -187,12 +208,10 @@ def align_texts(texts: pa.Array, path_a: str, path_b: str) -> tuple[np.ndarray,
     # links of each text: first the windows that it has, then their pairs
     code, times = np.unique(of_text * len(found) + w, return_counts=True)
     at, w = code // len(found), code % len(found)
-    n = np.fromiter((len(x[3]) for x in found), np.int64, len(found))
-    pairs, each = (np.fromiter((k for x in found for k in pick(x[3])), np.int64, int(n.sum())) for pick in (dict.keys, dict.values))
     pick = np.repeat((np.cumsum(n) - n)[w], n[w]) + _runs(n[w])
-    distinct, number = np.unique(pairs, return_inverse=True)
+    distinct, number = np.unique(np.frombuffer(b"".join(pairs), "<i8"), return_inverse=True)
     code, where = np.unique(np.repeat(at, n[w]) * len(distinct) + number[pick], return_inverse=True)
-    total = np.bincount(where, each[pick] * np.repeat(times, n[w])).astype(np.int64)
+    total = np.bincount(where, np.repeat(times, n[w])).astype(np.int64)
     return counts, said, code // len(distinct), distinct[code % len(distinct)], total
 
 
