@@ -111,14 +111,15 @@ def _plan(fields: list[str]) -> Column:
     return F.struct(*[special.get(f, best(f)).alias(f) for f in fields])
 
 
-def merge_observations(df: DataFrame, by: str = "execution_id") -> DataFrame:
-    """All observations of an execution as one record, field by field and in any order of arrival.
+def merge_observations(df: DataFrame, by: str | list[str] = "execution_id") -> DataFrame:
+    """All observations of an execution as one record, field by field and in any order of arrival; records are observations, too.
 
     The earliest start, the latest valid end, the policy that was set first (of equals the strictest), the longest text
     that it allows, real digests and statement types before place-holders, the largest counters, the best plan, the
     last lock wait. A single observation passes through as it is. Columns that the table does not have are left out.
     """
-    has, one = set(df.columns), F.count(F.lit(1)) == 1
+    keys = [by] if isinstance(by, str) else by
+    has, one = set(df.columns) - set(keys), F.count(F.lit(1)) == 1
     out = {c: F.min(c) for c in LEAST if c in has} | {c: F.max(c) for c in MOST if c in has} | {c: F.bool_or(c) for c in ANY if c in has}
     if {"record_id", "captured_at_ms"} <= has:
         out["record_id"] = F.min_by("record_id", F.struct("captured_at_ms", "record_id"))  # a late twin does not rename a record
@@ -144,7 +145,8 @@ def merge_observations(df: DataFrame, by: str = "execution_id") -> DataFrame:
     if "lock_wait" in has:
         last = F.max("lock_wait")
         out["lock_wait"] = F.when(last.isNotNull() & (policy == "off"), last.withField("blocking_statements", F.array().cast("array<string>"))).otherwise(last)
-    return df.groupBy(by).agg(*[v.alias(k) for k, v in out.items()], F.count(F.lit(1)).alias("observations"))
+    many = F.sum(F.coalesce("observations", F.lit(1))) if "observations" in has else F.count(F.lit(1))
+    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in out.items()], many.cast("bigint").alias("observations"))
 
 
 TWIN = "instance_id string, thread_id bigint, event_id bigint, collapsed bigint"

@@ -4,52 +4,82 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Fixed value: a run is closed at the first sighting beyond this time, in ms.
+#: Fixed value: a run is closed at the first tick beyond this time after its first sighting, in ms.
 LONGEST_MS = 3_600_000
 
+RUN = ("instance_id", "thread_id", "started_at_ms", "duration_ms", "app_digest", "sightings", "last_seen_ms", "end_reason", "state")
 
-def _pieces(rows: DataFrame, run: list[str]) -> DataFrame:
-    """Adds piece: how often a run was cut at LONGEST_MS before a sighting. Only runs that are that long are gathered, as their tick numbers."""
-    long = rows.groupBy(*run).agg(F.min("tick_ms").alias("a"), F.max("tick_ms").alias("b"), F.array_sort(F.collect_list(F.col("tick_ms"))).alias("ticks")).filter(F.col("b") - F.col("a") > LONGEST_MS)
-    none = F.struct(F.lit(None).cast("bigint").alias("first"), F.lit(True).alias("closed"), F.array().cast("array<bigint>").alias("starts"))
 
-    def step(acc: Column, tick: Column) -> Column:
-        first = F.when(acc["closed"], tick).otherwise(acc["first"])
-        return F.struct(first.alias("first"), (tick - first > LONGEST_MS).alias("closed"), F.when(acc["closed"], F.concat(acc["starts"], F.array(tick))).otherwise(acc["starts"]).alias("starts"))
+def _marked(ticks: DataFrame) -> DataFrame:
+    """Each tick with the complete ones up to it and before it, and its cut: the first tick more than LONGEST_MS later, with the complete ones up to that."""
+    ticks = ticks.groupBy("instance_id", "tick_ms").agg(F.bool_or("truncated").alias("truncated"))
+    own = F.when(F.col("truncated"), 0).otherwise(1)
+    marked = ticks.withColumn("complete", F.sum(own).over(Window.partitionBy("instance_id").orderBy("tick_ms"))).withColumn("complete_before", F.col("complete") - own)
+    # every tick asks for the first one behind it: both in one order, latest first, askers before ticks of that time
+    there = F.struct(F.col("tick_ms").alias("at"), F.lit(1).alias("kind"), F.struct("tick_ms", "complete").alias("tick"))
+    asked = F.struct((F.col("tick_ms") + LONGEST_MS).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("struct<tick_ms:bigint,complete:bigint>").alias("tick"))
+    both = marked.select("*", F.explode(F.array(there, asked)).alias("x")).select(*marked.columns, "x.*")
+    latest_first = Window.partitionBy("instance_id").orderBy(F.desc("at"), "kind")
+    both = both.withColumn("cut", F.last("tick", ignorenulls=True).over(latest_first.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.filter("kind = 0").select("instance_id", "tick_ms", "complete", "complete_before", "cut")
 
-    starts = long.select(*run, F.aggregate("ticks", none, step, lambda acc: acc["starts"]).alias("starts"))
-    return rows.join(starts, run, "left").withColumn("piece", F.coalesce(F.size(F.filter("starts", lambda x: x <= F.col("tick_ms"))), F.lit(1))).drop("starts")
+
+def _folded(first: Column, tail: Column) -> Column:
+    """Runs of an island that goes on behind the cut of a run: that run and the later sightings, one by one."""
+
+    def step(acc: Column, x: Column) -> Column:
+        run = acc["run"]
+        new = F.coalesce(x["tick_ms"] > run["cut"]["tick_ms"], F.lit(False)) | F.coalesce(x["digest"] != run["app_digest"], F.lit(False))
+        begun = F.struct(
+            x["tick_ms"].alias("first_seen_ms"), (x["tick_ms"] - x["time_secs"] * 1000).alias("started_at_ms"), (x["time_secs"] * 1000).alias("duration_ms"), x["digest"].alias("app_digest"),
+            F.lit(1).cast("bigint").alias("sightings"), x["tick_ms"].alias("last_seen_ms"), x["complete"].alias("complete"), x["complete_before"].alias("complete_before"), x["cut"].alias("cut"))
+        more = F.struct(
+            run["first_seen_ms"].alias("first_seen_ms"), run["started_at_ms"].alias("started_at_ms"), (x["time_secs"] * 1000).alias("duration_ms"), F.coalesce(run["app_digest"], x["digest"]).alias("app_digest"),
+            (run["sightings"] + 1).alias("sightings"), x["tick_ms"].alias("last_seen_ms"), x["complete"].alias("complete"), run["complete_before"].alias("complete_before"), run["cut"].alias("cut"))
+        return F.struct(F.when(new, begun).otherwise(more).alias("run"), F.when(new, F.concat(acc["done"], F.array(run))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(tail, F.struct(first.alias("run"), F.slice(F.array(first), 1, 0).alias("done")), step, lambda acc: F.concat(acc["done"], F.array(acc["run"])))
 
 
 def track_executions(observations: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Runs of each thread: a new one begins when user or digest changes, elapsed time falls, or a complete tick lacks the thread.
+    """Runs of each thread: a new one begins when user, host or digest changes, elapsed time falls, or a complete tick lacks the thread.
 
     An unknown digest (null) agrees with any, and a run has the first known one. ``ticks`` says of each tick whether its list was
-    cut; an absence from a cut list ends nothing. A run ends as thread_reused, disappeared or too_long (then the next sighting
-    begins another one); without an end it is in_flight. Of one thread twice in a tick the longest counts.
+    cut; an absence from a cut list ends nothing. A run ends as thread_reused, disappeared or too_long (at the first tick more than
+    LONGEST_MS after its first sighting, seen there or not; the next sighting begins another run); without an end it is in_flight.
+    Of one thread twice in a tick the longest counts. Only sightings behind the cut of a run are gathered, to be folded one by one.
     """
-    seq = Window.partitionBy("instance_id").orderBy("tick_ms")
-    marked = ticks.withColumn("complete", F.sum(F.when(F.col("truncated"), 0).otherwise(1)).over(seq))
-    marked = marked.withColumn("complete_before", F.coalesce(F.lag("complete").over(seq), F.lit(0)))
-    one = observations.groupBy("instance_id", "tick_ms", "thread_id").agg(F.max(F.struct("time_secs", "digest", "db_user")).alias("o")).select("instance_id", "tick_ms", "thread_id", "o.*")
-    rows = one.join(marked.select("instance_id", "tick_ms", "complete", "complete_before"), ["instance_id", "tick_ms"])
+    who = [c for c in ("db_user", "db_host") if c in observations.columns]
+    seen = observations.repartition("instance_id", "tick_ms").groupBy("instance_id", "tick_ms", "thread_id").agg(F.max(F.struct("time_secs", "digest", *who)).alias("o"))
+    marked = _marked(ticks)
+    rows = seen.select("instance_id", "tick_ms", "thread_id", F.col("o.time_secs").cast("bigint").alias("time_secs"), "o.digest", F.struct(*[F.col(f"o.{c}") for c in who]).alias("who")).join(marked, ["instance_id", "tick_ms"])
     thread = Window.partitionBy("instance_id", "thread_id")
-    w = thread.orderBy("tick_ms")
-    rows = rows.withColumn("p", F.lag(F.struct("time_secs", "db_user", "complete")).over(w))
-    fresh = F.col("p").isNull() | ~F.col("db_user").eqNullSafe(F.col("p.db_user")) | (F.col("time_secs") < F.col("p.time_secs")) | (F.col("complete_before") > F.col("p.complete"))
-    rows = rows.withColumn("island", F.sum(fresh.cast("int")).over(w))
-    known = F.last("digest", ignorenulls=True).over(Window.partitionBy("instance_id", "thread_id", "island").orderBy("tick_ms").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("known", known).withColumn("run", F.sum((fresh | F.coalesce(F.col("digest") != F.col("known"), F.lit(False))).cast("int")).over(w))
-    rows = _pieces(rows, ["instance_id", "thread_id", "run"])
-    runs = rows.groupBy("instance_id", "thread_id", "run", "piece").agg(
-        F.min("tick_ms").alias("first_seen_ms"), (F.min("tick_ms") - F.min_by("time_secs", "tick_ms") * 1000).alias("started_at_ms"), (F.max("time_secs") * 1000).alias("duration_ms"),
-        F.min_by("digest", F.when(F.col("digest").isNotNull(), F.col("tick_ms"))).alias("app_digest"), F.count(F.lit(1)).alias("sightings"), F.max("tick_ms").alias("last_seen_ms"),
-        F.max("complete").alias("complete"), F.min("complete_before").alias("complete_before"),
-    )
-    after = F.lead("complete_before").over(thread.orderBy("first_seen_ms"))
-    runs = runs.withColumn("after", after).join(marked.groupBy("instance_id").agg(F.max("complete").alias("all_complete")), "instance_id")
-    reason = (
-        F.when(F.col("last_seen_ms") - F.col("first_seen_ms") > LONGEST_MS, "too_long").when(F.coalesce("after", "all_complete") > F.col("complete"), "disappeared").when(F.col("after").isNotNull(), "thread_reused")
+    w = thread.orderBy("tick_ms")  # every window below has this order: rows are sorted once
+    rows = rows.withColumn("p", F.lag(F.struct("time_secs", "who", "complete")).over(w))
+    fresh = F.col("p").isNull() | ~F.col("who").eqNullSafe(F.col("p.who")) | (F.col("time_secs") < F.col("p.time_secs")) | (F.col("complete_before") > F.col("p.complete"))
+    rows = rows.withColumn("fresh", fresh).withColumn("island", F.sum(F.col("fresh").cast("int")).over(w))
+    known = F.last(F.when(F.col("digest").isNotNull(), F.struct("digest", "island")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("known", known)
+    rows = rows.withColumn("new", F.col("fresh") | F.coalesce((F.col("known.island") == F.col("island")) & (F.col("digest") != F.col("known.digest")), F.lit(False)))
+    rows = rows.withColumns({"run": F.sum(F.col("new").cast("int")).over(w), "until": F.last(F.when(F.col("new"), F.struct("cut")), ignorenulls=True).over(w)})
+    beyond = F.max(F.when(F.col("tick_ms") > F.col("until.cut.tick_ms"), F.col("island"))).over(w)
+    rows = rows.withColumn("tail", F.coalesce(beyond == F.col("island"), F.lit(False)))
+    rows = rows.withColumn("group", F.max(F.when(~F.col("tail"), F.col("run"))).over(w))
+
+    head = lambda c: F.when(~F.col("tail"), F.col(c) if isinstance(c, str) else c)
+    x = F.struct("tick_ms", "time_secs", "digest", "complete", "complete_before", "cut")
+    runs = rows.groupBy("instance_id", "thread_id", "group").agg(
+        F.struct(
+            F.min("tick_ms").alias("first_seen_ms"), (F.min("tick_ms") - F.min_by("time_secs", "tick_ms") * 1000).alias("started_at_ms"), (F.max(head("time_secs")) * 1000).alias("duration_ms"),
+            F.min_by("digest", F.when(~F.col("tail") & F.col("digest").isNotNull(), F.col("tick_ms"))).alias("app_digest"), F.count(head("tick_ms")).alias("sightings"), F.max(head("tick_ms")).alias("last_seen_ms"),
+            F.max(head("complete")).alias("complete"), F.min("complete_before").alias("complete_before"), F.min_by("cut", "tick_ms").alias("cut")).alias("first"),
+        F.array_sort(F.collect_list(F.when(F.col("tail"), x))).alias("later"),
     )
-    runs = runs.withColumns({"end_reason": reason, "state": F.when(reason.isNotNull(), "finalized").otherwise("in_flight")})
-    return runs.drop("run", "piece", "first_seen_ms", "complete", "complete_before", "after", "all_complete")
+    pieces = F.when(F.size("later") == 0, F.array("first")).otherwise(_folded(F.col("first"), F.col("later")))
+    runs = runs.select("instance_id", "thread_id", F.explode(pieces).alias("r")).select("instance_id", "thread_id", "r.*")
+    runs = runs.withColumn("next", F.lead(F.struct("complete_before", "first_seen_ms")).over(thread.orderBy("first_seen_ms")))
+    runs = runs.join(marked.groupBy("instance_id").agg(F.max("complete").alias("all_complete")), "instance_id")
+    long = (F.col("cut.complete") == F.col("complete")) & F.coalesce(F.col("next.first_seen_ms") > F.col("cut.tick_ms"), F.lit(True))
+    gone = F.coalesce("next.complete_before", "all_complete") > F.col("complete")
+    reason = F.when(long, "too_long").when(gone, "disappeared").when(F.col("next").isNotNull(), "thread_reused")
+    return runs.withColumns({"end_reason": reason, "state": F.when(reason.isNotNull(), "finalized").otherwise("in_flight")}).select(*RUN)

@@ -422,8 +422,9 @@ def h10(spark, sf_dir):
     return flatten.plan_change(parsed.select("app_digest", "seen_ms", flatten.fingerprint(F.col("nodes")).alias("fingerprint")))
 
 
-@query("e4_track_executions", """WITH runs AS (SELECT 'inst-' || (l_suppkey % 7) AS instance_id, l_orderkey AS thread_id, 'd' || l_linenumber AS digest, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) AS start, CAST(l_quantity AS BIGINT) AS seconds FROM lineitem),
-seen AS (SELECT *, unnest(range(0, seconds + 1, 5)) AS time_secs FROM runs),
+@query("e4_track_executions", """WITH runs AS (SELECT 'inst-' || (l_suppkey % 7) AS instance_id, l_orderkey AS thread_id, 'd' || l_linenumber AS digest, epoch_ms(CAST(l_shipdate AS TIMESTAMP)) AS start, CAST(l_quantity AS BIGINT) AS seconds, 5 AS step FROM lineitem
+ UNION ALL SELECT 'slow-' || l_orderkey || '-' || epoch_ms(CAST(l_shipdate AS TIMESTAMP)), l_orderkey, 'd' || l_linenumber, epoch_ms(CAST(l_shipdate AS TIMESTAMP)), CAST(l_quantity AS BIGINT) * 300, 600 FROM lineitem WHERE l_orderkey % 50 = 0),
+seen AS (SELECT *, unnest(range(0, seconds + 1, step)) AS time_secs FROM runs),
 obs AS (SELECT instance_id, start + time_secs * 1000 AS tick_ms, thread_id, time_secs, CASE WHEN (time_secs + thread_id) % 4 <> 0 THEN digest END AS digest FROM seen),
 ticks AS (SELECT instance_id, tick_ms, tick_ms % 10000 <> 5000 AS whole FROM obs GROUP BY ALL),
 marked AS (SELECT *, sum(CAST(whole AS INT)) OVER (PARTITION BY instance_id ORDER BY tick_ms) AS complete, sum(CAST(whole AS INT)) OVER (PARTITION BY instance_id ORDER BY tick_ms) - CAST(whole AS INT) AS complete_before FROM ticks),
@@ -431,17 +432,23 @@ one AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY instance_id, t
 f AS (SELECT one.*, complete, complete_before, coalesce(time_secs < lag(time_secs) OVER w OR complete_before > lag(complete) OVER w, true) AS fresh FROM one JOIN marked USING (instance_id, tick_ms) WINDOW w AS (PARTITION BY instance_id, thread_id ORDER BY tick_ms)),
 i AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY instance_id, thread_id ORDER BY tick_ms) AS island FROM f),
 k AS (SELECT *, fresh OR coalesce(digest <> last_value(digest IGNORE NULLS) OVER (PARTITION BY instance_id, thread_id, island ORDER BY tick_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM i),
-r AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY instance_id, thread_id ORDER BY tick_ms) AS run FROM k),
+u AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY instance_id, thread_id ORDER BY tick_ms) AS whole_run FROM k),
+r AS (SELECT *, whole_run * 1000 + (row_number() OVER (PARTITION BY instance_id, thread_id, whole_run ORDER BY tick_ms) - 1) // CASE WHEN starts_with(instance_id, 'slow-') THEN 8 ELSE 1000 END AS run FROM u),
 g AS (SELECT instance_id, thread_id, run, min(tick_ms) - arg_min(time_secs, tick_ms) * 1000 AS started_at_ms, max(time_secs) * 1000 AS duration_ms, arg_min(digest, tick_ms) FILTER (WHERE digest IS NOT NULL) AS app_digest, count(*) AS sightings,
  max(tick_ms) AS last_seen_ms, max(complete) AS complete, min(complete_before) AS complete_before FROM r GROUP BY ALL),
-e AS (SELECT g.*, lead(complete_before) OVER (PARTITION BY instance_id, thread_id ORDER BY run) AS after, m.complete AS all_complete FROM g JOIN (SELECT instance_id, max(complete) AS complete FROM marked GROUP BY 1) m USING (instance_id))
-SELECT instance_id, thread_id, started_at_ms, duration_ms, app_digest, sightings, last_seen_ms, CASE WHEN coalesce(after, all_complete) > complete THEN 'disappeared' WHEN after IS NOT NULL THEN 'thread_reused' END AS end_reason,
- CASE WHEN coalesce(after, all_complete) > complete OR after IS NOT NULL THEN 'finalized' ELSE 'in_flight' END AS state FROM e""")
+e AS (SELECT g.*, lead(complete_before) OVER (PARTITION BY instance_id, thread_id ORDER BY run) AS after, m.complete AS all_complete FROM g JOIN (SELECT instance_id, max(complete) AS complete FROM marked GROUP BY 1) m USING (instance_id)),
+n AS (SELECT *, CASE WHEN starts_with(instance_id, 'slow-') AND sightings = 8 THEN 'too_long' WHEN coalesce(after, all_complete) > complete THEN 'disappeared' WHEN after IS NOT NULL THEN 'thread_reused' END AS end_reason FROM e)
+SELECT instance_id, thread_id, started_at_ms, duration_ms, app_digest, sightings, last_seen_ms, end_reason, CASE WHEN end_reason IS NOT NULL THEN 'finalized' ELSE 'in_flight' END AS state FROM n""")
 def e4(spark, sf_dir):
+    """Lines as runs of up to 50 s, seen every 5 s; of every fiftieth order also as runs of up to four hours, on an instance for each day, seen every 10 min."""
+    k = F.col("l_orderkey")
     runs = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("inst-"), (F.col("l_suppkey") % 7).cast("string")).alias("instance_id"), F.col("l_orderkey").alias("thread_id"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("digest"),
-        F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("start"), F.col("l_quantity").cast("bigint").alias("seconds"))
-    seen = runs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("seconds"), F.lit(5).cast("bigint"))).alias("time_secs"))
+        F.col("l_suppkey").alias("supplier"), k.alias("thread_id"), F.concat(F.lit("d"), F.col("l_linenumber").cast("string")).alias("digest"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("start"), F.col("l_quantity").cast("bigint").alias("seconds"))
+    kind = lambda name, factor, step: F.struct(F.concat(*name).alias("instance_id"), (F.col("seconds") * factor).alias("seconds"), F.lit(step).cast("bigint").alias("step"))
+    fast = kind((F.lit("inst-"), (F.col("supplier") % 7).cast("string")), 1, 5)
+    slow = F.when(F.col("thread_id") % 50 == 0, kind((F.lit("slow-"), F.col("thread_id").cast("string"), F.lit("-"), F.col("start").cast("string")), 300, 600))
+    runs = runs.select("thread_id", "digest", "start", F.explode(F.array_compact(F.array(fast, slow))).alias("r")).select("thread_id", "digest", "start", "r.*")
+    seen = runs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("seconds"), F.col("step"))).alias("time_secs"))
     digest = F.when((F.col("time_secs") + F.col("thread_id")) % 4 != 0, F.col("digest"))
     obs = seen.select("instance_id", (F.col("start") + F.col("time_secs") * 1000).alias("tick_ms"), "thread_id", "time_secs", digest.alias("digest"), F.lit("app").alias("db_user"))
     ticks = obs.select("instance_id", "tick_ms").distinct().withColumn("truncated", F.col("tick_ms") % 10000 == 5000)

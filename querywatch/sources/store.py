@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from querywatch.operators.identity import merge_observations
+
 #: Days that records and the hot tier keep, overlap of incremental reads in ms.
 KEEP_DAYS, HOT_DAYS, OVERLAP_MS = 35, 31, 5000
 DAY_MS = 86_400_000
@@ -31,21 +35,43 @@ def read_status(samples: list[DataFrame], names: list[str]) -> DataFrame:
     return rows.groupBy("instance_id", "at_ms").pivot("name", names).agg(F.max("value"))
 
 
-def write_executions(df: DataFrame, path: str) -> DataFrame:
-    """Upsert by (instance, record_id) into a store partitioned by day; of one record the closed and then the latest row stays.
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a function from texts to its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _of_days(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """What a store has of the days of ``rows``; a year of days prunes by a list, more by a join."""
+    stored = spark.read.schema(rows.schema).parquet(path)
+    days = [r[0] for r in rows.select("date_part").distinct().limit(367).collect()]
+    return stored.filter(F.col("date_part").isin(days)) if len(days) < 367 else stored.join(rows.select("date_part").distinct(), "date_part", "left_semi")
+
+
+def write_executions(df: DataFrame, path: str, batch: str | int | None = None) -> DataFrame:
+    """Folds observations into a store of records: one for each (day, instance, record_id), merged field by field (``merge_observations``).
 
-    Only the days of ``df`` are read and replaced; a rerun gives the same rows.
+    Only the days of ``df`` are read and replaced. The result is the same in whatever order and split observations come, with one
+    exception: a text that a policy has ruled out is not kept for a policy that turns up later, but was set earlier. The merged days
+    are written beside the store first, so a writer that is lost at any point loses nothing: the next call with that ``batch`` takes
+    them from there. A batch that is done is done once, however often it is written. One writer at a time for each store.
     """
-    spark, rows = df.sparkSession, df
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
-        stored = spark.read.schema(df.schema).parquet(path)
-        rows = stored.join(F.broadcast(df.select("date_part").distinct()), "date_part", "left_semi").unionByName(df)  # a row per day
-    rank = F.struct(F.col("state") != "in_flight", "started_at_ms", "duration_ms", "event_id")
-    best = rows.groupBy("date_part", "instance_id", "record_id").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("date_part", "instance_id", "record_id")]), rank).alias("r"))
-    best = best.select("date_part", "instance_id", "record_id", "r.*").select(*df.columns)
-    best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_part").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    fs, at = _files(spark, path)
+    name = uuid.uuid4().hex if batch is None else batch
+    done, staged = at(f"{path}/_batches/{name}"), f"{path}/_staged/{name}"
+    keys = ["date_part", "instance_id", "record_id"]
+    if not fs.exists(done):
+        if not fs.exists(at(f"{staged}/_SUCCESS")):
+            new = merge_observations(df, keys)
+            there = fs.exists(at(path)) and any(not f.getPath().getName().startswith("_") for f in fs.listStatus(at(path)))
+            merged = merge_observations(_of_days(spark, path, new).unionByName(new), keys).select(*new.columns) if there else new
+            merged.write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_part").parquet(path)
+        fs.create(done, True).close()
+        fs.delete(at(staged), True)
+    return spark.read.parquet(path).withColumn("date_part", F.col("date_part").cast("string"))
 
 
 def apply_retention(df: DataFrame, now_ms: int, days: int = KEEP_DAYS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from querywatch.functions import query_text
 from querywatch.operators import capture, counters, inventory, locks, statistics
 from querywatch.plans import flatten, mask
-from querywatch.queries import KEYS_SQL, PLANS_SQL, POINTS_SQL, QUERIES, SQL, TO_MS, TWINS_SQL, metadata_locks, plan_documents, points, query, twins, with_executions  # noqa: F401
+from querywatch.queries import KEYS_SQL, PLANS_SQL, POINTS_SQL, QUERIES, SQL, TO_MS, TWINS_SQL, metadata_locks, plan_documents, points, query, twins, with_executions
 from querywatch.sources import store
 from querywatch.sources.views import executions, table
 
@@ -59,14 +59,40 @@ def a5(spark, sf_dir):
     return store.read_digest_snapshots(e, TO_MS).drop("schema_name")
 
 
-@query("a7_write_executions", f"""WITH {TWINS_SQL}, k AS (SELECT *, instance_id || ':' || thread_id || ':' || (started_at_ms // 1000) AS record_id, strftime(make_timestamp(started_at_ms * 1000), '%Y-%m-%d') AS date_part FROM twins)
-SELECT date_part, instance_id, record_id, arg_max(event_id, (CAST(state <> 'in_flight' AS INT), started_at_ms, duration_ms, event_id)) AS event_id FROM k GROUP BY 1, 2, 3""")
-def a7(spark, sf_dir):
+#: A record of each (day, instance, record_id) of the twins, as D7 merges them.
+MERGED_SQL = f"""WITH {TWINS_SQL}, k AS (SELECT *, instance_id || ':' || thread_id || ':' || (started_at_ms // 1000) AS record_id, strftime(make_timestamp(started_at_ms * 1000), '%Y-%m-%d') AS date_part,
+ CASE WHEN state = 'finalized' THEN started_at_ms + duration_ms - 20 END AS ended, event_id % 3 = 0 AS measured FROM twins),
+m AS (SELECT date_part, instance_id, record_id, count(*) AS observations, min(started_at_ms) AS started_at_ms, max(ended) AS any_end, max(ended) FILTER (WHERE ended >= started_at_ms) AS valid_end, max(duration_ms) AS longest,
+ max(duration_ms) FILTER (WHERE capture_source = 'slowlog') AS exact, CASE WHEN bool_or(state = 'finalized') THEN 'finalized' ELSE 'in_flight' END AS state, coalesce(min(app_digest) FILTER (WHERE NOT starts_with(app_digest, 'unknown-')), min(app_digest)) AS app_digest,
+ CASE WHEN count(DISTINCT capture_source) > 1 THEN 'merged' ELSE min(capture_source) END AS capture_source, min(db_user) AS db_user, max(rows_examined) FILTER (WHERE measured) AS rows_examined FROM k GROUP BY 1, 2, 3)
+SELECT date_part, instance_id, record_id, observations, started_at_ms, CASE WHEN observations = 1 THEN any_end ELSE valid_end END AS ended_at_ms, CASE WHEN observations = 1 THEN longest ELSE coalesce(exact, valid_end - started_at_ms, longest) END AS duration_ms,
+ state, app_digest, capture_source, db_user, rows_examined FROM m"""
+
+
+def scratch(spark, name):
     base = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{base.rstrip('/')}/executions-{uuid.uuid4().hex}"
-    rows = statistics.derive_keys(twins(spark, sf_dir)).select("date_part", "instance_id", "record_id", "event_id", "started_at_ms", "duration_ms", "state")
-    store.write_executions(rows.filter("event_id < 1000000000"), path)
-    return store.write_executions(rows.filter("event_id >= 1000000000"), path).select("date_part", "instance_id", "record_id", "event_id")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def observed(spark, sf_dir):
+    """Twins as observations of records."""
+    rows = statistics.derive_keys(twins(spark, sf_dir))
+    return rows.withColumns({
+        "ended_at_ms": F.when(F.col("state") == "finalized", F.col("started_at_ms") + F.col("duration_ms") - 20), "stats": F.struct(F.when(F.col("event_id") % 3 == 0, F.col("rows_examined")).alias("rows_examined")),
+        "captured_at_ms": F.col("started_at_ms")}).select("event_id", "date_part", "instance_id", "record_id", "thread_id", "started_at_ms", "ended_at_ms", "captured_at_ms", "duration_ms", "state", "app_digest", "capture_source", "db_user", "stats")
+
+
+MERGED = ("date_part", "instance_id", "record_id", "observations", "started_at_ms", "ended_at_ms", "duration_ms", "state", "app_digest", "capture_source", "db_user", "stats.rows_examined")
+
+
+@query("a7_write_executions", MERGED_SQL)
+def a7(spark, sf_dir):
+    """The late twins first, the others in two writes, one of them twice."""
+    path, rows = scratch(spark, "executions"), observed(spark, sf_dir)
+    late, odd = F.col("event_id") >= 1_000_000_000, F.col("event_id") % 2 == 1
+    for batch, part in ((0, rows.filter(late)), (1, rows.filter(~late & odd)), (2, rows.filter(~late & ~odd)), (1, rows.filter(~late & odd))):
+        stored = store.write_executions(part.drop("event_id"), path, batch)
+    return stored.select(*MERGED)
 
 
 @query("a8_apply_retention", with_executions(f"SELECT event_id FROM executions WHERE started_at_ms > {TO_MS - 10 * DAY}"))
