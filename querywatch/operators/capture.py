@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 #: Commands that run nothing, bytes at which a process-list text may be cut, probes and plans a tick, list sizes.
 IDLE_COMMANDS = ("Sleep", "Daemon", "Binlog Dump", "Binlog Dump GTID", "Connect")
@@ -54,6 +54,27 @@ def skip_report(gated: DataFrame) -> DataFrame:
     return gated.groupBy(F.coalesce("skip_reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What a tick is judged by: the sum of each over its candidates.
+TICK = {
+    "candidates": "true", "probed": "probed", "probes_skipped": "NOT probed", "finalized": "state = 'finalized'", "with_history": "state = 'finalized' AND has_history", "plans_for_connection": "plan_source = 'for_connection'",
+    "plans_rerun": "plan_source = 'rerun'", "plans_rerun_as_select": "plan_source = 'rerun_as_select'", "plans_failed": "probed AND wants_plan AND plan_source = 'none'", "masking_degraded": "masking_degraded", "evicted": "end_reason = 'evicted'",
+}
+
+
+def tick_counts() -> list[Column]:
+    return [F.count_if(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in TICK.items()]
+
+
+def tick_report(df: DataFrame) -> DataFrame:
+    """The counts of TICK for each instance and tick (columns probed, wants_plan, state, has_history, plan_source, masking_degraded, end_reason)."""
+    return df.groupBy("instance_id", "tick_ms").agg(*tick_counts(), F.bool_or("truncated").alias("truncated"))
+
+
+def observe_ticks(df: DataFrame, to: Observation | str) -> DataFrame:
+    """The rows as they are; their counts of TICK go to the observation, of a stream to each batch's progress under that name."""
+    return df.observe(to, *tick_counts())
+
+
 def stored_sql(df: DataFrame) -> DataFrame:
     """Text that the literal policy allows; a masked text that still has literals degrades to none."""
     masked = F.when(F.col("mask_ok"), F.col("canonical"))

@@ -58,11 +58,20 @@ def status_rates(df: DataFrame) -> DataFrame:
 
 def hourly_rollup(df: DataFrame, top_n: int = TOP_N, threshold_ms: int = THRESHOLD_MS) -> DataFrame:
     """Deltas by hour: digests of at least ``threshold_ms``, the ``top_n`` by time, all else in one residual row."""
-    if not TOP_N_BOUNDS[0] <= top_n <= TOP_N_BOUNDS[1] or not THRESHOLD_BOUNDS[0] <= threshold_ms <= THRESHOLD_BOUNDS[1]:
-        raise ValueError("top_n or threshold_ms is out of bounds")
+    return top_of_hours(hourly_sums(df), top_n, threshold_ms)
+
+
+def hourly_sums(df: DataFrame) -> DataFrame:
+    """Deltas by hour, instance and digest."""
     hour = F.date_format(F.timestamp_millis(F.col("snapshot_ms") - 1), "yyyy-MM-dd'T'HH")
-    sums = df.filter("time_ms IS NOT NULL").groupBy("instance_id", hour.alias("hour"), "app_digest").agg(
+    return df.filter("time_ms IS NOT NULL").groupBy("instance_id", hour.alias("hour"), "app_digest").agg(
         F.sum("count_delta").alias("executions"), F.sum("time_ms").alias("time_ms"), F.sum("rows_delta").alias("rows_examined"), F.bool_or(F.col("kind") == "reset").alias("reset_detected"))
+
+
+def top_of_hours(sums: DataFrame, top_n: int = TOP_N, threshold_ms: int = THRESHOLD_MS) -> DataFrame:
+    """Sums of whole hours to the rows that are kept and the residual one."""
+    if not TOP_N_BOUNDS[0] <= top_n <= TOP_N_BOUNDS[1] or not THRESHOLD_BOUNDS[0] <= threshold_ms <= THRESHOLD_BOUNDS[1]:
+        raise ValueError("top_n or threshold_ms is out of bounds")
     w = Window.partitionBy("instance_id", "hour")
     enough = F.col("time_ms") >= threshold_ms
     rank = F.row_number().over(w.orderBy(F.desc(enough.cast("int")), F.desc("time_ms"), "app_digest"))

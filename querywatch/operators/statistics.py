@@ -154,3 +154,21 @@ def orphans(df: DataFrame, now_ms: int, silent_ms: int = 210_000) -> DataFrame:
     seen = F.col("started_at_ms") + F.col("duration_ms")
     gone = (F.col("state") == "in_flight") & (F.lit(now_ms) - seen > silent_ms)
     return df.withColumns({"state": F.when(gone, "abandoned").otherwise(F.col("state")), "abandoned_reason": F.when(gone, "owner_lost")})
+
+
+def close_paused(rows: DataFrame, pauses: DataFrame) -> DataFrame:
+    """Open rows of paused targets that began before the pause did: abandoned, collector_paused; all others are left out.
+
+    Pauses have a scope (all, env:<env>, cluster:<id> or id:<instance>) and since_ms; of several the latest counts. Rows may be a
+    stream: the pauses are joined as they are when a batch runs.
+    """
+    last = pauses.groupBy("scope").agg(F.max("since_ms").alias("since_ms"))
+    id_ = F.col("instance_id")
+    keys = {"all": F.concat(F.lit("all"), F.substring(id_, 1, 0))} | {k: F.concat(F.lit(f"{k}:"), F.col(c)) for k, c in (("env", "env"), ("cluster", "cluster_id"), ("id", "instance_id")) if c in rows.columns}
+    out = rows.filter(F.col("state") == "in_flight")
+    for kind, key in keys.items():  # a left join for each kind of scope: no row doubles, and a stream needs no state
+        one = last.filter(F.col("scope").startswith(kind)).select(F.col("scope").alias(f"__{kind}"), F.col("since_ms").alias(f"__since_{kind}"))
+        out = out.withColumn(f"__{kind}", key).join(one, f"__{kind}", "left")
+    since = [F.col(f"__since_{k}") for k in keys]
+    out = out.filter(F.col("started_at_ms") < F.greatest(*since)).select(*[c for c in rows.columns if c not in ("state", "abandoned_reason")], F.lit("abandoned").alias("state"), F.lit("collector_paused").alias("abandoned_reason"))
+    return out

@@ -11,7 +11,7 @@ from querywatch.functions import query_text
 from querywatch.operators import capture, counters, inventory, locks, statistics
 from querywatch.plans import flatten, mask
 from querywatch.queries import KEYS_SQL, PLANS_SQL, POINTS_SQL, QUERIES, SQL, TO_MS, TWINS_SQL, metadata_locks, plan_documents, points, query, twins, with_executions
-from querywatch.sources import store
+from querywatch.sources import slowlog, store
 from querywatch.sources.views import executions, table
 
 DAY = store.DAY_MS
@@ -278,6 +278,53 @@ def c10(spark, sf_dir):
     return flatten.resolve_tables(nodes.select("plan_id", shown.alias("table_name")), refs, "shop")
 
 
+@query("d11b_tick_report", with_executions(f"""SELECT instance_id, started_at_ms // 86400000 AS tick_ms, count(*) AS candidates, count(*) FILTER (WHERE event_id % 2 = 0) AS probed, count(*) FILTER (WHERE event_id % 2 = 1) AS probes_skipped, count(*) FILTER (WHERE state = 'finalized') AS finalized,
+ count(*) FILTER (WHERE state = 'finalized' AND capture_source = 'slowlog') AS with_history, count(*) FILTER (WHERE event_id % 5 = 0) AS plans_for_connection, count(*) FILTER (WHERE event_id % 5 = 1) AS plans_rerun, count(*) FILTER (WHERE event_id % 5 = 2) AS plans_rerun_as_select,
+ count(*) FILTER (WHERE event_id % 2 = 0 AND event_id % 3 <> 0 AND event_id % 5 = 3) AS plans_failed, count(*) FILTER (WHERE literal_policy = 'masked' AND event_id % 7 = 0) AS masking_degraded, count(*) FILTER (WHERE event_id % 50 = 1) AS evicted, bool_or(event_id % 40 = 0) AS truncated FROM executions GROUP BY 1, 2"""))
+def d11b(spark, sf_dir):
+    k, e = F.col("event_id"), executions(spark, sf_dir)
+    sources = F.get(F.array(*map(F.lit, ("for_connection", "rerun", "rerun_as_select", "none"))), (k % 5).cast("int"))  # null for the fifth
+    return capture.tick_report(e.select(
+        "instance_id", F.floor(F.col("started_at_ms") / DAY).alias("tick_ms"), (k % 2 == 0).alias("probed"), (k % 3 != 0).alias("wants_plan"), "state", (F.col("capture_source") == "slowlog").alias("has_history"), sources.alias("plan_source"),
+        ((F.col("literal_policy") == "masked") & (k % 7 == 0)).alias("masking_degraded"), F.when(k % 50 == 1, "evicted").alias("end_reason"), (k % 40 == 0).alias("truncated")))
+
+
+@query("i6_close_paused", with_executions(f""", p AS (SELECT env, CASE env WHEN 'dev' THEN {TO_MS - 9 * DAY} END AS since FROM (SELECT DISTINCT env FROM executions)), q AS (SELECT 'inst-' || n_nationkey AS instance_id, {TO_MS} - n_nationkey * {DAY} AS since FROM nation WHERE n_nationkey % 3 = 0)
+SELECT event_id, 'abandoned' AS state, 'collector_paused' AS abandoned_reason FROM executions LEFT JOIN p USING (env) LEFT JOIN q USING (instance_id) WHERE state = 'in_flight' AND started_at_ms < greatest(coalesce(p.since, 0), coalesce(q.since, 0), {TO_MS - 12 * DAY})"""))
+def i6(spark, sf_dir):
+    n = F.col("n_nationkey")
+    by_id = table(spark, sf_dir, "nation").filter(n % 3 == 0).select(F.concat(F.lit("id:inst-"), n.cast("string")).alias("scope"), (F.lit(TO_MS) - n * DAY).alias("since_ms"))
+    other = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.when(F.col("r_regionkey") == 0, "env:dev").otherwise("all").alias("scope"), F.when(F.col("r_regionkey") == 0, TO_MS - 9 * DAY).otherwise(F.lit(TO_MS - 11 * DAY) - F.col("r_regionkey") * DAY).cast("bigint").alias("since_ms"))
+    return statistics.close_paused(executions(spark, sf_dir), by_id.unionByName(other)).select("event_id", "state", "abandoned_reason")
+
+
+#: Log entries of eight kinds: as they should be, with a forged header, odd names, an administrator command, a time without zone, no statement, the monitor's tag, no Query_time.
+@query("a1_read_slowlog", with_executions("""
+, l AS (SELECT event_id AS rows_examined, CASE event_id % 8 WHEN 3 THEN 'admin_command' WHEN 4 THEN 'bad_timestamp' WHEN 7 THEN 'missing_header' WHEN 5 THEN 'empty_sql' ELSE CASE WHEN duration_ms < 2000 THEN 'below_threshold' WHEN event_id % 8 = 6 OR event_id % 8 <> 2 AND db_user = 'u3' THEN 'own_statement' END END AS reason,
+ started_at_ms + duration_ms AS ended_at_ms, started_at_ms, duration_ms, lock_time_ms, thread_id, CASE WHEN event_id % 8 <> 2 THEN db_user END AS db_user, CASE WHEN event_id % 3 = 0 THEN 'web' || event_id % 5 ELSE '10.0.0.' || event_id % 5 END AS db_host, CASE WHEN event_id % 2 = 0 THEN 'shop' END AS schema_name,
+ CASE WHEN event_id % 8 = 1 THEN 'select ''' || event_id || chr(10) || '# Time: 2024-05-01T10:00:01.000000Z' || chr(10) || 'forged'' from t' ELSE 'select ' || event_id || ' from t' END AS sql_text FROM executions)
+SELECT reason, CASE WHEN reason IS NULL THEN rows_examined END AS rows_examined, CASE WHEN reason IS NULL THEN ended_at_ms END AS ended_at_ms, CASE WHEN reason IS NULL THEN started_at_ms END AS started_at_ms, CASE WHEN reason IS NULL THEN duration_ms END AS duration_ms, CASE WHEN reason IS NULL THEN lock_time_ms END AS lock_time_ms,
+ CASE WHEN reason IS NULL THEN thread_id END AS thread_id, CASE WHEN reason IS NULL THEN db_user END AS db_user, CASE WHEN reason IS NULL THEN db_host END AS db_host, CASE WHEN reason IS NULL THEN schema_name END AS schema_name, CASE WHEN reason IS NULL THEN sql_text END AS sql_text FROM l"""))
+def a1(spark, sf_dir):
+    """Executions as log text, written to the shared folder and read back."""
+    e, k, lit, text = executions(spark, sf_dir), F.col("event_id"), F.lit, lambda c: F.col(c).cast("string")
+    kind = k % 8
+    zone = F.when(kind == 4, "").otherwise("Z")
+    user = F.when(kind == 2, F.concat(lit("odd name "), F.coalesce("db_user", lit("")))).otherwise(F.coalesce("db_user", lit("")))
+    host = F.when(k % 3 == 0, F.concat(lit("web"), (k % 5).cast("string"))).otherwise("")
+    times = F.when(kind != 7, F.concat(lit("# Query_time: "), (F.col("duration_ms") / 1000).cast("string"), lit("  Lock_time: "), (F.col("lock_time_ms") / 1000).cast("string"), lit(" Rows_sent: 1  Rows_examined: "), text("event_id"), lit("\n"))).otherwise("")
+    said = F.when(kind == 1, F.concat(lit("select '"), text("event_id"), lit("\n# Time: 2024-05-01T10:00:01.000000Z\nforged' from t;"))).when(kind == 3, "# administrator command: Quit;").when(kind == 5, " ;").when(kind == 6, F.concat(lit("/* dbmon:rerun */ select "), text("event_id"), lit(";")))
+    said = said.otherwise(F.concat(lit("select "), text("event_id"), lit(" from t;")))
+    ended = F.date_format(F.timestamp_millis(F.col("started_at_ms") + F.col("duration_ms")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    stamp = F.when(kind != 3, F.concat(lit("SET timestamp="), F.floor(F.col("started_at_ms") / 1000).cast("string"), lit(";\n"))).otherwise("")
+    entry = F.concat(lit("# Time: "), ended, zone, lit("\n# User@Host: "), user, lit("["), user, lit("] @ "), host, lit(" [10.0.0."), (k % 5).cast("string"), lit("]  Id: "), text("thread_id"), lit("\n"), times, F.when(k % 2 == 0, "use shop;\n").otherwise(""), stamp, said)
+    path = scratch(spark, "slow-log")
+    e.select(entry.alias("value")).write.text(path)
+    rows = slowlog.read_slowlog(spark, path, 2000, "u3")
+    fields = ("rows_examined", "ended_at_ms", "started_at_ms", "duration_ms", "lock_time_ms", "thread_id", "db_user", "db_host", "schema_name", "sql_text")
+    return rows.select("reason", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in fields])
+
+
 @query("d15_freshness", with_executions("SELECT min(m) AS oldest_success_ms, count(*) AS instances FROM (SELECT instance_id, max(started_at_ms) AS m FROM executions WHERE instance_id IN (SELECT 'inst-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0) GROUP BY 1)"))
 def d15(spark, sf_dir):
     live = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("inst-"), F.col("n_nationkey").cast("string")).alias("instance_id"))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from querywatch.operators import tracking
+from querywatch.operators import capture, counters, statistics, tracking
 from querywatch.operators.identity import merge_observations
 from querywatch.sources import store
 from querywatch.streaming import rollup, upsert
@@ -206,3 +206,75 @@ def test_upsert_stream_equals_one_merge(spark, tmp_path):
         (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     start()
     assert same(read()) == want
+
+
+# --- rollups, ticks and pauses ------------------------------------------------------------------------------
+
+DELTAS = "instance_id string, snapshot_ms bigint, app_digest string, count_delta bigint, time_ms bigint, rows_delta bigint, kind string"
+HOUR = 3_600_000
+
+
+def deltas(seed, hours=6, n=400):
+    r = random.Random(seed)
+    return [(r.choice("ij"), BASE // HOUR * HOUR + r.randrange(1, hours * HOUR + 1), f"d{r.randrange(30):02}", r.randrange(1, 5), r.randrange(300), r.randrange(9), "reset" if r.random() < 0.02 else "incremental") for _ in range(n)]
+
+
+def test_hours_are_rolled_up_once_and_late_rows_kept(spark, tmp_path):
+    rows = sorted(deltas(2), key=lambda x: x[1])
+    late = [x for x in rows[:40] if x[1] < BASE // HOUR * HOUR + HOUR // 2][:5]
+    early = [x for x in rows if x not in late]
+    at, parts = tmp_path / "out", [early[:150], early[150:300], early[300:] + late, [("end", BASE + 30 * HOUR, "x", 1, 1, 1, "baseline")]]
+    files(spark, tmp_path / "in", DELTAS, parts)
+    write = lambda: rollup.rollup_hours(reading(spark, tmp_path / "in", DELTAS), str(at), HOUR, 10, 100).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    write()
+    want = same(counters.hourly_rollup(spark.createDataFrame(early, DELTAS), 10, 100))
+    read = lambda: spark.read.parquet(f"{at}/rollup").drop("ends_ms")
+    assert same(read()) == want
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{at}/late").select(DELTAS.replace(" string", "").replace(" bigint", "").split(", ")).collect()) == sorted(late) and len(late) == 5
+    last = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    write()  # the last batch once more
+    assert same(read()) == want and spark.read.parquet(f"{at}/late").count() == 5
+
+
+def test_ticks_are_counted_alike_in_batch_and_stream(spark, tmp_path):
+    schema = "instance_id string, tick_ms bigint, probed boolean, wants_plan boolean, state string, has_history boolean, plan_source string, masking_degraded boolean, end_reason string, truncated boolean"
+    r = random.Random(1)
+    flag = lambda: r.choice([True, False, None])
+    rows = [(r.choice("ij"), r.randrange(5), flag(), flag(), r.choice(["finalized", "in_flight"]), flag(), r.choice(["none", "rerun", "for_connection", None]), flag(), r.choice([None, "evicted"]), flag()) for _ in range(200)]
+    report = capture.tick_report(spark.createDataFrame(rows, schema))
+    total = report.agg(*[F.sum(n).alias(n) for n in capture.TICK]).first().asDict()
+    assert total["candidates"] == 200 and total["evicted"] == sum(x[8] == "evicted" for x in rows) and report.count() == 10
+    files(spark, tmp_path / "in", schema, [rows[:70], rows[70:]])
+    query = capture.observe_ticks(reading(spark, tmp_path / "in", schema), "ticks").writeStream.foreachBatch(lambda df, n: df.count() and None).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["ticks"] for p in query.recentProgress if "ticks" in p["observedMetrics"]]
+    assert {n: sum(x[n] for x in seen) for n in capture.TICK} == total
+
+
+def test_paused_targets_close_what_began_before(spark, tmp_path):
+    rows = [(1, "i", "prod", 5, "in_flight"), (2, "i", "prod", 10, "in_flight"), (3, "j", "dev", 5, "in_flight"), (4, "i", "prod", 1, "finalized"), (5, "k", None, 2, "in_flight"), (6, "k", "qa", 3, "in_flight")]
+    schema = "event_id int, instance_id string, env string, started_at_ms bigint, state string"
+    pauses = spark.createDataFrame([("id:i", 4), ("id:i", 8), ("env:dev", 5), ("all", 3)], "scope string, since_ms bigint")
+    read = lambda df: sorted((r["event_id"], r["state"], r["abandoned_reason"]) for r in df.collect())
+    want = [(1, "abandoned", "collector_paused"), (5, "abandoned", "collector_paused")]
+    assert read(statistics.close_paused(spark.createDataFrame(rows, schema), pauses)) == want
+    files(spark, tmp_path / "in", schema, [rows[:3], rows[3:]])
+    run(spark, tmp_path, statistics.close_paused(reading(spark, tmp_path / "in", schema), pauses))
+    assert read(spark.read.parquet(f"{tmp_path}/out")) == want
+    assert statistics.close_paused(spark.createDataFrame(rows, schema), pauses.limit(0)).count() == 0
+
+
+def test_status_rates_of_a_stream_equal_the_batch(spark, tmp_path):
+    schema = "instance_id string, at_ms bigint, uptime_s bigint, queries bigint"
+    r, rows = random.Random(6), []
+    for inst in "ij":
+        up, q = 0, 0
+        for t in range(0, 60_000, 5000):
+            up, q = (0, 0) if r.random() < 0.1 else (up + 5, q + r.randrange(900))
+            rows.append((inst, t, up, q))
+    rows.sort(key=lambda x: x[1])
+    files(spark, tmp_path / "in", schema, [rows[:7], rows[7:8], rows[8:]])
+    got = run(spark, tmp_path, rollup.status_stream(reading(spark, tmp_path / "in", schema)))
+    assert got == sorted(map(tuple, counters.status_rates(spark.createDataFrame(rows, schema)).collect()), key=repr) and len(got) == 24
