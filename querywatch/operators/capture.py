@@ -76,8 +76,8 @@ def observe_ticks(df: DataFrame, to: Observation | str) -> DataFrame:
 
 
 def stored_sql(df: DataFrame) -> DataFrame:
-    """Text that the literal policy allows; a masked text that still has literals degrades to none."""
-    masked = F.when(F.col("mask_ok"), F.col("canonical"))
+    """Text that the literal policy allows; a masked text that still has literals degrades to none, and no text stays none."""
+    masked = F.when(F.col("mask_ok") & F.col("sql_text").isNotNull(), F.col("canonical"))
     text = F.when(F.col("literal_policy") == "masked", masked).when(F.col("literal_policy").isin("full", "full_restricted"), F.col("sql_text"))
     return df.withColumns({"stored_sql": text, "masking_degraded": (F.col("literal_policy") == "masked") & ~F.coalesce(F.col("mask_ok"), F.lit(False))})
 

@@ -145,7 +145,7 @@ def fair_share(df: DataFrame, ceiling: int, order: list[Column], rounds: int = 2
         left = F.lit(ceiling) - F.sum("share").over(all_)
         wanting = F.greatest(F.sum(hungry.cast("int")).over(all_), F.lit(1))
         counts = counts.withColumn("share", F.when(hungry, F.least("n", F.col("share") + F.floor(left / wanting))).otherwise(F.col("share")))
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("instance_id").orderBy(*order)))
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("instance_id").orderBy(*order))).filter(F.col("rn") <= ceiling)  # no share is larger: tasks cut before they shuffle
     return ranked.join(counts, "instance_id").filter("rn <= share").withColumn("truncated", F.col("n") > F.col("share")).drop("rn", "n", "share")
 
 

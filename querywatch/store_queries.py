@@ -366,9 +366,12 @@ def f8(spark, sf_dir):
     return inventory.visible_envs(customers(spark, sf_dir))
 
 
-@query("g6_stored_sql")
+@query("g6_stored_sql", with_executions("""SELECT event_id, CASE WHEN literal_policy = 'masked' THEN CASE WHEN event_id % 6 <> 0 THEN regexp_replace(sql_text, ' [0-9]+$', ' ?') END WHEN literal_policy LIKE 'full%' THEN sql_text || CASE WHEN event_id % 6 = 0 THEN ' ''open' ELSE '' END END AS stored_sql,
+ literal_policy = 'masked' AND event_id % 6 = 0 AND sql_text IS NOT NULL AS masking_degraded FROM executions"""))
 def g6(spark, sf_dir):
-    e = executions(spark, sf_dir).withColumn("canonical", query_text.canonical(F.col("sql_text")))
+    """Every sixth text has an open quote, which no mask can be sure of."""
+    e = executions(spark, sf_dir).withColumn("sql_text", F.concat("sql_text", F.when(F.col("event_id") % 6 == 0, " 'open").otherwise("")))
+    e = e.withColumn("canonical", query_text.canonical(F.col("sql_text")))
     return capture.stored_sql(e.withColumn("mask_ok", query_text.mask_ok(F.col("canonical")))).select("event_id", "stored_sql", "masking_degraded")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import shutil
+import time
 from collections import Counter
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from querywatch.operators import capture, counters, statistics, tracking
 from querywatch.operators.identity import merge_observations
 from querywatch.sources import store
-from querywatch.streaming import rollup, upsert
+from querywatch.streaming import heartbeat, rollup, upsert
 from querywatch.streaming import tracking as streamed
 
 OBS = "instance_id string, tick_ms bigint, thread_id bigint, time_secs bigint, digest string, db_user string, db_host string"
@@ -278,3 +279,21 @@ def test_status_rates_of_a_stream_equal_the_batch(spark, tmp_path):
     files(spark, tmp_path / "in", schema, [rows[:7], rows[7:8], rows[8:]])
     got = run(spark, tmp_path, rollup.status_stream(reading(spark, tmp_path / "in", schema)))
     assert got == sorted(map(tuple, counters.status_rates(spark.createDataFrame(rows, schema)).collect()), key=repr) and len(got) == 24
+
+
+def test_silent_runs_get_a_heartbeat(rocks, tmp_path):
+    spark, schema = rocks, "instance_id string, thread_id bigint, started_at_ms bigint, state string"
+    files(spark, tmp_path / "in", schema, [[("i", n, 5, "in_flight") for n in range(5)] + [("i", 9, 5, "in_flight"), ("i", 9, 5, "finalized"), ("j", 1, 7, "in_flight")]])
+    query = heartbeat.heartbeat(reading(spark, tmp_path / "in", schema), 2000, 3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="300 milliseconds").start(f"{tmp_path}/out")
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = spark.read.schema(heartbeat.OUT).parquet(f"{tmp_path}/out").collect() if (tmp_path / "out").exists() else []
+            by = Counter((r["instance_id"], r["thread_id"]) for r in got)
+            if len(by) == 6 and min(by.values()) > 1:
+                break
+    finally:
+        query.stop()
+    assert set(by) == {("i", n) for n in range(5)} | {("j", 1)} and min(by.values()) > 1  # again and again, but not the one that ended
+    assert all(r["silent_ms"] >= 2000 for r in got)
+    assert max(Counter((r["instance_id"], r["touched_at_ms"]) for r in got).values()) <= 3
