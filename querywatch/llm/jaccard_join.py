@@ -526,7 +526,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     for i in range(ROUNDS):
         marked = live.join(labels, "cid")
         first = marked.groupBy("key").agg(F.min(F.struct("label", "cid", "n")).alias("hub"), F.max("label").alias("hi")).filter("hub.label <> hi")
-        met = marked.join(first, "key").filter((F.col("label") != F.col("hub.label")) & _alike(F.col("n"), F.col("hub.n"))).groupBy("cid", F.col("hub.cid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+        joined = marked.join(first, "key")
+        if i:  # a key whose members are all in one component has nothing more to say: only the others go on
+            joined = save(joined.select("key", "band", "cid", "n", "home", "label", "hub"), f"{at}/live-{i}")
+            discard(spark, f"{at}/live" if i == 1 else f"{at}/live-{i - 1}")
+            live = joined.select("key", "band", "cid", "n", "home")
+        met = joined.filter((F.col("label") != F.col("hub.label")) & _alike(F.col("n"), F.col("hub.n"))).groupBy("cid", F.col("hub.cid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
         if links is not None:
             done = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
             met = met.join(done, (F.least("cid", "other") == F.col("x")) & (F.greatest("cid", "other") == F.col("y")), "left_anti")
@@ -554,7 +559,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels, "cid", "left")
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("row_id")).alias("label"))
     named = save(named, f"{at}/named")
-    discard(spark, *(f"{at}/{x}" for x in ("docs", "live", "sets", *(f"{x}-{i}" for x in ("near", "open", "rest", "links") for i in (*range(ROUNDS), "closest", "all")))))
+    discard(spark, *(f"{at}/{x}" for x in ("docs", f"live-{ROUNDS - 1}", "sets", *(f"{x}-{i}" for x in ("near", "open", "rest", "links") for i in (*range(ROUNDS), "closest", "all")))))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
