@@ -13,6 +13,7 @@ OTHER = "_other"
 
 #: Cumulative counters besides executions, time and rows read, and the names of their deltas.
 TIMES = {"sum_lock_time_ps": "lock_time"}
+SNAPSHOTS = {"max_timer_wait_ps": "max_ms", "quantile_95_ps": "p95_ms"}  # no deltas: the value at the snapshot
 SUMS = ("errors", "warnings", "rows_affected", "rows_sent", "created_tmp_tables", "created_tmp_disk_tables", "select_full_join", "select_scan", "sort_merge_passes", "no_index_used", "no_good_index_used")
 
 
@@ -41,19 +42,31 @@ def digest_delta(df: DataFrame) -> DataFrame:
         return F.floor(out / F.lit(1_000_000_000)).cast("bigint") if c.endswith("_ps") else out
 
     names = {"count_star": "count_delta", "sum_timer_wait_ps": "time_ms", "sum_rows_examined": "rows_delta"} | TIMES | {f"sum_{c}": c for c in SUMS}
-    return df.select(*key, "snapshot_ms", "kind", *[delta(c).alias(names[c]) for c in counters], "max_ms")
+    in_ms = lambda c: F.floor(F.col(c) / F.lit(1_000_000_000)).cast("bigint")
+    shots = [in_ms(c).alias(n) for c, n in SNAPSHOTS.items() if c in df.columns] + (["max_ms"] if "max_ms" in df.columns else [])
+    return df.select(*key, "snapshot_ms", "kind", *[delta(c).alias(names[c]) for c in counters], *shots)
+
+
+#: Cumulative status counters, the names of their rates, and those of them whose fall tells of a restart.
+RATES = {"queries": "qps", "slow_queries": "slow_per_sec", "lock_deadlocks": "deadlocks_per_sec", "lock_timeouts": "lock_timeouts_per_sec"}
+RESTART = ("uptime_s", "queries", "slow_queries")
+GAUGES = ("threads_running", "threads_connected", "max_connections", "lock_waits")
 
 
 def status_rates(df: DataFrame) -> DataFrame:
-    """Rates a second from cumulative status samples (instance_id, at_ms, uptime_s, queries), with the reason for a gap."""
-    w = Window.partitionBy("instance_id").orderBy("at_ms")
-    df = df.withColumn("p", F.lag(F.struct("at_ms", "uptime_s", "queries")).over(w))
-    gap = (
-        F.when(F.col("p").isNull(), "first_sample").when(F.col("at_ms") <= F.col("p.at_ms"), "non_monotonic_clock")
-        .when((F.col("uptime_s") < F.col("p.uptime_s")) | (F.col("queries") < F.col("p.queries")), "counters_reset")
-    )
-    rate = F.round((F.col("queries") - F.col("p.queries")) * 1000 / (F.col("at_ms") - F.col("p.at_ms")), 6)
-    return df.select("instance_id", "at_ms", gap.alias("gap_reason"), F.when(gap.isNull(), rate).alias("qps"))
+    """Rates a second from cumulative status samples (instance_id, at_ms, and what there is of uptime_s and RATES), with the reason for a gap.
+
+    A rate is null behind a gap, where a sample lacks the counter, and where that counter alone has fallen. GAUGES pass through.
+    """
+    counters = [c for c in dict.fromkeys([*RESTART, *RATES]) if c in df.columns]
+    df = df.withColumn("p", F.lag(F.struct("at_ms", *counters)).over(Window.partitionBy("instance_id").orderBy("at_ms")))
+    fell = lambda c: F.coalesce(F.col(c) < F.col(f"p.{c}"), F.lit(False))
+    reset = F.lit(False)
+    for c in RESTART:
+        reset = reset | fell(c) if c in counters else reset
+    gap = F.when(F.col("p").isNull(), "first_sample").when(F.col("at_ms") <= F.col("p.at_ms"), "non_monotonic_clock").when(reset, "counters_reset")
+    rate = lambda c: F.when(gap.isNull() & ~fell(c), F.round((F.col(c) - F.col(f"p.{c}")) * 1000 / (F.col("at_ms") - F.col("p.at_ms")), 6))
+    return df.select("instance_id", "at_ms", gap.alias("gap_reason"), *[rate(c).alias(n) for c, n in RATES.items() if c in counters], *[c for c in GAUGES if c in df.columns])
 
 
 def hourly_rollup(df: DataFrame, top_n: int = TOP_N, threshold_ms: int = THRESHOLD_MS) -> DataFrame:
@@ -61,25 +74,46 @@ def hourly_rollup(df: DataFrame, top_n: int = TOP_N, threshold_ms: int = THRESHO
     return top_of_hours(hourly_sums(df), top_n, threshold_ms)
 
 
+#: What is summed over an hour, under which name, and of what the largest counts.
+SUMMED = {"count_delta": "executions", "time_ms": "time_ms", "rows_delta": "rows_examined", "lock_time": "lock_time"} | {c: c for c in SUMS}
+LARGEST = ("max_ms", "p95_ms")
+
+
 def hourly_sums(df: DataFrame) -> DataFrame:
-    """Deltas by hour, instance and digest."""
-    hour = F.date_format(F.timestamp_millis(F.col("snapshot_ms") - 1), "yyyy-MM-dd'T'HH")
-    return df.filter("time_ms IS NOT NULL").groupBy("instance_id", hour.alias("hour"), "app_digest").agg(
-        F.sum("count_delta").alias("executions"), F.sum("time_ms").alias("time_ms"), F.sum("rows_delta").alias("rows_examined"), F.bool_or(F.col("kind") == "reset").alias("reset_detected"))
+    """Deltas by hour, instance and digest, with the minutes that were seen as bits. Counters that the table does not have are left out."""
+    at = F.col("snapshot_ms") - 1
+    rows = df.filter("time_ms IS NOT NULL").withColumns({"hour": F.date_format(F.timestamp_millis(at), "yyyy-MM-dd'T'HH"), "reset_detected": F.col("kind") == "reset", "minutes": F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.floor(at / 60000) % 60).cast("int"))})
+    return merge_sums(rows.select(*[c for c in rows.columns if c not in SUMMED], *[F.col(c).alias(n) for c, n in SUMMED.items() if c in rows.columns]))
+
+
+def merge_sums(sums: DataFrame) -> DataFrame:
+    """Several sums of an hour, instance and digest to one."""
+    has = set(sums.columns)
+    return sums.groupBy("instance_id", "hour", "app_digest").agg(
+        *[F.sum(n).alias(n) for n in SUMMED.values() if n in has], *[F.max(n).alias(n) for n in LARGEST if n in has], F.bool_or("reset_detected").alias("reset_detected"), F.bit_or("minutes").alias("minutes"),
+        *[F.min(n).alias(n) for n in ("schema_name",) if n in has])
 
 
 def top_of_hours(sums: DataFrame, top_n: int = TOP_N, threshold_ms: int = THRESHOLD_MS) -> DataFrame:
-    """Sums of whole hours to the rows that are kept and the residual one."""
+    """Sums of whole hours to the rows that are kept and the residual one.
+
+    A reset, the minutes seen and the candidates that were cut are those of the instance's hour; the residual has no largest values
+    and no schema. Every row says by what it was chosen.
+    """
     if not TOP_N_BOUNDS[0] <= top_n <= TOP_N_BOUNDS[1] or not THRESHOLD_BOUNDS[0] <= threshold_ms <= THRESHOLD_BOUNDS[1]:
         raise ValueError("top_n or threshold_ms is out of bounds")
+    has = set(sums.columns)
     w = Window.partitionBy("instance_id", "hour")
     enough = F.col("time_ms") >= threshold_ms
     rank = F.row_number().over(w.orderBy(F.desc(enough.cast("int")), F.desc("time_ms"), "app_digest"))
-    marked = sums.withColumns({"kept": enough & (rank <= top_n), "total_time_all_ms": F.sum("time_ms").over(w)})
+    marked = sums.withColumns({
+        "kept": enough & (rank <= top_n), "total_time_all_ms": F.sum("time_ms").over(w), "candidates": F.count_if(enough).over(w), "reset_detected": F.bool_or("reset_detected").over(w), "minutes": F.bit_or("minutes").over(w)})
     name = F.when(F.col("kept"), F.col("app_digest")).otherwise(OTHER)
+    minutes = F.bit_count(F.first("minutes"))
     return marked.groupBy("instance_id", "hour", name.alias("app_digest")).agg(
-        F.sum("executions").alias("executions"), F.sum("time_ms").alias("time_ms"), F.sum("rows_examined").alias("rows_examined"), F.bool_or("reset_detected").alias("reset_detected"),
-        F.first("total_time_all_ms").alias("total_time_all_ms"), F.count_if(~F.col("kept")).alias("other_digest_count"),
+        *[F.sum(n).alias(n) for n in SUMMED.values() if n in has], *[F.max(F.when(F.col("kept"), F.col(n))).alias(n) for n in LARGEST if n in has], *[F.max(F.when(F.col("kept"), F.col(n))).alias(n) for n in ("schema_name",) if n in has],
+        F.first("reset_detected").alias("reset_detected"), minutes.alias("partial_minutes"), (minutes < 60).alias("partial"), F.first("total_time_all_ms").alias("total_time_all_ms"), F.count_if(~F.col("kept")).alias("other_digest_count"),
+        F.greatest(F.first("candidates") - top_n, F.lit(0)).cast("bigint").alias("truncated_candidates"), F.lit(top_n).alias("top_n"), F.lit(threshold_ms).alias("threshold_ms"),
     )
 
 

@@ -141,18 +141,21 @@ def i5(spark, sf_dir):
 
 DELTAS_SQL = f"""WITH {SNAPSHOTS_SQL},
 ticks AS (SELECT instance_id, snapshot_ms, lag(snapshot_ms) OVER (PARTITION BY instance_id ORDER BY snapshot_ms) AS last_ms FROM (SELECT DISTINCT instance_id, snapshot_ms FROM snapshots)),
-lagged AS (SELECT s.*, last_ms, lag(count_star) OVER w AS pc, lag(sum_ms) OVER w AS pt, lag(sum_rows_examined) OVER w AS pr, lag(lock_ms) OVER w AS pl FROM snapshots s JOIN ticks USING (instance_id, snapshot_ms) WINDOW w AS (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms)),
+lagged AS (SELECT s.*, last_ms, lag(count_star) OVER w AS pc, lag(sum_ms) OVER w AS pt, lag(sum_rows_examined) OVER w AS pr, lag(lock_ms) OVER w AS pl, {", ".join(f"lag({c}) OVER w AS p_{c}" for c in counters.SUMS)} FROM snapshots s JOIN ticks USING (instance_id, snapshot_ms) WINDOW w AS (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms)),
 kinds AS (SELECT *, CASE WHEN pc IS NULL THEN CASE WHEN first_seen_ms > last_ms THEN 'new_in_window' ELSE 'baseline' END WHEN count_star < pc THEN 'reset' ELSE 'incremental' END AS kind FROM lagged),
 deltas AS (SELECT instance_id, app_digest, snapshot_ms, kind, CASE WHEN kind = 'incremental' THEN greatest(count_star - pc, 0) WHEN kind <> 'baseline' THEN count_star END AS count_delta,
- CASE WHEN kind = 'incremental' THEN greatest(sum_ms - pt, 0) WHEN kind <> 'baseline' THEN sum_ms END AS time_ms, CASE WHEN kind = 'incremental' THEN greatest(sum_rows_examined - pr, 0) WHEN kind <> 'baseline' THEN sum_rows_examined END AS rows_delta, max_ms,
+ CASE WHEN kind = 'incremental' THEN greatest(sum_ms - pt, 0) WHEN kind <> 'baseline' THEN sum_ms END AS time_ms, CASE WHEN kind = 'incremental' THEN greatest(sum_rows_examined - pr, 0) WHEN kind <> 'baseline' THEN sum_rows_examined END AS rows_delta, max_ms, p95_ms, {", ".join(f"CASE WHEN kind = 'incremental' THEN greatest({c} - p_{c}, 0) WHEN kind <> 'baseline' THEN {c} END AS {c}" for c in counters.SUMS)},
  CASE WHEN kind = 'incremental' THEN greatest(lock_ms - pl, 0) WHEN kind <> 'baseline' THEN lock_ms END AS lock_time FROM kinds)
 """
-ROLLUP_SQL = DELTAS_SQL + """,
-sums AS (SELECT instance_id, strftime(make_timestamp((snapshot_ms - 1) * 1000), '%Y-%m-%dT%H') AS hour, app_digest, sum(count_delta) AS executions, sum(time_ms) AS time_ms, sum(rows_delta) AS rows_examined, bool_or(kind = 'reset') AS reset_detected
- FROM deltas WHERE time_ms IS NOT NULL GROUP BY 1, 2, 3),
-ranked AS (SELECT *, time_ms >= 300 AND row_number() OVER (PARTITION BY instance_id, hour ORDER BY time_ms >= 300 DESC, time_ms DESC, app_digest) <= 10 AS kept, sum(time_ms) OVER (PARTITION BY instance_id, hour) AS total FROM sums),
+OVER_HOUR = ("lock_time", *counters.SUMS)
+ROLLUP_SQL = DELTAS_SQL + f""",
+sums AS (SELECT instance_id, strftime(make_timestamp((snapshot_ms - 1) * 1000), '%Y-%m-%dT%H') AS hour, app_digest, sum(count_delta) AS executions, sum(time_ms) AS time_ms, sum(rows_delta) AS rows_examined, max(max_ms) AS max_ms, max(p95_ms) AS p95_ms, bool_or(kind = 'reset') AS reset,
+ {", ".join(f"sum({c}) AS {c}" for c in OVER_HOUR)} FROM deltas WHERE time_ms IS NOT NULL GROUP BY 1, 2, 3),
+ranked AS (SELECT *, time_ms >= 300 AND row_number() OVER (PARTITION BY instance_id, hour ORDER BY time_ms >= 300 DESC, time_ms DESC, app_digest) <= 10 AS kept, sum(time_ms) OVER (PARTITION BY instance_id, hour) AS total,
+ bool_or(reset) OVER (PARTITION BY instance_id, hour) AS reset_detected, count(*) FILTER (WHERE time_ms >= 300) OVER (PARTITION BY instance_id, hour) AS candidates FROM sums),
 rollup AS (SELECT instance_id, hour, CASE WHEN kept THEN app_digest ELSE '_other' END AS app_digest, CAST(sum(executions) AS BIGINT) AS executions, CAST(sum(time_ms) AS BIGINT) AS time_ms, CAST(sum(rows_examined) AS BIGINT) AS rows_examined,
- bool_or(reset_detected) AS reset_detected, CAST(max(total) AS BIGINT) AS total_time_all_ms, count(*) FILTER (WHERE NOT kept) AS other_digest_count FROM ranked GROUP BY 1, 2, 3)
+ {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in OVER_HOUR)}, max(max_ms) FILTER (WHERE kept) AS max_ms, max(p95_ms) FILTER (WHERE kept) AS p95_ms, bool_or(reset_detected) AS reset_detected, 1 AS partial_minutes, true AS partial,
+ CAST(max(total) AS BIGINT) AS total_time_all_ms, count(*) FILTER (WHERE NOT kept) AS other_digest_count, greatest(max(candidates) - 10, 0) AS truncated_candidates, 10 AS top_n, 300 AS threshold_ms FROM ranked GROUP BY 1, 2, 3)
 """
 
 
@@ -176,15 +179,24 @@ def d10(spark, sf_dir):
     return counters.partial_minutes(executions(spark, sf_dir))
 
 
+#: Status counters and gauges of a sample: of the executions at that time the largest of (id * factor) modulo a number, or null for ids that the last one divides.
+STATUS = {"uptime_s": (1, 5000, None), "queries": (3, 90000, None), "slow_queries": (1, 20000, None), "lock_deadlocks": (7, 1000, 11), "lock_timeouts": (1, 40000, None), "threads_running": (5, 90, None), "lock_waits": (1, 3, 5)}
+
+
 def status_samples(spark, sf_dir):
-    e = executions(spark, sf_dir)
-    return e.select("instance_id", F.col("started_at_ms").alias("at_ms"), (F.col("event_id") % 5000).alias("uptime_s"), (F.col("event_id") * 3 % 90000).alias("queries")).groupBy("instance_id", "at_ms").agg(F.max("uptime_s").alias("uptime_s"), F.max("queries").alias("queries"))
+    e, k = executions(spark, sf_dir), F.col("event_id")
+    value = lambda factor, most, skip: F.when(k % skip != 0, k * factor % most) if skip else k * factor % most
+    return e.groupBy("instance_id", F.col("started_at_ms").alias("at_ms")).agg(*[F.max(value(*how)).alias(c) for c, how in STATUS.items()])
+
+
+def _rate_sql(counter: str, name: str) -> str:
+    return f"CASE WHEN gap_reason IS NULL AND {counter} >= p_{counter} THEN round(({counter} - p_{counter}) * 1000 / (at_ms - pa), 6) END AS {name}"
 
 
-@query("e2_status_rates", with_executions(""", s AS (SELECT instance_id, started_at_ms AS at_ms, max(event_id % 5000) AS uptime_s, max(event_id * 3 % 90000) AS queries FROM executions GROUP BY 1, 2),
-l AS (SELECT *, lag(at_ms) OVER w AS pa, lag(uptime_s) OVER w AS pu, lag(queries) OVER w AS pq FROM s WINDOW w AS (PARTITION BY instance_id ORDER BY at_ms))
-SELECT instance_id, at_ms, CASE WHEN pa IS NULL THEN 'first_sample' WHEN at_ms <= pa THEN 'non_monotonic_clock' WHEN uptime_s < pu OR queries < pq THEN 'counters_reset' END AS gap_reason,
- CASE WHEN pa IS NOT NULL AND at_ms > pa AND uptime_s >= pu AND queries >= pq THEN round((queries - pq) * 1000 / (at_ms - pa), 6) END AS qps FROM l"""))
+@query("e2_status_rates", with_executions(f""", s AS (SELECT instance_id, started_at_ms AS at_ms, {", ".join(f"max(CASE WHEN {f'event_id % {skip} <> 0' if skip else 'true'} THEN event_id * {factor} % {most} END) AS {c}" for c, (factor, most, skip) in STATUS.items())} FROM executions GROUP BY 1, 2),
+l AS (SELECT *, lag(at_ms) OVER w AS pa, lag(uptime_s) OVER w AS p_uptime_s, {", ".join(f"lag({c}) OVER w AS p_{c}" for c in counters.RATES)} FROM s WINDOW w AS (PARTITION BY instance_id ORDER BY at_ms)),
+g AS (SELECT *, CASE WHEN pa IS NULL THEN 'first_sample' WHEN at_ms <= pa THEN 'non_monotonic_clock' WHEN uptime_s < p_uptime_s OR queries < p_queries OR slow_queries < p_slow_queries THEN 'counters_reset' END AS gap_reason FROM l)
+SELECT instance_id, at_ms, gap_reason, {", ".join(_rate_sql(c, n) for c, n in counters.RATES.items())}, threads_running, lock_waits FROM g"""))
 def e2(spark, sf_dir):
     return counters.status_rates(status_samples(spark, sf_dir))
 

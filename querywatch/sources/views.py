@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from querywatch.operators.counters import SUMS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,23 +48,22 @@ executions AS (SELECT event_id, 'inst-' || (user_id % 7) AS instance_id, CAST(us
 
 
 def digest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative counters by instance and digest at each hour that has executions; they restart on day 15."""
-    from pyspark.sql import Window
-
+    """Cumulative counters by instance and digest at each hour that has executions; they restart on day 15. The n-th of SUMS counts ids modulo n + 2."""
     e = executions(spark, sf_dir).withColumn("snapshot_ms", (F.floor(F.col("started_at_ms") / 3600000) + 1) * 3600000)
-    hourly = e.groupBy("instance_id", "app_digest", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("t"), F.sum("rows_examined").alias("r"), F.max("duration_ms").alias("m"), F.sum("lock_time_ms").alias("l"), F.min("started_at_ms").alias("f"))
+    hourly = e.groupBy("instance_id", "app_digest", "snapshot_ms").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("t"), F.sum("rows_examined").alias("r"), F.max("duration_ms").alias("m"), F.sum("lock_time_ms").alias("l"), F.min("started_at_ms").alias("f"),
+                                                                     *[F.sum(F.col("event_id") % (i + 2)).alias(c) for i, c in enumerate(SUMS)])
     era = (F.col("snapshot_ms") >= 1705276800000).cast("int")
     w = Window.partitionBy("instance_id", "app_digest", "era").orderBy("snapshot_ms")
     run = lambda c: F.sum(c).over(w)
     return hourly.withColumn("era", era).select(
         "instance_id", "app_digest", "snapshot_ms", run("n").alias("count_star"), (run("t") * 1_000_000_000).cast("decimal(20,0)").alias("sum_timer_wait_ps"), run("r").alias("sum_rows_examined"),
-        F.max("m").over(w).alias("max_ms"), (run("l") * 1_000_000_000).cast("decimal(20,0)").alias("sum_lock_time_ps"), F.min("f").over(w.partitionBy("instance_id", "app_digest")).alias("first_seen_ms"),
+        (F.max("m").over(w) * 1_000_000_000).cast("decimal(20,0)").alias("max_timer_wait_ps"), (F.max("m").over(w) * 950_000_000).cast("decimal(20,0)").alias("quantile_95_ps"), *[run(c).alias(f"sum_{c}") for c in SUMS], (run("l") * 1_000_000_000).cast("decimal(20,0)").alias("sum_lock_time_ps"), F.min("f").over(w.partitionBy("instance_id", "app_digest")).alias("first_seen_ms"),
     )
 
 
-SNAPSHOTS_SQL = EXECUTIONS_SQL + """,
-hourly AS (SELECT instance_id, app_digest, (started_at_ms // 3600000 + 1) * 3600000 AS snapshot_ms, count(*) AS n, sum(duration_ms) AS t, sum(rows_examined) AS r, max(duration_ms) AS m, sum(lock_time_ms) AS l, min(started_at_ms) AS f FROM executions GROUP BY ALL),
-snapshots AS (SELECT instance_id, app_digest, snapshot_ms, CAST(sum(n) OVER w AS BIGINT) AS count_star, CAST(sum(t) OVER w AS BIGINT) AS sum_ms, CAST(sum(r) OVER w AS BIGINT) AS sum_rows_examined, max(m) OVER w AS max_ms,
+SNAPSHOTS_SQL = EXECUTIONS_SQL + f""",
+hourly AS (SELECT instance_id, app_digest, (started_at_ms // 3600000 + 1) * 3600000 AS snapshot_ms, {", ".join(f"CAST(sum(event_id % {i + 2}) AS BIGINT) AS {c}" for i, c in enumerate(SUMS))}, count(*) AS n, sum(duration_ms) AS t, sum(rows_examined) AS r, max(duration_ms) AS m, sum(lock_time_ms) AS l, min(started_at_ms) AS f FROM executions GROUP BY ALL),
+snapshots AS (SELECT instance_id, app_digest, snapshot_ms, CAST(sum(n) OVER w AS BIGINT) AS count_star, CAST(sum(t) OVER w AS BIGINT) AS sum_ms, CAST(sum(r) OVER w AS BIGINT) AS sum_rows_examined, max(m) OVER w AS max_ms, max(m) OVER w * 95 // 100 AS p95_ms, {", ".join(f"CAST(sum({c}) OVER w AS BIGINT) AS {c}" for c in SUMS)},
   CAST(sum(l) OVER w AS BIGINT) AS lock_ms, min(f) OVER (PARTITION BY instance_id, app_digest ORDER BY snapshot_ms) AS first_seen_ms
   FROM hourly WINDOW w AS (PARTITION BY instance_id, app_digest, snapshot_ms >= 1705276800000 ORDER BY snapshot_ms))
 """

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from querywatch.operators.counters import hourly_sums, top_of_hours
+from querywatch.operators.counters import hourly_sums, merge_sums, top_of_hours
 
 HOUR_MS = 3_600_000
 
@@ -45,8 +45,7 @@ def flush_hours(batch: DataFrame, number: int, path: str, delay_ms: int, top_n:
         return
     held = spark.read.schema(sums.schema).parquet(f"{path}/open")
     closed = held.filter((F.col("ends_ms") > shut) & (F.col("ends_ms") <= now - delay_ms) & (F.col("batch") <= number))
-    whole = closed.groupBy("instance_id", "hour", "app_digest").agg(*[F.sum(c).alias(c) for c in ("executions", "time_ms", "rows_examined")], F.bool_or("reset_detected").alias("reset_detected"))
-    overwrite(top_of_hours(whole, top_n, threshold_ms).withColumn("ends_ms", F.unix_millis(F.to_timestamp("hour", "yyyy-MM-dd'T'HH")) + HOUR_MS), "rollup", "ends_ms")
+    overwrite(top_of_hours(merge_sums(closed), top_n, threshold_ms).withColumn("ends_ms", F.unix_millis(F.to_timestamp("hour", "yyyy-MM-dd'T'HH")) + HOUR_MS), "rollup", "ends_ms")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/open")
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for hour in fs.listStatus(fs_path):  # sums of hours that an earlier batch has closed
