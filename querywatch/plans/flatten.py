@@ -25,12 +25,12 @@ LISTS = ("possible_keys", "used_key_parts")
 FLAGS = ("using_filesort", "using_temporary_table", "using_index")
 NODE = pa.struct(
     [("path", pa.string()), ("depth", pa.int32()), ("role", pa.string()), *((k, pa.string()) for k in TEXTS), *((k, pa.list_(pa.string())) for k in LISTS), *((k, pa.bool_()) for k in FLAGS),
-     ("rows_examined", pa.int64()), ("rows_produced", pa.int64()), ("filtered", pa.float64()), ("cost", pa.float64())]
+     ("rows_examined", pa.int64()), ("rows_produced", pa.int64()), ("filtered", pa.float64()), ("cost", pa.float64()), ("shown_rows", pa.float64()), ("time_ms", pa.float64())]
 )
 HEAD = [("format", pa.string()), ("query_cost", pa.float64()), ("filesort", pa.bool_()), ("temporary_table", pa.bool_()), ("nodes", pa.list_(NODE))]
 SCHEMA = """format string, query_cost double, filesort boolean, temporary_table boolean, nodes array<struct<path string, depth int, role string,
 table_name string, access_type string, key string, attached_condition string, message string, possible_keys array<string>, used_key_parts array<string>,
-using_filesort boolean, using_temporary_table boolean, using_index boolean, rows_examined bigint, rows_produced bigint, filtered double, cost double>>"""
+using_filesort boolean, using_temporary_table boolean, using_index boolean, rows_examined bigint, rows_produced bigint, filtered double, cost double, shown_rows double, time_ms double>>"""
 
 
 def _number(v) -> float | None:
@@ -70,6 +70,10 @@ def _node(v: dict, path: str, depth: int, role: str) -> dict:
     out = {"path": path, "depth": depth, "role": role} | {k: v[k] if isinstance(v.get(k), str) else None for k in TEXTS}
     out |= {k: listed(v.get(k)) for k in LISTS} | {k: _true(v.get(k)) for k in FLAGS}
     cost = _number(_at(v, "cost_info", "prefix_cost"))
+    loops, rows, last = (_number(v.get(k)) for k in ("actual_loops", "actual_rows", "actual_last_row_ms"))  # means of one loop
+    times = lambda x: None if x is None else x * (1.0 if loops is None else loops)
+    estimate = _number(v.get("estimated_rows"))
+    out |= {"shown_rows": times(rows) if rows is not None else estimate if estimate is not None else _number(v.get("rows_examined_per_scan")), "time_ms": times(last)}
     return out | {"rows_examined": whole("rows_examined_per_scan"), "rows_produced": whole("rows_produced_per_join"), "filtered": _number(v.get("filtered")), "cost": _number(v.get("cost")) if cost is None else cost}
 
 
@@ -212,13 +216,28 @@ def plan_cost_share(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("cost_share", F.when(most > 0, F.round(F.col("cost") * 100 / most, 6)))
 
 
-def plan_graph(nodes: DataFrame) -> DataFrame:
-    """Edges to each node from the nearest node whose path leads to it, and the indent; a root has no parent."""
+def _under(nodes: DataFrame) -> DataFrame:
+    """Each node with the nodes whose path leads to it, the nearest as parent (table_name, path, collapsed); a root has none."""
     up = F.transform(F.sequence(F.lit(0), (F.length("path") / 7).cast("int")), lambda i: F.substring(F.col("path"), F.lit(1), i * 7))
-    own = nodes.select("plan_id", "path", "table_name")
+    own = nodes.select("plan_id", "path", "table_name", "collapsed" if "collapsed" in nodes.columns else F.lit(False).alias("collapsed"))
     above = own.select("plan_id", F.col("path").alias("child"), F.explode(up).alias("path")).filter("path <> child")
-    edges = above.join(own, ["plan_id", "path"]).groupBy("plan_id", "child").agg(F.max_by("table_name", F.length("path")).alias("parent"), F.count(F.lit(1)).alias("indent"))
-    return own.join(edges.withColumnRenamed("child", "path"), ["plan_id", "path"], "left").select("plan_id", "path", "table_name", "parent", F.coalesce("indent", F.lit(0)).alias("indent"))
+    edges = above.join(own, ["plan_id", "path"]).groupBy("plan_id", "child").agg(
+        F.max_by(F.struct("table_name", "path"), F.length("path")).alias("parent"), F.count(F.lit(1)).alias("indent"), F.bool_or("collapsed").alias("hidden"))
+    return own.join(edges.withColumnRenamed("child", "path"), ["plan_id", "path"], "left")
+
+
+def plan_graph(nodes: DataFrame) -> DataFrame:
+    """Edges to each node from the nearest node whose path leads to it, and the indent; a root has no parent."""
+    return _under(nodes).select("plan_id", "path", "table_name", F.col("parent.table_name").alias("parent"), F.coalesce("indent", F.lit(0)).alias("indent"))
+
+
+def plan_rows(nodes: DataFrame) -> DataFrame:
+    """The lines of a plan in pre-order: position, indent and has_children. What lies below a node with ``collapsed`` (if there is that column) is left out."""
+    rows = _under(nodes)
+    children = rows.filter("parent IS NOT NULL").select("plan_id", F.col("parent.path").alias("path")).distinct().withColumn("has_children", F.lit(True))
+    shown = rows.filter(~F.coalesce("hidden", F.lit(False))).join(children, ["plan_id", "path"], "left")
+    return shown.select(
+        "plan_id", F.row_number().over(Window.partitionBy("plan_id").orderBy("path")).alias("position"), "table_name", F.coalesce("indent", F.lit(0)).alias("indent"), F.coalesce("has_children", F.lit(False)).alias("has_children"), "collapsed")
 
 
 def resolve_tables(plan_tables: DataFrame, refs: DataFrame, default_schema: str) -> DataFrame:

@@ -398,3 +398,12 @@ def h7(spark, sf_dir):
     head = F.concat(F.lit('{"note":"a = \'x'), k, F.lit('\'","limit":'), k, F.lit(","), F.when(F.col("plan_id") % 5 == 0, F.concat(F.lit('"query":"select \'open'), k, F.lit('",'))).otherwise(""))
     docs = plan_documents(spark, sf_dir)
     return mask.mask_plans(docs.withColumn("plan_json", F.concat(head, F.substring("plan_json", 2, 1 << 30))))
+
+
+@query("h9_plan_rows", PLANS_SQL + """, c AS (SELECT *, CASE table_name WHEN 'orders' THEN v2 AND plan_id % 9 = 0 WHEN '<derived2>' THEN plan_id % 9 = 1 ELSE false END AS collapsed, CASE WHEN table_name = 'orders' THEN 0 WHEN table_name IN ('region', '<derived2>') THEN 1 ELSE 2 END AS place FROM n)
+SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY place) AS INTEGER) AS position, table_name, indent, (table_name = 'orders' AND v2) OR table_name = '<derived2>' AS has_children, collapsed
+FROM c WHERE NOT (plan_id % 9 = 0 AND table_name = 'region') AND NOT (plan_id % 9 = 1 AND table_name = 'lineitem' AND NOT v2)""")
+def h9(spark, sf_dir):
+    nodes, k = flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir))), F.col("plan_id") % 9
+    collapsed = (F.col("table_name") == "orders") & (F.col("plan_id") % 4 == 3) & (k == 0) | (F.col("table_name") == "<derived2>") & (k == 1)
+    return flatten.plan_rows(nodes.withColumn("collapsed", collapsed))

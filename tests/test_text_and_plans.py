@@ -119,3 +119,18 @@ def test_resolved_names(spark):
     got = dict(flatten.resolve_tables(plans, refs, "main").collect())
     assert got == {1: "b.other,crm.order_items,main.<none>,main.order_items,x.plain", 2: "main.t"}  # an aliased table is not known by its name
     assert dict(flatten.resolve_tables(plans, refs.limit(0), None).collect()) == {1: "x.plain", 2: ""}
+
+
+def test_actual_figures_are_of_all_loops(spark):
+    doc = """{"operation": "x", "inputs": [{"table_name": "a", "estimated_rows": 7, "actual_rows": 2.5, "actual_loops": 4, "actual_last_row_ms": 0.5}, {"table_name": "b", "estimated_rows": "3"},
+        {"table_name": "c", "rows_examined_per_scan": 9, "actual_last_row_ms": 2}, {"table_name": "d", "actual_rows": 5, "actual_loops": 0}]}"""
+    nodes = flatten.plan_nodes(flatten.parse_plans(spark.createDataFrame([(1, doc)], "plan_id int, plan_json string")))
+    assert [(r["table_name"], r["shown_rows"], r["time_ms"]) for r in nodes.orderBy("path").collect()] == [("a", 10.0, 2.0), ("b", 3.0, None), ("c", 9.0, 2.0), ("d", 0.0, None)]
+
+
+def test_lines_below_a_collapsed_node_are_left_out(spark):
+    doc = '{"query_block": {"nested_loop": [{"table": {"table_name": "a", "m": {"table": {"table_name": "b", "m": {"table_name": "c"}}}}}, {"table": {"table_name": "d"}}]}}'
+    nodes = flatten.plan_nodes(flatten.parse_plans(spark.createDataFrame([(1, doc)], "plan_id int, plan_json string")))
+    lines = lambda df: [tuple(r)[1:] for r in flatten.plan_rows(df).orderBy("position").collect()]
+    assert lines(nodes) == [(1, "a", 0, True, False), (2, "b", 1, True, False), (3, "c", 2, False, False), (4, "d", 0, False, False)]
+    assert lines(nodes.withColumn("collapsed", F.col("table_name") == "a")) == [(1, "a", 0, True, True), (2, "d", 0, False, False)]
