@@ -283,14 +283,36 @@ def d7(spark, sf_dir):
         "execution_id", "record_id", "observations", "started_at_ms", "ended_at_ms", "duration_ms", "duration_source", "state", "app_digest", "capture_source", "db_user", "literal_policy", "stats.rows_examined", "statement_type", "sql_text")
 
 
-@query("c3_lock_waits", """SELECT o.o_orderkey AS wait_id, o.o_custkey AS waiting_thread_id, o.o_custkey % 100 + 1 AS blocking_thread_id, w.c_name AS waiting_user, CAST(w.c_nationkey * 10 AS BIGINT) AS waiting_time_s,
- b.c_name AS blocking_user, CAST(b.c_nationkey * 10 AS BIGINT) AS blocking_time_s, s.t AS blocking_statement FROM orders o JOIN customer w ON w.c_custkey = o.o_custkey LEFT JOIN customer b ON b.c_custkey = o.o_custkey % 100 + 1
- LEFT JOIN (SELECT l_suppkey, arg_max(l_comment, (l_orderkey, l_linenumber)) AS t FROM (SELECT *, l_returnflag AS l_comment FROM lineitem) GROUP BY 1) s ON s.l_suppkey = o.o_custkey % 100 + 1""")
+WAITS_SQL = """WITH s AS (SELECT l_suppkey AS thread_id, arg_max(CASE l_returnflag WHEN 'R' THEN 'select 1 from t where a = ' || l_partkey WHEN 'A' THEN 'select ''it' ELSE 'update T set b = 2' END, (l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag)) AS t FROM lineitem GROUP BY 1),
+w AS (SELECT o.o_orderkey AS wait_id, o.o_custkey AS waiting_thread_id, o.o_custkey % 100 + 1 AS blocking_thread_id, w.c_name AS waiting_user, CAST(w.c_nationkey * 10 AS BIGINT) AS waiting_time_s, b.c_name AS blocking_user, CAST(b.c_nationkey * 10 AS BIGINT) AS blocking_time_s,
+ b.c_nationkey % 3 = 0 AS idle, s.t AS blocking_statement, u.t AS waiting_statement, CASE WHEN o_orderkey % 4 <> 3 THEN CASE WHEN o_orderkey % 5 = 0 THEN 't' ELSE 'shop.t' END || o_orderkey % 10 END AS locked_table, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderstatus END AS lock_mode
+ FROM orders o JOIN customer w ON w.c_custkey = o.o_custkey LEFT JOIN customer b ON b.c_custkey = o.o_custkey % 100 + 1 LEFT JOIN s ON s.thread_id = o.o_custkey % 100 + 1 LEFT JOIN s u ON u.thread_id = o.o_custkey)"""
+
+
+def waits(spark, sf_dir):
+    """Orders as waits of customers for one of the first hundred; line items are their statements, and three of four waits have a lock."""
+    k, orders, li = F.col("o_orderkey"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    asked = orders.select(k.alias("wait_id"), F.col("o_custkey").alias("waiting_thread_id"), (F.col("o_custkey") % 100 + 1).alias("blocking_thread_id"), k.cast("string").alias("requesting_lock_id"), F.lit("INNODB").alias("engine"))
+    locked = orders.filter(k % 4 != 3).select(
+        k.cast("string").alias("engine_lock_id"), F.lit("INNODB").alias("engine"), F.when(k % 5 != 0, "shop").alias("object_schema"), F.concat(F.lit("t"), (k % 10).cast("string")).alias("object_name"), F.lit("PRIMARY").alias("index_name"), F.col("o_orderstatus").alias("lock_mode"))
+    threads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("thread_id"), F.col("c_name").alias("user"), (F.col("c_nationkey") * 10).cast("bigint").alias("time_s"), F.when(F.col("c_nationkey") % 3 == 0, "Sleep").otherwise("Query").alias("command"))
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("select 1 from t where a = "), F.col("l_partkey").cast("string"))).when(F.col("l_returnflag") == "A", "select 'it").otherwise("update T set b = 2")
+    said = li.select(F.col("l_suppkey").alias("thread_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag").alias("statement_id"), text.alias("sql_text"))
+    return locks.lock_waits(asked, threads, said, locked)
+
+
+@query("c3_lock_waits", WAITS_SQL + "SELECT wait_id, waiting_thread_id, blocking_thread_id, waiting_user, waiting_time_s, blocking_user, blocking_time_s, blocking_statement, waiting_statement, locked_table, lock_mode FROM w")
 def c3(spark, sf_dir):
-    waits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("wait_id"), F.col("o_custkey").alias("waiting_thread_id"), (F.col("o_custkey") % 100 + 1).alias("blocking_thread_id"))
-    threads = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("thread_id"), F.col("c_name").alias("user"), (F.col("c_nationkey") * 10).cast("bigint").alias("time_s"))
-    statements = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("thread_id"), F.struct("l_orderkey", "l_linenumber").alias("statement_id"), F.col("l_returnflag").alias("sql_text"))
-    return locks.lock_waits(waits, threads, statements)
+    return waits(spark, sf_dir).select("wait_id", "waiting_thread_id", "blocking_thread_id", "waiting_user", "waiting_time_s", "blocking_user", "blocking_time_s", "blocking_statement", "waiting_statement", "locked_table", "lock_mode")
+
+
+MASK_SQL = "CASE WHEN {0} LIKE 'select 1%' THEN 'SELECT ? FROM t WHERE a = ?' WHEN {0} LIKE 'update%' THEN 'UPDATE t SET b = ?' END"
+
+
+@query("d18_lock_wait_report", WAITS_SQL + f"""SELECT wait_id, locked_table, coalesce(idle, false) AS blocking_idle, {MASK_SQL.format("waiting_statement")} AS waiting_statement, {MASK_SQL.format("blocking_statement")} AS blocking_statement,
+ CASE WHEN waiting_statement LIKE '%it' THEN 1 ELSE 0 END + CASE WHEN blocking_statement LIKE '%it' THEN 1 ELSE 0 END AS sql_withheld FROM w""")
+def d18w(spark, sf_dir):
+    return locks.lock_wait_report(waits(spark, sf_dir)).select("wait_id", "locked_table", "blocking_idle", "waiting_statement", "blocking_statement", "sql_withheld")
 
 
 def metadata_locks(spark, sf_dir):
@@ -301,14 +323,20 @@ def metadata_locks(spark, sf_dir):
 MDL_SQL = "WITH m AS (SELECT l_orderkey AS owner_thread_id, l_returnflag AS object_schema, l_partkey % 400 AS object_name, CASE WHEN l_partkey % 400 < 40 AND l_linenumber = 4 THEN 'PENDING' ELSE 'GRANTED' END AS lock_status FROM lineitem), q AS (SELECT * FROM m WHERE (object_schema, object_name) IN (SELECT (object_schema, object_name) FROM m WHERE lock_status = 'PENDING'))"
 
 
-@query("c6_metadata_lock_queue", MDL_SQL + "SELECT * FROM q")
+@query("c6_metadata_lock_queue", MDL_SQL + """SELECT q.*, o_custkey AS owner_time_s, o_orderstatus AS owner_command, c_name AS sql_text FROM q JOIN orders ON o_orderkey = owner_thread_id LEFT JOIN customer ON c_custkey = o_custkey""")
 def c6(spark, sf_dir):
-    return locks.metadata_lock_queue(metadata_locks(spark, sf_dir))
+    """Orders as threads, the names of their customers as statements."""
+    orders = table(spark, sf_dir, "orders")
+    threads = orders.select(F.col("o_orderkey").alias("thread_id"), F.col("o_custkey").alias("time_s"), F.col("o_orderstatus").alias("command"))
+    said = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("thread_id"), F.lit(1).alias("statement_id"), F.col("c_name").alias("sql_text"))
+    held = metadata_locks(spark, sf_dir).withColumn("object_type", F.lit("TABLE"))
+    other = held.limit(1).withColumns({"object_type": F.lit("GLOBAL"), "lock_status": F.lit("PENDING")})
+    return locks.metadata_lock_queue(held.unionByName(other), threads, said).drop("object_type")
 
 
 @query("d18_lock_report", MDL_SQL + "SELECT object_schema, object_name, count(*) FILTER (WHERE lock_status = 'PENDING') AS pending, count(*) FILTER (WHERE lock_status = 'GRANTED') AS granted FROM q GROUP BY 1, 2")
 def d18(spark, sf_dir):
-    return locks.lock_report(c6(spark, sf_dir))
+    return locks.lock_report(locks.metadata_lock_queue(metadata_locks(spark, sf_dir)))
 
 
 C8_SQL = """SELECT c_custkey AS id, c_name AS name, action, CAST(CASE WHEN found THEN 0 WHEN action IN ('missing', 'deleted') AND NOT soon THEN m + 1 ELSE m END AS INT) AS missing_count FROM (
