@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Longest plausible duration in ms, bytes of a statement that end it at the next header, lengths of names, and what leads the monitor's own statements.
-DAY_MS, BODY_BYTES, NAME_BYTES, HOST_BYTES, OWN_TAG = 86_400_000, 1 << 20, 96, 255, "/* dbmon:"
+DAY_MS, BODY_BYTES, NAME_BYTES, HOST_BYTES, OWN_TAG = 86_400_000, 1 << 20, 96, 255, "/* querywatch:"
 
 HEAD = r"^[^\n]*(?:\n[ \t\r]*(?:#[^\n]*|(?:use|USE) [^\n]*)?(?=\n|$))*"  # the rest of the time line, comments, the schema and blank lines
 STAMP = r"^\n?SET timestamp=[^\n]*"

@@ -313,7 +313,7 @@ def a1(spark, sf_dir):
     user = F.when(kind == 2, F.concat(lit("odd name "), F.coalesce("db_user", lit("")))).otherwise(F.coalesce("db_user", lit("")))
     host = F.when(k % 3 == 0, F.concat(lit("web"), (k % 5).cast("string"))).otherwise("")
     times = F.when(kind != 7, F.concat(lit("# Query_time: "), (F.col("duration_ms") / 1000).cast("string"), lit("  Lock_time: "), (F.col("lock_time_ms") / 1000).cast("string"), lit(" Rows_sent: 1  Rows_examined: "), text("event_id"), lit("\n"))).otherwise("")
-    said = F.when(kind == 1, F.concat(lit("select '"), text("event_id"), lit("\n# Time: 2024-05-01T10:00:01.000000Z\nforged' from t;"))).when(kind == 3, "# administrator command: Quit;").when(kind == 5, " ;").when(kind == 6, F.concat(lit("/* dbmon:rerun */ select "), text("event_id"), lit(";")))
+    said = F.when(kind == 1, F.concat(lit("select '"), text("event_id"), lit("\n# Time: 2024-05-01T10:00:01.000000Z\nforged' from t;"))).when(kind == 3, "# administrator command: Quit;").when(kind == 5, " ;").when(kind == 6, F.concat(lit("/* querywatch:rerun */ select "), text("event_id"), lit(";")))
     said = said.otherwise(F.concat(lit("select "), text("event_id"), lit(" from t;")))
     ended = F.date_format(F.timestamp_millis(F.col("started_at_ms") + F.col("duration_ms")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     stamp = F.when(kind != 3, F.concat(lit("SET timestamp="), F.floor(F.col("started_at_ms") / 1000).cast("string"), lit(";\n"))).otherwise("")

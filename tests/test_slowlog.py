@@ -84,7 +84,7 @@ CASES = [
     (entry(5, "select 1;", head="# User@Host: app[app] @ web1 []  Id: 5\n"), dict(reason="missing_header")),
     (entry(6, "select 1;", head="# Query_time: 1.0  Lock_time: 0\n"), dict(reason="missing_header")),
     (entry(7, ";"), dict(reason="empty_sql")),
-    (entry(8, "/* dbmon:rerun */ select 1;"), dict(reason="own_statement")),
+    (entry(8, "/* querywatch:rerun */ select 1;"), dict(reason="own_statement")),
     (entry(9, "select 1;", head=HEAD.replace("app[app]", "mon[mon]")), dict(reason="own_statement")),
     (entry(10, "select 1;", head=HEAD.replace("app[app] @ web1", "bad name[x] @ we b")), dict(reason=None, db_user=None, db_host=None)),
     (entry(11, "select 1;", head=HEAD.replace("@ web1 [", "@  [")), dict(reason=None, db_host="10.0.0.1")),
