@@ -13,6 +13,7 @@ from querywatch.plans import flatten, mask
 from querywatch.queries import KEYS_SQL, PLANS_SQL, POINTS_SQL, QUERIES, SQL, TO_MS, TWINS_SQL, metadata_locks, plan_documents, points, query, twins, with_executions
 from querywatch.sources import slowlog, store
 from querywatch.sources.views import executions, table
+from querywatch.streaming import feed
 
 DAY = store.DAY_MS
 
@@ -407,3 +408,17 @@ def h9(spark, sf_dir):
     nodes, k = flatten.plan_nodes(flatten.parse_plans(plan_documents(spark, sf_dir))), F.col("plan_id") % 9
     collapsed = (F.col("table_name") == "orders") & (F.col("plan_id") % 4 == 3) & (k == 0) | (F.col("table_name") == "<derived2>") & (k == 1)
     return flatten.plan_rows(nodes.withColumn("collapsed", collapsed))
+
+
+@query("i9_live_feed", with_executions("""SELECT topic, key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT 'slow/' || env AS topic, instance_id AS key, event_id AS id FROM executions WHERE env IN ('prod', 'dev')
+UNION ALL SELECT 'status/inst-' || user_id % 7, 'inst-' || user_id % 7, event_id FROM events WHERE event_id % 3 = 0) GROUP BY 1, 2"""))
+def i9(spark, sf_dir):
+    e = executions(spark, sf_dir)
+    rows = feed.live_feed(e.select("event_id", "instance_id", "env", "duration_ms"), e.filter(F.col("event_id") % 3 == 0).select("event_id", "instance_id", "rows_examined"), ["prod", "dev", "qa"], ["dev", "prod", "stage"])
+    sent = F.get_json_object("value", "$.event_id").cast("bigint")
+    return rows.groupBy("topic", "key").agg(F.count(F.lit(1)).alias("n"), F.min(sent).alias("first_id"), F.max(sent).alias("last_id"))
+
+
+@query("i10_gap_events", POINTS_SQL + "SELECT instance_id, metric, from_ms, at_ms AS to_ms FROM (SELECT *, lag(at_ms) OVER (PARTITION BY instance_id, metric ORDER BY at_ms) AS from_ms FROM points) WHERE at_ms - from_ms > 3600000")
+def i10(spark, sf_dir):
+    return feed.gap_events(points(spark, sf_dir), 3_600_000)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from querywatch.operators import capture, counters, statistics, tracking
 from querywatch.operators.identity import merge_observations
 from querywatch.sources import store
-from querywatch.streaming import heartbeat, rollup, upsert
+from querywatch.streaming import feed, heartbeat, rollup, upsert
 from querywatch.streaming import tracking as streamed
 
 OBS = "instance_id string, tick_ms bigint, thread_id bigint, time_secs bigint, digest string, db_user string, db_host string"
@@ -297,3 +297,19 @@ def test_silent_runs_get_a_heartbeat(rocks, tmp_path):
     assert set(by) == {("i", n) for n in range(5)} | {("j", 1)} and min(by.values()) > 1  # again and again, but not the one that ended
     assert all(r["silent_ms"] >= 2000 for r in got)
     assert max(Counter((r["instance_id"], r["touched_at_ms"]) for r in got).values()) <= 3
+
+
+def test_gaps_of_a_stream_equal_the_batch(rocks, tmp_path):
+    schema, r = "instance_id string, metric string, at_ms bigint", random.Random(8)
+    rows = sorted({(r.choice("ij"), r.choice(("cpu", "io")), r.randrange(400) * 1000) for _ in range(120)}, key=lambda x: x[2])
+    files(rocks, tmp_path / "in", schema, [rows[:50], rows[50:51], rows[51:]])
+    got = run(rocks, tmp_path, feed.gap_stream(reading(rocks, tmp_path / "in", schema), 15_000))
+    assert got == sorted(map(tuple, feed.gap_events(rocks.createDataFrame(rows, schema), 15_000).collect()), key=repr) and len(got) > 15
+
+
+def test_feed_of_streams_has_a_topic_for_each_row(spark, tmp_path):
+    files(spark, tmp_path / "slow", "event_id int, instance_id string, env string", [[(1, "i", "prod"), (2, "j", "qa")], [(3, "i", "dev")]])
+    files(spark, tmp_path / "status", "instance_id string, qps double", [[("i", 1.5)]])
+    read = lambda name, schema: reading(spark, tmp_path / name, schema)
+    got = run(spark, tmp_path, feed.live_feed(read("slow", "event_id int, instance_id string, env string"), read("status", "instance_id string, qps double"), ["prod", "dev", "qa"], ["prod", "dev"]))
+    assert got == [("slow/dev", "i", '{"event_id":3,"instance_id":"i","env":"dev"}'), ("slow/prod", "i", '{"event_id":1,"instance_id":"i","env":"prod"}'), ("status/i", "i", '{"instance_id":"i","qps":1.5}')]
