@@ -193,8 +193,8 @@ def keys_of(s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 
 # --- the index ----------------------------------------------------------------------------------------------
 
-MEMBER = np.dtype([("low", "<u4"), ("high", "<u2"), ("own", "<u2"), ("band", "u1")])  # 48 bits of the key; the bucket holds more, and what still collides is verified
-CLASS = np.dtype([("c1", "<i8"), ("c2", "<i8")])
+MEMBER = np.dtype([("low", "<u4"), ("high", "u1"), ("own", "<u2")])  # 40 bits of the key; the bucket holds more, and what still collides is verified
+CLASS = np.dtype([("c1", "<i8"), ("c2", "<u2"), ("band", "u1")])  # 80 bits of the signature tell the classes of an index apart
 DOC = "row_id bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, bands array<int>, slacks array<int>"
 ROWS = f"kind int, {DOC}, key bigint, band int, met int"
 
@@ -225,8 +225,9 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         if keys:
             key = np.concatenate([k for k, _ in keys])
             own = np.repeat(np.arange(len(keys)), [len(k) for k, _ in keys])
-            band = np.repeat(np.array([b for _, b in keys], np.uint8), [len(k) for k, _ in keys])
-            cls = np.array(classes, CLASS)
+            cls = np.empty(len(keys), CLASS)
+            cls["c1"], c2 = np.array(classes, np.int64).T
+            cls["c2"], cls["band"] = c2 & 0xFFFF, [b for _, b in keys]
             to = (mix(key) % U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -234,7 +235,7 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 at = order[ends[b] : ends[b + 1]]
                 used, local = np.unique(own[at], return_inverse=True)
                 out = np.empty(len(at), MEMBER)
-                out["low"], out["high"], out["own"], out["band"] = key[at] & U(2**32 - 1), key[at] >> U(48), local, band[at]
+                out["low"], out["high"], out["own"] = key[at] & U(2**32 - 1), key[at] >> U(56), local
                 for column, v in zip(rows, (b, None, cls[used].tobytes(), out.tobytes()), strict=True):
                     column.append(v)
         return pa.RecordBatch.from_arrays(
@@ -266,7 +267,7 @@ OUT = pa.schema([("kind", pa.int32()), *((f.name, f.type) for f in INFO.value_ty
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a row per document; kind 1: a row per set and key that other sets have too, met = their number.
+    """kind 0: a row per document; kind 1: a row per set and key that other sets have too, met = their number (c2: its last 16 bits).
 
     Rows come in the order of their buckets; one bucket is in memory at a time.
     """
@@ -284,7 +285,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, at = [], bucket
             m = np.frombuffer(members.as_py(), MEMBER)
             cls = np.frombuffer(classes.as_py(), CLASS)
-            held.append((m["low"].astype(U) | m["high"].astype(U) << U(32), m["band"].copy(), cls["c1"][m["own"]], cls["c2"][m["own"]]))
+            held.append((m["low"].astype(U) | m["high"].astype(U) << U(32) | U(bucket) << U(40), cls["band"][m["own"]], cls["c1"][m["own"]], cls["c2"][m["own"]].astype(np.int64)))
     yield from _met(held)
 
 
@@ -505,17 +506,16 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     discard(spark)
     all_docs = save(rows.filter("kind = 0").select("row_id", "doc_id", "n", "c1", "c2", "bands", "slacks"), f"{at}/docs")
     sets_of = all_docs.filter("n > 0").groupBy("c1", "c2").agg(F.min("row_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("slacks").alias("slacks"))
-    members = rows.filter("kind = 1").select("c1", "c2", "key", "band", "met").join(sets_of, ["c1", "c2"])
+    met = rows.filter("kind = 1").select("c1", F.col("c2").alias("tail"), "key", "band", "met")
+    members = met.join(sets_of.withColumn("tail", F.col("c2").bitwiseAND(F.lit(0xFFFF))), ["c1", "tail"])
     slack = F.element_at("slacks", F.array_position("bands", F.col("band")).cast("int"))
-    members = members.select("cid", "n", "key", "band", "met", slack.alias("slack"), (F.element_at("bands", 1) == F.col("band")).alias("home"))
-    members = save(members, f"{at}/members")
-    discard(spark, f"{at}/met")
+    members = members.select("c1", "tail", "cid", "n", "key", "band", "met", slack.alias("slack"), (F.element_at("bands", 1) == F.col("band")).alias("home"))
     deep = [k for k in range(BANDS) if allocation(k)[1]]
     spare = (F.col("slack") >= 0) & ~F.col("band").isin(deep)
-    widest = Window.partitionBy("cid", "band").orderBy(F.desc("met"), F.desc("key"))
+    widest = Window.partitionBy("c1", "tail", "cid", "band").orderBy(F.desc("met"), F.desc("key"))  # dealt as for the join
     live = members.withColumns({"spare": F.when(spare, F.col("slack")).otherwise(0), "rank": F.row_number().over(widest)})
     live = save(live.filter("rank > spare").select("key", "band", "cid", "n", "home"), f"{at}/live")
-    discard(spark, f"{at}/members")
+    discard(spark, f"{at}/met")
     asked = sets_of.select("cid", "c1", "c2").join(live.select("cid").distinct(), "cid", "left_semi")
     sets = save(_sets(source, asked), f"{at}/sets")
     discard(spark)
@@ -524,9 +524,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     # meets there most often. A few such rounds, linear in the keys, join most components.
     links, labels = None, save(live.select("cid").distinct().withColumn("label", F.col("cid")), f"{at}/labels")
     for i in range(ROUNDS):
-        marked = live.join(labels, "cid")
-        first = marked.groupBy("key").agg(F.min(F.struct("label", "cid", "n")).alias("hub"), F.max("label").alias("hi")).filter("hub.label <> hi")
-        joined = marked.join(first, "key")
+        marked = live.join(labels, "cid") if i else live.withColumn("label", F.col("cid"))
+        key = Window.partitionBy("key")  # dealt by key once; a group that is large spills
+        joined = marked.withColumns({"hub": F.min(F.struct("label", "cid", "n")).over(key), "hi": F.max("label").over(key)}).filter("hub.label <> hi")
         if i:  # a key whose members are all in one component has nothing more to say: only the others go on
             joined = save(joined.select("key", "band", "cid", "n", "home", "label", "hub"), f"{at}/live-{i}")
             discard(spark, f"{at}/live" if i == 1 else f"{at}/live-{i - 1}")
@@ -545,10 +545,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     # Then pairs of a key that are still in different components and that their sketches let pass: of crowded keys the
     # closest ones, which join most of what can be joined there, and all that are left.
     for step in ("closest", "all"):
-        marked = live.join(labels, "cid")
-        groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("key", "band", "members")
-        groups = groups.filter(F.col("members") >= (CROWD if step == "closest" else 2))
-        still = save(marked.join(groups, ["key", "band"]).select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
+        key = Window.partitionBy("key", "band")
+        groups = live.join(labels, "cid").withColumns({"hi": F.max("label").over(key), "lo": F.min("label").over(key), "members": F.count(F.lit(1)).over(key)})
+        groups = groups.filter((F.col("lo") != F.col("hi")) & (F.col("members") >= (CROWD if step == "closest" else 2)))
+        still = save(groups.select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
         tile = ("key", "band", "lo", "hi")
         tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
         rest = tiles.mapInArrow(functools.partial(_pairs, closest=step == "closest"), "a bigint, b bigint").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
