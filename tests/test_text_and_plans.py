@@ -152,3 +152,11 @@ def test_graph_joins_no_node_with_another(spark):
     got = {(r.plan_id, r.table_name): (r.parent, r.indent) for r in df.collect()}
     one = {"a": (None, 0), "b": ("a", 1), "c": ("b", 2), "d": ("a", 1), "e": (None, 0), "f": ("e", 1)}
     assert got == {(k, n): v for k in (1, 2) for n, v in one.items()} | {(3, "r"): (None, 0), (3, "s"): ("r", 1)}
+
+
+def test_lines_join_no_node_with_another(spark):
+    nodes = nested_plans(spark)
+    df = flatten.plan_rows(nodes.withColumn("collapsed", F.col("table_name").isin("b", "e") | F.when(F.col("table_name") == "d", F.lit(None).cast("boolean"))))
+    assert joins(df) == []
+    got = [tuple(r)[1:5] for r in df.filter("plan_id = 2").orderBy("position").collect()]
+    assert got == [(1, "a", 0, True), (2, "b", 1, True), (3, "d", 1, False), (4, "e", 0, True)]
