@@ -402,7 +402,7 @@ def g1(spark, sf_dir):
 
 def plan_documents(spark, sf_dir):
     """A plan for each order: three of four nested (a sort over a join with a materialised sub-query), the others in the second format."""
-    o = table(spark, sf_dir, "orders").withColumn("plan_id", F.col("o_orderkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").repartition("o_orderkey").withColumn("plan_id", F.col("o_orderkey"))  # over all cores, however few pieces the file has
     k, lit, price = F.col("plan_id"), F.lit, F.round(F.col("o_totalprice"), 2)
     never = lambda c: F.when(lit(False), c)  # noqa: E731  absent here, but of that type
 

@@ -160,3 +160,11 @@ def test_lines_join_no_node_with_another(spark):
     assert joins(df) == []
     got = [tuple(r)[1:5] for r in df.filter("plan_id = 2").orderBy("position").collect()]
     assert got == [(1, "a", 0, True), (2, "b", 1, True), (3, "d", 1, False), (4, "e", 0, True)]
+
+
+def test_warnings_pass_each_plan_once(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(ODD.values())], "plan_id int, plan_json string")
+    df = flatten.plan_warnings(flatten.parse_plans(docs))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.table_name or "", r.warning) for r in df.collect()) == [("in", "no_index"), ("ok", "no_index"), ("t", "no_index")]  # "half" has a key
+    assert flatten.plan_warnings(flatten.parse_plans(docs.limit(0))).count() == 0
