@@ -123,7 +123,7 @@ def merge_observations(df: DataFrame, by: str | list[str] = "execution_id") -> D
     out = {c: F.min(c) for c in LEAST if c in has} | {c: F.max(c) for c in MOST if c in has} | {c: F.bool_or(c) for c in ANY if c in has}
     if {"record_id", "captured_at_ms"} <= has:
         out["record_id"] = F.min_by("record_id", F.struct("captured_at_ms", "record_id"))  # a late twin does not rename a record
-    out |= _durations(df, one) | {"state": F.max_by("state", state_rank(F.col("state"))), "capture_source": F.when(F.count_distinct("capture_source") > 1, "merged").otherwise(F.min("capture_source"))}
+    out |= _durations(df, one) | {"state": F.max_by("state", state_rank(F.col("state"))), "capture_source": F.when(F.min("capture_source") != F.max("capture_source"), "merged").otherwise(F.min("capture_source"))}  # no distinct count: rows are dealt once
     version = F.col("digest_algo_version") if "digest_algo_version" in has else F.lit(0)
     digest = F.min(F.struct(placeholder(F.col("app_digest")), -version, F.col("app_digest").alias("digest"), version.alias("version")))
     out |= {"app_digest": digest["digest"]} | ({"digest_algo_version": digest["version"]} if "digest_algo_version" in has else {})

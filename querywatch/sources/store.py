@@ -41,9 +41,8 @@ def _files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
-def _of_days(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+def _of_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """What a store has of the days of ``rows``; a year of days prunes by a list, more by a join."""
-    stored = spark.read.schema(rows.schema).parquet(path)
     days = [r[0] for r in rows.select("date_part").distinct().limit(367).collect()]
     return stored.filter(F.col("date_part").isin(days)) if len(days) < 367 else stored.join(rows.select("date_part").distinct(), "date_part", "left_semi")
 
@@ -65,7 +64,8 @@ def write_executions(df: DataFrame, path: str, batch: str | int | None = None) -
         if not fs.exists(at(f"{staged}/_SUCCESS")):
             new = merge_observations(df, keys)
             there = fs.exists(at(path)) and any(not f.getPath().getName().startswith("_") for f in fs.listStatus(at(path)))
-            merged = merge_observations(_of_days(spark, path, new).unionByName(new), keys).select(*new.columns) if there else new
+            # the days are those of the observations, whose merged records need not be made for that
+            merged = merge_observations(_of_days(spark.read.schema(new.schema).parquet(path), df).unionByName(new), keys).select(*new.columns) if there else new
             merged.write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_part").parquet(path)

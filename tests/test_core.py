@@ -256,3 +256,12 @@ def test_twins_equal_the_plain_model(spark):
         at = r.randrange(0, 40_000 if thread == 1 else 900_000)
         data.append((n, r.choice("ij"), thread, at, r.choice((0, 40, 700, 3000)), r.choice(("a", "b", "c", "unknown-7", None)), r.choice(("finalized", "abandoned", "in_flight")), r.choice(("slowlog", "processlist", "merged"))))
     assert collapsed(spark, data) == folded(data)
+
+
+def test_merging_deals_rows_once(spark):
+    cols = "execution_id int, started_at_ms bigint, ended_at_ms bigint, duration_ms bigint, state string, app_digest string, capture_source string"
+    sources = {1: ["slowlog", "processlist"], 2: ["slowlog", "slowlog"], 3: ["slowlog", None], 4: [None, None], 5: [None]}
+    df = spark.createDataFrame([(k, 1, 2, 1, "finalized", "d", s) for k, v in sources.items() for s in v], cols)
+    merged = identity.merge_observations(df)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.execution_id: r.capture_source for r in merged.collect()} == {1: "merged", 2: "slowlog", 3: "slowlog", 4: None, 5: None}
