@@ -7,7 +7,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -39,10 +41,39 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def release() -> None:
     """Hand freed memory back to the system, where the C library can: the driver's Python shares a limit with its JVM."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(owner: str, clear: Callable[[], None]) -> None:
+    """What a worker keeps from task to task for the stages of ``owner``, by the function that empties it."""
+    _caches[owner] = clear
+
+
+def leave(owner: str = "") -> None:
+    """Empty the caches of all other owners and hand memory back."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+    release()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. A Python worker serves one stage after the other: what an earlier one left in it goes
+    before the first row, what this one leaves after the last, so that stages do not add up in an executor's memory."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave(owner)
+        yield from run(batches)
+        leave(owner)
+
+    return within
+
+
 def sliced(batches, rows: int = 500):
     """Arrow batches in small slices, so that a worker holds few texts as Python strings at once."""
     for batch in batches:

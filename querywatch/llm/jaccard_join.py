@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
-from querywatch.llm._work import discard, partitions, save, scratch, sliced
+from querywatch.llm._work import cached, discard, lean, partitions, save, scratch, sliced
 
 WIDTH = 5
 GROWTH = 1.8  # of the sizes from band to band; 1.7 to 2 gives the fewest keys
@@ -67,6 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _usual = functools.cache(lambda: _powers(2 * GROUP))
+cached("jaccard_join", lambda: _usual.cache_clear())
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +194,10 @@ def keys_of(s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 
 # --- the index ----------------------------------------------------------------------------------------------
 
-MEMBER = np.dtype([("low", "<u4"), ("high", "u1"), ("own", "<u2")])  # 40 bits of the key; the bucket holds more, and what still collides is verified
-CLASS = np.dtype([("c1", "<i8"), ("c2", "<u2"), ("band", "u1")])  # 80 bits of the signature tell the classes of an index apart
+MEMBER = np.dtype([("low", "<u4"), ("high", "u1")])  # 40 bits of the key; the bucket holds more, and what still collides is verified
+CLASS = np.dtype([("c1", "<i8"), ("c2", "<u2"), ("band", "u1"), ("keys", "u1")])  # 80 bits of the signature tell the classes of an index apart; so many members follow
+RUN = 255  # members that one reference to a class stands for
+PIECES = 4  # of a bucket, by the last bits of the keys: what is unpacked at once
 DOC = "row_id bigint, doc_id bigint, n bigint, c1 bigint, c2 bigint, bands array<int>, slacks array<int>"
 ROWS = f"kind int, {DOC}, key bigint, band int, met int"
 
@@ -213,6 +216,16 @@ def text_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[
             yield ids, texts
 
 
+def references(cls: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The classes that ``own`` (in order) names, each with the number of members that it stands for, RUN at most."""
+    used, n = np.unique(own, return_counts=True)
+    times = -(-n // RUN)
+    out = cls[np.repeat(used, times)]
+    nth = np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+    out["keys"] = np.minimum(np.repeat(n, times) - RUN * nth, RUN)
+    return out
+
+
 def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, docs, members): the keys of many sets, packed by bucket with the signatures they refer to."""
     names = ["bucket", "info", "classes", "members"]
@@ -233,10 +246,9 @@ def _index(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             ends = np.searchsorted(to[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)).tolist():
                 at = order[ends[b] : ends[b + 1]]
-                used, local = np.unique(own[at], return_inverse=True)
                 out = np.empty(len(at), MEMBER)
-                out["low"], out["high"], out["own"] = key[at] & U(2**32 - 1), key[at] >> U(56), local
-                for column, v in zip(rows, (b, None, cls[used].tobytes(), out.tobytes()), strict=True):
+                out["low"], out["high"] = key[at] & U(2**32 - 1), key[at] >> U(56)
+                for column, v in zip(rows, (b, None, references(cls, own[at]).tobytes(), out.tobytes()), strict=True):
                     column.append(v)
         return pa.RecordBatch.from_arrays(
             [pa.array(rows[0], pa.int32()), pa.array(rows[1], INFO), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())], names=names
@@ -269,7 +281,7 @@ OUT = pa.schema([("kind", pa.int32()), *((f.name, f.type) for f in INFO.value_ty
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a row per document; kind 1: a row per set and key that other sets have too, met = their number (c2: its last 16 bits).
 
-    Rows come in the order of their buckets; one bucket is in memory at a time.
+    Rows come in the order of their buckets; one bucket is in memory at a time, packed.
     """
     held, at = [], None
     for batch in batches:
@@ -281,12 +293,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(rows.field(i) for i in range(7)), void(pa.int64()), void(pa.int32()), void(pa.int32())], schema=OUT)
         for bucket, classes, members in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if bucket != at:
-                yield from _met(held)
+                yield from _unpacked(held, at)
                 held, at = [], bucket
-            m = np.frombuffer(members.as_py(), MEMBER)
-            cls = np.frombuffer(classes.as_py(), CLASS)
-            held.append((m["low"].astype(U) | m["high"].astype(U) << U(32) | U(bucket) << U(40), cls["band"][m["own"]], cls["c1"][m["own"]], cls["c2"][m["own"]].astype(np.int64)))
-    yield from _met(held)
+            held.append((classes.as_py(), members.as_py()))
+    yield from _unpacked(held, at)
+
+
+def _unpacked(held: list[tuple[bytes, bytes]], bucket: int | None) -> Iterator[pa.RecordBatch]:
+    """What meets in a bucket, piece by piece; equal keys are in one piece."""
+    for piece in range(PIECES):
+        rows = []
+        for classes, members in held:
+            m, cls = np.frombuffer(members, MEMBER), np.frombuffer(classes, CLASS)
+            own = np.flatnonzero(m["low"] % PIECES == piece)
+            m, cls = m[own], cls[np.repeat(np.arange(len(cls)), cls["keys"])[own]]
+            rows.append((m["low"].astype(U) | m["high"].astype(U) << U(32) | U(bucket) << U(40), cls["band"], cls["c1"], cls["c2"].astype(np.int64)))
+        yield from _met(rows)
 
 
 def _met(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +412,7 @@ def _tiles(still: DataFrame, sets: DataFrame) -> DataFrame:
     A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on the large
     sketches are there, too. Marks are a set's MARKS smallest keys in the band.
     """
-    drawn = sets.join(still.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(_sketches, "cid bigint, band int, whole binary, small binary")
+    drawn = sets.join(still.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(lean(_sketches), "cid bigint, band int, whole binary, small binary")
     marks = still.groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_list("key")), 1, MARKS).alias("marks"))
     rows = still.join(drawn.join(marks, ["cid", "band"]), ["cid", "band"]).withColumn("whole", F.when(F.col("members") >= CROWD, F.col("whole")))
     blocks = F.ceil(F.col("members") / BLOCK)
@@ -498,10 +520,10 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         raise TypeError(f"{doc_id} must be an integer column")
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     parts = partitions(spark)
-    buckets = 3 * parts
+    buckets = parts  # the fewer there are, the fewer references to a class
     source = docs.select(F.struct(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("bigint").alias("doc_id")).alias("row"), F.col(text).alias("text"))
-    packed = source.mapInArrow(lambda batches: _index(batches, buckets), f"bucket int, info array<struct<{DOC.replace(' ', ':').replace(',:', ',')}>>, classes binary, members binary")
-    rows = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, ROWS)
+    packed = source.mapInArrow(lean(lambda batches: _index(batches, buckets), "jaccard_join"), f"bucket int, info array<struct<{DOC.replace(' ', ':').replace(',:', ',')}>>, classes binary, members binary")
+    rows = packed.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(_meet), ROWS)
     rows = save(rows, f"{at}/met")
     discard(spark)
     all_docs = save(rows.filter("kind = 0").select("row_id", "doc_id", "n", "c1", "c2", "bands", "slacks"), f"{at}/docs")
@@ -524,8 +546,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     # meets there most often. A few such rounds, linear in the keys, join most components.
     links, labels = None, save(live.select("cid").distinct().withColumn("label", F.col("cid")), f"{at}/labels")
     for i in range(ROUNDS):
-        marked = live.join(labels, "cid") if i else live.withColumn("label", F.col("cid"))
-        key = Window.partitionBy("key")  # dealt by key once; a group that is large spills
+        # dealt by key once, before what the window compares is put together; a group that is large spills
+        marked = live.join(labels, "cid").repartition("key") if i else live.repartition("key").withColumn("label", F.col("cid"))
+        key = Window.partitionBy("key")
         joined = marked.withColumns({"hub": F.min(F.struct("label", "cid", "n")).over(key), "hi": F.max("label").over(key)}).filter("hub.label <> hi")
         if i:  # a key whose members are all in one component has nothing more to say: only the others go on
             joined = save(joined.select("key", "band", "cid", "n", "home", "label", "hub"), f"{at}/live-{i}")
@@ -551,7 +574,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         still = save(groups.select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
         tile = ("key", "band", "lo", "hi")
         tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
-        rest = tiles.mapInArrow(functools.partial(_pairs, closest=step == "closest"), "a bigint, b bigint").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+        rest = tiles.mapInArrow(lean(functools.partial(_pairs, closest=step == "closest")), "a bigint, b bigint").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
         found = save(_verify(save(rest, f"{at}/rest-{step}"), sets), f"{at}/links-{step}")
         links = links.unionByName(found)
         labels = _joined(labels, found, f"{at}/joined-{step}")
@@ -575,7 +598,7 @@ def _sets(source: DataFrame, asked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r["cid"] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["cid", "shingles"])
 
     texts = source.withColumn("cid", F.col("row.row_id")).join(asked, "cid").select(F.struct("cid", "c1", "c2").alias("row"), "text")
-    return texts.mapInArrow(run, "cid bigint, shingles array<bigint>")
+    return texts.mapInArrow(lean(run, "jaccard_join"), "cid bigint, shingles array<bigint>")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
