@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from querywatch.llm._work import sliced
+from querywatch.llm._work import cached, lean, sliced
 
 # Classes. A1, A2: an apostrophe that opens a contraction with one or two letters, if it starts a pre-token.
 # SP, WL: a blank or other white space right before a visible character. WS: other white space. END: between texts.
@@ -270,6 +270,9 @@ def merged(path: str) -> Merged:
     return Merged(Vocabulary(load_ranks(path)))
 
 
+cached("byte_bpe", lambda: (merged.cache_clear(), load_ranks.cache_clear()))
+
+
 @dataclass(frozen=True)
 class Encoded:
     """Of a group of texts: the ids, how many each slice has, the slices of each text and their first bytes (and code points) in it."""
@@ -359,7 +362,7 @@ def _over_texts(docs: DataFrame, text: str, keep: tuple[str, ...], results: list
                 yield pa.RecordBatch.from_arrays([*(c.slice(done, len(group)) for c in batch.columns[:-1]), *found], names=[*batch.schema.names[:-1], *(n for n, _ in results)])
                 done += len(group)
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(lean(run, "byte_bpe"), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = False) -> DataFrame:
@@ -397,4 +400,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
             out, _ = bytes_of(lists.flatten().to_numpy(), n, vocabulary)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], "decoded"])
 
-    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(run, schema)
+    return df.select(*keep, df[ids].alias("__ids")).mapInArrow(lean(run, "byte_bpe"), schema)

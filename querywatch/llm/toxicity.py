@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from querywatch.llm._work import partitions, release, sliced
+from querywatch.llm._work import lean, partitions, release, sliced
 
 SAMPLE = 2000  # labelled rows at most
 LONGEST = 1 << 16  # bytes of a text that may be an example; such texts are scored like all others
@@ -137,6 +137,10 @@ class Index:
         self.a, self.b = 1.0, 0.0  # calibration; without one the share of votes is the score
         self.calibrated = False
 
+    def __getstate__(self) -> dict:
+        """What tasks get: the examples' counts are in the posting lists by then."""
+        return self.__dict__ | {"examples": [e[:2] for e in self.examples]}
+
     def vector(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         at, n = counts
         w = (1 + np.log(n)) * self.weight[at]
@@ -221,7 +225,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, terms: int, text: str =
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([n.tobytes() for n in found.values()], pa.binary())], names=["at", "n"])
 
     kind = "at bigint, n binary"
-    rows = docs.select(text).mapInArrow(count, kind).repartition(partitions(docs.sparkSession), "at").mapInArrow(total, kind).collect()
+    rows = docs.select(text).mapInArrow(lean(count), kind).repartition(partitions(docs.sparkSession), "at").mapInArrow(lean(total), kind).collect()
     out = np.zeros(terms + 1, np.int64)
     for r in rows:
         n = np.frombuffer(r["n"], "<i8")
@@ -261,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = terms_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(["\n".join(f) for f in found]), pa.array([np.array([*f.values()], "<i4").tobytes() for f in found], pa.binary())], names=["id", "toxic", "terms", "counts"])
 
-    got = own.select("__id", "__text", "__toxic").mapInArrow(vectors, f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms string, counts binary").collect()
+    got = own.select("__id", "__text", "__toxic").mapInArrow(lean(vectors), f"id {dict(docs.dtypes)[doc_id]}, toxic int, terms string, counts binary").collect()
     terms, examples = _examples(sorted(got, key=lambda r: r["id"]))
     vocabulary = Vocabulary(terms)
     df, documents = frequencies(docs, vocabulary, len(terms), text)
@@ -302,4 +306,4 @@ def score(docs: DataFrame, trained: tuple[Vocabulary, Index], text: str = "text"
                 columns.append(pa.array([[{"id": index.ids[i], "label": int(index.labels[i]), "similarity": s} for s, i in near] for _, near in found], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(n for n, _ in results)])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(lean(run), schema)
