@@ -38,6 +38,8 @@ SMALL = 6  # bands below leave no popular keys out
 SLACK = 0.06  # share of the segments beyond H + 1, for popular keys to be left out
 BLOCK = 8192  # members of a key that are compared at once
 CROWD = 16  # members of a key from which on pairs are held against large sketches
+EDGES = 1 << 18  # pairs of a tile that are held before all but a forest of them go
+NEAREST = 4  # rounds of closest pairs at most
 MARKS = 8  # keys of a set that decide where a pair is kept
 FLUSH = 1 << 19  # keys gathered before they are dealt to buckets
 GROUP = 1 << 19  # bytes of text hashed at once
@@ -406,27 +408,50 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ks, pa.int32()), pa.array(whole, pa.binary()), pa.array(small, pa.binary())], names=["cid", "band", "whole", "small"])
 
 
-def _tiles(still: DataFrame, sets: DataFrame) -> DataFrame:
+def _tiles(still: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """Members of each key with their sketches and marks, their block and the pair (lo, hi) of blocks to be compared, in order.
 
     A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on the large
-    sketches are there, too. Marks are a set's MARKS smallest keys in the band.
+    sketches are there, too. Marks are a set's MARKS smallest keys in the band; never are the sets of smaller id that
+    were found not to link with it.
     """
     drawn = sets.join(still.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(lean(_sketches), "cid bigint, band int, whole binary, small binary")
     marks = still.groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_list("key")), 1, MARKS).alias("marks"))
-    rows = still.join(drawn.join(marks, ["cid", "band"]), ["cid", "band"]).withColumn("whole", F.when(F.col("members") >= CROWD, F.col("whole")))
+    never = links.filter(~F.col("linked")).groupBy(F.col("b").alias("cid")).agg(F.collect_list("a").alias("never"))
+    rows = still.join(drawn.join(marks, ["cid", "band"]).join(never, "cid", "left"), ["cid", "band"]).withColumn("whole", F.when(F.col("members") >= CROWD, F.col("whole")))
     blocks = F.ceil(F.col("members") / BLOCK)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    return rows.select("key", "band", "lo", "hi", "block", "cid", "label", "n", "home", "marks", "small", "whole")
+    return rows.select("key", "band", "lo", "hi", "block", "cid", "label", "n", "home", "marks", "small", "whole", "never")
+
+
+def forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which edges are a lightest spanning forest over the groups of the nodes: fewer edges than groups."""
+    own = np.unique(group, return_inverse=True)[1]
+    order, taken = np.lexsort((v, u, weight)), []
+    while len(order := order[own[u[order]] != own[v[order]]]):
+        # the lightest edge of each tree joins it with another one; ties have one order, so these close no ring
+        a, b = own[u[order]], own[v[order]]
+        trees, first = np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)
+        first //= 2
+        taken.append(order[np.unique(first)])
+        to = np.arange(own.max() + 1)
+        to[trees] = np.where(a[first] == trees, b[first], a[first])
+        back = (to[to[trees]] == trees) & (trees < to[trees])  # two trees that chose one edge: the smaller one stays
+        to[trees[back]] = trees[back]
+        while (further := to[to]).tolist() != to.tolist():
+            to = further
+        own = to[own]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of sets that share a key, are in different components and may link by their sketches.
 
-    With ``closest`` just the one of each member and other component of a key whose sketches differ least. Else a
-    pair is kept at the smallest key that both have among their marks, and at every key only if there is none: it
-    comes about once, however many keys it shares. Rows come in the order of ``_tiles``, one tile is in memory at a time.
+    With ``closest`` just a spanning forest of them over the components that meet in a tile, of the pairs whose sketches
+    differ least: fewer pairs than members, however many may link. Else a pair is kept at the smallest key that both
+    have among their marks, and at every key only if there is none: it comes about once, however many keys it shares.
+    Pairs that were found not to link are left out. Rows come in the order of ``_tiles``, one tile is in memory at a time.
     """
     first, second, found = [], [], 0
     last = np.iinfo(np.int64).max
@@ -442,12 +467,25 @@ def _pairs(batches: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator
         sizes = pc.list_value_length(own).to_numpy()
         marks = np.full((len(key), MARKS), last)
         marks[np.arange(MARKS) < sizes[:, None]] = own.flatten().to_numpy()
+        apart_from = tiles.column(12)  # sets with smaller ids that do not link with this one
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
         for start, end in zip(new[:-1].tolist(), new[1:].tolist()):
             within = lo[start] == hi[start]
-            left = np.arange(start, end) if within else start + np.flatnonzero(block[start:end] == lo[start])
-            right = left if within else start + np.flatnonzero(block[start:end] == hi[start])
+            order = start + np.argsort(cid[start:end])
+            left = order if within else order[block[order] == lo[start]]
+            right = left if within else order[block[order] == hi[start]]
             small, whole = (np.frombuffer(b"".join(tiles.column(c).slice(start, end - start).to_pylist()), U).reshape(end - start, -1) if tiles.column(c)[start].is_valid else None for c in (10, 11))
+            never = apart_from.slice(start, end - start)
+            counts = pc.fill_null(pc.list_value_length(never), 0).to_numpy(zero_copy_only=False)
+            never = np.rec.fromarrays([never.flatten().to_numpy(), np.repeat(cid[start:end], counts)])
+            never.sort()
+            edges, held = [], 0
+
+            def lightest(edges: list) -> list:
+                u, v, weight = (np.concatenate(x) for x in zip(*edges))
+                kept = forest(u - start, v - start, weight, label[start:end])  # noqa: B023
+                return [(u[kept], v[kept], weight[kept])]
+
             for at, i in enumerate(left.tolist()):
                 j = right[at + 1 :] if within else right
                 j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])) & np.where(n[j] < n[i], home[j], home[i])]
@@ -456,16 +494,30 @@ def _pairs(batches: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator
                         apart = np.bitwise_count(bits[j - start] ^ bits[i - start]).sum(axis=1, dtype=np.int64)
                         may = 7 * apart <= n[j] + n[i]
                         j, apart = j[may], apart[may]
-                if closest and len(j):
-                    order = np.lexsort((apart, label[j]))
-                    j = j[order][np.concatenate([[True], np.diff(label[j][order]) != 0])]
-                elif len(j):
-                    common = np.where((marks[j][:, :, None] == marks[i]).any(2), marks[j], last).min(1)
-                    j = j[(common == key[i]) | (common == last)]
+                if len(never) and len(j):
+                    asked = np.rec.fromarrays([np.minimum(cid[j], cid[i]), np.maximum(cid[j], cid[i])])
+                    at_most = np.minimum(np.searchsorted(never, asked), len(never) - 1)
+                    j, apart = j[never[at_most] != asked], apart[never[at_most] != asked]
+                if not len(j):
+                    continue
+                if closest:
+                    edges.append((np.full(len(j), i), j, apart / (n[j] + n[i])))
+                    held += len(j)
+                    if held > EDGES:
+                        edges = lightest(edges)
+                        held = len(edges[0][0])
+                    continue
+                common = np.where((marks[j][:, :, None] == marks[i]).any(2), marks[j], last).min(1)
+                j = j[(common == key[i]) | (common == last)]
                 if len(j):
                     first.append(np.full(len(j), cid[i]))
                     second.append(cid[j])
                     found += len(j)
+            if edges:
+                u, v, _ = lightest(edges)[0]
+                first.append(cid[u])
+                second.append(cid[v])
+                found += len(u)
             if found > 1 << 18:
                 yield gathered()
                 first, second, found = [], [], 0
@@ -500,8 +552,19 @@ def _joined(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
     return save(labels.join(names, "label", "left").select("cid", F.coalesce("name", "label").alias("label")), at)
 
 
+def _still_apart(live: DataFrame, labels: DataFrame, sets: DataFrame, links: DataFrame, parts: int, step: str, at: str) -> DataFrame:
+    """a, b: the pairs of a step that are in different components and may link."""
+    key, tile = Window.partitionBy("key", "band"), ("key", "band", "lo", "hi")
+    groups = live.join(labels, "cid").withColumns({"hi": F.max("label").over(key), "lo": F.min("label").over(key), "members": F.count(F.lit(1)).over(key)})
+    groups = groups.filter((F.col("lo") != F.col("hi")) & (F.col("members") >= (2 if step == "all" else CROWD)))
+    still = save(groups.select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
+    tiles = _tiles(still, sets, links).repartition(parts, *tile).sortWithinPartitions(*tile)
+    return save(tiles.mapInArrow(lean(functools.partial(_pairs, closest=step != "all")), "a bigint, b bigint").distinct(), f"{at}/rest-{step}")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked for the distinct pairs."""
+    """a, b, linked for the distinct pairs; only the sets that they name are dealt."""
+    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -566,23 +629,24 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         discard(spark)
 
     # Then pairs of a key that are still in different components and that their sketches let pass: of crowded keys the
-    # closest ones, which join most of what can be joined there, and all that are left.
-    for step in ("closest", "all"):
-        key = Window.partitionBy("key", "band")
-        groups = live.join(labels, "cid").withColumns({"hi": F.max("label").over(key), "lo": F.min("label").over(key), "members": F.count(F.lit(1)).over(key)})
-        groups = groups.filter((F.col("lo") != F.col("hi")) & (F.col("members") >= (CROWD if step == "closest" else 2)))
-        still = save(groups.select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
-        tile = ("key", "band", "lo", "hi")
-        tiles = _tiles(still, sets).repartition(parts, *tile).sortWithinPartitions(*tile)
-        rest = tiles.mapInArrow(lean(functools.partial(_pairs, closest=step == "closest")), "a bigint, b bigint").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        found = save(_verify(save(rest, f"{at}/rest-{step}"), sets), f"{at}/links-{step}")
+    # closest ones, as long as these join components, and all that are left.
+    steps = [f"closest-{i}" for i in range(NEAREST)]
+    while True:
+        step = steps.pop(0) if steps else "all"
+        rest = _still_apart(live, labels, sets, links, parts, step, at)
+        discard(spark)  # the tiles' shuffle goes before whole sets are dealt
+        found = save(_verify(rest, sets), f"{at}/links-{step}")
         links = links.unionByName(found)
         labels = _joined(labels, found, f"{at}/joined-{step}")
-        discard(spark)
+        discard(spark, *(f"{at}/{x}-{step}" for x in ("open", "rest")))
+        if step == "all":
+            break
+        if not found.filter("linked").head(1):
+            steps = []
     named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels, "cid", "left")
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("row_id")).alias("label"))
     named = save(named, f"{at}/named")
-    discard(spark, *(f"{at}/{x}" for x in ("docs", f"live-{ROUNDS - 1}", "sets", *(f"{x}-{i}" for x in ("near", "open", "rest", "links") for i in (*range(ROUNDS), "closest", "all")))))
+    discard(spark, *(f"{at}/{x}" for x in ("docs", f"live-{ROUNDS - 1}", "sets", *(f"{x}-{i}" for x in ("near", "links") for i in (*range(ROUNDS), *(f"closest-{i}" for i in range(NEAREST)), "all")))))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
