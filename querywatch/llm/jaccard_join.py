@@ -408,14 +408,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(ks, pa.int32()), pa.array(whole, pa.binary()), pa.array(small, pa.binary())], names=["cid", "band", "whole", "small"])
 
 
-def _tiles(still: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def _tiles(still: DataFrame, drawn: DataFrame, links: DataFrame) -> DataFrame:
     """Members of each key with their sketches and marks, their block and the pair (lo, hi) of blocks to be compared, in order.
 
     A key with more than BLOCK members has many such pairs, on as many tasks; from CROWD members on the large
     sketches are there, too. Marks are a set's MARKS smallest keys in the band; never are the sets of smaller id that
     were found not to link with it.
     """
-    drawn = sets.join(still.select("cid").distinct(), "cid", "left_semi").select("cid", "shingles").mapInArrow(lean(_sketches), "cid bigint, band int, whole binary, small binary")
     marks = still.groupBy("cid", "band").agg(F.slice(F.array_sort(F.collect_list("key")), 1, MARKS).alias("marks"))
     never = links.filter(~F.col("linked")).groupBy(F.col("b").alias("cid")).agg(F.collect_list("a").alias("never"))
     rows = still.join(drawn.join(marks, ["cid", "band"]).join(never, "cid", "left"), ["cid", "band"]).withColumn("whole", F.when(F.col("members") >= CROWD, F.col("whole")))
@@ -552,13 +551,13 @@ def _joined(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
     return save(labels.join(names, "label", "left").select("cid", F.coalesce("name", "label").alias("label")), at)
 
 
-def _still_apart(live: DataFrame, labels: DataFrame, sets: DataFrame, links: DataFrame, parts: int, step: str, at: str) -> DataFrame:
+def _still_apart(live: DataFrame, labels: DataFrame, drawn: DataFrame, links: DataFrame, parts: int, step: str, at: str) -> DataFrame:
     """a, b: the pairs of a step that are in different components and may link."""
     key, tile = Window.partitionBy("key", "band"), ("key", "band", "lo", "hi")
     groups = live.join(labels, "cid").withColumns({"hi": F.max("label").over(key), "lo": F.min("label").over(key), "members": F.count(F.lit(1)).over(key)})
     groups = groups.filter((F.col("lo") != F.col("hi")) & (F.col("members") >= (2 if step == "all" else CROWD)))
     still = save(groups.select("key", "band", "cid", "label", "n", "home", "members"), f"{at}/open-{step}")
-    tiles = _tiles(still, sets, links).repartition(parts, *tile).sortWithinPartitions(*tile)
+    tiles = _tiles(still, drawn, links).repartition(parts, *tile).sortWithinPartitions(*tile)
     return save(tiles.mapInArrow(lean(functools.partial(_pairs, closest=step != "all")), "a bigint, b bigint").distinct(), f"{at}/rest-{step}")
 
 
@@ -630,10 +629,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     # Then pairs of a key that are still in different components and that their sketches let pass: of crowded keys the
     # closest ones, as long as these join components, and all that are left.
+    drawn = save(sets.select("cid", "shingles").mapInArrow(lean(_sketches), "cid bigint, band int, whole binary, small binary"), f"{at}/drawn")
     steps = [f"closest-{i}" for i in range(NEAREST)]
     while True:
         step = steps.pop(0) if steps else "all"
-        rest = _still_apart(live, labels, sets, links, parts, step, at)
+        rest = _still_apart(live, labels, drawn, links, parts, step, at)
         discard(spark)  # the tiles' shuffle goes before whole sets are dealt
         found = save(_verify(rest, sets), f"{at}/links-{step}")
         links = links.unionByName(found)
@@ -646,7 +646,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     named = all_docs.join(sets_of.select("c1", "c2", "cid"), ["c1", "c2"], "left").join(labels, "cid", "left")
     named = named.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("row_id")).alias("label"))
     named = save(named, f"{at}/named")
-    discard(spark, *(f"{at}/{x}" for x in ("docs", f"live-{ROUNDS - 1}", "sets", *(f"{x}-{i}" for x in ("near", "links") for i in (*range(ROUNDS), *(f"closest-{i}" for i in range(NEAREST)), "all")))))
+    discard(spark, *(f"{at}/{x}" for x in ("docs", f"live-{ROUNDS - 1}", "sets", "drawn", *(f"{x}-{i}" for x in ("near", "links") for i in (*range(ROUNDS), *(f"closest-{i}" for i in range(NEAREST)), "all")))))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
