@@ -494,8 +494,11 @@ def e4(spark, sf_dir):
     fast = kind((F.lit("inst-"), (F.col("supplier") % 7).cast("string")), 1, 5)
     slow = F.when(F.col("thread_id") % 50 == 0, kind((F.lit("slow-"), F.col("thread_id").cast("string"), F.lit("-"), F.col("start").cast("string")), 300, 600))
     runs = runs.select("thread_id", "digest", "start", F.explode(F.array_compact(F.array(fast, slow))).alias("r")).select("thread_id", "digest", "start", "r.*")
-    seen = runs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("seconds"), F.col("step"))).alias("time_secs"))
-    digest = F.when((F.col("time_secs") + F.col("thread_id")) % 4 != 0, F.col("digest"))
-    obs = seen.select("instance_id", (F.col("start") + F.col("time_secs") * 1000).alias("tick_ms"), "thread_id", "time_secs", digest.alias("digest"), F.lit("app").alias("db_user"))
-    ticks = obs.select("instance_id", "tick_ms").distinct().withColumn("truncated", F.col("tick_ms") % 10000 == 5000)
+    # the sightings of a run are one row, so that they are dealt as one; of runs with one begin and step the longest has the ticks of all
+    ticks_of = F.sequence(F.col("start"), F.col("start") + F.col("seconds") * 1000, F.col("step") * 1000)
+    digest = F.transform("time_secs", lambda s: F.when((s + F.col("thread_id")) % 4 != 0, F.col("digest")))
+    obs = runs.withColumn("time_secs", F.sequence(F.lit(0).cast("bigint"), F.col("seconds"), F.col("step")))
+    obs = obs.select("instance_id", ticks_of.alias("tick_ms"), "thread_id", "time_secs", digest.alias("digest"), F.lit("app").alias("db_user"))
+    ticks = runs.groupBy("instance_id", "start", "step").agg(F.max("seconds").alias("seconds")).select("instance_id", F.explode(ticks_of).alias("tick_ms"))
+    ticks = ticks.withColumn("truncated", F.col("tick_ms") % 10000 == 5000)
     return tracking.track_executions(obs, ticks)

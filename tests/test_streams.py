@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from querywatch.operators import capture, counters, statistics, tracking
 from querywatch.operators.identity import merge_observations
 from querywatch.sources import store
@@ -82,6 +83,53 @@ def test_a_run_ends_after_an_hour_without_a_sighting(spark):
     assert got == [(1, 1, "too_long"), (2, 1, "too_long"), (3, 1, None), (3, 2, "too_long")]
 
 
+PACKED = "instance_id string, thread_id bigint, tick_ms array<bigint>, time_secs array<bigint>, digest array<string>, db_user string, db_host string"
+
+
+def packed(obs, r):
+    """Some sightings of a thread in a row, in any order, cut anywhere; a row without a digest has no list of them."""
+    rows, out = {}, []
+    for inst, t, th, s, d, *who in obs:
+        rows.setdefault((inst, th, *who, r.randrange(3)), []).append((t, s, d))
+    for (inst, th, *who, _), x in rows.items():
+        while x:
+            n = r.randrange(1, 12)
+            part, x = x[:n], x[n:]
+            r.shuffle(part)
+            t, s, d = map(list, zip(*part))
+            out.append((inst, th, t, s, d if any(d) else None, *who))
+    return out
+
+
+@pytest.mark.parametrize(("place", "batch"), [(1 << 17, 10_000), (20, 7), (200, 1)])
+def test_tracking_of_packed_rows_in_any_places_and_batches(spark, monkeypatch, place, batch):
+    r = random.Random(place)
+    obs, ticks = sightings(5, 300)
+    want = plain_runs(obs, ticks)
+    monkeypatch.setattr(tracking, "PLACE", place)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        for frame in (spark.createDataFrame(packed(obs, r), PACKED), spark.createDataFrame(obs, OBS)):
+            assert sorted(map(tuple, tracking.track_executions(frame, spark.createDataFrame(ticks, TICKS)).collect()), key=repr) == want
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_tracking_of_times_far_apart_and_of_ticks_that_are_not_listed(spark):
+    ticks = [(i, t, False) for i in "ab" for t in (0, 1 << 61)] + [("c", None, False), (None, 0, False)]
+    obs = [(i, t, 1, 5, "d", "u", "h") for i in "ab" for t in (0, 1 << 61, 1000)] + [("c", 0, 1, 5, "d", "u", "h"), (None, 0, 1, 5, "d", "u", "h"), ("a", None, 1, 5, "d", "u", "h")]
+    got = sorted((r["instance_id"], r["last_seen_ms"], r["end_reason"]) for r in tracking.track_executions(spark.createDataFrame(obs, OBS), spark.createDataFrame(ticks, TICKS)).collect())
+    assert got == [("a", 1 << 61, "too_long"), ("b", 1 << 61, "too_long")]  # both sightings of each are one run up to its cut
+
+
+def test_sightings_are_dealt_once(spark):
+    frame = entry.queries()["e4_track_executions"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_what_a_tick_shows_is_not_given_up():
     open_ = {}
     assert list(streamed.advance(open_, 0, True, {n: (1, "d", "u") for n in range(6)}, 4)) == [] and len(open_) == 6
