@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEVELS = ("domain", "lang", "source")
@@ -96,8 +97,10 @@ def mix(docs: DataFrame, target: Target = Target(), text: str = "text", doc_id:
     found = {tuple(r[x] for x in LEVELS): (r["tokens"], r["rows"]) for r in rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
     plan = budgets({k: v[0] for k, v in found.items()}, target)
     leaves = [(*k, plan[k] // v[0] if v[0] else 1, plan[k] % v[0] if v[0] else 0, max(1, v[1] // RANGE_ROWS)) for k, v in found.items()]
-    schema = "domain string, lang string, source string, passes bigint, rest bigint, ranges bigint"
-    table = F.broadcast(spark.createDataFrame(leaves, schema).select(*[F.col(x).alias(f"l_{x}") for x in LEVELS], "passes", "rest", "ranges"))
+    # as an Arrow table: a list of rows would start a second set of Python workers on every executor to pass it on
+    schema = pa.schema([(x, pa.string()) for x in LEVELS] + [(x, pa.int64()) for x in ("passes", "rest", "ranges")])
+    table = pa.Table.from_pylist([dict(zip(schema.names, leaf, strict=True)) for leaf in leaves], schema)
+    table = F.broadcast(spark.createDataFrame(table).select(*[F.col(x).alias(f"l_{x}") for x in LEVELS], "passes", "rest", "ranges"))
     on = [F.col(x).eqNullSafe(F.col(f"l_{x}")) for x in LEVELS]
     last = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
     rows = rows.join(table, on[0] & on[1] & on[2]).filter(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))

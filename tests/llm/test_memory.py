@@ -5,11 +5,12 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("querywatch.llm")
 import public_tokenizers  # noqa: E402
 
-from querywatch.llm import _work, byte_bpe, jaccard_join, toxicity  # noqa: E402
+from querywatch.llm import _work, byte_bpe, jaccard_join, mixing, toxicity  # noqa: E402
 
 
 def test_caches_of_other_stages_go_when_a_task_begins():
@@ -53,3 +54,10 @@ def test_a_reference_stands_for_255_members_at_most():
     cls["c1"] = 10, 20, 30
     got = jaccard_join.references(cls, np.repeat([0, 2], [600, 2]))
     assert got["c1"].tolist() == [10, 10, 10, 30] and got["keys"].tolist() == [255, 255, 90, 2]
+
+
+def test_mixing_passes_its_leaves_without_python_workers(spark):
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, F.lit("s")).alias("source"))
+    rows = mixing.mix(docs, mixing.Target(share=1.0))
+    assert "LocalTableScan" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "ExistingRDD" not in plan
+    assert rows.count() == 20
